@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from postlens.llm import decontaminate, minhash, packing, secrets, toxicity
+from postlens.llm import decontaminate, langid, minhash, packing, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op3_decontamination": decontaminate.op3,
     "op5_secrets": secrets.op5,
     "op7_packing": packing.op7,
+    "op9_langid": langid.op9,
     "op10_minhash": minhash.op10,
 }
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from postlens.llm import decontaminate, langid, minhash, packing, secrets, toxicity
+from postlens.llm import debruijn_dedup, decontaminate, langid, minhash, packing, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op3_decontamination": decontaminate.op3,
     "op5_secrets": secrets.op5,
     "op7_packing": packing.op7,
+    "op8_debruijn_dedup": debruijn_dedup.op8,
     "op9_langid": langid.op9,
     "op10_minhash": minhash.op10,
 }
 
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,
+    "op8_debruijn_dedup": debruijn_dedup.OP8_SQL,
     "op10_minhash": minhash.OP10_SQL,
 }

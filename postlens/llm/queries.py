@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from postlens.llm import debruijn_dedup, decontaminate, langid, minhash, packing, secrets, toxicity
+from postlens.llm import debruijn_dedup, decontaminate, langid, minhash, packing, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op3_decontamination": decontaminate.op3,
     "op5_secrets": secrets.op5,
+    "op6_suffix_dedup": suffix_dedup.op6,
     "op7_packing": packing.op7,
     "op8_debruijn_dedup": debruijn_dedup.op8,
     "op9_langid": langid.op9,

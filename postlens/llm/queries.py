@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from postlens.llm import debruijn_dedup, decontaminate, langid, minhash, packing, secrets, suffix_dedup, toxicity
+from postlens.llm import ann, debruijn_dedup, decontaminate, langid, minhash, packing, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op3_decontamination": decontaminate.op3,
+    "op4_ann": ann.op4,
     "op5_secrets": secrets.op5,
     "op6_suffix_dedup": suffix_dedup.op6,
     "op7_packing": packing.op7,

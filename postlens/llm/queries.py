@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from postlens.llm import ann, debruijn_dedup, decontaminate, langid, minhash, packing, secrets, suffix_dedup, toxicity
+from postlens.llm import ann, debruijn_dedup, decontaminate, html_extract, langid, minhash, packing, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_html_extract": html_extract.op2,
     "op3_decontamination": decontaminate.op3,
     "op4_ann": ann.op4,
     "op5_secrets": secrets.op5,

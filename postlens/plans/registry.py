@@ -1,22 +1,26 @@
-"""Registered queries: name -> callable, and name -> SQL over the same tables."""
+"""Registered queries: name -> callable, and name -> SQL over the same tables. Names begin with the inventory id."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from postlens.operators import aggregates
+from postlens.plans import q_aggregates, q_matching, q_pipelines, q_retrieval, q_skills, q_streams, q_tables, q_text
+from postlens.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+for _module in (q_text, q_tables, q_aggregates, q_skills, q_matching, q_retrieval, q_streams, q_pipelines):
+    for _name, (_run, _sql) in _module.QUERIES.items():
+        QUERIES[_name] = _run
+        if _sql:
+            ORACLE_SQL[_name] = fixtures.with_sql(_sql)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top ten skills of each country."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    skills = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("job_id"), F.lower("p_brand").alias("skill")).distinct()
-    jobs = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    counted = jobs.select(F.col("o_orderkey").alias("job_id"), F.col("n_name").alias("country")).join(skills, "job_id").groupBy("country", "skill").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("n"), "skill"))
-    return counted.withColumn("rank", rank).where("rank <= 10")
+    skills, jobs = fixtures.posting_skills(spark, sf_dir), fixtures.postings(spark, sf_dir)
+    return aggregates.top_per_group(aggregates.skill_by_region(skills, jobs), ["country"], ["n desc", "skill"], 10)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
+from postlens.llm.shared import small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -162,6 +163,7 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str
     base = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
     text = names[docs.columns.index("text")]
     spark = docs.sparkSession
+    small_batches(spark)
     empty = F.array().cast("array<int>")
     out = docs.toDF(*names).select("*", F.lit(0).alias("_n"), empty.alias("_hw"), empty.alias("_hb"), F.array().cast("array<string>").alias("_items"))
     for automaton, bloom in _blocks(items, window, id_column):

@@ -11,10 +11,10 @@ join finds every pair within the distance.
 2. Each key's classes meet a few hubs (the smallest by hashed orders, found by partial
    aggregation), never each other. Pairs within the distance are confirmed on the full sets; links
    give components.
-3. Only keys whose classes still lie in several components are looked at again: their classes go
-   in blocks to tasks that compare signatures across components and hand on the pairs within the
-   distance, which are confirmed as before. No link between components is lost, and a large group
-   that is one component already costs nothing more. Blocks bound the task, whatever the group.
+3. Only keys whose classes still lie in several components are looked at again: their full sets go
+   in blocks to tasks that count all intersections across components and hand on a spanning forest
+   of the links. No link between components is lost, a large group that is one component already
+   costs nothing more, and no task emits more rows than it has classes.
 
 Defined results: null, empty and blank texts have an empty set and stand alone; fewer words than a
 shingle make one shingle of the whole sequence; repeated rows are linked; ties go to the smaller id.
@@ -31,7 +31,11 @@ from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
 from postlens.llm.components import components
-from postlens.llm.shared import cut, grouped
+from postlens.llm.shared import cut, grouped, small_batches
+
+
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -43,8 +47,9 @@ class Config:
     chunks: int = 9
     #: Hashed orders by which a key's hub is chosen.
     hubs: int = 4
-    #: Classes of one key that are compared in one task.
-    block: int = 1500
+    #: Classes of one key, and shingles of their sets, in a block; one or two blocks meet in a task.
+    block: int = 1000
+    block_shingles: int = 750_000
 
     @property
     def distance(self) -> int:
@@ -157,9 +162,11 @@ def _near(pairs: DataFrame, classes: DataFrame, c: Config) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
-    """Links (u, v) among the pairs, by the full sets."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(nodes: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
+    """Full sets ``(doc_id, grams)`` of the documents ``nodes(doc_id)``."""
+    nodes = cut(nodes.distinct(), "nodes")
+    if nodes.count() <= BROADCAST_IDS:  # else their texts are shuffled
+        nodes = F.broadcast(nodes)
 
     def run(batches):
         for b in batches:
@@ -168,65 +175,106 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
                 _, k, offs = shingle_sets(s, c.shingle)
                 sets += [k[x:y].view(np.int64) for x, y in zip(offs[:-1], offs[1:])]
             at = np.cumsum([0] + [len(x) for x in sets])
-            if at[-1] < 1 << 31:
-                flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), flat], ["doc_id", "grams"])
+            flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), flat], ["doc_id", "grams"])
+
+    return cut(docs.select("doc_id", "text").join(nodes, "doc_id").mapInArrow(run, "doc_id long, grams array<long>"), "sets")
 
-    sets = cut(docs.select("doc_id", "text").join(nodes, "doc_id").mapInArrow(run, "doc_id long, grams array<long>"), "sets")
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
+    """Links (u, v) among the pairs, by the full sets."""
+    sets = _sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, c)
     both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.where(shared * 1000 >= (F.size("ga") + F.size("gb") - shared) * c.per_mille).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
 
-def _cross(keyed: DataFrame, labelled: DataFrame, c: Config) -> DataFrame:
-    """Pairs within the distance that lie in different components, from keys that hold several."""
-    rows = keyed.join(labelled, "rep")
-    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi and n > 2").select("key", "n")
-    # Large keys go in blocks: a class meets every block of its key once, the rows of a task stay bounded.
-    blocks = F.ceil(F.col("n") / c.block).cast("int")
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a boolean adjacency matrix."""
+    todo = np.ones(len(linked), bool)
+    us, vs = [], []
+    for root in range(len(linked)):
+        if not todo[root]:
+            continue
+        todo[root] = False
+        queue = [root]
+        while queue:
+            u = queue.pop()
+            new = np.flatnonzero(linked[u] & todo)
+            todo[new] = False
+            queue += new.tolist()
+            us += [u] * len(new)
+            vs += new.tolist()
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def _cross(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
+    """Links (u, v) between classes of different components, from the keys that hold several.
+
+    The classes of such a key meet in blocks with their full sets; a task counts all its intersections
+    at once and hands on a spanning forest of the links it finds, at most one row for each class.
+    """
+    label = F.coalesce("component", "rep").alias("label")
+    rows = shared.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label)
+    rows = rows.join(classes.select("rep", "n_shingles"), "rep")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("total")).where("lo < hi")
+    # Large keys go in blocks: a class meets every block of its key once, the rows and sets of a task stay bounded.
+    blocks = F.greatest(F.ceil(F.col("n") / c.block), F.ceil(F.col("total") / c.block_shingles)).cast("int")
+    rows = cut(rows.join(mixed.select("key", blocks.alias("blocks")), "key").select("key", "rep", "label", "blocks"), "mixed")
+    sets = _sets(rows.select(F.col("rep").alias("doc_id")), docs, c).toDF("rep", "grams")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     met = (
-        rows.join(mixed, "key").withColumn("blocks", blocks).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "own", "other", "rep", "label", "sig")
+        rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "own", "other", "rep", "label")
+        .join(sets, "rep")
     )
 
     def run(batches):
         for _, t in grouped(batches, "task"):
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1)
             rep, label, own, other = (t.column(k).to_numpy() for k in ("rep", "label", "own", "other"))
-            alone = own == other  # a block with itself; else only across the two blocks
-            for i in range(0, len(rep), 64):
-                j = slice(i, i + 64)
-                d = (sig[j, None, :] != sig[None, :, :]).sum(2) <= c.distance
-                d &= (rep[j, None] < rep[None, :]) & (label[j, None] != label[None, :])
-                d &= alone[j, None] | (own[j, None] != own[None, :])
-                x, y = np.nonzero(d)
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[i + x]), pa.array(rep[y])], ["a", "b"])
-
-    return met.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+            if label.min() == label.max():
+                continue
+            grams = t.column("grams").combine_chunks()
+            size = np.diff(grams.offsets.to_numpy())
+            row = np.repeat(np.arange(len(rep)), size)
+            key, column, count = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            some = count[column] > 1  # what one class alone has is in no intersection
+            row, column = row[some], np.searchsorted(np.flatnonzero(count > 1), column[some])
+            both = np.zeros((len(rep), len(rep)), np.float32)
+            width = max(256, 2_000_000 // len(rep))
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            for a in range(0, int((count > 1).sum()), width):
+                x, y = np.searchsorted(column, [a, a + width])
+                part = np.zeros((len(rep), width), np.float32)
+                part[row[x:y], column[x:y] - a] = 1
+                both += part @ part.T
+            linked = both * 1000 >= (size[:, None] + size[None, :] - both) * c.per_mille
+            linked &= label[:, None] != label[None, :]
+            linked &= (own == other)[:, None] | (own[:, None] != own[None, :])
+            u, v = _forest(linked | linked.T)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[u], rep[v])), pa.array(np.minimum(rep[u], rep[v]))], ["u", "v"])
+
+    return met.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``."""
+    small_batches(docs.sparkSession)
     profile = cut(docs.select("doc_id", "text").mapInArrow(_profile(c), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "profile")
     full = profile.where("n_shingles > 0")
     # Equal sets have equal signatures, so any of the group's will do.
     classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    keyed = cut(classes.select("rep", "sig").mapInArrow(_keys(c), "key long, rep long"), "keys")
+    keyed = classes.select("rep", "sig").mapInArrow(_keys(c), "key long, rep long")
     order = F.xxhash64("rep", F.pmod("key", F.lit(c.hubs)))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.rep").alias("hub"))
-    pairs = keyed.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    sized = classes.select("rep", "sig", "n_shingles")
-    links = cut(_confirmed(cut(_near(pairs, sized, c), "pairs"), docs, c), "links")
-    first = cut(components(links), "labels")
-    labelled = classes.select("rep", "sig").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label"))
-    crossing = cut(_cross(keyed, labelled.join(classes.select("rep", "sig"), "rep"), c), "cross")
-    sizes = classes.select("rep", "n_shingles")
-    crossing = crossing.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    crossing = crossing.where(F.least("na", "nb") * 1000 >= F.greatest("na", "nb") * c.per_mille).select("a", "b")
-    more = cut(_confirmed(crossing, docs, c), "links")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.rep").alias("hub"), "n")
+    # Only the keys of several classes are kept; most have one.
+    shared = cut(keyed.join(hubs, "key"), "shared")
+    pairs = shared.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    links = cut(_confirmed(cut(_near(pairs, classes, c), "pairs"), docs, c), "links")
+    first = components(links)
+    more = cut(_cross(shared, first, classes, docs, c), "links")
     final = first
     if not more.isEmpty():
         final = components(links.unionByName(more))
@@ -239,7 +287,9 @@ def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:
 def keep_one(docs: DataFrame, c: Config = Config()) -> DataFrame:
     """One row of each group of near-duplicates stays, the one of the smallest id; rows without an id stay too."""
     found = near_duplicates(docs.where("doc_id is not null"), c)
-    gone = found.where("doc_id <> component_id").select("doc_id")
+    gone = cut(found.where("doc_id <> component_id").select("doc_id"), "gone")
+    if gone.count() <= BROADCAST_IDS:  # else the texts are shuffled
+        gone = F.broadcast(gone)
     names = docs.columns
     return docs.join(gone, "doc_id", "left_anti").select(*names)
 

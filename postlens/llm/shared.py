@@ -22,14 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later jobs survive the loss of an executor without recomputing it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/postlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # the table is whole then: its shuffle files can go
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of whole texts hold fewer rows than the default, so that Python workers stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and bytes of text."""
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()

@@ -10,17 +10,16 @@ costs a record for each slice, not for each document.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
-from postlens.llm.shared import cut, grouped, pack, text_bytes, unpack
+from postlens.llm.shared import cut, grouped, pack, small_batches, text_bytes, unpack
 
 #: Text for each bucket of documents.
 GROUP_BYTES = 2 << 20
@@ -87,6 +86,7 @@ def remove_repeats(
     the slice settles itself; ``find(blobs)`` gives the ranges of a bucket (doc, start, end);
     ``finish(slice, row, start, end)`` gets the merged ranges of a slice's rows and makes the columns.
     """
+    small_batches(docs.sparkSession)
     n, size = text_bytes(docs)
     layout = Layout(max(4, -(-size // record_bytes)), max(4, -(-size // GROUP_BYTES), -(-n // GROUP_DOCS)))
 
@@ -140,7 +140,6 @@ def remove_repeats(
         yield from held
 
     told = cut(dealt.mapInArrow(finder_all, "bucket int, kind int, blob binary").select("bucket", "blob"), "ranges")
-    release(docs.sparkSession)
 
     keyed = docs.select("doc_id", "text").mapInArrow(_key_documents(layout), "bucket int, doc_id long, text string")
     met = (
@@ -183,9 +182,3 @@ def covered(total: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of ``total`` places lie in one of the ranges."""
     step = np.bincount(start, minlength=total + 1) - np.bincount(end, minlength=total + 1)
     return np.cumsum(step)[:total] > 0
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -36,17 +36,17 @@ GRAM = 12
 #: Text whose windows one bucket holds.
 RECORD_BYTES = 4 << 20
 SLICE_BYTES = 2 << 20
-#: Windows of a batch that enters the family.
-BATCH_WINDOWS = 1 << 20
+#: Stretches of a batch that enters the family.
+BATCH_BYTES = 2 << 20
 _POS_BITS = 32
 
 
-def stretches(s: tk.Slice, sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end bytes of maximal runs of windows with one minimizer, and the minimizer's hash."""
+def stretches(s: tk.Slice, sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of maximal runs of windows with one minimizer, the minimizer's place and its hash."""
     n = len(s.buf)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64)
     h = tk.window_hash(sums, gram)
     low = np.uint64((1 << _POS_BITS) - 1)
     v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -58,12 +58,12 @@ def stretches(s: tk.Slice, sums: np.ndarray, length: int, gram: int) -> tuple[np
     size = np.diff(s.offs)
     at = tk.ragged(s.offs[:-1], np.maximum(size - length + 1, 0))
     if not len(at):
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64)
     m = (v[at] & low).astype(np.int64)
     new = np.append(True, (m[1:] != m[:-1]) | (at[1:] != at[:-1] + 1))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return at[first], at[last] + length, h[m[first]]
+    return at[first], at[last] + length, m[first], h[m[first]]
 
 
 def _beaten(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -77,39 +77,58 @@ def _beaten(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Members of groups of equal non-zero ``key`` that span several documents."""
+    order = np.argsort(key)
+    k, d = key[order], doc[order]
+    if not len(k):
+        return np.zeros(0, bool)
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+    out = np.zeros(len(k), bool)
+    out[order] = np.repeat(several, np.diff(np.append(first, len(k)))) & (k != 0)
+    return out
+
+
 class IndexFamily:
-    """Levels of suffix entries, sorted by fingerprint: the smallest document of each, and where its bytes are."""
+    """Levels of suffix entries, sorted by fingerprint: for each the stretch of the smallest document, and where its bytes are."""
 
-    def __init__(self) -> None:
+    def __init__(self, doc: np.ndarray) -> None:
+        self.doc = doc
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> None:
-        order = np.lexsort((doc, key))
-        level = self._least(key[order], doc[order], at[order])
+    def add(self, key: np.ndarray, stretch: np.ndarray, at: np.ndarray) -> None:
+        """Enter a batch, sorted by ``key``."""
+        level = self._least(key, stretch, at)
         while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            level = self._merge(self.levels.pop(), level)
+            both = [np.concatenate(x) for x in zip(self.levels.pop(), level)]
+            order = np.argsort(both[0], kind="stable")  # two sorted runs: a merge
+            level = self._least(*(x[order] for x in both))
         self.levels.append(level)
 
-    @staticmethod
-    def _least(key, doc, at):
-        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-        return key[new], doc[new], at[new]
-
-    def _merge(self, a, b):
-        key, doc, at = (np.concatenate(x) for x in zip(a, b))
-        order = np.lexsort((doc, key))
-        return self._least(key[order], doc[order], at[order])
-
-    def matches(self, key: np.ndarray, doc: np.ndarray, at: np.ndarray, same) -> np.ndarray:
-        """Which entries a level knows from a smaller document, with equal bytes."""
+    def _least(self, key, stretch, at):
+        if not len(key):
+            return key, stretch, at
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        if len(first) == len(key):
+            return key, stretch, at
+        doc = self.doc[stretch]
+        least = np.minimum.reduceat(doc, first)
+        group = np.cumsum(new) - 1
+        i = np.flatnonzero(doc == least[group])
+        i = i[np.append(True, group[i[1:]] != group[i[:-1]])]
+        return key[i], stretch[i], at[i]
+
+    def matches(self, key: np.ndarray, stretch: np.ndarray, at: np.ndarray, same) -> np.ndarray:
+        """Which entries of a batch sorted by ``key`` some level knows from a smaller document, with equal bytes."""
         out = np.zeros(len(key), bool)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        for keys, docs, ats in self.levels:
-            i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            hit = order[(keys[i] == k)]
-            i = i[keys[i] == k]
-            hit, i = hit[docs[i] < doc[hit]], i[docs[i] < doc[hit]]
+        for keys, stretches_, ats in self.levels:
+            i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0)) if len(keys) else np.zeros(0, np.int64)
+            hit = np.flatnonzero(keys[i] == key) if len(keys) else i
+            i = i[hit]
+            less = self.doc[stretches_[i]] < self.doc[stretch[hit]]
+            hit, i = hit[less], i[less]
             out[hit[same(at[hit], ats[i])]] = True
         return out
 
@@ -117,9 +136,11 @@ class IndexFamily:
 def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` after every byte under a string of ``length`` bytes that a smaller document has is removed."""
 
+    half = (length + gram) // 2
+
     def send(s, ids, layout):
         sums = tk.byte_sums(s.buf)
-        start, end, mini = stretches(s, sums, length, gram)
+        start, end, place, mini = stretches(s, sums, length, gram)
         if not len(start):
             return
         row = np.searchsorted(s.offs, start, "right") - 1
@@ -132,7 +153,7 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
         for b, at in spans.split(bucket, layout.records):
             at = go[at]
             size = end[at] - start[at]
-            head = pack(np.diff(doc[at], prepend=0), np.diff(pos[at].astype(np.int32), prepend=np.int32(0)), size.astype(np.int32))
+            head = pack(np.diff(doc[at], prepend=0), np.diff(pos[at].astype(np.int32), prepend=np.int32(0)), size.astype(np.int32), (place[at] - start[at]).astype(np.uint8))
             text = zstandard.ZstdCompressor(level=3).compress(s.buf[tk.ragged(start[at], size)].tobytes())
             yield b, 0, np.array([len(head)], np.int64).tobytes() + head + text
 
@@ -140,49 +161,61 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
         none = np.zeros(0, np.int64)
         if not blobs:
             return none, none, none
-        docs_, poss, sizes, texts = [], [], [], []
+        docs_, poss, sizes, places, texts = [], [], [], [], []
         for raw in blobs:
             n = int(np.frombuffer(raw, np.int64, 1)[0])
-            d, p, z = unpack(raw[8 : 8 + n])
+            d, p, z, m = unpack(raw[8 : 8 + n])
             docs_.append(np.cumsum(d))
             poss.append(np.cumsum(p, dtype=np.int32))
             sizes.append(z)
+            places.append(m)
             texts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8 + n :]), np.uint8))
         doc, pos, size, buf = np.concatenate(docs_), np.concatenate(poss).astype(np.int64), np.concatenate(sizes).astype(np.int64), np.concatenate(texts)
-        del docs_, poss, sizes, texts
+        del docs_, poss, sizes, texts, blobs
         end = np.cumsum(size)
         start = end - size
-        sums = tk.byte_sums(buf)
-        beaten = _beaten(tk.span_hash(sums, start, end) + size.astype(np.uint64), doc)
+        place = start + np.concatenate(places)
+        whole, left, right = (np.zeros(len(size), np.uint64) for _ in range(3))
+        batches = []
+        cuts = np.append(0, np.flatnonzero(np.diff(end // BATCH_BYTES)) + 1)
+        for a, z in zip(cuts, np.append(cuts[1:], len(size))):
+            low = start[a]
+            sums = tk.byte_sums(buf[low : end[z - 1]])
+            whole[a:z] = tk.span_hash(sums, start[a:z] - low, end[a:z] - low) + size[a:z].astype(np.uint64)
+            for side, x, y in ((right, place, place + half), (left, place + gram - half, place + gram)):
+                i = a + np.flatnonzero((x[a:z] >= start[a:z]) & (y[a:z] <= end[a:z]))
+                side[i] = tk.span_hash(sums, x[i] - low, y[i] - low)
+        beaten = _beaten(whole, doc)
         out = [(doc[beaten], pos[beaten], (pos + size)[beaten])]
-        left = np.flatnonzero(~beaten)
-        # Only stretches whose minimizer another document shares can match, but the windows tell that themselves.
-        count = size[left] - length + 1
-        cuts = np.append(0, np.flatnonzero(np.diff(np.cumsum(count) // BATCH_WINDOWS)) + 1)
-        batches = [left[a:z] for a, z in zip(cuts, np.append(cuts[1:], len(left))) if z > a]
-        ends = np.ndarray(len(buf) - 7, "<u8", buf.data, strides=(1,)) if len(buf) > 7 else None
-
-        def windows(part):
-            n = size[part] - length + 1
-            at = tk.ragged(start[part], n)
-            return tk.span_hash(sums, at, at + length), np.repeat(doc[part], n), at.astype(np.int32)
-
-        family = IndexFamily()
-        for part in batches:
-            family.add(*windows(part))
+        # A window holds the half to the left of its minimizer or the one to the right, so it can
+        # only match where another document shares that half; most windows end here.
+        right, left = (~beaten & _shared(side, doc) for side in (right, left))
+        turn = place + gram - half
+        family = IndexFamily(doc)
+        for a, z in zip(cuts, np.append(cuts[1:], len(size))):
+            low = start[a]
+            first = np.where(left[a:z], start[a:z], np.maximum(start[a:z], turn[a:z]))
+            last = np.where(right[a:z], end[a:z] - length, np.minimum(end[a:z] - length, turn[a:z] - 1))
+            n = np.where(left[a:z] | right[a:z], np.maximum(last - first + 1, 0), 0)
+            at = tk.ragged(first - low, n)
+            sums = tk.byte_sums(buf[low : end[z - 1]])
+            key = tk.span_hash(sums, at, at + length)
+            order = np.argsort(key)
+            batches.append((key[order], np.repeat(np.arange(a, z, dtype=np.int32), n)[order], (at + low).astype(np.int32)[order]))
+            family.add(*batches[-1])
+        ends = np.ndarray(max(len(buf) - 7, 0), "<u8", buf.tobytes(), strides=(1,)) if len(buf) > 7 else None
         same = lambda x, y: (ends[x] == ends[y]) & (ends[x + length - 8] == ends[y + length - 8])
-        for part in batches:
-            key, d, at = windows(part)
-            hit = family.matches(key, d, at, same)
-            if hit.any():
-                n = size[part] - length + 1
-                of = np.repeat(part, n)
-                i = np.flatnonzero(hit)
-                new = np.append(True, (i[1:] != i[:-1] + 1) | (of[i[1:]] != of[i[:-1]]))
-                a = i[new]
-                z = i[np.append(np.flatnonzero(new)[1:], len(i)) - 1]
-                shift = pos[of[a]] - start[of[a]]
-                out.append((d[a], at[a] + shift, at[z] + shift + length))
+        for key, stretch, at in batches:
+            hit = family.matches(key, stretch, at, same)
+            at, of = at[hit].astype(np.int64), stretch[hit]
+            if len(at):
+                order = np.argsort(at)
+                at, of = at[order], of[order]
+                new = np.append(True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]))
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(at)) - 1
+                shift = pos[of[first]] - start[of[first]]
+                out.append((doc[of[first]], at[first] + shift, at[last] + shift + length))
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def finish(s, row, start, end):

@@ -55,7 +55,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = (n + (1 << 18) - 1) >> 18 << 18  # no more than asked for: workers keep them
             for name, base in (("up", _MULT), ("down", _INV)):
                 a = np.full(size, base, np.uint64)
                 a[0] = 1

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
+from postlens.llm.shared import small_batches
 
 
 #: Longer words also count by their first bytes, so that inflected forms share a feature.
@@ -76,7 +77,7 @@ def _ftrl(examples: list[tuple[np.ndarray, float]], c: Config) -> tuple[np.ndarr
         return w
 
     rng = np.random.Generator(np.random.PCG64(7))
-    bias = np.array([c.buckets])
+    bias = np.array([c.buckets], np.int32)
     for _ in range(c.epochs):
         for k in rng.permutation(len(examples)):
             at, y = examples[k]
@@ -98,7 +99,7 @@ def _train_partition(c: Config):
             for s in tk.slices(b.column("text")):
                 row, key = _features(s, c.bits)
                 pair = np.unique(row * np.int64(c.buckets) + key)
-                row, key = pair >> c.bits, pair & (c.buckets - 1)
+                row, key = pair >> c.bits, (pair & (c.buckets - 1)).astype(np.int32)
                 for i, at in enumerate(np.split(key, np.searchsorted(row, np.arange(1, len(s))))):
                     examples.append((at, float(y[s.first + i])))
                     ids.append(doc[s.first + i])
@@ -121,7 +122,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, c: Config = Config()) -> Model:
     """Learn from the labelled documents of ``docs`` (``labels``: doc_id, toxic), at most ``max_train_docs`` of them."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -145,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, c: Config = Config()) -> Model:
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Add ``toxicity`` (0 to 1) to the columns ``keep`` (all by default) of ``docs``."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most 2**bits weights
     keep = docs.columns if keep is None else keep
     names = [f"_c{i}" for i in range(len(keep))]
@@ -156,7 +158,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         table[m.keys] = m.weights
         for b in batches:
             total = np.full(b.num_rows, m.bias)
-            for s in tk.slices(b.column("_text")):
+            for s in tk.slices(b.column(text)):
                 row, key = _features(s, m.bits)
                 live = table[key] != 0
                 pair = np.unique(row[live] * np.int64(1 << m.bits) + key[live])
@@ -166,7 +168,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             yield pa.RecordBatch.from_arrays(out, [*names, "_score"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields)) + ", _score double"
-    out = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], F.col("text").alias("_text"))
+    text = names[keep.index("text")] if "text" in keep else "_text"
+    hidden = [] if "text" in keep else [F.col("text").alias(text)]
+    out = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], *hidden)
     out = out.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], F.col("_score").alias("toxicity"))
 

@@ -30,10 +30,10 @@ def with_usd(jobs: DataFrame) -> DataFrame:
 
 def salary_columns() -> list[Column]:
     paid = F.when(F.col("usd_mid") > 0, F.col("usd_mid"))
-    quantile = lambda q: F.round(F.percentile(paid, F.lit(q)), 2)
+    quantile = lambda q: F.round(F.percentile(paid, F.lit(q)), 1)
     return [
-        F.count("*").alias("total"), F.count(paid).alias("with_salary"), F.round(F.min(paid), 2).alias("salary_min"), F.round(F.max(paid), 2).alias("salary_max"),
-        F.round(F.avg(paid), 2).alias("salary_mean"), quantile(0.5).alias("salary_median"), quantile(0.25).alias("q25"), quantile(0.75).alias("q75"),
+        F.count("*").alias("total"), F.count(paid).alias("with_salary"), F.round(F.min(paid), 1).alias("salary_min"), F.round(F.max(paid), 1).alias("salary_max"),
+        F.round(F.avg(paid), 1).alias("salary_mean"), quantile(0.5).alias("salary_median"), quantile(0.25).alias("q25"), quantile(0.75).alias("q75"),
     ]
 
 

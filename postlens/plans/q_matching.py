@@ -1 +1,92 @@
+"""Candidate matching, recommendation and derived scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from postlens.operators import recommend as R
+from postlens.sources.fixtures import candidates, posting_skills, postings, table
+
 QUERIES: dict = {}
+
+
+def _add(name, run, sql=None):
+    QUERIES[name] = (run, sql)
+
+
+_M = """(select candidate_id, job_id, matched, size, matched::double / size as overlap from
+  (select candidate_id, job_id, count(*) as matched from (select distinct candidate_id, skill from candidates) join (select distinct job_id, skill from posting_skills) using (skill) group by 1, 2)
+  join (select job_id, count(*) as size from (select distinct job_id, skill from posting_skills) group by 1) using (job_id))"""
+_EXP = "case when years_experience > 0 then least(1.0::double, years::double / years_experience) end"
+_MODE = "case work_mode when 'remote' then 1.0::double when 'onsite' then 0.0::double end"
+_S = f"""(select candidate_id, job_id, matched, size, overlap, date_posted, years, location, greatest(years_experience - years, 0) as gap,
+  round((0.65::double * overlap + 0.15::double * (country = location)::int + 0.15::double * coalesce({_EXP}, 0) + 0.05::double * coalesce({_MODE}, 0))
+    / (0.80::double + case when years_experience > 0 then 0.15::double else 0 end + case when work_mode in ('remote', 'onsite') then 0.05::double else 0 end), 6) as score
+  from {_M} join postings using (job_id) join (select distinct candidate_id, years, location from candidates) using (candidate_id))"""
+_T = f"(select * from (select *, cast(row_number() over (partition by candidate_id order by score desc, gap, job_id) as int) as rank from {_S}) where rank <= 10)"
+
+
+def _pairs(s, d):
+    return R.scored(candidates(s, d), postings(s, d), posting_skills(s, d))
+
+
+def _top(s, d):
+    return R.top_jobs(_pairs(s, d))
+
+
+_add("r1_overlap", lambda s, d: R.matches(candidates(s, d), posting_skills(s, d)).groupBy("candidate_id", "matched", "size").agg(F.count("*").alias("n")), f"select candidate_id, matched, size, count(*) as n from {_M} group by 1, 2, 3")
+_add("r2_hybrid_score", lambda s, d: _pairs(s, d).groupBy("candidate_id").agg(F.round(F.avg("score"), 4).alias("mean"), F.max("score").alias("best"), F.count("*").alias("n")), f"select candidate_id, round(avg(score), 4) as mean, max(score) as best, count(*) as n from {_S} group by 1")
+_add("r3_location_component", lambda s, d: candidates(s, d).select("candidate_id", "location").distinct().join(postings(s, d), F.col("country") == F.col("location")).groupBy("candidate_id").agg(F.count("*").alias("local"), F.count(F.when(F.col("work_mode") == "remote", 1)).alias("remote")), "select candidate_id, count(*) as local, count(*) filter (where work_mode = 'remote') as remote from (select distinct candidate_id, location from candidates) join postings on country = location group by 1")
+_add("r4_gap_and_urgency", lambda s, d: _top(s, d).crossJoin(F.broadcast(postings(s, d).agg(F.max("date_posted").alias("as_of")))).select("candidate_id", "job_id", "gap", F.greatest(F.lit(0), F.lit(7) - F.datediff("as_of", "date_posted")).alias("urgency"), F.concat_ws("; ", F.concat(F.col("matched").cast("string"), F.lit(" skills match")), F.when(F.col("gap") > 0, "more experience asked")).alias("reason")), f"select candidate_id, job_id, gap, cast(greatest(0, 7 - ((select max(date_posted) from postings) - date_posted)) as int) as urgency, concat_ws('; ', matched || ' skills match', case when gap > 0 then 'more experience asked' end) as reason from {_T}")
+_add("r5_top_jobs", lambda s, d: _top(s, d).select("candidate_id", "job_id", "score", "rank"), f"select candidate_id, job_id, score, rank from {_T}")
+_G = f"(select * from (select candidate_id, skill, round(sum(score), 4) as priority, cast(row_number() over (partition by candidate_id order by round(sum(score), 4) desc, skill) as int) as rank from {_T} t join (select distinct job_id, skill from posting_skills) using (job_id) where not exists (select 1 from candidates c where c.candidate_id = t.candidate_id and c.skill = posting_skills.skill) group by 1, 2) where rank <= 5)".replace("join (select distinct job_id, skill from posting_skills) using (job_id)", "join (select distinct job_id, skill from posting_skills) ps using (job_id)").replace("c.skill = posting_skills.skill", "c.skill = ps.skill")
+_add("r6_gap_priorities", lambda s, d: R.gaps(_top(s, d), candidates(s, d), posting_skills(s, d)).withColumn("course", F.concat(F.lit("https://example.org/search?q="), F.replace("skill", F.lit("#"), F.lit("%23")))), f"select *, 'https://example.org/search?q=' || replace(skill, '#', '%23') as course from {_G}")
+
+
+def _r7(s, d):
+    demand = posting_skills(s, d).groupBy("skill").agg(F.count("*").alias("n"))
+    who = candidates(s, d)
+    open_ = who.select("candidate_id").distinct().crossJoin(F.broadcast(demand)).join(who, ["candidate_id", "skill"], "left_anti")
+    return open_.withColumn("r", F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("n"), "skill"))).where("r <= 3").select("candidate_id", "skill", "r")
+
+
+_add("r7_fallback_courses", _r7, "select * from (select c.candidate_id, m.skill, cast(row_number() over (partition by c.candidate_id order by n desc, m.skill) as int) as r from (select distinct candidate_id from candidates) c, (select skill, count(*) as n from posting_skills group by 1) m where not exists (select 1 from candidates x where x.candidate_id = c.candidate_id and x.skill = m.skill)) where r <= 3")
+_add("r8_practice", lambda s, d: candidates(s, d).groupBy("candidate_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("skill")), 1, 5), ",").alias("skills")), "select candidate_id, array_to_string(list_slice(list_sort(list(distinct skill)), 1, 5), ',') as skills from candidates group by 1")
+_add("r9_priority_label", lambda s, d: _top(s, d).groupBy(R.label(F.col("score")).alias("label")).agg(F.count("*").alias("n")), f"select case when score >= 0.6 then 'HIGH' when score >= 0.3 then 'MEDIUM' else 'LOW' end as label, count(*) as n from {_T} group by 1")
+_add("r10_profiles", lambda s, d: candidates(s, d).groupBy("candidate_id").agg(F.max("years").alias("years"), F.array_join(F.array_sort(F.collect_set("skill")), ",").alias("skills"), F.max("location").alias("location")), "select candidate_id, max(years) as years, string_agg(distinct skill, ',' order by skill) as skills, max(location) as location from candidates group by 1")
+
+
+def _cv(s, d):
+    return candidates(s, d).groupBy("candidate_id").agg(F.count_distinct("skill").alias("k"), F.max("years").alias("years"))
+
+
+_CV = "(select candidate_id, count(distinct skill) as k, max(years) as years from candidates group by 1)"
+_add("r12_cv_score", lambda s, d: _cv(s, d).select("candidate_id", F.bround(F.least(F.col("k") * 4, F.lit(40)) + F.least(F.col("years") * 2.5, F.lit(25.0)) + 20.0, 0).cast("int").alias("score")), f"select candidate_id, cast(round_even(least(k * 4, 40) + least(years * 2.5::double, 25) + 20, 0) as int) as score from {_CV}")
+_add("r13_strengths", lambda s, d: _cv(s, d).select("candidate_id", F.concat_ws(";", F.when(F.col("k") >= 10, "broad skills"), F.when(F.col("years") >= 5, "experienced")).alias("strengths"), F.concat_ws(";", F.when(F.col("k") <= 2, "few skills"), F.when(F.col("years") < 1, "no experience")).alias("weaknesses"), (F.col("k") <= 2).alias("non_tech")), f"select candidate_id, concat_ws(';', case when k >= 10 then 'broad skills' end, case when years >= 5 then 'experienced' end) as strengths, concat_ws(';', case when k <= 2 then 'few skills' end, case when years < 1 then 'no experience' end) as weaknesses, k <= 2 as non_tech from {_CV}")
+_add("r14_missing_market_skills", lambda s, d: _r7(s, d).groupBy("candidate_id").agg(F.count("*").alias("n"), F.min("skill").alias("first")), "select candidate_id, count(*) as n, min(skill) as first from (select * from (select c.candidate_id, m.skill, row_number() over (partition by c.candidate_id order by n desc, m.skill) as r from (select distinct candidate_id from candidates) c, (select skill, count(*) as n from posting_skills group by 1) m where not exists (select 1 from candidates x where x.candidate_id = c.candidate_id and x.skill = m.skill)) where r <= 3) group by 1")
+_add("r15_ats_score", lambda s, d: _top(s, d).select("candidate_id", "job_id", F.round(F.col("overlap") * 55 + F.when(F.col("gap") == 0, 15).otherwise(5) + 10 + F.least(F.lit(20), F.col("matched") * 5), 2).alias("ats")), f"select candidate_id, job_id, round(overlap * 55 + case when gap = 0 then 15 else 5 end + 10 + least(20, matched * 5), 2) as ats from {_T}")
+_add("r16_market_match", lambda s, d: _top(s, d).select("candidate_id", "job_id", F.round(F.col("overlap") * 50 + F.when(F.col("gap") == 0, 25).otherwise(10) + 25, 1).alias("match")).withColumn("label", F.when(F.col("match") >= 80, "Strong").when(F.col("match") >= 60, "Good").otherwise("Stretch")), f"select *, case when match >= 80 then 'Strong' when match >= 60 then 'Good' else 'Stretch' end as label from (select candidate_id, job_id, round(overlap * 50 + case when gap = 0 then 25 else 10 end + 25, 1) as match from {_T})")
+_add("r17_learning_priority", lambda s, d: posting_skills(s, d).groupBy("skill").agg(F.count("*").alias("n")).crossJoin(F.broadcast(posting_skills(s, d).agg(F.count("*").alias("t")))).select("skill", F.round(F.col("n") * 100.0 / F.col("t") * 0.4 + F.when(F.col("skill").endswith("1"), 80).otherwise(50) * 0.2 + 14, 3).alias("priority")), "select skill, round(count(*) * 100.0::double / (select count(*) from posting_skills) * 0.4::double + case when skill like '%1' then 80 else 50 end * 0.2::double + 14, 3) as priority from posting_skills group by 1")
+
+
+def _r18(s, d):
+    m = R.matches(candidates(s, d), posting_skills(s, d))
+    near = m.where("overlap < 0.7 and (matched + 1) / size >= 0.7")
+    lack = near.join(posting_skills(s, d).select("job_id", "skill").distinct(), "job_id").join(candidates(s, d).select("candidate_id", "skill").distinct(), ["candidate_id", "skill"], "left_anti")
+    return lack.groupBy("candidate_id", "skill").agg(F.count_distinct("job_id").alias("unlocked"))
+
+
+_add("r18_unlocks", _r18, f"select m.candidate_id, ps.skill, count(distinct m.job_id) as unlocked from {_M} m join (select distinct job_id, skill from posting_skills) ps on ps.job_id = m.job_id where overlap < 0.7 and (matched + 1)::double / size >= 0.7 and not exists (select 1 from candidates c where c.candidate_id = m.candidate_id and c.skill = ps.skill) group by 1, 2")
+_add("r19_career_paths", lambda s, d: posting_skills(s, d).join(postings(s, d).select("job_id", "seniority", "source"), "job_id").groupBy("source", "seniority").agg(F.count_distinct("skill").alias("skills"), F.count_distinct("job_id").alias("jobs")), "select source, seniority, count(distinct skill) as skills, count(distinct job_id) as jobs from posting_skills join postings using (job_id) group by 1, 2")
+
+
+def _r20(s, d):
+    roles = table(s, d, "part").select(F.split("p_name", " ")[1].alias("role"), F.lower("p_brand").alias("skill")).distinct()
+    hit = candidates(s, d).select("candidate_id", "skill").distinct().join(roles, "skill").groupBy("candidate_id", "role").agg(F.count_distinct("skill").alias("n"))
+    return hit.withColumn("r", F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("n"), "role"))).where("r <= 3")
+
+
+_add("r20_desired_roles", _r20, "select * from (select candidate_id, role, count(distinct skill) as n, cast(row_number() over (partition by candidate_id order by count(distinct skill) desc, role) as int) as r from (select distinct candidate_id, skill from candidates) join (select distinct split_part(p_name, ' ', 2) as role, lower(p_brand) as skill from part) using (skill) group by 1, 2) where r <= 3")
+_add("j9_level_gap", lambda s, d: (lambda c: c.alias("a").join(c.alias("b"), (F.col("a.category") == F.col("b.category")) & (F.col("b.ordinal") == F.col("a.ordinal") + 1)).select(F.col("a.category").alias("category"), F.col("a.ordinal").alias("ordinal"), (F.col("b.n") - F.col("a.n")).alias("gap")).where("gap > 0"))(posting_skills(s, d).join(postings(s, d).select("job_id", F.array_position(F.array(*map(F.lit, ["Entry Level", "Mid-Level", "Senior", "Lead", "Executive"])), F.col("seniority")).cast("int").alias("ordinal")), "job_id").groupBy("category", "ordinal").agg(F.count("*").alias("n"))), "select * from (with c as (select category, cast(list_position(['Entry Level', 'Mid-Level', 'Senior', 'Lead', 'Executive'], seniority) as int) as ordinal, count(*) as n from posting_skills join postings using (job_id) group by 1, 2) select a.category, a.ordinal, b.n - a.n as gap from c a join c b on a.category = b.category and b.ordinal = a.ordinal + 1 where b.n > a.n)")
+_add("w6_rank_of_expected", lambda s, d: _top(s, d).join(candidates(s, d).select("candidate_id", F.col("location").alias("home")).distinct(), "candidate_id").where("country = home").groupBy("candidate_id").agg(F.min("rank").alias("rank")), f"select candidate_id, min(rank) as rank from {_T} join postings p using (job_id) where p.country = location group by 1")

@@ -1 +1,68 @@
+"""Skill extraction and enrichment over posting text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postlens.functions import terms
+from postlens.functions import text as T
+from postlens.operators import aggregates as A
+from postlens.operators import skills as K
+from postlens.sources.fixtures import posting_skills, posting_text, postings, table
+
 QUERIES: dict = {}
+
+
+def _add(name, run, sql=None):
+    QUERIES[name] = (run, sql)
+
+
+TAXONOMY = {
+    "python": "Language", "sql": "Language", "kubernetes": "Cloud", "data engineer": "Role", "full-time": "Terms", "on-site": "Terms",
+    "the": "Filler", "pour": "Filler", "und": "Filler", "senior": "Level", "phd": "Education", "remote": "Mode",
+}
+
+
+def _hit(term, c="description"):
+    return f"regexp_matches(lower({c}), '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+
+
+_EXTRACT = "(" + " union all ".join(f"select job_id, '{t}' as skill, '{c}' as category from posting_text where {_hit(t)}" for t, c in TAXONOMY.items()) + ")"
+
+
+def _extract(s, d):
+    return K.extract(posting_text(s, d), "job_id", "description", TAXONOMY)
+
+
+_add("k1_extract", _extract, f"select * from {_EXTRACT}")
+_add("k2_context_rescue", lambda s, d: posting_text(s, d).where(~K.bounded(F.col("description"), "python") & F.lower("description").rlike("data engineer|kubernetes")).select("job_id", F.lit("python").alias("skill")), f"select job_id, 'python' as skill from posting_text where not {_hit('python')} and regexp_matches(lower(description), 'data engineer|kubernetes')")
+_add("k3_false_positives", lambda s, d: _extract(s, d).join(posting_text(s, d).where(F.lower("description").contains("worldwide remote")).select("job_id", F.lit("remote").alias("skill")), ["job_id", "skill"], "left_anti").select("job_id", "skill"), f"select job_id, skill from {_EXTRACT} e where not (skill = 'remote' and job_id in (select job_id from posting_text where contains(lower(description), 'worldwide remote')))")
+_add("k4_symbol_boundaries", lambda s, d: posting_text(s, d).where(K.bounded(F.col("description"), "10+")).select("job_id"), "select job_id from posting_text where regexp_matches(lower(description), '(^|[^a-z0-9])10\\+([^a-z0-9]|$)')")
+_ROLES = {"ring": ["metal", "design"], "box": ["paper"], "small": ["detail"]}
+_add("k5_title_skills", lambda s, d: K.from_titles(table(s, d, "part"), "p_partkey", "p_name", _ROLES), "select distinct p_partkey, skill from part join (values ('ring', 'metal'), ('ring', 'design'), ('box', 'paper'), ('small', 'detail')) r(word, skill) on contains(lower(p_name), word)")
+_add("k6_union_of_sources", lambda s, d: _extract(s, d).select("job_id", "skill").union(posting_text(s, d).where("source = 'src0'").select("job_id", F.lit("python").alias("skill"))).distinct().groupBy("skill").agg(F.count("*").alias("n")), f"select skill, count(*) as n from (select job_id, skill from {_EXTRACT} union select job_id, 'python' from posting_text where source = 'src0') group by 1")
+_CL = "(select job_id, unnest(regexp_split_to_array(description, '[.\\n]')) as clause from posting_text)"
+_add("k7_preferred", lambda s, d: K.preferred(posting_text(s, d), "job_id", "description", {"python": "x", "sql": "x", "kubernetes": "x"}), "select job_id, skill, bool_and(wish) as is_preferred from (" + " union all ".join(f"select job_id, '{t}' as skill, regexp_matches(lower(clause), '{'|'.join(terms.PREFERRED_WORDS)}') as wish from {_CL} where {_hit(t, 'clause')}" for t in ("python", "sql", "kubernetes")) + ") group by 1, 2")
+_add("k8_category_counts", lambda s, d: posting_skills(s, d).groupBy("job_id", "category").agg(F.count("*").alias("n")).groupBy("job_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n"))))).alias("summary")), "select job_id, '{' || string_agg('\"' || category || '\":' || n, ',' order by category) || '}' as summary from (select job_id, category, count(*) as n from posting_skills group by 1, 2) group by 1")
+
+
+def enrich(df):
+    """The record enrichment as one projection: every column comes from the same pass over the text."""
+    c = F.col("description")
+    low, high = T.salary_bounds(c)
+    return df.select(
+        "job_id", "source", "country", T.years_experience(c).alias("years"), F.coalesce(T.by_keyword(c, terms.SENIORITY_KEYWORDS), F.lit("Mid-Level")).alias("seniority"),
+        T.extract_work_mode(c).alias("mode"), T.by_keyword(c, terms.EMPLOYMENT_KEYWORDS).alias("employment"), F.array_join(T.labels(c, terms.EDUCATION), ";").alias("education"),
+        T.any_contained(c, terms.REMOTE_KEYWORDS).alias("remote_ok"), low.alias("salary_low"), high.alias("salary_high"),
+    )
+
+
+_add("k9_enrich", lambda s, d: enrich(posting_text(s, d)))
+
+
+def _k10(s, d):
+    k = posting_skills(s, d).groupBy("category", "skill").agg(F.count("*").alias("n"))
+    return A.top_per_group(k, ["category"], ["n desc", "skill"], 10)
+
+
+_add("k10_summary", _k10, "select * from (select category, skill, count(*) as n, cast(row_number() over (partition by category order by count(*) desc, skill) as int) as rank from posting_skills group by 1, 2) where rank <= 10")

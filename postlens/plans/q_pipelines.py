@@ -1 +1,59 @@
+"""Pipelines: compositions of the operators above."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postlens.functions import text as T
+from postlens.operators import aggregates as A
+from postlens.operators import dedup
+from postlens.operators import recommend as R
+from postlens.plans import q_aggregates, q_matching, q_skills, q_tables
+from postlens.sources.fixtures import candidates, posting_skills, posting_text, postings
+
 QUERIES: dict = {}
+
+
+def _add(name, run, sql=None):
+    QUERIES[name] = (run, sql)
+
+
+def ingest(df):
+    """Stage 1: conform, fill descriptions, keep what is near or remote."""
+    full = dedup.conform(df, {"job_id": "long", "source": "string", "country": "string", "description": "string"}).withColumn("description", T.fill_description(F.col("description")))
+    return full.where(F.col("country").isin("fr", "de") | T.any_contained(F.col("description"), ["remote", "hybrid", "wfh"]))
+
+
+def clean(df):
+    """Stage 2: normalise the country, keep the first of each posting by its key."""
+    key = T.dedup_key(F.col("description"), F.col("country"))
+    return dedup.keep_first(df.withColumn("country", F.upper(F.trim("country"))).withColumn("key", key), ["key"], ["job_id"])
+
+
+_IN = "(select * from posting_text where country in ('fr', 'de') or contains(lower(description), 'remote') or contains(lower(description), 'hybrid') or contains(lower(description), 'wfh'))"
+_add("q1_ingest", lambda s, d: ingest(posting_text(s, d)).groupBy("source", "country").agg(F.count("*").alias("n")), f"select source, country, count(*) as n from {_IN} group by 1, 2")
+_CLEAN = f"(select min(job_id) as job_id from {_IN} group by lower(trim(description)), country)"
+_add("q2_clean", lambda s, d: clean(ingest(posting_text(s, d))).select("job_id", "country"), f"select job_id, upper(country) as country from posting_text where job_id in (select job_id from {_CLEAN})")
+_add("q3_enrich", lambda s, d: q_skills.enrich(clean(ingest(posting_text(s, d)))).groupBy("seniority", "mode").agg(F.count("*").alias("n"), F.max("years").alias("years")))
+_add("q4_features", lambda s, d: A.with_usd(postings(s, d)).withColumn("bucket", T.experience_bucket(F.col("years_experience"))).groupBy("country", "bucket").agg(*A.salary_columns()), "select country, bucket, " + q_aggregates._STATS + f" from (select *, {q_aggregates._BUCKET} as bucket from {q_aggregates._USD}) group by 1, 2")
+_add("q5_composition", q_aggregates.QUERIES["a6_category_by_country"][0], q_aggregates.QUERIES["a6_category_by_country"][1])
+_add("q6_reliability", q_aggregates.QUERIES["a10_date_reliability"][0], q_aggregates.QUERIES["a10_date_reliability"][1])
+
+
+def _q8(s, d):
+    once = dedup.keep_first(q_tables._dup(s, d), ["job_id"], ["src_priority"])
+    named = once.withColumn("company", T.clean_text(F.col("company"))).where(F.length("company") > 2)
+    return dedup.keep_first(named, ["company", "country"], ["src_priority", "job_id"]).groupBy("country").agg(F.count("*").alias("companies"))
+
+
+_add("q8_build_master", _q8, "select country, count(distinct company) as companies from postings group by 1")
+
+
+def _q10(s, d):
+    who, jobs, skills = candidates(s, d), postings(s, d), posting_skills(s, d)
+    top = R.top_jobs(R.scored(who, jobs, skills))
+    best = top.groupBy("candidate_id").agg(F.max("score").alias("best"), F.count("*").alias("jobs"))
+    return R.gaps(top, who, skills).join(best, "candidate_id").withColumn("priority_label", R.label(F.col("best")))
+
+
+_add("q10_plan", _q10, f"select g.candidate_id, skill, priority, g.rank, best, jobs, case when best >= 0.6 then 'HIGH' when best >= 0.3 then 'MEDIUM' else 'LOW' end as priority_label from {q_matching._G} g join (select candidate_id, max(score) as best, count(*) as jobs from {q_matching._T} group by 1) b on b.candidate_id = g.candidate_id")

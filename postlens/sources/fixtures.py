@@ -53,7 +53,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 def posting_events(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "signup", "AVAILABLE").when(kind == "error", "REMOVED").when(kind == "purchase", "FILLED").otherwise("SEEN")
-    return table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("job_id"), status.alias("status"), "event_type", "value", "props")
+    return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("job_id"), status.alias("status"), "event_type", "value", "props")
 
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"

@@ -1,0 +1,59 @@
+"""Invariants and edge cases of the operators."""
+
+from pyspark.sql import functions as F
+
+from postlens.functions import text as T
+from postlens.operators import aggregates as A
+from postlens.operators import dedup, recommend, skills
+
+
+def test_keep_first_is_idempotent(spark):
+    df = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 0), (None, "d", 0)], "k int, v string, p int")
+    once = dedup.keep_first(df, ["k"], ["p", "v"])
+    twice = dedup.keep_first(once, ["k"], ["p", "v"])
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert once.count() == 3
+
+
+def test_upsert_twice_changes_nothing(spark):
+    old = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    new = spark.createDataFrame([(2, ""), (3, "z")], "k int, v string")
+    one = dedup.upsert(old, new, "k", ["v"])
+    two = dedup.upsert(one.drop("action"), new, "k", ["v"])
+    assert {(r.k, r.v) for r in one.collect()} == {(1, "x"), (2, "y"), (3, "z")} == {(r.k, r.v) for r in two.collect()}
+
+
+def test_shares_sum_to_all(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "g string")
+    assert abs(sum(r.pct for r in A.share(df, "g").collect()) - 100) < 0.2
+
+
+def test_aliases(spark):
+    df = spark.createDataFrame([(["K8s", " Golang ", "go", ""],)], "s array<string>")
+    assert df.select(T.canonical_skills(F.col("s")).alias("s")).first().s == ["go", "kubernetes"]
+
+
+def test_salary_k_multiplies(spark):
+    low, high = T.salary_bounds(F.col("t"))
+    r = spark.createDataFrame([("pay $50k to $60,000 in 2024",)], "t string").select(low.alias("a"), high.alias("b")).first()
+    assert (r.a, r.b) == (50000.0, 60000.0)
+
+
+def test_symbol_terms_and_boundaries(spark):
+    df = spark.createDataFrame([(1, "We use C++, c# and .NET; javascript too"), (2, None), (3, "")], "id int, t string")
+    got = skills.extract(df, "id", "t", {"c++": "L", "c#": "L", ".net": "L", "java": "L", "javascript": "L"}).collect()
+    assert {r.skill for r in got} == {"c++", "c#", ".net", "javascript"}
+
+
+def test_scores_stay_in_range(spark):
+    cand = spark.createDataFrame([(1, 3, "X", "a"), (1, 3, "X", "b")], "candidate_id int, years int, location string, skill string")
+    jobs = spark.createDataFrame([(7, "X", 0, "remote", "2024-01-01"), (8, "Y", 6, "hybrid", "2024-01-02")], "job_id int, country string, years_experience int, work_mode string, date_posted string")
+    need = spark.createDataFrame([(7, "a"), (7, "b"), (8, "a"), (8, "c")], "job_id int, skill string")
+    got = {r.job_id: r.score for r in recommend.scored(cand, jobs, need).collect()}
+    assert got[7] == 1.0 and 0 < got[8] < 1
+
+
+def test_plans_scan_narrow_and_push_filters(spark, data):
+    p = spark.read.parquet(f"{data}/orders.parquet").where("o_totalprice > 1000").select("o_orderkey")
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in plan and "o_orderdate" not in plan.split("ReadSchema")[1]

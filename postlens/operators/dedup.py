@@ -60,3 +60,24 @@ def similar_pairs(df: DataFrame, key: str, text: str, block: list[Column], least
     near = F.least(F.length("_x"), F.length("_y")) >= least * longest
     j = left.join(right, [f"_b{i}" for i in range(len(block))]).where(F.col("a") < F.col("b")).where(near)
     return j.withColumn("similarity", F.round(1 - F.levenshtein("_x", "_y") / longest, 4)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
+def clusters(pairs: DataFrame, nodes: DataFrame, key: str, save, most_rounds: int = 30) -> DataFrame:
+    """``(key, cluster)``: every node with the smallest node it is linked to, directly or not.
+
+    Labels spread along the links and jump over what they reach, so rounds grow with the logarithm of the
+    longest chain; ``save(df)`` cuts the lineage of each round by writing it.
+    """
+    links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = save(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    now = save(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")).distinct())
+    for _ in range(most_rounds):
+        near = links.join(now, F.col("v") == F.col("n")).groupBy("u").agg(F.min("l").alias("m"))
+        step = now.join(near, F.col("n") == F.col("u"), "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"))
+        jump = step.select(F.col("n").alias("_n"), F.col("l").alias("_l"))
+        new = save(step.join(jump, F.col("l") == F.col("_n")).select("n", F.col("_l").alias("l")))
+        moved = new.join(now.withColumnRenamed("l", "o"), "n").where("l <> o").limit(1).count()
+        now = new
+        if not moved:
+            return now.select(F.col("n").alias(key), F.col("l").alias("cluster"))
+    raise RuntimeError("clusters did not settle")

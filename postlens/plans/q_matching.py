@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postlens.functions import text as T
 from postlens.operators import recommend as R
-from postlens.sources.fixtures import candidates, posting_skills, postings, table
+from postlens.operators import skills as K
+from postlens.plans.q_skills import TAXONOMY
+from postlens.sources.fixtures import candidates, posting_skills, posting_text, postings, table
 
 QUERIES: dict = {}
 
@@ -90,3 +93,18 @@ def _r20(s, d):
 _add("r20_desired_roles", _r20, "select * from (select candidate_id, role, count(distinct skill) as n, cast(row_number() over (partition by candidate_id order by count(distinct skill) desc, role) as int) as r from (select distinct candidate_id, skill from candidates) join (select distinct split_part(p_name, ' ', 2) as role, lower(p_brand) as skill from part) using (skill) group by 1, 2) where r <= 3")
 _add("j9_level_gap", lambda s, d: (lambda c: c.alias("a").join(c.alias("b"), (F.col("a.category") == F.col("b.category")) & (F.col("b.ordinal") == F.col("a.ordinal") + 1)).select(F.col("a.category").alias("category"), F.col("a.ordinal").alias("ordinal"), (F.col("b.n") - F.col("a.n")).alias("gap")).where("gap > 0"))(posting_skills(s, d).join(postings(s, d).select("job_id", F.array_position(F.array(*map(F.lit, ["Entry Level", "Mid-Level", "Senior", "Lead", "Executive"])), F.col("seniority")).cast("int").alias("ordinal")), "job_id").groupBy("category", "ordinal").agg(F.count("*").alias("n"))), "select * from (with c as (select category, cast(list_position(['Entry Level', 'Mid-Level', 'Senior', 'Lead', 'Executive'], seniority) as int) as ordinal, count(*) as n from posting_skills join postings using (job_id) group by 1, 2) select a.category, a.ordinal, b.n - a.n as gap from c a join c b on a.category = b.category and b.ordinal = a.ordinal + 1 where b.n > a.n)")
 _add("w6_rank_of_expected", lambda s, d: _top(s, d).join(candidates(s, d).select("candidate_id", F.col("location").alias("home")).distinct(), "candidate_id").where("country = home").groupBy("candidate_id").agg(F.min("rank").alias("rank")), f"select candidate_id, min(rank) as rank from {_T} join postings p using (job_id) where p.country = location group by 1")
+_add("j7_inverted_join", lambda s, d: R.matches(candidates(s, d), posting_skills(s, d)).groupBy("job_id").agg(F.count("*").alias("candidates"), F.round(F.max("overlap"), 4).alias("best")), f"select job_id, count(*) as candidates, round(max(overlap), 4) as best from {_M} group by 1")
+_add("o5_composite_rank", lambda s, d: _top(s, d).where("rank <= 3").select("candidate_id", "job_id", "rank", "gap"), f"select candidate_id, job_id, rank, gap from {_T} where rank <= 3")
+_add("e3_recommender_metrics", lambda s, d: _top(s, d).groupBy("candidate_id").agg(F.max((F.col("rank") == 1).cast("int") * (F.col("overlap") == 1).cast("int")).alias("top1_full"), F.round(F.avg("score"), 4).alias("mean_score")), f"select candidate_id, max((rank = 1 and overlap = 1)::int) as top1_full, round(avg(score), 4) as mean_score from {_T} group by 1")
+
+
+def _r11(s, d):
+    """Profiles from texts: skills, and years from phrases or from the earliest year named."""
+    t = posting_text(s, d)
+    named = F.array_min(F.transform(F.regexp_extract_all("description", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda x: x.cast("int")))
+    years = F.least(F.greatest(T.years_experience(F.col("description")), F.coalesce(F.lit(2026) - named, F.lit(0))), F.lit(50))
+    found = K.extract(t, "job_id", "description", TAXONOMY).groupBy("job_id").agg(F.count("*").alias("skills"))
+    return t.select("job_id", years.alias("years")).join(found, "job_id", "left").na.fill(0, ["skills"])
+
+
+_add("r11_profiles_from_text", _r11)

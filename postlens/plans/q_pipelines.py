@@ -8,7 +8,8 @@ from postlens.functions import text as T
 from postlens.operators import aggregates as A
 from postlens.operators import dedup
 from postlens.operators import recommend as R
-from postlens.plans import q_aggregates, q_matching, q_skills, q_tables
+from postlens.plans import q_aggregates, q_matching, q_retrieval, q_skills, q_tables
+from postlens.sources import files
 from postlens.sources.fixtures import candidates, posting_skills, posting_text, postings
 
 QUERIES: dict = {}
@@ -57,3 +58,27 @@ def _q10(s, d):
 
 
 _add("q10_plan", _q10, f"select g.candidate_id, skill, priority, g.rank, best, jobs, case when best >= 0.6 then 'HIGH' when best >= 0.3 then 'MEDIUM' else 'LOW' end as priority_label from {q_matching._G} g join (select candidate_id, max(score) as best, count(*) as jobs from {q_matching._T} group by 1) b on b.candidate_id = g.candidate_id")
+_add("q7_freshness_and_trend", q_aggregates.QUERIES["w8_decompose"][0], q_aggregates.QUERIES["w8_decompose"][1])
+
+
+def _q9(s, d):
+    """Full refresh: union, ingest, clean (saved), enrich (saved), features; the stages share what is saved."""
+    old, new = posting_text(s, d).where("job_id % 2 = 0"), posting_text(s, d).where("job_id % 3 = 0")
+    master = old.unionByName(new.join(old.select("job_id"), "job_id", "left_anti"))
+    cleaned = files.save(clean(ingest(master)), "refresh-clean")
+    enriched = files.save(q_skills.enrich(cleaned), "refresh-enriched")
+    return enriched.groupBy("country", "seniority").agg(F.count("*").alias("n"), F.round(F.avg("years"), 3).alias("years"))
+
+
+_add("q9_full_refresh", _q9)
+
+
+def _q11(s, d):
+    """Evaluation suite: the metric frames in one long table."""
+    scores = q_retrieval.QUERIES["e1_set_scores"][0](s, d).agg(F.round(F.sum("tp") / (F.sum("tp") + F.sum("fp")), 4).alias("precision"), F.round(F.sum("tp") / (F.sum("tp") + F.sum("fn")), 4).alias("recall"))
+    rank = q_retrieval.QUERIES["e4_ranking_metrics"][0](s, d).agg(F.round(F.avg("mrr"), 4).alias("mrr"))
+    one = scores.crossJoin(F.broadcast(rank))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns])).alias("m")).select("m.*")
+
+
+_add("q11_evaluation", _q11)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from postlens.functions import text as T
@@ -12,6 +14,7 @@ from postlens.operators import ml
 from postlens.operators import retrieval as V
 from postlens.plans.q_skills import _EXTRACT, TAXONOMY
 from postlens.operators import skills as K
+from postlens.sources import files
 from postlens.sources.fixtures import posting_text, table
 
 QUERIES: dict = {}
@@ -104,3 +107,24 @@ _add("e7_stratified_sample", lambda s, d: ml.stratified_sample(table(s, d, "docu
 _add("e8_context_check", lambda s, d: E.in_context(_found(s, d), posting_text(s, d), "job_id", "description", "experience"), f"select job_id, skill, contains(substr(lower(description), greatest(strpos(lower(description), skill) - 40, 1), 80 + length(skill)), 'experience') as technical from {_EXTRACT} join posting_text using (job_id)")
 _add("e9_coverage", lambda s, d: posting_text(s, d).agg(F.count("*").alias("n"), F.round(F.avg((T.years_experience(F.col("description")) > 0).cast("int")) * 100, 2).alias("years_pct"), F.round(F.avg((F.length("description") < 40).cast("int")) * 100, 2).alias("near_empty_pct")), "select count(*) as n, round(avg((regexp_matches(lower(description), '(\\d+)\\+?\\s*years?\\s+of\\s+experience|(\\d+)\\s*-\\s*(\\d+)\\s*years?\\s+experience|(?:at least|minimum)\\s+(\\d+)\\s*years?|(\\d+)\\+\\s*years'))::int) * 100, 2) as years_pct, round(avg((length(description) < 40)::int) * 100, 2) as near_empty_pct from posting_text")
 _add("e10_metric_delta", lambda s, d: E.deltas(table(s, d, "labels").select("doc_id", "quality", "toxic"), 0.005), "select metric, value, previous, case when abs(value - previous) <= 0.005 then 'same' when value > previous then 'up' else 'down' end as trend from (select 'quality' as metric, round(avg(quality), 4) as value, round(avg(quality) filter (where doc_id % 2 = 0), 4) as previous from labels union all select 'toxic', round(avg(toxic), 4), round(avg(toxic) filter (where doc_id % 2 = 0), 4) from labels)")
+_add("j8_query_corpus", lambda s, d: _hits(s, d).groupBy("job_id").agg(F.count("*").alias("queries"), F.max("score").alias("best")), _sql("select job_id, count(*) as queries, max(score) as best from hit group by 1"))
+
+
+def _m3(s, d):
+    model = ml.tuned(_labelled(s, d))
+    rows = s.createDataFrame([(float(m),) for m in model.avgMetrics], "f1 double")
+    return rows.withColumn("f1", F.round("f1", 4))
+
+
+_add("m3_grid_search", _m3)
+
+
+def _m5(s, d):
+    path = f"{files.work_dir(s)}/model-{uuid.uuid4().hex}"
+    ml.text_classifier(_labelled(s, d)).write().save(path)
+    return PipelineModel.load(path).transform(_labelled(s, d)).select("doc_id", "prediction")
+
+
+_add("m5_save_load", _m5)
+_add("e5_alias_cases", lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(T.canonical_skills(F.array(F.when(F.col("p_partkey") % 2 == 0, "Postgres").otherwise("  K8S "))), 1).alias("got")).withColumn("right", F.col("got") == F.when(F.col("p_partkey") % 2 == 0, "postgresql").otherwise("kubernetes")), "select p_partkey, case when p_partkey % 2 = 0 then 'postgresql' else 'kubernetes' end as got, true as right from part")
+_add("e6_answer_metrics", lambda s, d: QUERIES["v8_answers"][0](s, d).select("item_id", F.size(F.split("answer", " ")).alias("words"), F.col("answer").contains("postings").alias("grounded")))

@@ -196,3 +196,22 @@ _W = Window
 _add("w1_batch_flag", lambda s, d: postings(s, d).withColumn("n", F.count("job_id").over(_W.partitionBy("source", "date_posted"))).select("job_id", (F.col("n") >= 5).alias("suspect")), "select job_id, count(job_id) over (partition by source, date_posted) >= 5 as suspect from postings")
 _add("w2_age_days", lambda s, d: (lambda p: p.crossJoin(F.broadcast(p.agg(F.date_add(F.max("date_posted"), 1).alias("scraped")))).select("job_id", F.datediff("scraped", "date_posted").alias("age")))(postings(s, d)), "select job_id, cast((select max(date_posted) + 1 from postings) - date_posted as int) as age from postings")
 _add("w7_latest_per_job", lambda s, d: posting_events(s, d).groupBy("job_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")), "select job_id, arg_max(event_id, (ts, event_id)) as event_id from posting_events group by 1")
+
+
+def _u10(s, d):
+    df = table(s, d, "documents").where(F.length("text") <= 400)
+    pairs = dedup.similar_pairs(df, "doc_id", "text", [F.col("lang"), F.substring("text", 1, 4)], 0.85)
+    return dedup.clusters(files.save(pairs), df.select("doc_id"), "doc_id", files.save)
+
+
+_add("u10_clusters", _u10)
+_add("s2_parquet_snapshot", lambda s, d: files.save(postings(s, d).select("job_id", "source", "salary_min")), "select job_id, source, salary_min from postings")
+
+
+def _s11(s, d):
+    path = f"{files.work_dir(s)}/json-{uuid.uuid4().hex}"
+    files.write_json(postings(s, d).groupBy("country").agg(F.count("*").alias("n")), path)
+    return s.read.schema("country string, n long").json(path)
+
+
+_add("s11_json_sink", _s11, "select country, count(*) as n from postings group by 1")

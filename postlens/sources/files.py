@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def work_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/postlens"
 
 
+def save(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write to the shared folder and read back."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_json(df: DataFrame, path: str, files: int = 1) -> None:
+    """Small result tables as JSON lines."""
+    df.coalesce(files).write.mode("overwrite").json(path)
+
+
 def read_postings_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
     schema = POSTING if columns is None else ", ".join(f"{k} {v}" for k, v in columns.items())
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)

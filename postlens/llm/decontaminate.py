@@ -155,9 +155,19 @@ def _stretches(h: np.ndarray, row: np.ndarray, bloom: np.ndarray, shortest: int)
     return first[long], last[long] + 1
 
 
+_ADDED = {"_n": "n_words", "_hw": "hit_words", "_hb": "hit_bytes", "_items": "hit_items"}
+
+
 def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "item_id") -> DataFrame:
     """Add ``n_words``, ``hit_words`` (array of first and last+1 word of each hit stretch, flat),
-    ``hit_bytes`` (the same in bytes) and ``hit_items`` (sorted array of item ids) to ``docs``."""
+    ``hit_bytes`` (the same in bytes) and ``hit_items`` (sorted array of item ids) to ``docs``; they replace columns of these names."""
+    out = _scanned(docs, items, window, id_column)
+    kept = [F.col(f"_c{i}").alias(k) for i, k in enumerate(docs.columns) if k not in _ADDED.values()]
+    return out.select(*kept, *[F.col(k).alias(v) for k, v in _ADDED.items()])
+
+
+def _scanned(docs: DataFrame, items: DataFrame, window: int, id_column: str = "item_id") -> DataFrame:
+    """The columns of ``docs`` as ``_c0 ...`` and the results under the names in ``_ADDED``."""
     extra = "_n int, _hw array<int>, _hb array<int>, _items array<string>"
     names = [f"_c{i}" for i in range(len(docs.columns))]
     base = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
@@ -206,8 +216,7 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str
                 )
 
         out = out.mapInArrow(run, f"{base}, {extra}")
-    added = {"_n": "n_words", "_hw": "hit_words", "_hb": "hit_bytes", "_items": "hit_items"}
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, docs.columns)], *[F.col(k).alias(v) for k, v in added.items()])
+    return out
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
@@ -217,9 +226,8 @@ def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_cover
     """
     if "text" not in docs.columns:
         raise ValueError("docs needs a text column")
-    marked = mark(docs, items, window)
-    hit = _covered("hit_words")
-    kept = marked.where(hit <= F.col("n_words") * max_coverage)
+    marked = _scanned(docs, items, window)
+    kept = marked.where(_covered("_hw") <= F.col("_n") * max_coverage)
     names = docs.columns
     fields = ", ".join(f"_c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(names))
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
@@ -245,7 +253,7 @@ def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_cover
                     cols[size] = pa.array(sizes, cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, [f"_c{i}" for i in range(len(names))])
 
-    flat = kept.select(*[F.col(f"`{k}`").alias(f"_c{i}") for i, k in enumerate(names)], F.col("hit_bytes").alias("_hb"))
+    flat = kept.select(*[f"_c{i}" for i in range(len(names))], "_hb")
     return flat.mapInArrow(run, fields).toDF(*names)
 
 

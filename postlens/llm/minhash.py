@@ -45,6 +45,8 @@ class Config:
     symbols: int = 48
     bits: int = 16
     chunks: int = 9
+    #: Pairs that share a key are confirmed up to this much beyond the guaranteed distance.
+    slack: int = 6
     #: Hashed orders by which a key's hub is chosen.
     hubs: int = 4
     #: Classes of one key, and shingles of their sets, in a block; one or two blocks meet in a task.
@@ -157,7 +159,7 @@ def _near(pairs: DataFrame, classes: DataFrame, c: Config) -> DataFrame:
         for t in batches:
             if t.num_rows:
                 x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint16).reshape(t.num_rows, -1) for k in ("sa", "sb"))
-                yield t.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= c.distance))
+                yield t.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= c.distance + c.slack))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 

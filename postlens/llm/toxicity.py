@@ -143,12 +143,12 @@ def train(docs: DataFrame, labels: DataFrame, c: Config = Config()) -> Model:
     return Model(keys, np.array([sums[k] / n for k in keys.tolist()], np.float64), bias, c.bits)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Add ``toxicity`` (0 to 1) to the columns ``keep`` (all by default) of ``docs``."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
+    """Add the score (0 to 1) as ``name`` to the columns ``keep`` (all but one of that name by default) of ``docs``."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most 2**bits weights
-    keep = docs.columns if keep is None else keep
+    keep = [k for k in docs.columns if k != name] if keep is None else keep
     names = [f"_c{i}" for i in range(len(keep))]
     fields = [docs.schema[k] for k in keep]
 
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     hidden = [] if "text" in keep else [F.col("text").alias(text)]
     out = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], *hidden)
     out = out.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], F.col("_score").alias("toxicity"))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], F.col("_score").alias(name))
 
 
 def held_out(mod: int = 5):

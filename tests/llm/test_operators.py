@@ -152,6 +152,7 @@ def test_decontamination_edges(spark):
     df = spark.createDataFrame([(1, "so SOLO, yes", 9), (2, "x a b c d e f g h i j k y z1 z2 z3 z4 z5 z6 z7 z8 z9 z10", 9), (3, None, 9), (4, "clean text", 9)], "doc_id long, text string, n_words long")
     marked = {r.doc_id: r for r in decontaminate.mark(df.drop("n_words"), items).collect()}
     assert marked[1].hit_items == ["1"] and marked[2].hit_items == ["4", "5"] and marked[3].n_words == 0 and not marked[4].hit_items
+    assert decontaminate.cut_spans(df.withColumn("hit_bytes", F.lit("x")), items).columns == [*df.columns, "hit_bytes"]
     cut = {r.doc_id: r for r in decontaminate.cut_spans(df.withColumnRenamed("n_words", "n_chars"), items).collect()}
     assert cut[4].text == "clean text" and "solo" not in cut[1].text.lower() and "a b c" not in cut[2].text and cut[2].n_chars == len(cut[2].text)
     assert decontaminate.mark(df.drop("n_words"), items.limit(0)).where("size(hit_items) > 0").count() == 0

@@ -13,8 +13,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. Labels are learnt from outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(toxicity.held_out() != 0)
     names = docs.columns
-    scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return scored.where(F.col("toxicity") < 0.5).select(*names)
+    scored = toxicity.score(docs, toxicity.train(docs, labels), name="_toxicity_of_text")
+    return scored.where(F.col("_toxicity_of_text") < 0.5).select(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def spark():
 
     local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     s = (
-        SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g").config("spark.local.dir", local).config("spark.checkpoint.dir", f"{local}/shared")
         .config("spark.sql.warehouse.dir", f"{local}/warehouse").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )

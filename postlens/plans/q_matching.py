@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from postlens.functions import text as T
 from postlens.operators import recommend as R
 from postlens.operators import skills as K
-from postlens.plans.q_skills import TAXONOMY
+from postlens.plans import q_text
+from postlens.plans.q_skills import _EXTRACT, TAXONOMY
 from postlens.sources.fixtures import candidates, posting_skills, posting_text, postings, table
 
 QUERIES: dict = {}
@@ -98,13 +99,16 @@ _add("o5_composite_rank", lambda s, d: _top(s, d).where("rank <= 3").select("can
 _add("e3_recommender_metrics", lambda s, d: _top(s, d).groupBy("candidate_id").agg(F.max((F.col("rank") == 1).cast("int") * (F.col("overlap") == 1).cast("int")).alias("top1_full"), F.round(F.avg("score"), 4).alias("mean_score")), f"select candidate_id, max((rank = 1 and overlap = 1)::int) as top1_full, round(avg(score), 4) as mean_score from {_T} group by 1")
 
 
+_YEAR = "(?:^|[^0-9A-Za-z])((?:19|20)[0-9]{2})(?:$|[^0-9A-Za-z])"
+
+
 def _r11(s, d):
     """Profiles from texts: skills, and years from phrases or from the earliest year named."""
     t = posting_text(s, d)
-    named = F.array_min(F.transform(F.regexp_extract_all("description", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda x: x.cast("int")))
+    named = F.array_min(F.transform(F.regexp_extract_all("description", F.lit(_YEAR), F.lit(1)), lambda x: x.cast("int")))
     years = F.least(F.greatest(T.years_experience(F.col("description")), F.coalesce(F.lit(2026) - named, F.lit(0))), F.lit(50))
     found = K.extract(t, "job_id", "description", TAXONOMY).groupBy("job_id").agg(F.count("*").alias("skills"))
     return t.select("job_id", years.alias("years")).join(found, "job_id", "left").na.fill(0, ["skills"])
 
 
-_add("r11_profiles_from_text", _r11)
+_add("r11_profiles_from_text", _r11, f"select t.job_id, cast(least(greatest(y.value, coalesce(2026 - list_min([cast(x as int) for x in regexp_extract_all(description, '{_YEAR}', 1)]), 0)), 50) as int) as years, coalesce(k, 0) as skills from posting_text t join ({q_text.QUERIES['p28_years_experience'][1]}) y on y.job_id = t.job_id left join (select job_id, count(*) as k from {_EXTRACT} group by 1) f on f.job_id = t.job_id")

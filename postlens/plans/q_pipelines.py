@@ -35,7 +35,7 @@ _IN = "(select * from posting_text where country in ('fr', 'de') or contains(low
 _add("q1_ingest", lambda s, d: ingest(posting_text(s, d)).groupBy("source", "country").agg(F.count("*").alias("n")), f"select source, country, count(*) as n from {_IN} group by 1, 2")
 _CLEAN = f"(select min(job_id) as job_id from {_IN} group by lower(trim(description)), country)"
 _add("q2_clean", lambda s, d: clean(ingest(posting_text(s, d))).select("job_id", "country"), f"select job_id, upper(country) as country from posting_text where job_id in (select job_id from {_CLEAN})")
-_add("q3_enrich", lambda s, d: q_skills.enrich(clean(ingest(posting_text(s, d)))).groupBy("seniority", "mode").agg(F.count("*").alias("n"), F.max("years").alias("years")))
+_add("q3_enrich", lambda s, d: q_skills.enrich(clean(ingest(posting_text(s, d)))).groupBy("seniority", "mode").agg(F.count("*").alias("n"), F.max("years").alias("years")), f"select seniority, mode, count(*) as n, max(years) as years from ({q_skills.ENRICH_SQL}) where job_id in (select job_id from {_CLEAN}) group by 1, 2")
 _add("q4_features", lambda s, d: A.with_usd(postings(s, d)).withColumn("bucket", T.experience_bucket(F.col("years_experience"))).groupBy("country", "bucket").agg(*A.salary_columns()), "select country, bucket, " + q_aggregates._STATS + f" from (select *, {q_aggregates._BUCKET} as bucket from {q_aggregates._USD}) group by 1, 2")
 _add("q5_composition", q_aggregates.QUERIES["a6_category_by_country"][0], q_aggregates.QUERIES["a6_category_by_country"][1])
 _add("q6_reliability", q_aggregates.QUERIES["a10_date_reliability"][0], q_aggregates.QUERIES["a10_date_reliability"][1])

@@ -8,6 +8,7 @@ from postlens.functions import terms
 from postlens.functions import text as T
 from postlens.operators import aggregates as A
 from postlens.operators import skills as K
+from postlens.plans import q_text
 from postlens.sources.fixtures import posting_skills, posting_text, postings, table
 
 QUERIES: dict = {}
@@ -57,7 +58,16 @@ def enrich(df):
     )
 
 
-_add("k9_enrich", lambda s, d: enrich(posting_text(s, d)))
+_PART = {
+    "years": "p28_years_experience", "seniority": "p31_seniority", "mode": "p16_extract_work_mode", "employment": "p34_employment_type",
+    "education": "p29_education", "remote_ok": "p36_remote_eligible",
+}
+ENRICH_SQL = (
+    "select t.job_id, t.source, t.country, " + ", ".join(f"{k}.value as {k}" for k in _PART) + ", money.low as salary_low, money.high as salary_high from posting_text t "
+    + " ".join(f"join ({q_text.QUERIES[q][1]}) {k} on {k}.job_id = t.job_id" for k, q in _PART.items())
+    + f" join ({q_text.QUERIES['p22_salary_range'][1]}) money on money.job_id = t.job_id"
+)
+_add("k9_enrich", lambda s, d: enrich(posting_text(s, d)), ENRICH_SQL)
 
 
 def _k10(s, d):

@@ -59,7 +59,10 @@ def upserts(stream: DataFrame, apply: Callable[[DataFrame, int], None]):
 
 
 def expiry(stream: DataFrame, key: str, ts: str, after_ms: int) -> DataFrame:
-    """A row when a key was not seen again within ``after_ms`` of event time (by the watermark)."""
+    """A row ``(key, last_ms)`` whenever a key was not seen again within ``after_ms`` of event time.
+
+    Gaps inside a batch count as well as those that the watermark ends; a key's state is one time.
+    """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -67,10 +70,12 @@ def expiry(stream: DataFrame, key: str, ts: str, after_ms: int) -> DataFrame:
             state.remove()
             yield pd.DataFrame({key: [k[0]], "last_ms": [last]})
             return
-        last = state.get[0] if state.exists else 0
-        for f in frames:
-            last = max(last, int(f[ts].max().timestamp() * 1000))
+        seen = sorted(int(t.timestamp() * 1000) for f in frames for t in f[ts])
+        times = ([state.get[0]] if state.exists else []) + seen
+        gone = [a for a, b in zip(times, times[1:]) if b - a > after_ms]
+        last = max(times)
         state.update((last,))
         state.setTimeoutTimestamp(max(last + after_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * len(gone), "last_ms": gone})
 
     return stream.withWatermark(ts, "1 hour").groupBy(key).applyInPandasWithState(run, f"{key} long, last_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -57,3 +57,23 @@ def test_plans_scan_narrow_and_push_filters(spark, data):
     p = spark.read.parquet(f"{data}/orders.parquet").where("o_totalprice > 1000").select("o_orderkey")
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in plan and "o_orderdate" not in plan.split("ReadSchema")[1]
+
+
+def test_table_function_agrees_with_extract(spark, data):
+    from postlens.functions.udtf import register_extract_skills
+    from postlens.plans.q_skills import TAXONOMY
+
+    register_extract_skills(spark, TAXONOMY)
+    spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id", "concat(text, ' Python and data engineer') as text").createOrReplaceTempView("texts")
+    ours = skills.extract(spark.table("texts"), "doc_id", "text", TAXONOMY).select("doc_id", "skill")
+    theirs = spark.sql("select doc_id, skill from texts, lateral extract_skills(text)")
+    assert ours.exceptAll(theirs).count() == theirs.exceptAll(ours).count() == 0
+
+
+def test_clusters_of_a_chain(spark):
+    from postlens.sources.files import save
+
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 7, 8, 9)], "id long")
+    got = {r.id: r.cluster for r in dedup.clusters(pairs, nodes, "id", save).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 8, 9: 8}

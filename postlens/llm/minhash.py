@@ -17,7 +17,8 @@ join finds every pair within the distance.
    costs nothing more, and no task emits more rows than it has classes.
 
 Defined results: null, empty and blank texts have an empty set and stand alone; fewer words than a
-shingle make one shingle of the whole sequence; repeated rows are linked; ties go to the smaller id.
+shingle make one shingle of the whole sequence; repeated rows are linked; ties go to the smaller id;
+rows without an id link nothing.
 """
 
 from __future__ import annotations
@@ -267,7 +268,7 @@ def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:
     profile = cut(docs.select("doc_id", "text").mapInArrow(_profile(c), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "profile")
     full = profile.where("n_shingles > 0")
     # Equal sets have equal signatures, so any of the group's will do.
-    classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
+    classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")).where("rep is not null"), "classes")
     keyed = classes.select("rep", "sig").mapInArrow(_keys(c), "key long, rep long")
     order = F.xxhash64("rep", F.pmod("key", F.lit(c.hubs)))
     hubs = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.rep").alias("hub"), "n")

@@ -80,13 +80,16 @@ def remove_repeats(
     record_bytes: int,
     slice_bytes: int,
 ) -> DataFrame:
-    """``docs(doc_id, text)`` with ids that are unique and not null -> ``doc_id`` and ``columns``.
+    """``docs(doc_id, text)`` -> ``doc_id`` and ``columns``, for every row that has an id.
+
+    An id names one text; rows that repeat it get the same result.
 
     ``send(slice, ids, layout)`` gives (bucket, 0, blob) records and, through ``answers``, ranges that
     the slice settles itself; ``find(blobs)`` gives the ranges of a bucket (doc, start, end);
     ``finish(slice, row, start, end)`` gets the merged ranges of a slice's rows and makes the columns.
     """
     small_batches(docs.sparkSession)
+    docs = docs.where("doc_id is not null")
     n, size = text_bytes(docs)
     layout = Layout(max(4, -(-size // record_bytes)), max(4, -(-size // GROUP_BYTES), -(-n // GROUP_DOCS)))
 
@@ -158,7 +161,9 @@ def remove_repeats(
                 continue
             ids = own.column("doc_id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            row = order[np.minimum(np.searchsorted(ids[order], doc), len(ids) - 1)] if len(doc) else doc
+            low, high = (np.searchsorted(ids[order], doc, side) for side in ("left", "right"))
+            row = order[tk.ragged(low, high - low)]
+            start, end = (np.repeat(x, high - low) for x in (start, end))
             by = np.argsort(row, kind="stable")
             row, start, end = row[by], start[by], end[by]
             for s in tk.slices(own.column("text"), slice_bytes):
@@ -180,5 +185,6 @@ def _key_documents(layout: Layout):
 
 def covered(total: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of ``total`` places lie in one of the ranges."""
+    start, end = np.minimum(start, total), np.minimum(end, total)
     step = np.bincount(start, minlength=total + 1) - np.bincount(end, minlength=total + 1)
     return np.cumsum(step)[:total] > 0

@@ -53,6 +53,15 @@ def test_substrings_match_brute_force(docs):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeat_removers_take_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, text + " end"), (3, None)], "doc_id long, text string")
+    sub = [(r.doc_id, r.n_removed) for r in suffix_dedup.remove_substrings(df).collect()]
+    assert sorted(sub) == [(1, 0), (1, 0), (2, len(text)), (3, 0)]
+    words = [(r.doc_id, r.n_removed) for r in debruijn_dedup.remove_repeated(df).collect()]
+    assert sorted(words) == [(1, 60), (1, 60), (2, 60), (3, 0)]
+
+
 def test_suffix_family_levels_merge():
     family = suffix_dedup.IndexFamily(np.arange(64))
     for i in range(16):

@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from postlens.llm.shared import cut, grouped
 
 
+#: Vectors that walk the graph together; each takes about 150 kB meanwhile.
+BLOCK_ROWS = 256
+
+
 @dataclass(frozen=True)
 class Config:
     k: int = 20
@@ -146,6 +150,11 @@ class Index:
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: the nearest list of each vector and the boundary ones."""
+        parts = [self._assign(x[i : i + BLOCK_ROWS]) for i in range(0, len(x), BLOCK_ROWS)]
+        rows = [r + i * BLOCK_ROWS for i, (r, _) in enumerate(parts)]
+        return np.concatenate(rows), np.concatenate([p[1] for p in parts])
+
+    def _assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = self.config
         at, d = self.graph.search(lift(x, self.norm), 2 * c.replicas)
         rows, lists = [np.arange(len(x))], [at[:, 0]]
@@ -230,8 +239,8 @@ def search(vectors: DataFrame, queries: DataFrame, c: Config = Config()) -> Data
     def place(kind: int):
         def run(batches):
             for b in batches:
-                for i in range(0, b.num_rows, 512):
-                    part = b.slice(i, 512)
+                for i in range(0, b.num_rows, BLOCK_ROWS):
+                    part = b.slice(i, BLOCK_ROWS)
                     x = _matrix(part.column("embedding"))
                     row, lists = index.value.assign(x) if kind == 0 else index.value.probe(x)
                     own = part.take(pa.array(row))

@@ -47,7 +47,7 @@ def _s3(s, d):
 def _s4(s, d):
     p = postings(s, d)
     feed = p.select(
-        F.lit("techmap").alias("source"), F.col("job_id").cast("string").alias("idInSource"), F.when(F.col("job_id") % 5 != 0, F.concat(F.lit("Role "), "job_id")).alias("name"),
+        F.lit("portal").alias("source"), F.col("job_id").cast("string").alias("idInSource"), F.when(F.col("job_id") % 5 != 0, F.concat(F.lit("Role "), "job_id")).alias("name"),
         F.struct(F.col("company").alias("name")).alias("company"), F.struct(F.col("country").alias("name"), F.lit(None).cast("string").alias("country")).alias("location"),
         F.struct(F.struct(F.when(F.col("job_id") % 2 == 0, F.struct(F.concat(F.lit("Org "), "job_id").alias("name"))).alias("hiringOrganization"), F.col("work_mode").alias("employmentType")).alias("schemaOrg")).alias("json"),
     )

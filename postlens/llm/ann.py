@@ -147,6 +147,7 @@ class Index:
     norm: float
     ratio: float
     config: Config
+    floor: float = 0.0
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: the nearest list of each vector and the boundary ones."""
@@ -177,7 +178,8 @@ class Index:
         width = 64
         while True:
             at, d = self.graph.search(x, width)
-            near = d <= self.ratio * d[:, :1]
+            # A query that (almost) is a centroid still looks as far around as others do.
+            near = d <= self.ratio * np.maximum(d[:, :1], self.floor)
             if width >= len(self.graph.centroids) or not near[:, -1].any():
                 row, j = np.nonzero(near)
                 return row, at[row, j]
@@ -211,7 +213,8 @@ def fit(entries: DataFrame, n: int, norm: float, c: Config) -> Index:
     top = np.argsort(-score, 1)[:, : max(1, min(c.k, len(x) - 1))]
     row, lists = index.assign(x)
     d = np.sqrt(_dist2(np.hstack([x[some], np.zeros((len(some), 1))]), index.graph.centroids))
-    d /= np.maximum(d.min(1, keepdims=True), 1e-12)
+    index.floor = float(np.median(d.min(1)))
+    d /= np.maximum(d.min(1, keepdims=True), max(index.floor, 1e-12))
     order = np.argsort(row, kind="stable")
     row, lists = row[order], lists[order]
     edge = np.searchsorted(row, np.arange(len(x) + 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,94 @@ def similar_pairs(df: DataFrame, key: str, text: str, block: list[Column], least
     return j.withColumn("similarity", F.round(1 - F.levenshtein("_x", "_y") / longest, 4)).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def edits(bits: dict[str, int], m: int, y: str, most: int) -> int:
+    """Edit distance of ``y`` and the text of length ``m`` whose places of each character are ``bits``, or ``most + 1`` if it is larger.
+
+    Myers' bit vectors in a band: rows farther than ``most`` below the diagonal cannot be on a path of ``most`` edits.
+    The distance on the last diagonal never falls, so a pair ends as soon as it is too large there.
+    """
+    n = len(y)
+    if abs(m - n) > most:
+        return most + 1
+    rows, mask, up, down = 0, 0, 0, 0
+    for at in range(0, n, 64):
+        wider = min(m, at + 64 + most + 1)
+        up |= ((1 << wider) - 1) ^ mask
+        rows, mask = wider, (1 << wider) - 1
+        for c in y[at : at + 64]:
+            eq = bits.get(c, 0) & mask
+            xv = eq | down
+            xh = ((((eq & up) + up) ^ up) | eq) & mask
+            ph = ((down | (mask ^ (xh | up))) << 1 | 1) & mask
+            mh = (up & xh) << 1 & mask
+            up = mh | (mask ^ (xv | ph))
+            down = ph & xv
+        j = min(n, at + 64)
+        low = (1 << max(0, min(rows, j + m - n))) - 1
+        if j + m - n >= 0 and j + (up & low).bit_count() - (down & low).bit_count() > most:
+            return most + 1
+    return min(n + up.bit_count() - down.bit_count(), most + 1) if n else min(m, most + 1)
+
+
+def whole_pairs(df: DataFrame, key: str, text: str, block: list[Column], least: float, tile: int = 128) -> tuple[DataFrame, DataFrame]:
+    """All pairs ``(a, b, similarity)`` of different texts of a block with edit similarity of ``least`` or more, and the links ``(a, b)`` of copies.
+
+    Equal texts of a block are one row of the pairs (their smallest ``key``); the links tie the others to it. Texts of any
+    length take part and every pair of near length is compared, since no equality of parts holds for all pairs at such a
+    distance. Texts meet in tiles of about ``tile`` by ``tile``, by block and step of length: near lengths are at most one step apart.
+    """
+    rows = df.select(F.to_json(F.struct(*[b.alias(f"b{i}") for i, b in enumerate(block)])).alias("_b"), F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null and _k is not null")
+    one = rows.groupBy("_b", "_t").agg(F.min("_k").alias("_k"))
+    copies = rows.join(one.withColumnRenamed("_k", "a"), ["_b", "_t"]).where("_k <> a").select("a", F.col("_k").alias("b")).distinct()
+
+    step = F.floor(F.log(F.length("_t").cast("double")) / F.lit(math.log(1 / least) * 1.0001)).cast("int")
+    one = one.where(F.length("_t") > 0).withColumn("_s", step)
+    sizes = one.groupBy("_b", "_s").agg(F.ceil(F.count("*") / tile).cast("int").alias("_n"))
+    next_ = sizes.select("_b", (F.col("_s") - 1).alias("_s"), F.col("_n").alias("_m"))
+    own = one.join(sizes, ["_b", "_s"]).join(next_, ["_b", "_s"], "left").withColumn("_c", F.pmod(F.xxhash64("_k", "_t"), F.col("_n")).cast("int"))
+    before = sizes.select("_b", (F.col("_s") + 1).alias("_s"), F.col("_n").alias("_p"))
+    own = own.join(before, ["_b", "_s"], "left")
+    # A tile is (block, step, part, step of the other side, its part); in a tile of one step the parts are in order.
+    spot = lambda s, i, z, j: F.struct(s.cast("int").alias("s"), i.cast("int").alias("i"), z.cast("int").alias("z"), j.cast("int").alias("j"))
+    s, c, parts = F.col("_s"), F.col("_c"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none = F.array().cast("array<struct<s:int,i:int,z:int,j:int>>")
+    same = F.transform(parts("_n"), lambda j: spot(s, F.least(c, j), s, F.greatest(c, j)))
+    above = F.when(F.col("_m").isNotNull(), F.transform(parts("_m"), lambda j: spot(s, c, s + 1, j))).otherwise(none)
+    below = F.when(F.col("_p").isNotNull(), F.transform(parts("_p"), lambda i: spot(s - 1, i, s, c))).otherwise(none)
+    met = own.select("_b", "_s", "_c", "_k", "_t", F.explode(F.concat(same, above, below)).alias("_at"))
+
+    def compare(frame):
+        import pandas as pd
+
+        at = frame["_at"].iloc[0]
+        side = [(r == (at["s"], at["i"]), r == (at["z"], at["j"])) for r in zip(frame["_s"], frame["_c"])]
+        keys, texts = frame["_k"].tolist(), frame["_t"].tolist()
+        left, right = [i for i, x in enumerate(side) if x[0]], [i for i, x in enumerate(side) if x[1]]
+        alone = (at["s"], at["i"]) == (at["z"], at["j"])
+        found = []
+        for i in left:
+            x, bits = texts[i], None
+            for j in right:
+                y = texts[j]
+                long = max(len(x), len(y))
+                if alone and j <= i or min(len(x), len(y)) < least * long:
+                    continue
+                if bits is None:
+                    where: dict[str, bytearray] = {}
+                    for k, ch in enumerate(x):
+                        where.setdefault(ch, bytearray(len(x) // 8 + 1))[k >> 3] |= 1 << (k & 7)
+                    bits = {ch: int.from_bytes(w, "little") for ch, w in where.items()}
+                most = int((1 - least + 1e-4) * long) + 1
+                d = edits(bits, len(x), y, most)
+                if d <= most:
+                    found.append((min(keys[i], keys[j]), max(keys[i], keys[j]), d, long))
+        return pd.DataFrame(found, columns=["a", "b", "d", "n"])
+
+    kind = df.schema[key].dataType.simpleString()
+    near = met.groupBy("_b", "_at").applyInPandas(compare, f"a {kind}, b {kind}, d int, n int")
+    return near.select("a", "b", F.round(1 - F.col("d") / F.col("n"), 4).alias("similarity")).where(F.col("similarity") >= least), copies
+
+
 def clusters(pairs: DataFrame, nodes: DataFrame, key: str, save, most_rounds: int = 30) -> DataFrame:
     """``(key, cluster)``: every node with the smallest node it is linked to, directly or not.
 

@@ -167,6 +167,8 @@ _add(
     "j11_similar_pairs", lambda s, d: dedup.similar_pairs(table(s, d, "documents").where(F.length("text") <= 400), "doc_id", "text", [F.col("lang"), F.substring("text", 1, 4)], 0.85),
     "with one as (select lang, text, min(doc_id) as doc_id from documents where length(text) <= 400 group by 1, 2), pair as (select x.doc_id as a, y.doc_id as b, round(1 - levenshtein(x.text, y.text)::double / greatest(length(x.text), length(y.text)), 4) as similarity from one x join one y on x.lang = y.lang and substr(x.text, 1, 4) = substr(y.text, 1, 4) and x.doc_id < y.doc_id and least(length(x.text), length(y.text)) >= 0.85 * greatest(length(x.text), length(y.text))) select a, b, similarity from pair where similarity >= 0.85",
 )
+# j11 with its SQL holds short texts with equal first characters only; this one holds all of them. SQL would need the product of a language's texts.
+_add("j11_similar_pairs_whole", lambda s, d: dedup.whole_pairs(table(s, d, "documents"), "doc_id", "text", [F.col("lang")], 0.85)[0])
 _add(
     "j12_as_of_status", lambda s, d: posting_events(s, d).where("ts <= timestamp '2024-01-15 00:00:00'").groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status")),
     "select job_id, status from (select job_id, status, row_number() over (partition by job_id order by ts desc, event_id desc) as r from posting_events where ts <= timestamp '2024-01-15 00:00:00') where r = 1",
@@ -199,9 +201,9 @@ _add("w7_latest_per_job", lambda s, d: posting_events(s, d).groupBy("job_id").ag
 
 
 def _u10(s, d):
-    df = table(s, d, "documents").where(F.length("text") <= 400)
-    pairs = dedup.similar_pairs(df, "doc_id", "text", [F.col("lang"), F.substring("text", 1, 4)], 0.85)
-    return dedup.clusters(files.save(pairs), df.select("doc_id"), "doc_id", files.save)
+    df = table(s, d, "documents")
+    pairs, copies = dedup.whole_pairs(df, "doc_id", "text", [F.col("lang")], 0.85)
+    return dedup.clusters(files.save(pairs.select("a", "b").unionByName(copies)), df.select("doc_id"), "doc_id", files.save)
 
 
 _add("u10_clusters", _u10)

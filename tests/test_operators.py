@@ -1,5 +1,7 @@
 """Invariants and edge cases of the operators."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from postlens.functions import text as T
@@ -77,3 +79,64 @@ def test_clusters_of_a_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 7, 8, 9)], "id long")
     got = {r.id: r.cluster for r in dedup.clusters(pairs, nodes, "id", save).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 8, 9: 8}
+
+
+def _levenshtein(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_edits_match_brute_force():
+    rng = random.Random(4)
+    for _ in range(400):
+        x = "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 200)))
+        y = list(x)
+        for _ in range(rng.randrange(0, 40)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", "a", "bc"])
+        y = "".join(y)
+        bits = {c: sum(1 << i for i, d in enumerate(x) if d == c) for c in set(x)}
+        right = _levenshtein(x, y)
+        for most in (0, 5, right, right - 1, 300):
+            if most >= 0:
+                assert dedup.edits(bits, len(x), y, most) == min(right, most + 1)
+
+
+def test_whole_clusters_match_brute_force(spark, tmp_path):
+    """Copies, long texts, other first characters and edits spread over a text; parts of one tile and of several."""
+    from postlens.plans import registry
+
+    rng, rows = random.Random(3), []
+    for _ in range(12):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice((30, 300, 500))))
+        for share in (0, 0, 0.05, 0.12, 0.2):
+            t = "".join(rng.choice("xyz") if rng.random() < share else c for c in base)
+            rows += [(t, rng.choice(("en", "en", "fr")))] * rng.choice((1, 1, 3))
+        rows.append(("zzzz" + base[4:], "en"))
+    rows = [(i, t, g) for i, (t, g) in enumerate(rows)] + [(900, None, "en"), (901, "", "en"), (902, "", "en"), (903, "same", None), (904, "same", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    least, want = {}, set()
+    for i, t, g in rows:
+        least.setdefault((g, t), i)
+    one = [(i, t, g) for (g, t), i in least.items() if t]
+    for i, x, g in one:
+        for j, y, h in one:
+            long = max(len(x), len(y))
+            if i < j and g == h and min(len(x), len(y)) >= 0.85 * long and round(1 - _levenshtein(x, y) / long, 4) >= 0.85:
+                want.add((i, j))
+    for tile in (5, 128):
+        pairs, _ = dedup.whole_pairs(df, "doc_id", "text", [F.col("lang")], 0.85, tile)
+        got = [(r.a, r.b) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert {(r.a, r.b) for r in registry.QUERIES["j11_similar_pairs_whole"](spark, str(tmp_path)).collect()} == want
+    label = {i: i for i, _, _ in rows}
+    links = want | {(least[g, t], i) for i, t, g in rows if t is not None}
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.doc_id: r.cluster for r in registry.QUERIES["u10_clusters"](spark, str(tmp_path)).collect()} == label

@@ -45,7 +45,13 @@ def _index(s, d):
     return V.index(posting_text(s, d), "job_id", "description")
 
 
+def _whole_hits(s, d):
+    idx, voc = _index(s, d)
+    return V.search(idx, "job_id", V.project(table(s, d, "benchmark").select("item_id", "text"), "item_id", "text", voc), "item_id")
+
+
 def _hits(s, d):
+    """By the first 12 words, as in the SQL of the queries that have one; the others search by whole texts."""
     idx, voc = _index(s, d)
     short = table(s, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"))
     return V.search(idx, "job_id", V.project(short, "item_id", "text", voc), "item_id")
@@ -53,9 +59,14 @@ def _hits(s, d):
 
 _add("v1_index", lambda s, d: _index(s, d)[0].groupBy("job_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("total")), _sql("select job_id, count(*) as terms, round(sum(weight), 4) as total from idx group by 1"))
 _add("v2_search", _hits, _sql("select item_id, job_id, score, rank from hit"))
+_add("v2_search_whole", _whole_hits)
 _add("v3_dense", lambda s, d: V.dense_top(table(s, d, "embeddings").select("vec_id", "embedding"), table(s, d, "embeddings").where("vec_id % 50 = 0")), "select * from (select q.vec_id as query_id, v.vec_id, round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score, cast(row_number() over (partition by q.vec_id order by round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) desc, v.vec_id) as int) as rank from embeddings v, embeddings q where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id) where rank <= 5")
-_add("v4_strong_match", lambda s, d: _hits(s, d).groupBy("item_id").agg(((F.max("score") >= 0.2) & (F.avg(F.when(F.col("rank") <= 3, F.col("score"))) >= 0.16)).alias("strong")), _sql("select item_id, max(score) >= 0.2 and avg(score) filter (where rank <= 3) >= 0.16 as strong from hit group by 1"))
-_add("v5_context", lambda s, d: _hits(s, d).groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "job_id"))), lambda x: F.concat(F.lit("["), x.rank.cast("string"), F.lit("] "), x.job_id.cast("string"))), "\n---\n").alias("context")), _sql("select item_id, string_agg('[' || rank || '] ' || job_id, chr(10) || '---' || chr(10) order by rank) as context from hit group by 1"))
+_strong = lambda hits: hits.groupBy("item_id").agg(((F.max("score") >= 0.2) & (F.avg(F.when(F.col("rank") <= 3, F.col("score"))) >= 0.16)).alias("strong"))
+_add("v4_strong_match", lambda s, d: _strong(_hits(s, d)), _sql("select item_id, max(score) >= 0.2 and avg(score) filter (where rank <= 3) >= 0.16 as strong from hit group by 1"))
+_add("v4_strong_match_whole", lambda s, d: _strong(_whole_hits(s, d)))
+_context = lambda hits: hits.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "job_id"))), lambda x: F.concat(F.lit("["), x.rank.cast("string"), F.lit("] "), x.job_id.cast("string"))), "\n---\n").alias("context"))
+_add("v5_context", lambda s, d: _context(_hits(s, d)), _sql("select item_id, string_agg('[' || rank || '] ' || job_id, chr(10) || '---' || chr(10) order by rank) as context from hit group by 1"))
+_add("v5_context_whole", lambda s, d: _context(_whole_hits(s, d)))
 _TYPES = {"skills": ["que", "the"], "salary": ["der", "para"], "location": ["pour", "von"]}
 
 
@@ -72,7 +83,7 @@ _HITS = {k: " + ".join(f"contains(lower(text), '{w}')::int" for w in ws) for k,
 _BEST = f"greatest({', '.join(_HITS.values())})"
 _add("v6_question_type", _v6, f"select conv_id, turn, case when {_BEST} = 0 then 'general' " + " ".join(f"when {h} = {_BEST} then '{k}'" for k, h in _HITS.items()) + " end as kind from conversations where role = 'user'")
 _add("v7_question_filters", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", T.first_contained(F.col("text"), ["pour", "that", "und"]).alias("country"), F.lower("text").rlike("market|demand|trend").alias("market")), "select conv_id, turn, case when contains(lower(text), 'pour') then 'pour' when contains(lower(text), 'that') then 'that' when contains(lower(text), 'und') then 'und' end as country, regexp_matches(lower(text), 'market|demand|trend') as market from conversations")
-_add("v8_answers", lambda s, d: _hits(s, d).join(posting_text(s, d).select("job_id", "source", "country"), "job_id").groupBy("item_id").agg(F.max_by("source", F.struct("score", "job_id")).alias("top_source"), F.count("*").alias("found"), F.when(F.max("score") >= 0.2, "high").otherwise("low").alias("confidence")).withColumn("answer", F.format_string("%d postings, first from %s (%s confidence)", "found", "top_source", "confidence")))
+_add("v8_answers", lambda s, d: _whole_hits(s, d).join(posting_text(s, d).select("job_id", "source", "country"), "job_id").groupBy("item_id").agg(F.max_by("source", F.struct("score", "job_id")).alias("top_source"), F.count("*").alias("found"), F.when(F.max("score") >= 0.2, "high").otherwise("low").alias("confidence")).withColumn("answer", F.format_string("%d postings, first from %s (%s confidence)", "found", "top_source", "confidence")))
 _add("v9_embeddings", lambda s, d: ml.hashing_embeddings(posting_text(s, d), "job_id", "description", 32))
 
 # Model jobs.
@@ -102,12 +113,16 @@ def _found(s, d):
 
 _add("e1_set_scores", lambda s, d: E.set_scores(_gold(s, d), _found(s, d), "job_id", "skill"), f"select coalesce(g.skill, f.skill) as skill, count(*) filter (where g.skill is not null and f.skill is not null) as tp, count(*) filter (where g.skill is null) as fp, count(*) filter (where f.skill is null) as fn from {_GOLD} g full join (select job_id, skill from {_EXTRACT}) f on g.job_id = f.job_id and g.skill = f.skill group by 1")
 _add("e2_confusion", lambda s, d: table(s, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n")), "select quality, toxic, count(*) as n from labels group by 1, 2")
-_add("e4_ranking_metrics", lambda s, d: E.ranking(_hits(s, d).withColumn("relevant", F.col("job_id") % 3 == 0), "item_id"), _sql("select item_id, round(count(*) filter (where job_id % 3 = 0 and rank <= 3) / 3.0::double, 4) as p_at_3, round(count(*) filter (where job_id % 3 = 0) / 5.0::double, 4) as p_at_5, round(coalesce(1.0::double / min(rank) filter (where job_id % 3 = 0), 0), 4) as mrr from hit group by 1"))
+_ranking = lambda hits: E.ranking(hits.withColumn("relevant", F.col("job_id") % 3 == 0), "item_id")
+_add("e4_ranking_metrics", lambda s, d: _ranking(_hits(s, d)), _sql("select item_id, round(count(*) filter (where job_id % 3 = 0 and rank <= 3) / 3.0::double, 4) as p_at_3, round(count(*) filter (where job_id % 3 = 0) / 5.0::double, 4) as p_at_5, round(coalesce(1.0::double / min(rank) filter (where job_id % 3 = 0), 0), 4) as mrr from hit group by 1"))
+_add("e4_ranking_metrics_whole", lambda s, d: _ranking(_whole_hits(s, d)))
 _add("e7_stratified_sample", lambda s, d: ml.stratified_sample(table(s, d, "documents").select("doc_id", "source"), "doc_id", "source", 30), "select doc_id, source from (select doc_id, source, row_number() over (order by r, md5(cast(doc_id as varchar)), doc_id) as k from (select *, row_number() over (partition by source order by md5(cast(doc_id as varchar)), doc_id) as r from documents)) where k <= 30")
 _add("e8_context_check", lambda s, d: E.in_context(_found(s, d), posting_text(s, d), "job_id", "description", "experience"), f"select job_id, skill, contains(substr(lower(description), greatest(strpos(lower(description), skill) - 40, 1), 80 + length(skill)), 'experience') as technical from {_EXTRACT} join posting_text using (job_id)")
 _add("e9_coverage", lambda s, d: posting_text(s, d).agg(F.count("*").alias("n"), F.round(F.avg((T.years_experience(F.col("description")) > 0).cast("int")) * 100, 2).alias("years_pct"), F.round(F.avg((F.length("description") < 40).cast("int")) * 100, 2).alias("near_empty_pct")), "select count(*) as n, round(avg((regexp_matches(lower(description), '(\\d+)\\+?\\s*years?\\s+of\\s+experience|(\\d+)\\s*-\\s*(\\d+)\\s*years?\\s+experience|(?:at least|minimum)\\s+(\\d+)\\s*years?|(\\d+)\\+\\s*years'))::int) * 100, 2) as years_pct, round(avg((length(description) < 40)::int) * 100, 2) as near_empty_pct from posting_text")
 _add("e10_metric_delta", lambda s, d: E.deltas(table(s, d, "labels").select("doc_id", "quality", "toxic"), 0.005), "select metric, value, previous, case when abs(value - previous) <= 0.005 then 'same' when value > previous then 'up' else 'down' end as trend from (select 'quality' as metric, round(avg(quality), 4) as value, round(avg(quality) filter (where doc_id % 2 = 0), 4) as previous from labels union all select 'toxic', round(avg(toxic), 4), round(avg(toxic) filter (where doc_id % 2 = 0), 4) from labels)")
-_add("j8_query_corpus", lambda s, d: _hits(s, d).groupBy("job_id").agg(F.count("*").alias("queries"), F.max("score").alias("best")), _sql("select job_id, count(*) as queries, max(score) as best from hit group by 1"))
+_corpus = lambda hits: hits.groupBy("job_id").agg(F.count("*").alias("queries"), F.max("score").alias("best"))
+_add("j8_query_corpus", lambda s, d: _corpus(_hits(s, d)), _sql("select job_id, count(*) as queries, max(score) as best from hit group by 1"))
+_add("j8_query_corpus_whole", lambda s, d: _corpus(_whole_hits(s, d)))
 
 
 def _m3(s, d):

@@ -140,3 +140,18 @@ def test_whole_clusters_match_brute_force(spark, tmp_path):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
     assert {r.doc_id: r.cluster for r in registry.QUERIES["u10_clusters"](spark, str(tmp_path)).collect()} == label
+
+
+def test_search_takes_whole_texts(spark, tmp_path):
+    """The words that match stand after the twelfth."""
+    from postlens.plans import registry
+
+    docs = [(0, "golden harbour lights golden harbour"), (1, "golden harbour bridge"), (2, "plain copper river"), (3, "plain copper valley")]
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "plain " + " ".join(["zzz"] * 12) + " golden harbour golden harbour")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {0, 1} <= {r.job_id for r in run("v2_search_whole")}
+    assert run("v5_context_whole")[0].context.split("\n")[0] in ("[1] 0", "[1] 1")
+    assert {0, 1} <= {r.job_id for r in run("j8_query_corpus_whole")}
+    assert run("v4_strong_match_whole")[0].strong and run("v8_answers")[0].confidence == "high"
+    assert run("e4_ranking_metrics_whole")[0].mrr > 0

@@ -95,7 +95,7 @@ def _labelled(s, d):
 
 
 _add("m2_m4_classifier", lambda s, d: ml.top_classes(ml.text_classifier(_labelled(s, d)).transform(_labelled(s, d)), "doc_id"))
-_add("m6_topics", lambda s, d: ml.topics(table(s, d, "documents").select("doc_id", "text"), 4, 10))
+_add("m6_topics", lambda s, d: ml.topics(table(s, d, "documents").select("doc_id", "text"), 6, 10))
 _add("m7_report", lambda s, d: E.class_report(_labelled(s, d).select("label", (F.length("text") % 2).cast("double").alias("guess")), "label", "guess"), "select label, count(*) filter (where guess = l.label and truth = l.label) as tp, count(*) filter (where guess = l.label) as predicted, count(*) filter (where truth = l.label) as actual from (select toxic::double as truth, (length(text) % 2)::double as guess from labels join documents using (doc_id)), (select distinct toxic::double as label from labels) l group by 1")
 
 # Evaluation.

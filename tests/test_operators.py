@@ -155,3 +155,26 @@ def test_search_takes_whole_texts(spark, tmp_path):
     assert {0, 1} <= {r.job_id for r in run("j8_query_corpus_whole")}
     assert run("v4_strong_match_whole")[0].strong and run("v8_answers")[0].confidence == "high"
     assert run("e4_ranking_metrics_whole")[0].mrr > 0
+
+
+def test_aggregates_do_the_surveyed_work(spark, data, monkeypatch):
+    from postlens.operators import ml, timeseries
+    from postlens.plans import registry
+    from postlens.sources.fixtures import postings
+
+    whole = registry.QUERIES["o6_sort_modes_whole"](spark, data)
+    assert whole.count() == postings(spark, data).count() and whole.agg(F.max("place")).first()[0] > 50
+    asked = []
+    monkeypatch.setattr(timeseries, "bootstrap_median", lambda *a: asked.append(a[4]))
+    registry.QUERIES["a11_freshness_interval"](spark, data)
+    assert asked == [2000]
+    assert registry.QUERIES["m6_topics"](spark, data).select("topic").distinct().count() == 6
+    rows = spark.createDataFrame([(i, f"word{i % 7} text {i}", float(i < 4)) for i in range(40)], "doc_id long, text string, label double")
+    dealt, folds = ml.stratified_folds(rows, "doc_id", "label")
+    assert folds == 4 and {r.n for r in dealt.where("label = 1").groupBy("fold").agg(F.count("*").alias("n")).collect()} == {1}
+    seen = {}
+    monkeypatch.setattr(ml.CrossValidator, "fit", lambda self, df: seen.update(grid=self.getEstimatorParamMaps(), folds=self.getNumFolds(), by=self.getFoldCol()))
+    ml.tuned(rows)
+    assert (len(seen["grid"]), seen["folds"], seen["by"]) == (48, 4, "fold")
+    guesses = spark.createDataFrame([(0.0, 0.0)] * 8 + [(1.0, 0.0), (1.0, 1.0)], "label double, prediction double")
+    assert abs(ml.MacroF1().evaluate(guesses) - (16 / 17 + 2 / 3) / 2) < 1e-12

@@ -183,6 +183,22 @@ def test_secret_base_and_lexer(spark):
     assert "abcdefghijkl" not in red[2] and red[9] == texts[9] and red[0] is None and "Zq8fK2pLm9Rt" not in red[6]
 
 
+def test_secrets_of_every_part_and_form(spark):
+    v = "Zx81kQ7pLm2RtVw9"
+    forms = [f'{n} = "{v}"' for n in (*secrets.SENSITIVE, "encryption_key", "signing.key", "authHeader", "pass_phrase", "pass_word", "pass-word", "p_w_d", "cre-dential")]
+    forms += [f"pass-word: {v}", f'password: str = "{v}"', f'const apiKey: string = "{v}";', f"token: Optional[str] = '{v}'", f'const API_KEY: &str = "{v}";', f'secret: string | undefined="{v}"']
+    forms += [f'password = backup = "{v}"', f'x = y = api_token = "{v}"', f'a=secret="{v}"', f"password = other = {v}", f"secret: {v} = x"]
+    plain = ['author = "JohnSmith1980ab"', "key: value is fine", "password: str", "monkey = 'Zx81kQ7pLm2RtVw9'", 'key = "abc12345"']
+    df = spark.createDataFrame(list(enumerate(forms + plain)), "doc_id long, text string")
+    got = {r.doc_id: r.secret_spans for r in secrets.scan(df).collect()}
+    for i, t in enumerate(forms):
+        assert any(a <= t.index(v) and z >= t.index(v) + len(v) for a, z in zip(got[i][::3], got[i][1::3])), t
+    assert not [t for i, t in enumerate(plain, len(forms)) if got[i]]
+    assert not [r.text for r in secrets.redact(df.limit(len(forms))).collect() if v in r.text]
+    padded = "token: Zq8fK2pLm9RtXyA= next"
+    assert [(a, z) for a, z, _ in secrets.all_spans(padded)] and secrets.all_spans(padded)[0][:2] == (0, 23)
+
+
 def test_packing_is_whole_and_fits(spark):
     rows = [(i, " ".join(["w"] * n)) for i, n in enumerate([0, 1, 5, 300, 4096, 4097, 9000, 256, 257, 20])] + [(99, None)]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()

@@ -307,6 +307,29 @@ def test_html_article_and_edges(spark, data):
     assert out[1] == out[2] == "" and out[3] == "bare & text"
 
 
+def test_html_words_of_wrappers_and_articles(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    plain = {r.page_id: r.text for r in queries.QUERIES["op2_html_extract"](spark, data).collect()}
+    dress = [
+        lambda h: h.replace("<body>", '<body class="single has-sidebar">'),
+        lambda h: h.replace("<body>", '<body><div id="main" class="content with-sidebar">').replace("</body>", "</div></body>"),
+        lambda h: h.replace("<article>", '<article class="post category-social">'),
+        lambda h: h.replace("<article>", '<div class="has-sidebar"><article>').replace("</article>", "</article></div>"),
+        lambda h: h.replace("<body>", '<body><form id="page">').replace("</body>", "</form></body>"),
+    ]
+    rows = pages.select("page_id", "html").collect()
+    assert all("<body>" in r.html and "<article>" in r.html for r in rows)
+    df = spark.createDataFrame([(k * 10**6 + r.page_id, "u", f(r.html)) for k, f in enumerate(dress) for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df, html_extract.train(pages)).collect()}
+    for k in range(len(dress)):
+        bad = [(k, r.page_id, got[k * 10**6 + r.page_id][:300], plain[r.page_id][:300]) for r in rows if got[k * 10**6 + r.page_id] != plain[r.page_id]]
+        assert not bad
+    p = html_extract.Page('<div id="comments">spam</div><div class="share">x</div><nav>y</nav><article>text of the page</article>')
+    assert [p.tag[i] for i, b in enumerate(html_extract.unwanted(p)) if b] == ["div", "div", "nav"]
+    x = html_extract.features(p)[1:2]
+    assert html_extract.judge(html_extract.Boosted(7.5), x)[0] > 0 > html_extract.judge(html_extract.Boosted(6.0), x)[0]
+
+
 def test_decoding_never_contradicts():
     rng = random.Random(2)
     for _ in range(50):

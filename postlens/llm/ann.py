@@ -5,7 +5,7 @@ of its nearest centroid and, near a boundary, of further ones (while they are al
 on the far side of one already taken). Centroids are found through an in-memory neighbour graph,
 which is broadcast (at most ``max_centroids``). A query probes the lists whose centroid is within a
 ratio of its nearest centroid's distance; the ratio is calibrated on the sample for the recall asked
-for. Lists and their queries meet in blocks of bounded size, are compared in double precision, and
+for, and goes on to further lists until they hold more than ``k`` vectors. Lists and their queries meet in blocks of bounded size, are compared in double precision, and
 each block hands on its best rows for each query.
 
 Inner products become distances by one more coordinate that lifts every vector to the largest norm.
@@ -13,7 +13,7 @@ Equal vectors are one entry with its smallest ids (no more of them can be in a r
 that a third of the rows share fills no list.
 
 Defined results: rows without an id, null or zero vectors, and vectors with a null or non-finite
-component or another dimension than the first valid one's sample take no part; ties go to the
+component or another dimension than the valid one of the smallest id take no part; ties go to the
 smaller id; with fewer candidates than ``k``, all; an empty table gives no rows.
 """
 
@@ -172,14 +172,18 @@ class Index:
             taken.append(np.where(ok, at[:, j], at[:, 0]))
         return np.concatenate(rows), np.concatenate(lists)
 
-    def probe(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs of the lists that each query looks into."""
+    def probe(self, q: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs of the lists that each query looks into; ``held`` is how many vectors have each list as their nearest."""
+        enough = 2 * (self.config.k + 1)
         x = np.hstack([q, np.zeros((len(q), 1))])
         width = 64
         while True:
             at, d = self.graph.search(x, width)
             # A query that (almost) is a centroid still looks as far around as others do.
             near = d <= self.ratio * np.maximum(d[:, :1], self.floor)
+            # Every vector is counted in one list only, so these hold so many different ones.
+            before = np.cumsum(held[at], 1) - held[at]
+            near |= before < enough
             if width >= len(self.graph.centroids) or not near[:, -1].any():
                 row, j = np.nonzero(near)
                 return row, at[row, j]
@@ -227,6 +231,9 @@ def search(vectors: DataFrame, queries: DataFrame, c: Config = Config()) -> Data
     """``query_id, rank, vec_id, score``: the ``k`` nearest of ``vectors(vec_id, embedding)`` to each row of ``queries``, its own id left out."""
     spark = vectors.sparkSession
     valid = _valid(vectors)
+    size = valid.select("vec_id", F.size("embedding").alias("n")).agg(F.min(F.struct("vec_id", "n")).alias("first")).first()["first"]
+    same = F.size("embedding") == (size["n"] if size else 0)
+    valid = valid.where(same)
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     entries = cut(
         valid.withColumn("r", rank).where(F.col("r") <= c.k + 1)
@@ -245,15 +252,20 @@ def search(vectors: DataFrame, queries: DataFrame, c: Config = Config()) -> Data
                 for i in range(0, b.num_rows, BLOCK_ROWS):
                     part = b.slice(i, BLOCK_ROWS)
                     x = _matrix(part.column("embedding"))
-                    row, lists = index.value.assign(x) if kind == 0 else index.value.probe(x)
+                    row, lists = index.value.assign(x) if kind == 0 else index.value.probe(x, held.value)
                     own = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), *own.columns], ["list", *own.schema.names])
+                    nearest = pa.array(np.arange(len(row)) < len(x))  # assign gives each vector's nearest list first
+                    yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), nearest, *own.columns], ["list", "nearest", *own.schema.names])
 
         return run
 
     fields = "vec_id long, ids array<long>, embedding array<double>"
-    posted = cut(entries.select("vec_id", "ids", "embedding").mapInArrow(place(0), f"list long, {fields}"), "postings")
-    asked = _valid(queries).select("vec_id", F.array("vec_id").alias("ids"), "embedding").mapInArrow(place(1), f"list long, {fields}")
+    posted = cut(entries.select("vec_id", "ids", "embedding").mapInArrow(place(0), f"list long, nearest boolean, {fields}"), "postings")
+    counts = posted.where("nearest").groupBy("list").count().toArrow()  # bounded by max_centroids
+    inside = np.zeros(len(index.value.graph.centroids), np.int64)
+    inside[counts.column("list").to_numpy()] = counts.column("count").to_numpy()
+    held = spark.sparkContext.broadcast(inside)
+    asked = _valid(queries).where(same).select("vec_id", F.array("vec_id").alias("ids"), "embedding").mapInArrow(place(1), f"list long, nearest boolean, {fields}")
     asked = cut(asked, "probes")
 
     def blocks(of: DataFrame, name: str) -> DataFrame:

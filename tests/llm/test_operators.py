@@ -293,6 +293,22 @@ def test_neighbours_recall_and_edges(spark, data):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_are_as_many_as_there_are(spark, data):
+    """Small far clusters, vectors of another dimension, and the table itself."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 1, (3000, 8)) + 20, *(rng.normal(0, 0.01, (n, 8)) + 100 * rng.normal(0, 1, 8) for n in (1, 2, 3, 5, 8, 13))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90001, [1.0, 2.0]), (90002, [1.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id >= 3000 or vec_id % 100 = 0")
+    got = ann.search(df, asked).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("d")).collect()
+    assert {r.query_id: (r.n, r.d) for r in got} == {i: (20, 20) for i in [*range(0, 3000, 100), *range(3000, len(x))]}
+    few = df.where("vec_id < 7")
+    assert {r["count"] for r in ann.search(few, few).groupBy("query_id").count().collect()} == {6}
+    n = spark.read.parquet(f"{data}/embeddings.parquet").count()
+    op4 = queries.QUERIES["op4_ann"](spark, data).groupBy("query_id").count().collect()
+    assert len(op4) and {r["count"] for r in op4} == {min(20, n - 1)}
+
+
 def test_html_article_and_edges(spark, data):
     import html
 

@@ -164,3 +164,12 @@ def title_tokens(c: Column, drop: list[str], canon: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for kv in canon.items() for x in kv])
     words = F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9+#.]+", " "), " "), lambda w: (w != "") & ~w.isin(drop))
     return F.array_distinct(F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w)))
+
+
+#: Title words by rank: entry, mid, senior, lead, management.
+TITLE_RANKS = [["intern", "trainee", "graduate", "junior", "jr", "entry"], ["mid", "intermediate"], ["senior", "sr"], ["lead", "principal", "staff", "head", "chief"], ["manager", "director", "vp"]]
+
+
+def title_rank(title: Column) -> Column:
+    """The level (0 to 4) that a title names, the lowest first; null where it names none."""
+    return F.coalesce(*[F.when(F.lower(title).rlike(rf"\b({'|'.join(words)})\b"), i) for i, words in enumerate(TITLE_RANKS)])

@@ -19,84 +19,249 @@ def _add(name, run, sql=None):
     QUERIES[name] = (run, sql)
 
 
-_M = """(select candidate_id, job_id, matched, size, matched::double / size as overlap from
-  (select candidate_id, job_id, count(*) as matched from (select distinct candidate_id, skill from candidates) join (select distinct job_id, skill from posting_skills) using (skill) group by 1, 2)
-  join (select job_id, count(*) as size from (select distinct job_id, skill from posting_skills) group by 1) using (job_id))"""
-_EXP = "case when years_experience > 0 then least(1.0::double, years::double / years_experience) end"
-_MODE = "case work_mode when 'remote' then 1.0::double when 'onsite' then 0.0::double end"
-_S = f"""(select candidate_id, job_id, matched, size, overlap, date_posted, years, location, greatest(years_experience - years, 0) as gap,
-  round((0.65::double * overlap + 0.15::double * (country = location)::int + 0.15::double * coalesce({_EXP}, 0) + 0.05::double * coalesce({_MODE}, 0))
-    / (0.80::double + case when years_experience > 0 then 0.15::double else 0 end + case when work_mode in ('remote', 'onsite') then 0.05::double else 0 end), 6) as score
-  from {_M} join postings using (job_id) join (select distinct candidate_id, years, location from candidates) using (candidate_id))"""
-_T = f"(select * from (select *, cast(row_number() over (partition by candidate_id order by score desc, gap, job_id) as int) as rank from {_S}) where rank <= 10)"
-
-
-def _pairs(s, d):
-    return R.scored(candidates(s, d), postings(s, d), posting_skills(s, d))
+def _as_of(s, d):
+    """The day of the newest posting: deadlines are counted from it."""
+    return table(s, d, "orders").agg(F.to_date(F.max("o_orderdate"))).first()[0]
+
+
+def _jobs(s, d):
+    """Postings with required skills (asked for somewhere without being optional) and preferred ones, and a deadline."""
+    one = posting_skills(s, d).groupBy("job_id", "skill").agg(F.min("is_preferred").alias("optional"))
+    sets = one.groupBy("job_id").agg(F.array_sort(F.collect_list(F.when(~F.col("optional"), F.col("skill")))).alias("required"), F.array_sort(F.collect_list(F.when(F.col("optional"), F.col("skill")))).alias("preferred"))
+    none = F.array().cast("array<string>")
+    out = postings(s, d).join(sets, "job_id", "left").withColumns({"required": F.coalesce("required", none), "preferred": F.coalesce("preferred", none)})
+    return out.withColumns({"deadline": F.date_add("date_posted", (F.col("job_id") % 30).cast("int")), "title": F.concat_ws(" ", "seniority", "source")})
+
+
+def _who(s, d):
+    """A row for each candidate."""
+    mode = F.element_at(F.array(*map(F.lit, ["remote", "hybrid", "onsite"])), (F.col("candidate_id") % 3 + 1).cast("int"))
+    one = candidates(s, d).groupBy("candidate_id").agg(F.array_sort(F.collect_set("skill")).alias("skills"), F.max("years").alias("years"), F.max("location").alias("location"))
+    return one.withColumns({"locations": F.array("location"), "modes": F.array(mode)})
+
+
+_JOBS = """(select p.*, coalesce(required, []) as required, coalesce(preferred, []) as preferred, cast(date_posted + cast(p.job_id % 30 as int) as date) as deadline, seniority || ' ' || source as title
+  from postings p left join (select job_id, coalesce(list(skill order by skill) filter (where not optional), []) as required, coalesce(list(skill order by skill) filter (where optional), []) as preferred
+    from (select job_id, skill, bool_and(is_preferred) as optional from posting_skills group by 1, 2) group by 1) using (job_id))"""
+_WHO = "(select candidate_id, list(distinct skill order by skill) as skills, max(years) as years, max(location) as location, list_extract(['remote', 'hybrid', 'onsite'], cast(candidate_id % 3 + 1 as int)) as mode from candidates group by 1)"
+_DAY = "(select max(cast(o_orderdate as date)) from orders)"
+# Every posting for every candidate: fine for a check on small tables.
+_PAIRS = f"""(select *, len(list_intersect(required, skills)) as m, len(required) as n, len(list_intersect(preferred, skills)) as mp, len(preferred) as np,
+  greatest(years_experience - years, 0) as gap, cast(deadline - {_DAY} as int) as days from {_JOBS} j, {_WHO} w)"""
+_PARTS = f"""(select *, case when n > 0 then m::double / n end as c1, case when np > 0 then mp::double / np end as c2, case when years_experience > 0 then least(1.0::double, years::double / years_experience) end as c3,
+  ((lower(country) = lower(location))::int + (work_mode = mode)::int)::double / 2 as c4, days between 0 and 7 as urgent from {_PAIRS})"""
+_S = f"""(select *, round((coalesce(c1 * 0.65::double, 0) + coalesce(c2 * 0.15::double, 0) + coalesce(c3 * 0.15::double, 0) + c4 * 0.05::double)
+  / ((case when n > 0 then 0.65::double else 0 end) + (case when np > 0 then 0.15::double else 0 end) + (case when years_experience > 0 then 0.15::double else 0 end) + 0.05::double), 6) as score from {_PARTS})"""
+_ORDER = "partition by candidate_id order by score desc, gap, urgent desc, job_id"
+_T = f"(select * from (select *, cast(row_number() over ({_ORDER}) as int) as rank from {_S}) where rank <= 10)"
+#: Postings that ask for many skills: the ones that leave gaps.
+_DEMANDING = 5
+_T_DEMANDING = _T.replace(f"from {_S})", f"from {_S} where n >= {_DEMANDING})")
+
+
+def _top(s, d, k=10, least=0):
+    return R.top_jobs(_who(s, d), _jobs(s, d).where(F.size("required") >= least), _as_of(s, d), k)
+
+
+def _full(s, d, k=10, least=0):
+    return R.explained(_top(s, d, k, least), _who(s, d), _jobs(s, d), _as_of(s, d))
+
+
+_add("r1_overlap", lambda s, d: R.overlaps(_who(s, d), _jobs(s, d)), f"select candidate_id, m as matched, n as size, count(*) as n from {_PAIRS} where m > 0 group by 1, 2, 3")
+_COMPONENTS = ["required_skills", "preferred_skills", "experience", "location_work_mode"]
+_add("r2_hybrid_score", lambda s, d: _full(s, d).select("candidate_id", "job_id", "score", *[F.round(c, 6).alias(c) for c in _COMPONENTS]), f"select candidate_id, job_id, score, round(c1, 6) as required_skills, round(c2, 6) as preferred_skills, round(c3, 6) as experience, round(c4, 6) as location_work_mode from {_T}")
+_add("r3_location_component", lambda s, d: _full(s, d).groupBy("candidate_id", "location_work_mode").agg(F.count("*").alias("jobs")), f"select candidate_id, c4 as location_work_mode, count(*) as jobs from {_T} group by 1, 2")
+_REASONS = """concat_ws(' | ', 'Matches ' || m || ' of ' || n || ' required skills.', case when np > 0 then 'Matches ' || mp || ' of ' || np || ' preferred skills.' end,
+  case when m < n then 'Build: ' || array_to_string(list_slice(list_filter(required, lambda x: not list_contains(skills, x)), 1, 4), ', ') || '.' end,
+  case when gap > 0 then 'Role asks for ' || gap || ' more year(s) of experience.' end,
+  case when urgent then 'Deadline is in ' || days || ' day(s); prioritise application and interview practice.' end)"""
+_add("r4_gap_and_urgency", lambda s, d: _full(s, d).select("candidate_id", "job_id", "gap", "days_to_deadline", "urgent", F.array_join("reasons", " | ").alias("reasons")), f"select candidate_id, job_id, gap, days as days_to_deadline, urgent, {_REASONS} as reasons from {_T}")
+_add("r5_top_jobs", lambda s, d: _top(s, d).select("candidate_id", "job_id", "score", "rank"), f"select candidate_id, job_id, score, rank from {_T}")
+_GAPS = f"""(select *, cast(row_number() over (partition by candidate_id order by priority desc, skill) as int) as rank from (
+  select candidate_id, skill, sum(cast(round(score * 1000000) as bigint) * case when urgent then 5 else 4 end)::double / 4000000 as priority
+  from (select candidate_id, score, urgent, unnest(list_filter(required, lambda x: not list_contains(skills, x))) as skill from {_T_DEMANDING} where score > 0) group by 1, 2))"""
+_G = f"(select * from {_GAPS} where rank <= 5)"
+_COURSES = "(select lower(p_brand) as skill, min(p_name) as title, 'Part school' as provider, 'https://example.org/learn/' || min(p_partkey) as url from part where p_size = 50 group by 1)"
 
 
-def _top(s, d):
-    return R.top_jobs(_pairs(s, d))
+def _courses(s, d):
+    return table(s, d, "part").where("p_size = 50").groupBy(F.lower("p_brand").alias("skill")).agg(F.min("p_name").alias("title"), F.lit("Part school").alias("provider"), F.concat(F.lit("https://example.org/learn/"), F.min("p_partkey").cast("string")).alias("url"))
 
 
-_add("r1_overlap", lambda s, d: R.matches(candidates(s, d), posting_skills(s, d)).groupBy("candidate_id", "matched", "size").agg(F.count("*").alias("n")), f"select candidate_id, matched, size, count(*) as n from {_M} group by 1, 2, 3")
-_add("r2_hybrid_score", lambda s, d: _pairs(s, d).groupBy("candidate_id").agg(F.round(F.avg("score"), 4).alias("mean"), F.max("score").alias("best"), F.count("*").alias("n")), f"select candidate_id, round(avg(score), 4) as mean, max(score) as best, count(*) as n from {_S} group by 1")
-_add("r3_location_component", lambda s, d: candidates(s, d).select("candidate_id", "location").distinct().join(postings(s, d), F.col("country") == F.col("location")).groupBy("candidate_id").agg(F.count("*").alias("local"), F.count(F.when(F.col("work_mode") == "remote", 1)).alias("remote")), "select candidate_id, count(*) as local, count(*) filter (where work_mode = 'remote') as remote from (select distinct candidate_id, location from candidates) join postings on country = location group by 1")
-_add("r4_gap_and_urgency", lambda s, d: _top(s, d).crossJoin(F.broadcast(postings(s, d).agg(F.max("date_posted").alias("as_of")))).select("candidate_id", "job_id", "gap", F.greatest(F.lit(0), F.lit(7) - F.datediff("as_of", "date_posted")).alias("urgency"), F.concat_ws("; ", F.concat(F.col("matched").cast("string"), F.lit(" skills match")), F.when(F.col("gap") > 0, "more experience asked")).alias("reason")), f"select candidate_id, job_id, gap, cast(greatest(0, 7 - ((select max(date_posted) from postings) - date_posted)) as int) as urgency, concat_ws('; ', matched || ' skills match', case when gap > 0 then 'more experience asked' end) as reason from {_T}")
-_add("r5_top_jobs", lambda s, d: _top(s, d).select("candidate_id", "job_id", "score", "rank"), f"select candidate_id, job_id, score, rank from {_T}")
-_G = f"(select * from (select candidate_id, skill, round(sum(score), 4) as priority, cast(row_number() over (partition by candidate_id order by round(sum(score), 4) desc, skill) as int) as rank from {_T} t join (select distinct job_id, skill from posting_skills) using (job_id) where not exists (select 1 from candidates c where c.candidate_id = t.candidate_id and c.skill = posting_skills.skill) group by 1, 2) where rank <= 5)".replace("join (select distinct job_id, skill from posting_skills) using (job_id)", "join (select distinct job_id, skill from posting_skills) ps using (job_id)").replace("c.skill = posting_skills.skill", "c.skill = ps.skill")
-_add("r6_gap_priorities", lambda s, d: R.gaps(_top(s, d), candidates(s, d), posting_skills(s, d)).withColumn("course", F.concat(F.lit("https://example.org/search?q="), F.replace("skill", F.lit("#"), F.lit("%23")))), f"select *, 'https://example.org/search?q=' || replace(skill, '#', '%23') as course from {_G}")
+_COURSE_SQL = "coalesce(title, 'Learn ' || skill) as title, coalesce(provider, 'Coursera') as provider, coalesce(url, 'https://www.coursera.org/search?query=' || replace(skill, '#', '%23')) as url"
+_add("r6_gap_priorities", lambda s, d: R.with_courses(R.gaps(_full(s, d, least=_DEMANDING)), _courses(s, d)), f"select candidate_id, skill, priority, rank, {_COURSE_SQL} from {_G} left join {_COURSES} using (skill)")
+_MARKET = "(select skill, cast(row_number() over (order by count(*) desc, skill) as int) as place from posting_skills group by 1 qualify place <= 50)"
+_LACK = f"(select candidate_id, m.skill, cast(row_number() over (partition by candidate_id order by place) as int) as rank from {_WHO} w, {_MARKET} m where not list_contains(skills, m.skill) qualify rank <= 5)"
 
 
 def _r7(s, d):
-    demand = posting_skills(s, d).groupBy("skill").agg(F.count("*").alias("n"))
-    who = candidates(s, d)
-    open_ = who.select("candidate_id").distinct().crossJoin(F.broadcast(demand)).join(who, ["candidate_id", "skill"], "left_anti")
-    return open_.withColumn("r", F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("n"), "skill"))).where("r <= 3").select("candidate_id", "skill", "r")
+    """Candidates whose best posting lacks nothing get the most asked skills that they do not have."""
+    with_gaps = R.gaps(_full(s, d, 1, _DEMANDING)).select("candidate_id").distinct()
+    fallback = R.missing_market_skills(_who(s, d).join(with_gaps, "candidate_id", "left_anti"), posting_skills(s, d))
+    return R.with_courses(fallback, _courses(s, d)).select("candidate_id", "skill", "rank", "title")
 
 
-_add("r7_fallback_courses", _r7, "select * from (select c.candidate_id, m.skill, cast(row_number() over (partition by c.candidate_id order by n desc, m.skill) as int) as r from (select distinct candidate_id from candidates) c, (select skill, count(*) as n from posting_skills group by 1) m where not exists (select 1 from candidates x where x.candidate_id = c.candidate_id and x.skill = m.skill)) where r <= 3")
-_add("r8_practice", lambda s, d: candidates(s, d).groupBy("candidate_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("skill")), 1, 5), ",").alias("skills")), "select candidate_id, array_to_string(list_slice(list_sort(list(distinct skill)), 1, 5), ',') as skills from candidates group by 1")
-_add("r9_priority_label", lambda s, d: _top(s, d).groupBy(R.label(F.col("score")).alias("label")).agg(F.count("*").alias("n")), f"select case when score >= 0.6 then 'HIGH' when score >= 0.3 then 'MEDIUM' else 'LOW' end as label, count(*) as n from {_T} group by 1")
-_add("r10_profiles", lambda s, d: candidates(s, d).groupBy("candidate_id").agg(F.max("years").alias("years"), F.array_join(F.array_sort(F.collect_set("skill")), ",").alias("skills"), F.max("location").alias("location")), "select candidate_id, max(years) as years, string_agg(distinct skill, ',' order by skill) as skills, max(location) as location from candidates group by 1")
-
+_add("r7_fallback_courses", _r7, f"select candidate_id, skill, rank, coalesce(title, 'Learn ' || skill) as title from {_LACK} left join {_COURSES} using (skill) where candidate_id not in (select candidate_id from {_T_DEMANDING} where rank = 1 and score > 0 and m < n)")
+_KINDS = "(select lower(p_brand) as skill, max(p_size) = 50 as design, min(split_part(p_type, ' ', 1)) filter (where p_size < 10) as kind from part group by 1)"
 
-def _cv(s, d):
-    return candidates(s, d).groupBy("candidate_id").agg(F.count_distinct("skill").alias("k"), F.max("years").alias("years"))
 
+def _kinds(s, d):
+    return table(s, d, "part").groupBy(F.lower("p_brand").alias("skill")).agg((F.max("p_size") == 50).alias("design"), F.min(F.when(F.col("p_size") < 10, F.split("p_type", " ")[0])).alias("kind"))
 
-_CV = "(select candidate_id, count(distinct skill) as k, max(years) as years from candidates group by 1)"
-_add("r12_cv_score", lambda s, d: _cv(s, d).select("candidate_id", F.bround(F.least(F.col("k") * 4, F.lit(40)) + F.least(F.col("years") * 2.5, F.lit(25.0)) + 20.0, 0).cast("int").alias("score")), f"select candidate_id, cast(round_even(least(k * 4, 40) + least(years * 2.5::double, 25) + 20, 0) as int) as score from {_CV}")
-_add("r13_strengths", lambda s, d: _cv(s, d).select("candidate_id", F.concat_ws(";", F.when(F.col("k") >= 10, "broad skills"), F.when(F.col("years") >= 5, "experienced")).alias("strengths"), F.concat_ws(";", F.when(F.col("k") <= 2, "few skills"), F.when(F.col("years") < 1, "no experience")).alias("weaknesses"), (F.col("k") <= 2).alias("non_tech")), f"select candidate_id, concat_ws(';', case when k >= 10 then 'broad skills' end, case when years >= 5 then 'experienced' end) as strengths, concat_ws(';', case when k <= 2 then 'few skills' end, case when years < 1 then 'no experience' end) as weaknesses, k <= 2 as non_tech from {_CV}")
-_add("r14_missing_market_skills", lambda s, d: _r7(s, d).groupBy("candidate_id").agg(F.count("*").alias("n"), F.min("skill").alias("first")), "select candidate_id, count(*) as n, min(skill) as first from (select * from (select c.candidate_id, m.skill, row_number() over (partition by c.candidate_id order by n desc, m.skill) as r from (select distinct candidate_id from candidates) c, (select skill, count(*) as n from posting_skills group by 1) m where not exists (select 1 from candidates x where x.candidate_id = c.candidate_id and x.skill = m.skill)) where r <= 3) group by 1")
-_add("r15_ats_score", lambda s, d: _top(s, d).select("candidate_id", "job_id", F.round(F.col("overlap") * 55 + F.when(F.col("gap") == 0, 15).otherwise(5) + 10 + F.least(F.lit(20), F.col("matched") * 5), 2).alias("ats")), f"select candidate_id, job_id, round(overlap * 55 + case when gap = 0 then 15 else 5 end + 10 + least(20, matched * 5), 2) as ats from {_T}")
-_add("r16_market_match", lambda s, d: _top(s, d).select("candidate_id", "job_id", F.round(F.col("overlap") * 50 + F.when(F.col("gap") == 0, 25).otherwise(10) + 25, 1).alias("match")).withColumn("label", F.when(F.col("match") >= 80, "Strong").when(F.col("match") >= 60, "Good").otherwise("Stretch")), f"select *, case when match >= 80 then 'Strong' when match >= 60 then 'Good' else 'Stretch' end as label from (select candidate_id, job_id, round(overlap * 50 + case when gap = 0 then 25 else 10 end + 25, 1) as match from {_T})")
-_add("r17_learning_priority", lambda s, d: posting_skills(s, d).groupBy("skill").agg(F.count("*").alias("n")).crossJoin(F.broadcast(posting_skills(s, d).agg(F.count("*").alias("t")))).select("skill", F.round(F.col("n") * 100.0 / F.col("t") * 0.4 + F.when(F.col("skill").endswith("1"), 80).otherwise(50) * 0.2 + 14, 3).alias("priority")), "select skill, round(count(*) * 100.0::double / (select count(*) from posting_skills) * 0.4::double + case when skill like '%1' then 80 else 50 end * 0.2::double + 14, 3) as priority from posting_skills group by 1")
 
+_add("r8_practice", lambda s, d: R.practice(_who(s, d), _full(s, d), _kinds(s, d)), f"""select candidate_id, place, skill, case when design then 'system design' else coalesce(kind, 'behavioural') end as kind from (
+  select candidate_id, skill, cast(row_number() over (partition by candidate_id order by skill) as int) as place from (select distinct candidate_id, skill from candidates)) left join {_KINDS} using (skill) where place <= 5""")
+_add("r9_priority_label", lambda s, d: _top(s, d).groupBy(R.label(F.col("score")).alias("label")).agg(F.count("*").alias("n")), f"select case when score >= 0.6 then 'HIGH' when score >= 0.3 then 'MEDIUM' else 'LOW' end as label, count(*) as n from {_T} group by 1")
+_add("r10_profiles", lambda s, d: _who(s, d).select("candidate_id", "years", F.array_join("skills", ",").alias("skills"), "location", F.col("modes")[0].alias("mode")), f"select candidate_id, years, array_to_string(skills, ',') as skills, location, mode from {_WHO}")
 
-def _r18(s, d):
-    m = R.matches(candidates(s, d), posting_skills(s, d))
-    near = m.where("overlap < 0.7 and (matched + 1) / size >= 0.7")
-    lack = near.join(posting_skills(s, d).select("job_id", "skill").distinct(), "job_id").join(candidates(s, d).select("candidate_id", "skill").distinct(), ["candidate_id", "skill"], "left_anti")
-    return lack.groupBy("candidate_id", "skill").agg(F.count_distinct("job_id").alias("unlocked"))
+_CV_ROLES = ["intern", "junior", "mid-level", "senior", "lead", "manager"]
 
 
-_add("r18_unlocks", _r18, f"select m.candidate_id, ps.skill, count(distinct m.job_id) as unlocked from {_M} m join (select distinct job_id, skill from posting_skills) ps on ps.job_id = m.job_id where overlap < 0.7 and (matched + 1)::double / size >= 0.7 and not exists (select 1 from candidates c where c.candidate_id = m.candidate_id and c.skill = ps.skill) group by 1, 2")
-_add("r19_career_paths", lambda s, d: posting_skills(s, d).join(postings(s, d).select("job_id", "seniority", "source"), "job_id").groupBy("source", "seniority").agg(F.count_distinct("skill").alias("skills"), F.count_distinct("job_id").alias("jobs")), "select source, seniority, count(distinct skill) as skills, count(distinct job_id) as jobs from posting_skills join postings using (job_id) group by 1, 2")
+def _cv(s, d):
+    """What a CV says: skills, years, education (three of four), certificates (0 to 4) and the level of the present role."""
+    key = F.col("candidate_id")
+    return _who(s, d).withColumns({
+        "k": F.size("skills"), "education": F.when(key % 4 != 0, F.array(F.lit("Bachelor's Degree"))).otherwise(F.array().cast("array<string>")),
+        "certificates": (key % 5).cast("int"), "level": (key % 6).cast("int"),
+    })
+
+
+_CV = f"(select *, len(skills) as k, candidate_id % 4 <> 0 as educated, cast(candidate_id % 5 as int) as certificates, cast(candidate_id % 6 as int) as level from {_WHO})"
+
+
+def _r12(s, d):
+    # 40 for ten skills, 25 for eight years, 20 for education, 15 for three certificates; halves to even.
+    part = F.least("k", F.lit(10)) / 10 * 40 + F.least("years", F.lit(8)) * 25 / 8 + F.when(F.size("education") > 0, 20).otherwise(0) + F.least("certificates", F.lit(3)) * 5
+    return _cv(s, d).select("candidate_id", F.bround(part, 0).cast("int").alias("score"))
+
+
+_add("r12_cv_score", _r12, f"select candidate_id, cast(round_even(least(k, 10) * 4 + least(years, 8) * 25::double / 8 + case when educated then 20 else 0 end + least(certificates, 3) * 5, 0) as int) as score from {_CV}")
+
+
+def _r13(s, d):
+    text = lambda c: F.col(c).cast("string")
+    strong = F.array_compact(F.array(
+        F.when(F.col("k") >= 8, F.concat(F.lit("Broad technical skill set ("), text("k"), F.lit(" skills detected)."))),
+        F.when(F.col("years") >= 4, F.concat(text("years"), F.lit("+ years of stated experience."))),
+        F.when(F.col("certificates") > 0, F.concat(F.lit("Holds "), text("certificates"), F.lit(" relevant certification(s)."))),
+        F.when(F.size("education") > 0, F.concat(F.lit("Education credential detected: "), F.array_join("education", ", "), F.lit("."))),
+    ))
+    weak = F.array_compact(F.array(
+        F.when(F.col("k") <= 2, "Very few technical skills detected in the CV text."), F.when(F.col("years") == 0, "No years of experience explicitly stated."),
+        F.when(F.col("certificates") == 0, "No certifications detected."), F.when(F.size("education") == 0, "No formal education credential detected in the CV text."),
+    ))
+    return _cv(s, d).select("candidate_id", F.array_join(strong, " ").alias("strengths"), F.array_join(weak, " ").alias("weaknesses"), (F.col("k") <= 2).alias("non_tech"))
+
+
+_add("r13_strengths", _r13, f"""select candidate_id, concat_ws(' ', case when k >= 8 then 'Broad technical skill set (' || k || ' skills detected).' end, case when years >= 4 then years || '+ years of stated experience.' end,
+  case when certificates > 0 then 'Holds ' || certificates || ' relevant certification(s).' end, case when educated then 'Education credential detected: Bachelor''s Degree.' end) as strengths,
+  concat_ws(' ', case when k <= 2 then 'Very few technical skills detected in the CV text.' end, case when years = 0 then 'No years of experience explicitly stated.' end,
+  case when certificates = 0 then 'No certifications detected.' end, case when not educated then 'No formal education credential detected in the CV text.' end) as weaknesses, k <= 2 as non_tech from {_CV}""")
+_add("r14_missing_market_skills", lambda s, d: R.missing_market_skills(_who(s, d), posting_skills(s, d)), f"select candidate_id, skill, rank from {_LACK}")
+
+
+def _r15(s, d):
+    job_rank = T.title_rank(F.col("title"))
+    cv_rank = F.element_at(F.array(*map(F.lit, [0, 0, 1, 2, 3, 4])), F.col("level") + 1)
+    both = _full(s, d).drop("skills", "years").join(_cv(s, d).select("candidate_id", "k", "years", "education", "certificates", "level"), "candidate_id")
+    m, n = F.size("matched"), F.size("required")
+    gap = F.abs(cv_rank - job_rank)
+    both = both.withColumns({
+        "keywords": F.when(n > 0, F.floor((200 * m + n) / (2 * n))).otherwise(70).cast("int"),
+        "seniority_match": F.when(gap.isNull(), 75).when(gap == 0, 100).when(gap == 1, 60).otherwise(20),
+        "education_match": F.when(F.size("education") > 0, 100).otherwise(0),
+        "profile": F.floor((F.least(F.lit(200), F.col("k") * 25) + 4 * (F.least(F.lit(30), F.col("years") * 10) + F.when(F.col("certificates") > 0, 20).otherwise(0)) + 2) / 4).cast("int"),
+    })
+    score = F.floor((55 * F.col("keywords") + 15 * F.col("seniority_match") + 10 * F.col("education_match") + 20 * F.col("profile") + 50) / 100).cast("int")
+    status = lambda c, high, low: F.when(c >= high, "pass").when(c >= low, "warn").otherwise("fail")
+    both = both.withColumns({
+        "ats": score, "keyword_status": F.when(n == 0, "warn").otherwise(status(F.col("keywords"), 70, 40)), "seniority_status": F.when(gap.isNull(), "warn").otherwise(status(-gap, 0, -1)),
+        "education_status": status(F.col("education_match"), 100, 100), "profile_status": status(F.col("profile"), 80, 50),
+    })
+    label = F.when(F.col("ats") >= 80, "ATS ready").when(F.col("ats") >= 60, "Good coverage").when(F.col("ats") >= 40, "Needs tailoring").otherwise("Likely filtered out")
+    tips = F.size(F.slice("missing", 1, 5)) + F.when(F.col("education_match") == 0, 1).otherwise(0) + F.when(F.col("profile") < 80, 1).otherwise(0) + F.when(gap >= 2, 1).otherwise(0)
+    return both.select("candidate_id", "job_id", "ats", label.alias("label"), "keywords", "seniority_match", "education_match", "profile", "keyword_status", "seniority_status", "education_status", "profile_status", tips.alias("tips"))
+
+
+_RANK_SQL = r"""case when regexp_matches(lower(title), '(^|[^a-z0-9_])(intern|trainee|graduate|junior|jr|entry)($|[^a-z0-9_])') then 0 when regexp_matches(lower(title), '(^|[^a-z0-9_])(mid|intermediate)($|[^a-z0-9_])') then 1
+  when regexp_matches(lower(title), '(^|[^a-z0-9_])(senior|sr)($|[^a-z0-9_])') then 2 when regexp_matches(lower(title), '(^|[^a-z0-9_])(lead|principal|staff|head|chief)($|[^a-z0-9_])') then 3
+  when regexp_matches(lower(title), '(^|[^a-z0-9_])(manager|director|vp)($|[^a-z0-9_])') then 4 end"""
+_add("r15_ats_score", _r15, f"""select candidate_id, job_id, ats, case when ats >= 80 then 'ATS ready' when ats >= 60 then 'Good coverage' when ats >= 40 then 'Needs tailoring' else 'Likely filtered out' end as label, keywords, seniority_match, education_match, profile,
+  case when n = 0 then 'warn' when keywords >= 70 then 'pass' when keywords >= 40 then 'warn' else 'fail' end as keyword_status, case when away is null then 'warn' when away = 0 then 'pass' when away = 1 then 'warn' else 'fail' end as seniority_status,
+  case when education_match = 100 then 'pass' else 'fail' end as education_status, case when profile >= 80 then 'pass' when profile >= 50 then 'warn' else 'fail' end as profile_status,
+  cast(least(5, n - m) + (education_match = 0)::int + (profile < 80)::int + coalesce(away >= 2, false)::int as int) as tips
+from (select *, cast((55 * keywords + 15 * seniority_match + 10 * education_match + 20 * profile + 50) // 100 as int) as ats from (
+  select *, cast(case when n > 0 then (200 * m + n) // (2 * n) else 70 end as int) as keywords, case when away is null then 75 when away = 0 then 100 when away = 1 then 60 else 20 end as seniority_match,
+    case when educated then 100 else 0 end as education_match, cast((least(200, 25 * k) + 4 * (least(30, 10 * years) + case when certificates > 0 then 20 else 0 end) + 2) // 4 as int) as profile
+  from (select t.*, k, educated, certificates, abs(list_extract([0, 0, 1, 2, 3, 4], level + 1) - {_RANK_SQL}) as away from {_T} t join (select candidate_id, k, educated, certificates, level from {_CV}) c on c.candidate_id = t.candidate_id)))""")
+
+
+def _r16(s, d):
+    full = _full(s, d)
+    parts = R.market_match(F.size("matched"), F.size("required"), F.col("years"), F.col("country"), F.col("location"), F.col("work_mode") == "remote")
+    return full.withColumns(parts).select("candidate_id", "job_id", *parts, R.match_label(F.col("match")).alias("label"))
+
+
+_MATCH = """(select *, (50 * skill_match + 25 * experience_match + 10 * location_match + 1325) // 100 as match from (
+  select *, case when n > 0 then (200 * m + n) // (2 * n) else 0 end as skill_match, least(100, 60 + 6 * years) as experience_match, case when country = location then 100 when work_mode = 'remote' then 90 else 55 end as location_match from {}))"""
+_add("r16_market_match", _r16, f"select candidate_id, job_id, cast(skill_match as int) as skill_match, cast(experience_match as int) as experience_match, cast(location_match as int) as location_match, cast(match as int) as match, case when match >= 90 then 'Excellent match' when match >= 75 then 'Strong match' when match >= 55 then 'Good match' when match >= 35 then 'Partial match' else 'Weak match' end as label from {_MATCH.format(_T)}")
+
+
+def _r17(s, d):
+    """Demand is the share of postings, growth the last 30 days against the 30 before."""
+    day = _as_of(s, d)
+    age = F.datediff(F.lit(day), "date_posted")
+    skills = posting_skills(s, d).select("job_id", "skill").distinct().join(postings(s, d).select("job_id", "date_posted"), "job_id")
+    stats = skills.groupBy("skill").agg(F.count("*").alias("jobs"), F.count_if(age < 30).alias("last"), F.count_if((age >= 30) & (age < 60)).alias("before"))
+    total = postings(s, d).count()
+    return R.learning_priority(stats, total)
+
+
+_add("r17_learning_priority", _r17, f"""select skill, demand, growth, cast((10 * (4 * demand + 2 * greatest(0, least(100, 50 + 2 * growth)) + 2 * ease + 140) + 50) // 100 as int) as score,
+  case when 4 * demand + 2 * greatest(0, least(100, 50 + 2 * growth)) + 2 * ease + 140 >= 650 then 'HIGH' when 4 * demand + 2 * greatest(0, least(100, 50 + 2 * growth)) + 2 * ease + 140 >= 450 then 'MEDIUM' else 'LOW' end as priority from (
+  select *, case when demand > 35 then 55 else 25 end as ease from (select skill, cast((200 * jobs + t) // (2 * t) as int) as demand, cast(case when b > 0 then floor((200 * (l - b) + b)::double / (2 * b)) else 0 end as int) as growth from (
+    select skill, count(*) as jobs, (select count(*) from postings) as t, count(*) filter (where age < 30) as l, count(*) filter (where age >= 30 and age < 60) as b
+    from (select skill, {_DAY} - date_posted as age from (select distinct job_id, skill from posting_skills) join postings using (job_id)) group by 1)))""")
+_JOBS_WHO = f"(select *, len(list_intersect(required, skills)) as m, len(required) as n from {_JOBS} j, {_WHO} w)"
+_NEXT = _MATCH.format(_JOBS_WHO).replace("as match from (", "as match, (50 * ((200 * (m + 1) + n) // (2 * n)) + 25 * experience_match + 10 * location_match + 1325) // 100 as after from (", 1)
+_add("r18_unlocks", lambda s, d: R.unlocks(_who(s, d), _jobs(s, d)), f"select candidate_id, skill, count(*) as unlocked from (select candidate_id, unnest(list_filter(required, lambda x: not list_contains(skills, x))) as skill from {_NEXT} where n > 0 and match < 70 and after >= 70) group by 1, 2")
+
+
+def _r19(s, d):
+    return R.career_paths(_who(s, d), _jobs(s, d).select(F.concat_ws(" ", "title", "country").alias("role"), "job_id", "required"))
+
+
+_ROLE_SKILLS = f"(select distinct title || ' ' || country as role, unnest(required) as skill from {_JOBS})"
+_add("r19_career_paths", _r19, f"""select * from (select candidate_id, role, jobs, size - have as missing, have, cast((200 * have + size) // (2 * size) as int) as match, cast(row_number() over (partition by candidate_id order by (200 * have + size) // (2 * size) desc, jobs desc, role) as int) as rank from (
+  select candidate_id, role, count(*) as have from (select distinct candidate_id, skill from candidates) join {_ROLE_SKILLS} using (skill) group by 1, 2)
+  join (select role, count(*) as size from {_ROLE_SKILLS} group by 1) using (role) join (select title || ' ' || country as role, count(*) as jobs from {_JOBS} group by 1) using (role)) where rank <= 10""")
 
 
 def _r20(s, d):
-    roles = table(s, d, "part").select(F.split("p_name", " ")[1].alias("role"), F.lower("p_brand").alias("skill")).distinct()
-    hit = candidates(s, d).select("candidate_id", "skill").distinct().join(roles, "skill").groupBy("candidate_id", "role").agg(F.count_distinct("skill").alias("n"))
-    return hit.withColumn("r", F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("n"), "role"))).where("r <= 3")
+    library = table(s, d, "part").select(F.split("p_name", " ")[1].alias("role"), F.lower("p_brand").alias("keyword")).distinct()
+    return R.infer_roles(candidates(s, d).select("candidate_id", "skill").distinct(), library)
 
 
-_add("r20_desired_roles", _r20, "select * from (select candidate_id, role, count(distinct skill) as n, cast(row_number() over (partition by candidate_id order by count(distinct skill) desc, role) as int) as r from (select distinct candidate_id, skill from candidates) join (select distinct split_part(p_name, ' ', 2) as role, lower(p_brand) as skill from part) using (skill) group by 1, 2) where r <= 3")
+_add("r20_desired_roles", _r20, """select * from (select candidate_id, role, count(distinct keyword) as score, cast(row_number() over (partition by candidate_id order by count(distinct keyword) desc, role) as int) as rank from (select distinct candidate_id, skill from candidates)
+  join (select distinct split_part(p_name, ' ', 2) as role, lower(p_brand) as keyword from part) on skill = keyword or (length(keyword) >= 3 and length(skill) >= 3 and (contains(skill, keyword) or contains(keyword, skill))) group by 1, 2) where rank <= 3""")
 _add("j9_level_gap", lambda s, d: (lambda c: c.alias("a").join(c.alias("b"), (F.col("a.category") == F.col("b.category")) & (F.col("b.ordinal") == F.col("a.ordinal") + 1)).select(F.col("a.category").alias("category"), F.col("a.ordinal").alias("ordinal"), (F.col("b.n") - F.col("a.n")).alias("gap")).where("gap > 0"))(posting_skills(s, d).join(postings(s, d).select("job_id", F.array_position(F.array(*map(F.lit, ["Entry Level", "Mid-Level", "Senior", "Lead", "Executive"])), F.col("seniority")).cast("int").alias("ordinal")), "job_id").groupBy("category", "ordinal").agg(F.count("*").alias("n"))), "select * from (with c as (select category, cast(list_position(['Entry Level', 'Mid-Level', 'Senior', 'Lead', 'Executive'], seniority) as int) as ordinal, count(*) as n from posting_skills join postings using (job_id) group by 1, 2) select a.category, a.ordinal, b.n - a.n as gap from c a join c b on a.category = b.category and b.ordinal = a.ordinal + 1 where b.n > a.n)")
-_add("w6_rank_of_expected", lambda s, d: _top(s, d).join(candidates(s, d).select("candidate_id", F.col("location").alias("home")).distinct(), "candidate_id").where("country = home").groupBy("candidate_id").agg(F.min("rank").alias("rank")), f"select candidate_id, min(rank) as rank from {_T} join postings p using (job_id) where p.country = location group by 1")
-_add("j7_inverted_join", lambda s, d: R.matches(candidates(s, d), posting_skills(s, d)).groupBy("job_id").agg(F.count("*").alias("candidates"), F.round(F.max("overlap"), 4).alias("best")), f"select job_id, count(*) as candidates, round(max(overlap), 4) as best from {_M} group by 1")
-_add("o5_composite_rank", lambda s, d: _top(s, d).where("rank <= 3").select("candidate_id", "job_id", "rank", "gap"), f"select candidate_id, job_id, rank, gap from {_T} where rank <= 3")
-_add("e3_recommender_metrics", lambda s, d: _top(s, d).groupBy("candidate_id").agg(F.max((F.col("rank") == 1).cast("int") * (F.col("overlap") == 1).cast("int")).alias("top1_full"), F.round(F.avg("score"), 4).alias("mean_score")), f"select candidate_id, max((rank = 1 and overlap = 1)::int) as top1_full, round(avg(score), 4) as mean_score from {_T} group by 1")
+_add("w6_rank_of_expected", lambda s, d: _full(s, d).where("country = location").groupBy("candidate_id").agg(F.min("rank").alias("rank")), f"select candidate_id, min(rank) as rank from {_T} where country = location group by 1")
+_add("j7_inverted_join", lambda s, d: R.reach(_who(s, d), _jobs(s, d)), f"select job_id, count(*) as candidates, max(m::double / n) as best from {_PAIRS} where m > 0 group by 1")
+_add("o5_composite_rank", lambda s, d: _top(s, d).where("rank <= 3").select("candidate_id", "job_id", "rank", "score", "gap", "urgent"), f"select candidate_id, job_id, rank, score, gap, urgent from {_T} where rank <= 3")
+
+
+def _e3(s, d):
+    """A posting in the candidate's own country is what is expected: top-1 accuracy, mean rank, and components known in the top 3."""
+    full = _full(s, d)
+    known = sum((F.col(c).isNotNull().cast("int") for c in _COMPONENTS), F.lit(0))
+    near = F.col("country") == F.col("location")
+    one = full.groupBy("candidate_id").agg(F.max(((F.col("rank") == 1) & near).cast("int")).alias("first"), F.min(F.when(near, F.col("rank"))).alias("at"), F.sum(F.when(F.col("rank") <= 3, known)).alias("known"), F.count_if(F.col("rank") <= 3).alias("n"))
+    return one.agg(F.count("*").alias("candidates"), F.round(F.avg("first"), 6).alias("top1_accuracy"), F.round(F.avg("at"), 6).alias("mean_rank"), F.round(F.sum("known") / (4 * F.sum("n")), 6).alias("coverage_top3"))
+
+
+_add("e3_recommender_metrics", _e3, f"""select count(*) as candidates, round(avg(first), 6) as top1_accuracy, round(avg(place), 6) as mean_rank, round(sum(known)::double / (4 * sum(n)), 6) as coverage_top3 from (
+  select candidate_id, max((rank = 1 and country = location)::int) as first, min(rank) filter (where country = location) as place,
+    sum((c1 is not null)::int + (c2 is not null)::int + (c3 is not null)::int + (c4 is not null)::int) filter (where rank <= 3) as known, count(*) filter (where rank <= 3) as n from {_T} group by 1)""")
 
 
 _YEAR = "(?:^|[^0-9A-Za-z])((?:19|20)[0-9]{2})(?:$|[^0-9A-Za-z])"

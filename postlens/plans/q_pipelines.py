@@ -10,7 +10,7 @@ from postlens.operators import dedup
 from postlens.operators import recommend as R
 from postlens.plans import q_aggregates, q_matching, q_retrieval, q_skills, q_tables
 from postlens.sources import files
-from postlens.sources.fixtures import candidates, posting_skills, posting_text, postings
+from postlens.sources.fixtures import posting_text, postings
 
 QUERIES: dict = {}
 
@@ -51,13 +51,14 @@ _add("q8_build_master", _q8, "select country, count(distinct company) as compani
 
 
 def _q10(s, d):
-    who, jobs, skills = candidates(s, d), postings(s, d), posting_skills(s, d)
-    top = R.top_jobs(R.scored(who, jobs, skills))
-    best = top.groupBy("candidate_id").agg(F.max("score").alias("best"), F.count("*").alias("jobs"))
-    return R.gaps(top, who, skills).join(best, "candidate_id").withColumn("priority_label", R.label(F.col("best")))
+    """Ranked postings, the gaps that they share with their courses, and a label for the best score."""
+    full = q_matching._full(s, d, least=q_matching._DEMANDING)
+    best = full.groupBy("candidate_id").agg(F.max("score").alias("best"), F.count("*").alias("jobs"))
+    plan = R.with_courses(R.gaps(full), q_matching._courses(s, d)).select("candidate_id", "skill", "priority", "rank", "title")
+    return plan.join(best, "candidate_id").withColumn("priority_label", R.label(F.col("best")))
 
 
-_add("q10_plan", _q10, f"select g.candidate_id, skill, priority, g.rank, best, jobs, case when best >= 0.6 then 'HIGH' when best >= 0.3 then 'MEDIUM' else 'LOW' end as priority_label from {q_matching._G} g join (select candidate_id, max(score) as best, count(*) as jobs from {q_matching._T} group by 1) b on b.candidate_id = g.candidate_id")
+_add("q10_plan", _q10, f"select g.candidate_id, g.skill, priority, g.rank, coalesce(title, 'Learn ' || g.skill) as title, best, jobs, case when best >= 0.6 then 'HIGH' when best >= 0.3 then 'MEDIUM' else 'LOW' end as priority_label from {q_matching._G} g join (select candidate_id, max(score) as best, count(*) as jobs from {q_matching._T_DEMANDING} group by 1) b on b.candidate_id = g.candidate_id left join {q_matching._COURSES} c on c.skill = g.skill")
 _add("q7_freshness_and_trend", q_aggregates.QUERIES["w8_decompose"][0], q_aggregates.QUERIES["w8_decompose"][1])
 
 

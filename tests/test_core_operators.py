@@ -47,12 +47,57 @@ def test_symbol_terms_and_boundaries(spark):
     assert {r.skill for r in got} == {"c++", "c#", ".net", "javascript"}
 
 
-def test_scores_stay_in_range(spark):
-    cand = spark.createDataFrame([(1, 3, "X", "a"), (1, 3, "X", "b")], "candidate_id int, years int, location string, skill string")
-    jobs = spark.createDataFrame([(7, "X", 0, "remote", "2024-01-01"), (8, "Y", 6, "hybrid", "2024-01-02")], "job_id int, country string, years_experience int, work_mode string, date_posted string")
-    need = spark.createDataFrame([(7, "a"), (7, "b"), (8, "a"), (8, "c")], "job_id int, skill string")
-    got = {r.job_id: r.score for r in recommend.scored(cand, jobs, need).collect()}
-    assert got[7] == 1.0 and 0 < got[8] < 1
+WHO = "candidate_id long, skills array<string>, years int, locations array<string>, modes array<string>"
+JOBS = "job_id long, required array<string>, preferred array<string>, years_experience int, country string, work_mode string, deadline date"
+
+
+def test_hybrid_score_of_known_cases(spark):
+    who = spark.createDataFrame([(1, ["python", "aws"], 2, ["Kenya"], ["Remote"]), (2, [], None, None, None)], WHO)
+    jobs = spark.createDataFrame([
+        (1, ["python"], ["aws"], 2, "Kenya", "Remote", None), (2, ["python"], ["aws"], 5, "Uganda", "On-site", None),
+        (3, ["python", "go"], [], None, None, None, None), (4, [], [], 0, "", "", None),
+    ], JOBS)
+    got = {(r.candidate_id, r.job_id): (r.score, r.gap) for r in recommend.top_jobs(who, jobs).collect()}
+    assert got[1, 1] == (1.0, 0) and got[1, 2] == (round(0.65 + 0.15 + 0.15 * 0.4, 6), 3)
+    assert got[1, 3] == (0.5, 0) and got[1, 4] == (0.0, 0)
+    assert all(got[2, j][0] == 0 for j in (1, 2, 3, 4))
+    full = {(r.candidate_id, r.job_id): r for r in recommend.explained(recommend.top_jobs(who, jobs), who, jobs).collect()}
+    r = full[1, 1]
+    assert (r.required_skills, r.preferred_skills, r.experience, r.location_work_mode) == (1.0, 1.0, 1.0, 1.0)
+    assert full[1, 3].location_work_mode is None and full[1, 3].missing == ["go"] and full[1, 3].reasons[1] == "Build: go."
+
+
+def test_order_breaks_ties_by_gap_urgency_and_id(spark):
+    from datetime import date
+
+    who = spark.createDataFrame([(1, ["a"], 1, [], [])], WHO)
+    jobs = spark.createDataFrame([(i, ["a"], [], 0, None, None, date(2024, 1, day)) for i, day in ((5, 9), (4, 20), (3, 20), (9, 2))], JOBS)
+    got = [r.job_id for r in recommend.top_jobs(who, jobs, date(2024, 1, 2), 3).orderBy("rank").collect()]
+    assert got == [5, 9, 3]
+
+
+def test_gaps_weigh_urgent_postings(spark):
+    from datetime import date
+
+    who = spark.createDataFrame([(1, ["a"], 1, [], [])], WHO)
+    jobs = spark.createDataFrame([(1, ["a", "b"], [], 0, None, None, date(2024, 1, 3)), (2, ["a", "c"], [], 0, None, None, None)], JOBS)
+    top = recommend.explained(recommend.top_jobs(who, jobs, date(2024, 1, 1)), who, jobs, date(2024, 1, 1))
+    assert {r.skill: r.priority for r in recommend.gaps(top).collect()} == {"b": 0.625, "c": 0.5}
+
+
+def test_blocks_give_the_same_rows(spark, data, monkeypatch):
+    from postlens.plans import q_matching
+
+    whole = q_matching.QUERIES["r5_top_jobs"][0](spark, data).collect()
+    monkeypatch.setattr(recommend, "BLOCK", 4)
+    monkeypatch.setattr(recommend, "PAIRS", 500)
+    assert sorted(q_matching.QUERIES["r5_top_jobs"][0](spark, data).collect()) == sorted(whole)
+
+
+def test_empty_sides(spark):
+    who, jobs = spark.createDataFrame([], WHO), spark.createDataFrame([], JOBS)
+    some = spark.createDataFrame([(1, ["a"], 1, [], [])], WHO)
+    assert recommend.top_jobs(who, jobs).count() == recommend.top_jobs(some, jobs).count() == recommend.reach(who, jobs).count() == 0
 
 
 def test_plans_scan_narrow_and_push_filters(spark, data):

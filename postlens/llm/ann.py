@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.shared import cut, grouped
+from postlens.llm.shared import cut, grouped, lean
 
 
 #: Vectors that walk the graph together; each takes about 150 kB meanwhile.
@@ -260,12 +260,12 @@ def search(vectors: DataFrame, queries: DataFrame, c: Config = Config()) -> Data
         return run
 
     fields = "vec_id long, ids array<long>, embedding array<double>"
-    posted = cut(entries.select("vec_id", "ids", "embedding").mapInArrow(place(0), f"list long, nearest boolean, {fields}"), "postings")
+    posted = cut(entries.select("vec_id", "ids", "embedding").mapInArrow(lean(place(0)), f"list long, nearest boolean, {fields}"), "postings")
     counts = posted.where("nearest").groupBy("list").count().toArrow()  # bounded by max_centroids
     inside = np.zeros(len(index.value.graph.centroids), np.int64)
     inside[counts.column("list").to_numpy()] = counts.column("count").to_numpy()
     held = spark.sparkContext.broadcast(inside)
-    asked = _valid(queries).where(same).select("vec_id", F.array("vec_id").alias("ids"), "embedding").mapInArrow(place(1), f"list long, nearest boolean, {fields}")
+    asked = _valid(queries).where(same).select("vec_id", F.array("vec_id").alias("ids"), "embedding").mapInArrow(lean(place(1)), f"list long, nearest boolean, {fields}")
     asked = cut(asked, "probes")
 
     def blocks(of: DataFrame, name: str) -> DataFrame:
@@ -313,8 +313,8 @@ def search(vectors: DataFrame, queries: DataFrame, c: Config = Config()) -> Data
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(np.arange(1, len(at) + 1, dtype=np.int32)), pa.array(v[at]), pa.array(s[at])], ["query_id", "rank", "vec_id", "score"])
 
-    best = both.mapInArrow(compare, "query_id long, scores array<double>, found array<long>")
-    return best.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, schema)
+    best = both.mapInArrow(lean(compare), "query_id long, scores array<double>, found array<long>")
+    return best.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lean(merge), schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

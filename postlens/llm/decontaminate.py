@@ -6,8 +6,10 @@ it reaches the window (10 words, or a whole shorter item) the words under the wi
 and the automaton's state names the items. Before the walk a table of item word pairs passes over
 stretches that cannot hold a window, so most words never reach Python-level code.
 
-The items are cut into blocks of at most ``BLOCK_WORDS`` words; each block's automaton is
-broadcast in turn, and its size is bounded by the block. Documents are never shuffled.
+The items are cut into blocks of about ``BLOCK_WORDS`` words at most, each with an automaton of its
+own. One block (the usual case) is one map over the documents; of several, each is a pass of its own,
+whose output is written to the shared folder before the next block is broadcast, so a task holds one
+automaton at a time however large the benchmark is. Documents are never shuffled.
 
 Defined results: null or empty texts have no words and no hits; items without words have no
 window; repeated items share windows and are all named; an empty item table leaves every
@@ -17,7 +19,7 @@ document clean. Repeated documents get equal results. Other columns pass through
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
-from postlens.llm.shared import small_batches
+from postlens.llm.shared import cut, lean, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
 _BLOOM_BITS = 20
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 class Automaton:
@@ -123,12 +126,13 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return tk.mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])
 
 
-def _blocks(items: DataFrame, window: int, id_column: str) -> Iterator[tuple[Automaton, np.ndarray]]:
-    """An automaton and a table of word pairs for each block of items."""
+def _blocks(items: DataFrame, window: int, id_column: str) -> tuple[int, Callable[[int], tuple[Automaton, np.ndarray]]]:
+    """The number of blocks of items, and a function that makes a block's automaton and table of word pairs."""
     sized = items.select(F.col(id_column).cast("string").alias("id"), "text").where("text is not null and id is not null")
-    total = sized.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit("[^ ]+")).cast("long")), F.lit(0))).first()[0]
+    total = sized.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(_WORD)).cast("long")), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // BLOCK_WORDS))
-    for k in range(n):
+
+    def make(k: int) -> tuple[Automaton, np.ndarray]:
         rows = sized.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).orderBy("id", "text").collect()  # bounded by the block
         lines, bloom = [], np.zeros(1 << _BLOOM_BITS, bool)
         for r in rows:
@@ -138,7 +142,9 @@ def _blocks(items: DataFrame, window: int, id_column: str) -> Iterator[tuple[Aut
             lines.append((r.id, [low[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())]))
             if len(w.hash):
                 bloom[(_pairs(w.hash) >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)] = True
-        yield Automaton(lines, window), bloom
+        return Automaton(lines, window), bloom
+
+    return n, make
 
 
 def _stretches(h: np.ndarray, row: np.ndarray, bloom: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,59 +172,100 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str
     return out.select(*kept, *[F.col(k).alias(v) for k, v in _ADDED.items()])
 
 
-def _scanned(docs: DataFrame, items: DataFrame, window: int, id_column: str = "item_id") -> DataFrame:
-    """The columns of ``docs`` as ``_c0 ...`` and the results under the names in ``_ADDED``."""
+def _scanned(docs: DataFrame, items: DataFrame, window: int, id_column: str = "item_id", max_coverage: float | None = None) -> DataFrame:
+    """The columns of ``docs`` as ``_c0 ...`` and the results under the names in ``_ADDED``.
+
+    With ``max_coverage`` the last pass also cuts the hit spans out, and gives the columns of ``docs`` alone.
+    """
     extra = "_n int, _hw array<int>, _hb array<int>, _items array<string>"
     names = [f"_c{i}" for i in range(len(docs.columns))]
     base = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
-    text = names[docs.columns.index("text")]
+    text = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     spark = docs.sparkSession
     small_batches(spark)
-    empty = F.array().cast("array<int>")
-    out = docs.toDF(*names).select("*", F.lit(0).alias("_n"), empty.alias("_hw"), empty.alias("_hb"), F.array().cast("array<string>").alias("_items"))
-    for automaton, bloom in _blocks(items, window, id_column):
-        shared = spark.sparkContext.broadcast((automaton, bloom))  # bounded by BLOCK_WORDS
+    n, make = _blocks(items, window, id_column)
+    out = docs.toDF(*names)
+    for k in range(n):
+        shared = spark.sparkContext.broadcast(make(k))  # bounded by BLOCK_WORDS
+        first, last = k == 0, k == n - 1
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, first=first, last=last):
             auto, table = shared.value
             for b in batches:
-                old_w, old_i = b.column("_hw").to_pylist(), b.column("_items").to_pylist()
-                count, hw, hb = np.zeros(b.num_rows, np.int32), list(old_w), b.column("_hb").to_pylist()
-                for s in tk.slices(b.column(text)):
-                    w = tk.words(s)
-                    count[s.first : s.first + len(s)] = np.diff(w.offs)
-                    if not len(w.hash):
-                        continue
-                    row = w.rows()
-                    low = None
-                    hits: dict[int, list[tuple[int, int]]] = {}
-                    for a, z in zip(*_stretches(w.hash, row, table, auto.shortest)):
-                        low = tk.lower(s.buf).tobytes() if low is None else low
-                        spans, found = auto.scan([low[x:y] for x, y in zip(w.start[a:z].tolist(), w.end[a:z].tolist())])
-                        if spans:
-                            r = int(row[a])
-                            hits.setdefault(r, []).extend((int(a + x - w.offs[r]), int(a + y - w.offs[r])) for x, y in spans)
-                            old_i[s.first + r] = sorted({*old_i[s.first + r], *found})
-                    for r, spans in hits.items():
-                        spans += zip(old_w[s.first + r][::2], old_w[s.first + r][1::2])
-                        merged: list[list[int]] = []
-                        for x, y in sorted(spans):
-                            if merged and x <= merged[-1][1]:
-                                merged[-1][1] = max(y, merged[-1][1])
-                            else:
-                                merged.append([x, y])
-                        hw[s.first + r] = [v for m in merged for v in m]
-                        hb[s.first + r] = [int(v - s.offs[r]) for x, y in merged for v in (w.start[w.offs[r] + x], w.end[w.offs[r] + y - 1])]
-                cols = [b.column(n) for n in names]
+                cols = [b.column(i) for i in range(len(names))]
+                none = [[]] * b.num_rows
+                old = [none, none, none] if first else [b.column(c).to_pylist() for c in ("_hw", "_hb", "_items")]
+                count, hw, hb, hit = _hits(cols[text], auto, table, *old)
+                if last and max_coverage is not None:
+                    yield pa.RecordBatch.from_arrays(_cut(cols, text, size, count, hw, hb, max_coverage), names)
+                    continue
                 yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(count), pa.array(hw, pa.list_(pa.int32())), pa.array(hb, pa.list_(pa.int32())), pa.array(old_i, pa.list_(pa.string()))],
+                    [*cols, pa.array(count), pa.array(hw, pa.list_(pa.int32())), pa.array(hb, pa.list_(pa.int32())), pa.array(hit, pa.list_(pa.string()))],
                     [*names, "_n", "_hw", "_hb", "_items"],
                 )
 
-        out = out.mapInArrow(run, f"{base}, {extra}")
+        out = out.mapInArrow(lean(run), base if last and max_coverage is not None else f"{base}, {extra}")
+        if not last:
+            out = cut(out, "items")
+            shared.unpersist()
     return out
 
 
+def _hits(texts: pa.Array, auto: Automaton, table: np.ndarray, old_w: list, old_b: list, old_i: list) -> tuple[np.ndarray, list, list, list]:
+    """Words of each text, and hit words, hit bytes and items after this block."""
+    count, hw, hb, items = np.zeros(len(texts), np.int32), list(old_w), list(old_b), list(old_i)
+    for s in tk.slices(texts):
+        w = tk.words(s)
+        count[s.first : s.first + len(s)] = np.diff(w.offs)
+        if not len(w.hash):
+            continue
+        row = w.rows()
+        low = None
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for a, z in zip(*_stretches(w.hash, row, table, auto.shortest)):
+            low = tk.lower(s.buf).tobytes() if low is None else low
+            spans, found = auto.scan([low[x:y] for x, y in zip(w.start[a:z].tolist(), w.end[a:z].tolist())])
+            if spans:
+                r = int(row[a])
+                hits.setdefault(r, []).extend((int(a + x - w.offs[r]), int(a + y - w.offs[r])) for x, y in spans)
+                items[s.first + r] = sorted({*items[s.first + r], *found})
+        for r, spans in hits.items():
+            spans += zip(hw[s.first + r][::2], hw[s.first + r][1::2])
+            merged: list[list[int]] = []
+            for x, y in sorted(spans):
+                if merged and x <= merged[-1][1]:
+                    merged[-1][1] = max(y, merged[-1][1])
+                else:
+                    merged.append([x, y])
+            hw[s.first + r] = [v for m in merged for v in m]
+            hb[s.first + r] = [int(v - s.offs[r]) for x, y in merged for v in (w.start[w.offs[r] + x], w.end[w.offs[r] + y - 1])]
+    return count, hw, hb, items
+
+
+def _cut(cols: list[pa.Array], text: int, size: int | None, count: np.ndarray, hw: list, hb: list, max_coverage: float) -> list[pa.Array]:
+    """The columns of the rows of which at most ``max_coverage`` is hit, without their hit spans."""
+    covered = np.array([sum(flat[1::2]) - sum(flat[::2]) for flat in hw], np.int64)
+    keep = np.flatnonzero(covered <= count * max_coverage)
+    cols = [c.take(pa.array(keep)) for c in cols]
+    todo = [(i, hb[k]) for i, k in enumerate(keep.tolist()) if hb[k]]
+    if todo:
+        texts = cols[text].to_pylist()
+        sizes = cols[size].to_pylist() if size is not None else None
+        for i, flat in todo:
+            raw, out, last = texts[i].encode(), [], 0
+            for x, y in zip(flat[::2], flat[1::2]):
+                out.append(raw[last:x])
+                last = y
+            texts[i] = (b"".join(out) + raw[last:]).decode()
+            if sizes is not None:
+                sizes[i] = len(texts[i])
+        cols[text] = pa.array(texts, cols[text].type)
+        if sizes is not None:
+            cols[size] = pa.array(sizes, cols[size].type)
+    return cols
+
+
 def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` with hit spans cut out of ``text``; documents of which more than ``max_coverage`` is hit go.
 
@@ -226,35 +273,7 @@ def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_cover
     """
     if "text" not in docs.columns:
         raise ValueError("docs needs a text column")
-    marked = _scanned(docs, items, window)
-    kept = marked.where(_covered("_hw") <= F.col("_n") * max_coverage)
-    names = docs.columns
-    fields = ", ".join(f"_c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(names))
-    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-
-    def run(batches):
-        for b in batches:
-            cols = [b.column(i) for i in range(len(names))]
-            spans = b.column("_hb").to_pylist()
-            if any(spans):
-                texts = cols[at].to_pylist()
-                sizes = cols[size].to_pylist() if size is not None else None
-                for i, flat in enumerate(spans):
-                    if flat:
-                        raw, out, last = texts[i].encode(), [], 0
-                        for x, y in zip(flat[::2], flat[1::2]):
-                            out.append(raw[last:x])
-                            last = y
-                        texts[i] = (b"".join(out) + raw[last:]).decode()
-                        if sizes is not None:
-                            sizes[i] = len(texts[i])
-                cols[at] = pa.array(texts, cols[at].type)
-                if sizes is not None:
-                    cols[size] = pa.array(sizes, cols[size].type)
-            yield pa.RecordBatch.from_arrays(cols, [f"_c{i}" for i in range(len(names))])
-
-    flat = kept.select(*[f"_c{i}" for i in range(len(names))], "_hb")
-    return flat.mapInArrow(run, fields).toDF(*names)
+    return _scanned(docs, items, window, max_coverage=max_coverage).toDF(*docs.columns)
 
 
 def _covered(column: str):

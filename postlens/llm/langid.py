@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
+from postlens.llm.shared import lean, small_batches
 
 UNDETERMINED = "und"
 
@@ -182,7 +183,8 @@ def train(docs: DataFrame, c: Config = Config()) -> Model:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = docs.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= c.max_docs_per_language)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang")), "doc_id").select("text", "lang")
-    counted = sample.mapInArrow(_count(c.order), "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    small_batches(docs.sparkSession)
+    counted = sample.mapInArrow(lean(_count(c.order)), "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     t = counted.toArrow().to_pandas()  # bounded by the sample
     t["gram"] = t["gram"].astype("int64").to_numpy().view(np.uint64)
     languages = sorted(t["lang"].unique())
@@ -210,6 +212,7 @@ def has_letter(s: tk.Slice) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score)`` for every row of ``docs(doc_id, text)``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -227,7 +230,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     score[s.first + i] = 1.0 / odds[i]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def fold() -> Column:

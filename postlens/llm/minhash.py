@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
 from postlens.llm.components import components
-from postlens.llm.shared import cut, grouped, small_batches
+from postlens.llm.shared import cut, grouped, lean, small_batches
 
 
 #: Ids that are broadcast at most.
@@ -162,7 +162,7 @@ def _near(pairs: DataFrame, classes: DataFrame, c: Config) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint16).reshape(t.num_rows, -1) for k in ("sa", "sb"))
                 yield t.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= c.distance + c.slack))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
@@ -181,7 +181,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), flat], ["doc_id", "grams"])
 
-    return cut(docs.select("doc_id", "text").join(nodes, "doc_id").mapInArrow(run, "doc_id long, grams array<long>"), "sets")
+    return cut(docs.select("doc_id", "text").join(nodes, "doc_id").mapInArrow(lean(run), "doc_id long, grams array<long>"), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
@@ -259,17 +259,17 @@ def _cross(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataF
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[u], rep[v])), pa.array(np.minimum(rep[u], rep[v]))], ["u", "v"])
 
-    return met.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long").distinct()
+    return met.repartition("task").sortWithinPartitions("task").mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``."""
     small_batches(docs.sparkSession)
-    profile = cut(docs.select("doc_id", "text").mapInArrow(_profile(c), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "profile")
+    profile = cut(docs.select("doc_id", "text").mapInArrow(lean(_profile(c)), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "profile")
     full = profile.where("n_shingles > 0")
     # Equal sets have equal signatures, so any of the group's will do.
     classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")).where("rep is not null"), "classes")
-    keyed = classes.select("rep", "sig").mapInArrow(_keys(c), "key long, rep long")
+    keyed = classes.select("rep", "sig").mapInArrow(lean(_keys(c)), "key long, rep long")
     order = F.xxhash64("rep", F.pmod("key", F.lit(c.hubs)))
     hubs = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.rep").alias("hub"), "n")
     # Only the keys of several classes are kept; most have one.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
-from postlens.llm.shared import cut, grouped, pack, small_batches, text_bytes, unpack
+from postlens.llm.shared import cut, grouped, lean, pack, small_batches, text_bytes, unpack
 
 #: Text for each bucket of documents.
 GROUP_BYTES = 2 << 20
@@ -110,7 +110,7 @@ def remove_repeats(
             if rows:
                 yield _batch(rows)
 
-    sent = docs.select("doc_id", "text").mapInArrow(sender, "bucket int, kind int, blob binary")
+    sent = docs.select("doc_id", "text").mapInArrow(lean(sender), "bucket int, kind int, blob binary")
     # What a slice settled itself goes round the buckets with the records and is handed through.
     route = F.when(F.col("kind") == _RECORDS, F.col("bucket")).otherwise(-1 - F.col("bucket"))
     dealt = sent.select(route.alias("bucket"), "kind", "blob").repartition("bucket").sortWithinPartitions("bucket")
@@ -142,9 +142,9 @@ def remove_repeats(
             yield out
         yield from held
 
-    told = cut(dealt.mapInArrow(finder_all, "bucket int, kind int, blob binary").select("bucket", "blob"), "ranges")
+    told = cut(dealt.mapInArrow(lean(finder_all), "bucket int, kind int, blob binary").select("bucket", "blob"), "ranges")
 
-    keyed = docs.select("doc_id", "text").mapInArrow(_key_documents(layout), "bucket int, doc_id long, text string")
+    keyed = docs.select("doc_id", "text").mapInArrow(lean(_key_documents(layout)), "bucket int, doc_id long, text string")
     met = (
         told.select("bucket", F.lit(0).alias("side"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob")
         .unionByName(keyed.select("bucket", F.lit(1).alias("side"), "doc_id", "text", F.lit(None).cast("binary").alias("blob")))
@@ -171,7 +171,7 @@ def remove_repeats(
                 made = finish(s, row[a:z] - s.first, start[a:z], end[a:z])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[s.first : s.first + len(s)]), *made], ["doc_id", *[c.split()[0] for c in columns.split(", ")]])
 
-    return met.mapInArrow(finisher, f"doc_id long, {columns}")
+    return met.mapInArrow(lean(finisher), f"doc_id long, {columns}")
 
 
 def _key_documents(layout: Layout):

@@ -1,9 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A document is the set of its hashed features: words, stems of longer words, pairs of
-neighbouring words and pairs that skip one word. Each shard of a bounded training sample runs FTRL-proximal (a learning
-rate for each coordinate, L1 and L2 terms); the shards' weights are averaged. L1 leaves few
-non-zero weights, so the model that goes to the tasks holds at most ``Config.buckets``
+neighbouring words and pairs that skip one word. A bounded training sample runs FTRL-proximal (a
+learning rate for each coordinate, L1 and L2 terms) in one task. L1 leaves few non-zero weights, so the model that goes to the tasks holds at most ``Config.buckets``
 numbers whatever the size of the corpus. Scoring is a map over whole texts, without a shuffle.
 
 Defined results: null or empty text has no features and gets the score of the bias alone;
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
-from postlens.llm.shared import small_batches
+from postlens.llm.shared import lean, small_batches
 
 
 #: Longer words also count by their first bytes, so that inflected forms share a feature.
@@ -34,8 +33,6 @@ STEMS = (5, 6)
 class Config:
     #: Documents that training reads at most; they are the smallest by a hash of their id.
     max_train_docs: int = 16_000
-    #: Shards that learn side by side before their weights are averaged.
-    shards: int = 1
     epochs: int = 3
     bits: int = 20
     alpha: float = 3.0
@@ -130,17 +127,13 @@ def train(docs: DataFrame, labels: DataFrame, c: Config = Config()) -> Model:
     )
     chosen = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-        .repartition(c.shards, F.pmod(F.xxhash64("doc_id"), F.lit(c.shards)))
-        .mapInArrow(_train_partition(c), "key long, weight double")
+        .repartition(1)  # at most ``max_train_docs`` texts
+        .mapInArrow(lean(_train_partition(c)), "key long, weight double")
     )
-    n, sums = 0, {}
-    for key, weight, of in chosen.groupBy("key").agg(F.sum("weight"), F.count("*")).collect():
-        sums[key] = weight
-        if key == -1:
-            n = of
-    bias = sums.pop(-1, 0.0) / n if n else -1e-6
-    keys = np.array(sorted(sums), np.int64)
-    return Model(keys, np.array([sums[k] / n for k in keys.tolist()], np.float64), bias, c.bits)
+    learnt = dict(chosen.collect())  # at most 2**bits weights
+    bias = learnt.pop(-1, -1e-6)
+    keys = np.array(sorted(learnt), np.int64)
+    return Model(keys, np.array([learnt[k] for k in keys.tolist()], np.float64), bias, c.bits)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
@@ -171,7 +164,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     text = names[keep.index("text")] if "text" in keep else "_text"
     hidden = [] if "text" in keep else [F.col("text").alias(text)]
     out = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], *hidden)
-    out = out.mapInArrow(run, schema)
+    out = out.mapInArrow(lean(run), schema)
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], F.col("_score").alias(name))
 
 

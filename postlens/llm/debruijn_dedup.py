@@ -202,22 +202,6 @@ def _trace(s: tk.Slice, ids: np.ndarray, told: tuple[np.ndarray, ...], k: int) -
 _TRACED = "kind tinyint, doc long, start int, n int, tdoc long, tstart int, node long, label string"
 
 
-def _keyed(layout: spans.Layout):
-    def run(batches):
-        for b in batches:
-            ids = b.column("doc_id")
-            key = spans.doc_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), layout.documents)
-            lost = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
-            key[lost] = (lost * 7919) % layout.documents  # rows without an id go anywhere
-            yield pa.RecordBatch.from_arrays([pa.array(key), ids.cast(pa.int64()), b.column("text").cast(pa.string())], ["bucket", "doc_id", "text"])
-
-    return run
-
-
-def _tasks(buckets: int) -> int:
-    return max(4, -(-buckets // 2))
-
-
 def traced(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, spans.Layout]:
     """Steps 1 and 2: the traced rows (see ``_TRACED``), written to the shared folder."""
     small_batches(docs.sparkSession)
@@ -248,7 +232,7 @@ def traced(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, spans.Layout]:
 
     sent = docs.where("doc_id is not null").mapInArrow(lean(sender), schema)
     route = F.when(F.col("side") == 0, F.col("bucket")).otherwise(-1 - F.col("bucket"))
-    dealt = sent.select(route.alias("route"), "blob").repartition(_tasks(layout.records), "route").sortWithinPartitions("route")
+    dealt = sent.select(route.alias("route"), "blob").repartition(spans.tasks(layout.records), "route").sortWithinPartitions("route")
     told = cut(dealt.mapInArrow(lean(finder), schema).select("bucket", "blob"), "told")
 
     def tracer(batches):
@@ -265,9 +249,9 @@ def traced(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, spans.Layout]:
                     yield pa.RecordBatch.from_arrays(_trace(s, own, tuple(x[mine] for x in found), k), [c.split()[0] for c in _TRACED.split(", ")])
                     found = tuple(x[~mine] for x in found)
 
-    keyed = docs.where("doc_id is not null").mapInArrow(lean(_keyed(layout)), "bucket int, doc_id long, text string")
+    keyed = docs.where("doc_id is not null").mapInArrow(lean(spans.key_documents(layout)), "bucket int, doc_id long, text string")
     met = told.select("bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob").unionByName(keyed.withColumn("blob", F.lit(None).cast("binary")))
-    met = met.repartition(_tasks(layout.documents), "bucket").sortWithinPartitions("bucket")
+    met = met.repartition(spans.tasks(layout.documents), "bucket").sortWithinPartitions("bucket")
     return cut(met.mapInArrow(lean(tracer), _TRACED), "traced"), layout
 
 
@@ -365,10 +349,10 @@ def remove_repeated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
                     digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    keyed = docs.select("doc_id", "text").mapInArrow(lean(_keyed(layout)), "bucket int, doc_id long, text string")
+    keyed = docs.select("doc_id", "text").mapInArrow(lean(spans.key_documents(layout)), "bucket int, doc_id long, text string")
     none = {"start": F.lit(None).cast("int"), "n": F.lit(None).cast("int"), "digest": F.lit(None).cast("binary")}
     met = checks.withColumnRenamed("doc", "doc_id").withColumn("text", F.lit(None).cast("string")).unionByName(keyed.withColumns(none))
-    met = met.repartition(_tasks(layout.documents), "bucket").sortWithinPartitions("bucket")
+    met = met.repartition(spans.tasks(layout.documents), "bucket").sortWithinPartitions("bucket")
     return met.mapInArrow(lean(finisher), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op8_debruijn_dedup": debruijn_dedup.OP8_SQL,
     "op10_minhash": minhash.OP10_SQL,
 }

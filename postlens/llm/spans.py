@@ -80,16 +80,15 @@ def remove_repeats(
     record_bytes: int,
     slice_bytes: int,
 ) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id`` and ``columns``, for every row that has an id.
+    """``docs(doc_id, text)`` -> ``doc_id`` and ``columns``, for every row.
 
-    An id names one text; rows that repeat it get the same result.
+    An id names one text; rows that repeat it get the same result. Rows without an id have no ranges.
 
     ``send(slice, ids, layout)`` gives (bucket, 0, blob) records and, through ``answers``, ranges that
     the slice settles itself; ``find(blobs)`` gives the ranges of a bucket (doc, start, end);
     ``finish(slice, row, start, end)`` gets the merged ranges of a slice's rows and makes the columns.
     """
     small_batches(docs.sparkSession)
-    docs = docs.where("doc_id is not null")
     n, size = text_bytes(docs)
     layout = Layout(max(4, -(-size // record_bytes)), max(4, -(-size // GROUP_BYTES), -(-n // GROUP_DOCS)))
 
@@ -110,10 +109,10 @@ def remove_repeats(
             if rows:
                 yield _batch(rows)
 
-    sent = docs.select("doc_id", "text").mapInArrow(lean(sender), "bucket int, kind int, blob binary")
+    sent = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(sender), "bucket int, kind int, blob binary")
     # What a slice settled itself goes round the buckets with the records and is handed through.
     route = F.when(F.col("kind") == _RECORDS, F.col("bucket")).otherwise(-1 - F.col("bucket"))
-    dealt = sent.select(route.alias("bucket"), "kind", "blob").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = sent.select(route.alias("bucket"), "kind", "blob").repartition(tasks(layout.records), "bucket").sortWithinPartitions("bucket")
 
     def found(batches):
         for b in batches:
@@ -144,11 +143,11 @@ def remove_repeats(
 
     told = cut(dealt.mapInArrow(lean(finder_all), "bucket int, kind int, blob binary").select("bucket", "blob"), "ranges")
 
-    keyed = docs.select("doc_id", "text").mapInArrow(lean(_key_documents(layout)), "bucket int, doc_id long, text string")
+    keyed = docs.select("doc_id", "text").mapInArrow(lean(key_documents(layout)), "bucket int, doc_id long, text string")
     met = (
         told.select("bucket", F.lit(0).alias("side"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob")
         .unionByName(keyed.select("bucket", F.lit(1).alias("side"), "doc_id", "text", F.lit(None).cast("binary").alias("blob")))
-        .repartition("bucket").sortWithinPartitions("bucket", "side")
+        .repartition(tasks(layout.documents), "bucket").sortWithinPartitions("bucket", "side")
     )
 
     def finisher(batches):
@@ -159,8 +158,10 @@ def remove_repeats(
             own = t.slice(k)
             if not own.num_rows:
                 continue
-            ids = own.column("doc_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
+            given = own.column("doc_id").combine_chunks()
+            named = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
+            ids = given.fill_null(0).to_numpy(zero_copy_only=False)
+            order = named[np.argsort(ids[named], kind="stable")]
             low, high = (np.searchsorted(ids[order], doc, side) for side in ("left", "right"))
             row = order[tk.ragged(low, high - low)]
             start, end = (np.repeat(x, high - low) for x in (start, end))
@@ -169,16 +170,26 @@ def remove_repeats(
             for s in tk.slices(own.column("text"), slice_bytes):
                 a, z = np.searchsorted(row, [s.first, s.first + len(s)])
                 made = finish(s, row[a:z] - s.first, start[a:z], end[a:z])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s.first : s.first + len(s)]), *made], ["doc_id", *[c.split()[0] for c in columns.split(", ")]])
+                yield pa.RecordBatch.from_arrays([given.slice(s.first, len(s)), *made], ["doc_id", *[c.split()[0] for c in columns.split(", ")]])
 
     return met.mapInArrow(lean(finisher), f"doc_id long, {columns}")
 
 
-def _key_documents(layout: Layout):
+def tasks(buckets: int) -> int:
+    """Partitions for so many buckets, whatever the session's default is."""
+    return max(4, -(-buckets // 2))
+
+
+def key_documents(layout: Layout):
+    """Documents with their bucket; those without an id go anywhere."""
+
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(ids, layout.documents)), b.column("doc_id"), b.column("text").cast(pa.string())], ["bucket", "doc_id", "text"])
+            ids = b.column("doc_id")
+            key = doc_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), layout.documents)
+            lost = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
+            key[lost] = (lost * 7919) % layout.documents
+            yield pa.RecordBatch.from_arrays([pa.array(key), ids.cast(pa.int64()), b.column("text").cast(pa.string())], ["bucket", "doc_id", "text"])
 
     return run
 

@@ -1,21 +1,24 @@
-"""Exact byte-substring dedup with a logarithmic family of suffix indexes.
+"""Exact byte-substring dedup with a logarithmic family of suffix arrays.
 
 A suffix counts by its first ``length`` bytes. The corpus is dealt so that equal suffixes meet: each
 window of ``length`` bytes goes to the bucket of its minimizer (the least hash among its short grams),
 and neighbouring windows that share it travel as one stretch of text, about three bytes for each byte
-of corpus. In a bucket, batches of stretches get suffix arrays (sorted by a 64-bit fingerprint of
-the first ``length`` bytes, which puts equal suffixes side by side as the lexicographic order would)
-that hold each suffix's smallest document; a new batch enters the family as a level of its own, and
-levels of about equal size merge, so a suffix is merged a logarithmic number of times. Every batch is
-then merge-scanned against the levels: a suffix that some level knows from a smaller document is a
-match, confirmed on the bytes at both ends of the suffix. Runs of matches become byte ranges.
+of corpus. A bucket takes its stretches in batches, by ascending document. Each batch gets a suffix
+array (its suffixes in the order of their bytes), which is merge-scanned against the levels of the
+family: a suffix that a level or an earlier document of the batch has, byte for byte, is a match. The
+suffixes that are new make a level, and levels of about equal size merge, so that a suffix is merged a
+logarithmic number of times. Runs of matches become byte ranges.
 
 Stretches that are equal in a slice or bucket are settled as a whole (those of larger documents are
 matches throughout), so copies cost no suffixes and a common passage sends one stretch for each slice.
+Suffixes that share neither half of their window with another document (by hash) are left out of the
+arrays: they cannot match. Both use hashes to choose, and bytes to decide.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` keep all; repeats
 within one document stay; of equal documents all but the smallest id lose every byte (from ``length``
-bytes on). Ids must be unique.
+bytes on); rows without an id match nothing and keep all; rows that repeat an id are one document, and
+get equal results for equal texts; columns but doc_id and text are not read; a text is held whole by
+one task.
 """
 
 from __future__ import annotations
@@ -36,8 +39,9 @@ GRAM = 12
 #: Text whose windows one bucket holds.
 RECORD_BYTES = 4 << 20
 SLICE_BYTES = 2 << 20
-#: Stretches of a batch that enters the family.
+#: Bytes that are hashed or compared at a time, and suffixes of a batch that enters the family.
 BATCH_BYTES = 2 << 20
+BATCH_SUFFIXES = 1 << 19
 _POS_BITS = 32
 
 
@@ -66,14 +70,27 @@ def stretches(s: tk.Slice, sums: np.ndarray, length: int, gram: int) -> tuple[np
     return at[first], at[last] + length, m[first], h[m[first]]
 
 
-def _beaten(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which members of groups of equal ``key`` have a larger ``doc`` than the group's least."""
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    least = np.repeat(d[first], np.diff(np.append(first, len(k))))
+def _same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pairs of spans (starts ``a`` and ``b``) hold equal bytes."""
+    out = np.zeros(len(a), bool)
+    cuts = np.append(0, np.flatnonzero(np.diff(np.cumsum(size) // BATCH_BYTES)) + 1)
+    for i, j in zip(cuts, np.append(cuts[1:], len(a))):
+        if i < j:
+            differs = buf[tk.ragged(a[i:j], size[i:j])] != buf[tk.ragged(b[i:j], size[i:j])]
+            out[i:j] = ~np.logical_or.reduceat(differs, np.cumsum(size[i:j]) - size[i:j])
+    return out
+
+
+def _beaten(key: np.ndarray, doc: np.ndarray, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which spans hold the bytes of a span of a smaller document (one of equal ``key`` and size)."""
+    order = np.lexsort((doc, size, key))
+    k, z, d = key[order], size[order], doc[order]
+    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (z[1:] != z[:-1]))) if len(k) else np.zeros(0, np.int64)
+    lead = np.repeat(first, np.diff(np.append(first, len(k))))
+    ask = np.flatnonzero(d > d[lead])
+    mine, least = order[ask], order[lead[ask]]
     out = np.zeros(len(k), bool)
-    out[order] = d > least
+    out[mine] = _same(buf, start[mine], start[least], size[mine])
     return out
 
 
@@ -91,45 +108,66 @@ def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 class IndexFamily:
-    """Levels of suffix entries, sorted by fingerprint: for each the stretch of the smallest document, and where its bytes are."""
-
-    def __init__(self, doc: np.ndarray) -> None:
-        self.doc = doc
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def add(self, key: np.ndarray, stretch: np.ndarray, at: np.ndarray) -> None:
-        """Enter a batch, sorted by ``key``."""
-        level = self._least(key, stretch, at)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            both = [np.concatenate(x) for x in zip(self.levels.pop(), level)]
-            order = np.argsort(both[0], kind="stable")  # two sorted runs: a merge
-            level = self._least(*(x[order] for x in both))
-        self.levels.append(level)
-
-    def _least(self, key, stretch, at):
-        if not len(key):
-            return key, stretch, at
-        new = np.append(True, key[1:] != key[:-1])
-        first = np.flatnonzero(new)
-        if len(first) == len(key):
-            return key, stretch, at
-        doc = self.doc[stretch]
-        least = np.minimum.reduceat(doc, first)
-        group = np.cumsum(new) - 1
-        i = np.flatnonzero(doc == least[group])
-        i = i[np.append(True, group[i[1:]] != group[i[:-1]])]
-        return key[i], stretch[i], at[i]
-
-    def matches(self, key: np.ndarray, stretch: np.ndarray, at: np.ndarray, same) -> np.ndarray:
-        """Which entries of a batch sorted by ``key`` some level knows from a smaller document, with equal bytes."""
-        out = np.zeros(len(key), bool)
-        for keys, stretches_, ats in self.levels:
-            i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0)) if len(keys) else np.zeros(0, np.int64)
-            hit = np.flatnonzero(keys[i] == key) if len(keys) else i
-            i = i[hit]
-            less = self.doc[stretches_[i]] < self.doc[stretch[hit]]
-            hit, i = hit[less], i[less]
-            out[hit[same(at[hit], ats[i])]] = True
+    """Levels of suffix arrays over ``buf``: places in the order of their next ``length`` bytes, each with the smallest document that has them."""
+
+    #: Suffixes whose bytes are laid out at a time.
+    STEP = 1 << 18
+
+    def __init__(self, buf: np.ndarray, length: int) -> None:
+        self.windows = np.lib.stride_tricks.sliding_window_view(buf, length)
+        self.kind = f"S{length}"
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _bytes(self, at: np.ndarray) -> np.ndarray:
+        return self.windows[at].view(self.kind).ravel()
+
+    def add(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Enter the suffixes ``at`` of documents that ascend, none smaller than those entered before; which of them a smaller document has."""
+        out = np.zeros(len(at), bool)
+        if not len(at):
+            return out
+        key = self._bytes(at)
+        order = np.argsort(key, kind="stable")  # the batch's suffix array; equal suffixes by document
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        heads = key[first]
+        del key
+        least = doc[order[first]]
+        known = np.zeros(len(first), bool)
+        for places, docs in self.levels:
+            for i in range(0, len(places), self.STEP):  # a merge-scan: both sides are in order
+                theirs = self._bytes(places[i : i + self.STEP])
+                low, high = np.searchsorted(heads, theirs[0]), np.searchsorted(heads, theirs[-1], "right")
+                j = np.searchsorted(theirs, heads[low:high])
+                hit = low + np.flatnonzero(theirs[np.minimum(j, len(theirs) - 1)] == heads[low:high])
+                known[hit] = True
+                least[hit] = np.minimum(least[hit], docs[i + j[hit - low]])
+        out[order] = doc[order] > np.repeat(least, np.diff(np.append(first, len(order))))
+        fresh = order[first[~known]]
+        self._enter(at[fresh].astype(np.int32), doc[fresh])
+        return out
+
+    def _enter(self, places: np.ndarray, docs: np.ndarray) -> None:
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(places):
+            old, old_docs = self.levels.pop()
+            # Merge: where each new suffix goes among the old ones (none is equal).
+            into = np.concatenate([np.zeros(0, np.int64)] + [self._among(old, places[i : i + self.STEP]) for i in range(0, len(places), self.STEP)])
+            spot = into + np.arange(len(places))
+            both, both_docs = np.empty(len(old) + len(places), np.int32), np.empty(len(old) + len(places), np.int64)
+            rest = np.ones(len(both), bool)
+            rest[spot] = False
+            both[spot], both_docs[spot] = places, docs
+            both[rest], both_docs[rest] = old, old_docs
+            places, docs = both, both_docs
+        if len(places):
+            self.levels.append((places, docs))
+
+    def _among(self, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+        key = self._bytes(new)
+        out = np.zeros(len(new), np.int64)
+        for i in range(0, len(old), self.STEP):
+            theirs = self._bytes(old[i : i + self.STEP])
+            out = np.where(out == i, i + np.searchsorted(theirs, key), out)
         return out
 
 
@@ -145,7 +183,7 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
             return
         row = np.searchsorted(s.offs, start, "right") - 1
         doc, pos = ids[row].astype(np.int64), start - s.offs[row]
-        beaten = _beaten(tk.span_hash(sums, start, end) + (end - start).astype(np.uint64), doc)
+        beaten = _beaten(tk.span_hash(sums, start, end), doc, s.buf, start, end - start)
         if beaten.any():
             yield from spans.answers(doc[beaten], pos[beaten], (pos + end - start)[beaten], layout, 1)
         go = np.flatnonzero(~beaten)
@@ -176,41 +214,33 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
         start = end - size
         place = start + np.concatenate(places)
         whole, left, right = (np.zeros(len(size), np.uint64) for _ in range(3))
-        batches = []
         cuts = np.append(0, np.flatnonzero(np.diff(end // BATCH_BYTES)) + 1)
         for a, z in zip(cuts, np.append(cuts[1:], len(size))):
             low = start[a]
             sums = tk.byte_sums(buf[low : end[z - 1]])
-            whole[a:z] = tk.span_hash(sums, start[a:z] - low, end[a:z] - low) + size[a:z].astype(np.uint64)
+            whole[a:z] = tk.span_hash(sums, start[a:z] - low, end[a:z] - low)
             for side, x, y in ((right, place, place + half), (left, place + gram - half, place + gram)):
                 i = a + np.flatnonzero((x[a:z] >= start[a:z]) & (y[a:z] <= end[a:z]))
                 side[i] = tk.span_hash(sums, x[i] - low, y[i] - low)
-        beaten = _beaten(whole, doc)
+        beaten = _beaten(whole, doc, buf, start, size)
         out = [(doc[beaten], pos[beaten], (pos + size)[beaten])]
         # A window holds the half to the left of its minimizer or the one to the right, so it can
         # only match where another document shares that half; most windows end here.
         right, left = (~beaten & _shared(side, doc) for side in (right, left))
         turn = place + gram - half
-        family = IndexFamily(doc)
-        for a, z in zip(cuts, np.append(cuts[1:], len(size))):
-            low = start[a]
-            first = np.where(left[a:z], start[a:z], np.maximum(start[a:z], turn[a:z]))
-            last = np.where(right[a:z], end[a:z] - length, np.minimum(end[a:z] - length, turn[a:z] - 1))
-            n = np.where(left[a:z] | right[a:z], np.maximum(last - first + 1, 0), 0)
-            at = tk.ragged(first - low, n)
-            sums = tk.byte_sums(buf[low : end[z - 1]])
-            key = tk.span_hash(sums, at, at + length)
-            order = np.argsort(key)
-            batches.append((key[order], np.repeat(np.arange(a, z, dtype=np.int32), n)[order], (at + low).astype(np.int32)[order]))
-            family.add(*batches[-1])
-        ends = np.ndarray(max(len(buf) - 7, 0), "<u8", buf.tobytes(), strides=(1,)) if len(buf) > 7 else None
-        same = lambda x, y: (ends[x] == ends[y]) & (ends[x + length - 8] == ends[y + length - 8])
-        for key, stretch, at in batches:
-            hit = family.matches(key, stretch, at, same)
-            at, of = at[hit].astype(np.int64), stretch[hit]
+        low = np.where(left, start, np.maximum(start, turn))
+        high = np.where(right, end - length, np.minimum(end - length, turn - 1))
+        n = np.where(left | right, np.maximum(high - low + 1, 0), 0)
+        family = IndexFamily(buf, length)
+        some = np.flatnonzero(n)
+        some = some[np.argsort(doc[some], kind="stable")]
+        cuts = np.append(0, np.flatnonzero(np.diff(np.cumsum(n[some]) // BATCH_SUFFIXES)) + 1)
+        for a, z in zip(cuts, np.append(cuts[1:], len(some))):
+            i = some[a:z]
+            at, of = tk.ragged(low[i], n[i]), np.repeat(i, n[i])
+            hit = family.add(at, doc[of])
+            at, of = at[hit], of[hit]
             if len(at):
-                order = np.argsort(at)
-                at, of = at[order], of[order]
                 new = np.append(True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]))
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(at)) - 1
@@ -235,3 +265,20 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+win as (select doc_id, i, b[i + 1 : i + 50] as s from (select doc_id, b, unnest(generate_series(0, octet_length(b) - 50)) as i from d where octet_length(b) >= 50)),
+least_of as (select s, min(doc_id) as least from win group by s),
+hit as (select doc_id, i from win join least_of using (s) where doc_id > least),
+runs as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as fresh from hit)),
+span as (select doc_id, min(i) as a, max(i) + 50 as z from runs group by doc_id, run),
+piece as (
+  select doc_id, from_at, to_at from (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as from_at, a as to_at from span)
+  union all select doc_id, max(z), null from span group by doc_id),
+kept as (select p.doc_id, string_agg(hex(b[from_at + 1 : coalesce(to_at, octet_length(b))]), '' order by from_at) as h from piece p join d using (doc_id) group by p.doc_id),
+gone as (select doc_id, sum(z - a) as removed, count(*) as spans from span group by doc_id)
+select d.doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(coalesce(unhex(h), b)) as kept_sha256
+from d left join gone on gone.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
+"""

@@ -53,21 +53,88 @@ def test_substrings_match_brute_force(docs):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
-def test_repeat_removers_take_null_and_repeated_ids(spark):
+@pytest.mark.parametrize("remove", [suffix_dedup.remove_substrings, debruijn_dedup.remove_repeated])
+def test_repeat_removers_keep_every_row(spark, remove):
     text = " ".join(f"w{i}" for i in range(60))
-    df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, text + " end"), (3, None)], "doc_id long, text string")
-    sub = [(r.doc_id, r.n_removed) for r in suffix_dedup.remove_substrings(df).collect()]
-    assert sorted(sub) == [(1, 0), (1, 0), (2, len(text)), (3, 0)]
-    words = [(r.doc_id, r.n_removed) for r in debruijn_dedup.remove_repeated(df).collect()]
-    assert sorted(words) == [(1, 60), (1, 60), (2, 60), (3, 0)]
-
-
-def test_suffix_family_levels_merge():
-    family = suffix_dedup.IndexFamily(np.arange(64))
-    for i in range(16):
-        key = np.sort(np.random.default_rng(i).integers(0, 1 << 60, 100).astype(np.uint64))
-        family.add(key, np.full(100, i, np.int32), np.arange(100, dtype=np.int32))
-    assert len(family.levels) <= 5 and sum(len(x[0]) for x in family.levels) == 1600
+    rows = [(None, text, 1), (None, None, 1), (1, text, 2), (1, text, 3), (2, text + " end", 4), (3, None, 5), (4, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed long")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in remove(df).collect()))
+    mine, copy = (0, len(text)) if remove is suffix_dedup.remove_substrings else (60, 60)
+    assert got == [(False, 1, mine), (False, 1, mine), (False, 2, copy), (False, 3, 0), (False, 4, 0), (True, 0, 0), (True, 0, 0)]
+
+
+@pytest.mark.parametrize("remove", [suffix_dedup.remove_substrings, debruijn_dedup.remove_repeated])
+def test_repeat_removers_take_texts_over_a_slice(spark, remove):
+    rng = random.Random(5)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(200_000))  # over 2 MB
+    passage = long[1_000_000:1_001_000].split(" ", 1)[1].rsplit(" ", 1)[0]
+    df = spark.createDataFrame([(1, long), (2, passage), (3, "only short")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in remove(df).collect()}
+    n = len(passage) if remove is suffix_dedup.remove_substrings else len(passage.split())
+    assert got == {1: 0 if remove is suffix_dedup.remove_substrings else n, 2: n, 3: 0}
+
+
+@pytest.mark.parametrize("step", [7, 1 << 18])
+def test_suffix_family_is_in_order_and_merges(step, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.IndexFamily, "STEP", step)
+    rng = np.random.default_rng(2)
+    buf = rng.integers(97, 100, 1500).astype(np.uint8)
+    family = suffix_dedup.IndexFamily(buf, 6)
+    seen: dict[bytes, int] = {}
+    for doc in range(15):
+        at = np.arange(doc * 100, min(doc * 100 + 100, len(buf) - 6))
+        got = family.add(at, np.full(len(at), doc))
+        for p, hit in zip(at.tolist(), got.tolist()):
+            s = buf[p : p + 6].tobytes()
+            assert hit == (seen.setdefault(s, doc) < doc)
+    assert sum(len(x) for x, _ in family.levels) == len(seen)
+    sizes = [len(x) for x, _ in family.levels]
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    for places, docs in family.levels:
+        words = [buf[p : p + 6].tobytes() for p in places]
+        assert words == sorted(words) and [seen[w] for w in words] == docs.tolist()
+
+
+def brute_paths(rows, k):
+    """Nonbranching paths of the graph of repeated windows, as tuples of their edges."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    count: dict[tuple, int] = {}
+    for w in words:
+        for i in range(len(w) - k + 1):
+            count[tuple(w[i : i + k])] = count.get(tuple(w[i : i + k]), 0) + 1
+    edges = [e for e, n in count.items() if n > 1]
+    into, out = {}, {}
+    for e in edges:
+        out.setdefault(e[:-1], []).append(e)
+        into.setdefault(e[1:], []).append(e)
+    plain = lambda v: len(into.get(v, [])) == 1 and len(out.get(v, [])) == 1
+    left, found = set(edges), []
+    for e in [e for e in edges if not plain(e[:-1])] + edges:
+        if e not in left:
+            continue
+        path = []
+        while e in left:
+            left.discard(e)
+            path.append(e)
+            if not plain(e[1:]):
+                break
+            e = out[e[1:]][0]
+        found.append(len(path))
+    return found, sum(count[e] for e in edges)
+
+
+@pytest.mark.parametrize("k", [3, 35])
+def test_paths_match_brute_force(spark, docs, k):
+    rng = random.Random(9)
+    rows = sorted(docs.collect()) if k == 35 else [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(2, 40)))) for i in range(40)] + [(90, "z " * 30), (91, "q r s q r s q r s q r s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, places = brute_paths(rows, k)
+    got = debruijn_dedup.paths(df, k).collect()
+    assert sorted(r.n_words - k + 1 for r in got) == sorted(want)
+    traced, _ = debruijn_dedup.traced(df, k)
+    found = debruijn_dedup.placed(traced, debruijn_dedup.compacted(traced)).collect()
+    spots = {(r.doc, r.start + i) for r in found for i in range(r.n)}
+    assert len(spots) == sum(r.n for r in found) == places  # every repeated window lies on one path, once
 
 
 def test_word_windows_match_brute_force(docs):

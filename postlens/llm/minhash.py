@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
@@ -288,13 +288,20 @@ def near_duplicates(docs: DataFrame, c: Config = Config()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, c: Config = Config()) -> DataFrame:
-    """One row of each group of near-duplicates stays, the one of the smallest id; rows without an id stay too."""
-    found = near_duplicates(docs.where("doc_id is not null"), c)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id"), "gone")
-    if gone.count() <= BROADCAST_IDS:  # else the texts are shuffled
-        gone = F.broadcast(gone)
+    """One row of each group of near-duplicates stays, the one of the smallest id (of rows that repeat it, the first text and one row); rows without an id stay too."""
+    found = cut(near_duplicates(docs.where("doc_id is not null"), c), "found")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")).where("n > 1 and least = doc_id").select("doc_id")
+    gone, twice = cut(gone, "gone"), cut(twice, "twice")
+    small = gone.count() <= BROADCAST_IDS  # else the texts are shuffled
     names = docs.columns
-    return docs.join(gone, "doc_id", "left_anti").select(*names)
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*names)
+    if twice.isEmpty():
+        return kept
+    few = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
+    again = kept.join(few, "doc_id", "left_semi").select(*names)
+    first = again.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_place = 1").select(*names)
+    return kept.join(few, "doc_id", "left_anti").select(*names).unionByName(first)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,13 @@ def test_keep_one_keeps_columns_and_one_of_each(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
 
 
+def test_keep_one_keeps_one_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(5, text), (5, text), (9, text), (9, text), (3, "other words here"), (None, text), (None, text)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in minhash.keep_one(df).collect())
+    assert got == [(0, text), (0, text), (3, "other words here"), (5, text)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)], "u long, v long")
     assert {r.component for r in components(edges).collect()} == {0}
@@ -280,6 +287,48 @@ def test_packing_is_whole_and_fits(spark):
         assert (g.bin_offset.values[1:] == (g.bin_offset + g.n_tokens).values[:-1]).all()
 
 
+def best_cost(lengths, c):
+    """The least cost of bins that hold all ``lengths``, by trying every partition."""
+    if not lengths:
+        return 0.0
+    head, rest = lengths[0], lengths[1:]
+    least = float("inf")
+    for mask in range(1 << len(rest)):
+        size = head + sum(n for i, n in enumerate(rest) if mask >> i & 1)
+        caps = [k for k in c.capacities if k >= size]
+        if caps:
+            least = min(least, c.cost(min(caps)) + best_cost([n for i, n in enumerate(rest) if not mask >> i & 1], c))
+    return least
+
+
+def test_packing_is_near_the_optimum():
+    c = packing.Config(capacities=(4, 8, 16), overhead=1.0)
+    rng = random.Random(3)
+    ours = best = 0.0
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, 17) for _ in range(rng.randrange(1, 8))), reverse=True)
+        bins, caps = packing.pack_lengths(lengths, c)
+        got = sum(map(c.cost, caps))
+        least = best_cost(lengths, c)
+        assert got >= least - 1e-9
+        assert all(sum(n for n, b in zip(lengths, bins) if b == i) <= cap for i, cap in enumerate(caps))
+        ours, best = ours + got, best + least
+    assert ours <= 1.08 * best
+
+
+def test_packing_bounds_groups_of_equal_rows(spark, monkeypatch):
+    sizes = []
+    plain = packing.pack_lengths
+    c = packing.Config(capacities=(4, 8), group_pieces=10)
+    monkeypatch.setattr(packing, "pack_lengths", lambda lengths, c: sizes.append(len(lengths)) or plain(lengths, c))
+    rows = [(7, "a b c")] * 95 + [(None, "d e")] * 30 + [(i, "w " * (i % 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bin_id", F.lit("x")).withColumn("n_tokens", F.lit(0))
+    out = packing.pack(df, c).toPandas()
+    assert out.n_tokens.sum() == sum(len(t.split()) for _, t in rows)
+    bins = out.dropna(subset=["bin_id"]).groupby("bin_id")
+    assert (bins.n_tokens.sum() <= bins.bin_capacity.first()).all() and bins.bin_capacity.nunique().max() == 1
+
+
 def test_language_held_out(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet")
     got = queries.QUERIES["op9_langid"](spark, data).join(d.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

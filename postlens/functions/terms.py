@@ -43,12 +43,93 @@ TECH_CATEGORY_MAP = {
     "Product & Design": ["product manager", "ux designer", "ui designer", "product owner", "ux/ui"],
     "QA & Testing": ["qa engineer", "quality assurance", "test engineer", "sdet"],
 }
-TECH_KEYWORDS = ["developer", "engineer", "software", "data", "devops", "cloud", "frontend", "backend", "python", "java", "machine learning", "sql", "technical", "automation"]
+TECH_KEYWORDS = [
+    "developer", "engineer", "software", "data", "devops", "cloud", "frontend", "backend", "full stack", "fullstack", "python", "java", "javascript",
+    "react", "node", "android", "ios", "mobile app", "machine learning", "ai ", "artificial intelligence", "cybersecurity", "security analyst",
+    "network engineer", "systems admin", "sysadmin", "database", "sql", "product manager", "ux", "ui designer", "qa engineer", "quality assurance",
+    "it support", "helpdesk", "scrum", "technical", "programmer", "web developer", "site reliability", "ict", "information technology",
+    "computer science", "system analyst", "network administrator", "it officer", "it manager", "it technician", "solutions architect",
+    "business analyst", "data engineer", "cloud architect", "infrastructure engineer", "telecom", "telecoms", "erp", "sap consultant", "salesforce",
+    "digital transformation", "automation", "robotics", "blockchain", "fintech engineer", "game developer", "embedded systems", "firmware",
+    "technical support", "help desk", "it consultant", "application developer", ".net developer", "php developer", "ruby developer", "golang",
+    "c++ developer",
+]
 REMOTE_KEYWORDS = ["remote", "work from home", "wfh", "distributed", "diaspora", "global", "international"]
 PREFERRED_WORDS = ["preferred", "nice to have", "bonus", "advantageous", "plus"]
-PLACEHOLDER_TEXTS = ["", "no description", "n/a", "none", "nan", "unknown"]
-CERTIFICATIONS = {"aws certified": "AWS Certified", "pmp": "PMP", "cissp": "CISSP", "ccna": "CCNA", "scrum master": "Scrum Master"}
-EDUCATION = {"bachelor": "Bachelor's Degree", "master": "Master's Degree", "phd": "PhD", "associate degree": "Associate Degree", "diploma": "High School/Diploma"}
+PLACEHOLDER_TEXTS = ["no description", "n/a", "none", "not available", "description not available", ""]
+CERTIFICATIONS = {
+    "aws": "AWS Certification", "kubernetes": "Kubernetes Certification", "gcp": "GCP Certification", "azure": "Azure Certification",
+    "cissp": "CISSP", "oscp": "OSCP", "pmp": "PMP", "scrum master": "Scrum Master",
+}
+SERVICE_CERTIFICATIONS = ["aws certified", "azure certified", "google cloud certified", "pmp", "ccna", "comptia", "scrum master", "cissp", "ckad", "cka"]
+# Patterns on lower-case text; words are bounded, so that "as" and "months" name no degree.
+EDUCATION = {
+    "Bachelor's Degree": r"(^|[^a-z])(bachelors?|b\.?s\.?|b\.?a\.?)\s+(degree|in)",
+    "Master's Degree": r"(^|[^a-z])(masters?|m\.?s\.?|m\.?a\.?)\s+(degree|in)",
+    "PhD": r"(^|[^a-z])(phd|ph\.?d\.?|doctorate)",
+    "Associate Degree": r"(^|[^a-z])associates?('s)?\s+degree",
+    "Diploma/High School": r"(^|[^a-z])(high school|diploma)",
+}
+SERVICE_EDUCATION = {
+    "bachelor": "Bachelor's degree", "b.sc": "Bachelor's degree", "bsc": "Bachelor's degree", "master": "Master's degree", "msc": "Master's degree",
+    "m.sc": "Master's degree", "phd": "PhD", "doctorate": "PhD", "diploma": "Diploma",
+}
+EXPERIENCE_PATTERNS = [r"(\d+)\+?\s*years?\s+of\s+experience", r"(\d+)\s*-\s*(\d+)\s*years?\s+experience", r"(?:at least|minimum)\s+(\d+)\s*years?", r"(\d+)\+\s*years"]
+SERVICE_EXPERIENCE_PATTERNS = [r"(\d{1,2})\s*\+?\s*years?\s+(?:of\s+)?experience", r"experience\s*[:\-]?\s*(\d{1,2})\s*\+?\s*years?", r"(\d{1,2})\s*\+?\s*yrs?\b"]
+REQUIREMENT_PATTERNS = [r"must have\s+([^.!?]+)", r"requires?\s+([^.!?]+)", r"needs?\s+([^.!?]+)", r"essential\s+([^.!?]+)", r"key\s+qualifications?\s*:?\s*([^.!?]+)"]
+SALARY_PATTERNS = [r"\$?([\d,]+(?:\.\d{2})?)\s*-\s*\$?([\d,]+(?:\.\d{2})?)", r"\$?([\d.]+)k?\s*-\s*\$?([\d.]+)k?", r"(?:from|starting at)?\s*\$?([\d,]+(?:\.\d{2})?)"]
+SALARY_CURRENCIES = {"USD": ["$", "usd", "dollar"], "EUR": ["€", "eur"], "GBP": ["£", "gbp"], "ZAR": ["zar", "rand"], "NGN": ["ngn", "naira"]}
+PAN_AFRICAN_WORDS = ["africa", "diaspora", "pan-african", "panafrican"]
+WORK_MODE_SPELLINGS = {"remote": "remote", "hybrid": "hybrid", "on-site": "onsite", "onsite": "onsite", "on site": "onsite"}
+# Country name, ISO alpha-2, alpha-3.
+COUNTRIES = [
+    ("Algeria", "DZ", "DZA"), ("Angola", "AO", "AGO"), ("Benin", "BJ", "BEN"), ("Botswana", "BW", "BWA"), ("Burkina Faso", "BF", "BFA"), ("Burundi", "BI", "BDI"),
+    ("Cameroon", "CM", "CMR"), ("Cape Verde", "CV", "CPV"), ("Central African Republic", "CF", "CAF"), ("Chad", "TD", "TCD"), ("Comoros", "KM", "COM"),
+    ("Congo", "CG", "COG"), ("Democratic Republic of the Congo", "CD", "COD"), ("Côte d'Ivoire", "CI", "CIV"), ("Djibouti", "DJ", "DJI"), ("Egypt", "EG", "EGY"),
+    ("Equatorial Guinea", "GQ", "GNQ"), ("Eritrea", "ER", "ERI"), ("Ethiopia", "ET", "ETH"), ("Gabon", "GA", "GAB"), ("Gambia", "GM", "GMB"), ("Ghana", "GH", "GHA"),
+    ("Guinea", "GN", "GIN"), ("Guinea-Bissau", "GW", "GNB"), ("Kenya", "KE", "KEN"), ("Lesotho", "LS", "LSO"), ("Liberia", "LR", "LBR"), ("Libya", "LY", "LBY"),
+    ("Madagascar", "MG", "MDG"), ("Malawi", "MW", "MWI"), ("Mali", "ML", "MLI"), ("Mauritania", "MR", "MRT"), ("Mauritius", "MU", "MUS"), ("Morocco", "MA", "MAR"),
+    ("Mozambique", "MZ", "MOZ"), ("Namibia", "NA", "NAM"), ("Niger", "NE", "NER"), ("Nigeria", "NG", "NGA"), ("Rwanda", "RW", "RWA"),
+    ("Sao Tome and Principe", "ST", "STP"), ("Senegal", "SN", "SEN"), ("Seychelles", "SC", "SYC"), ("Sierra Leone", "SL", "SLE"), ("Somalia", "SO", "SOM"),
+    ("South Africa", "ZA", "ZAF"), ("South Sudan", "SS", "SSD"), ("Sudan", "SD", "SDN"), ("Eswatini", "SZ", "SWZ"), ("Tanzania", "TZ", "TZA"), ("Togo", "TG", "TGO"),
+    ("Tunisia", "TN", "TUN"), ("Uganda", "UG", "UGA"), ("Zambia", "ZM", "ZMB"), ("Zimbabwe", "ZW", "ZWE"),
+]
+# Spellings beside the names of COUNTRIES; the codes of nine of them are spelt out, as only those count.
+COUNTRY_SPELLINGS = {
+    "ZA": "South Africa", "NG": "Nigeria", "EG": "Egypt", "GH": "Ghana", "KE": "Kenya", "MA": "Morocco", "TN": "Tunisia", "UG": "Uganda", "DZ": "Algeria",
+    "ZAF": "South Africa", "NGA": "Nigeria", "EGY": "Egypt", "GHA": "Ghana", "KEN": "Kenya", "MAR": "Morocco", "TUN": "Tunisia", "UGA": "Uganda", "DZA": "Algeria",
+    "RSA": "South Africa", "SA": "South Africa", "NAI": "Kenya", "NBO": "Kenya", "JNB": "South Africa", "CPT": "South Africa", "CAI": "Egypt", "ACC": "Ghana",
+    "ABJ": "Nigeria", "LOS": "Nigeria", "LAG": "Nigeria", "Any": "Global Remote", "Global Remote": "Global Remote", "Remote": "Global Remote",
+    "Worldwide": "Global Remote", "Unknown": "Global Remote",
+}
+TITLE_SENIORITY_WORDS = "senior sr junior jr entry mid lead principal staff associate intern chief head the of and a i ii iii iv 1 2 3 4".split()
+TITLE_SYNONYMS = {
+    "engineer": "developer", "programmer": "developer", "coder": "developer", "dev": "developer", "devs": "developer", "analysts": "analyst",
+    "analytics": "analysis", "ml": "machine learning", "ai": "artificial intelligence",
+}
+# A default dictionary of skills; larger ones are given as a parameter.
+SKILLS = {
+    "python": "programming_language", "javascript": "programming_language", "typescript": "programming_language", "java": "programming_language",
+    "go": "programming_language", "rust": "programming_language", "c++": "programming_language", "c#": "programming_language", "php": "programming_language",
+    "ruby": "programming_language", "kotlin": "programming_language", "scala": "programming_language", "r": "programming_language",
+    "sql": "programming_language", "bash": "programming_language", "django": "web_framework", "fastapi": "web_framework", "flask": "web_framework",
+    "react": "web_framework", "vue": "web_framework", "angular": "web_framework", "spring boot": "web_framework", "node.js": "web_framework",
+    "next.js": "web_framework", ".net": "web_framework", "aws": "cloud_platform", "gcp": "cloud_platform", "google cloud": "cloud_platform",
+    "azure": "cloud_platform", "postgresql": "database", "mysql": "database", "mongodb": "database", "redis": "database", "docker": "devops",
+    "kubernetes": "devops", "terraform": "devops", "ci/cd": "devops", "git": "devops", "linux": "devops", "spark": "data", "airflow": "data",
+    "kafka": "data", "etl": "data", "machine learning": "ai_ml", "deep learning": "ai_ml", "tensorflow": "ai_ml", "pytorch": "ai_ml", "nlp": "ai_ml",
+    "rest": "api", "api": "api", "graphql": "api", "agile": "method", "scrum": "method", "excel": "tool", "power bi": "tool", "tableau": "tool",
+}
+# Phrases that tell that an ambiguous word names a skill, and phrases in which it does not.
+CONTEXT_PATTERNS = {
+    "r": [r"\br\b.*(?:program|language|studio|statistic|script|package|code|develop)", r"(?:program|language|studio|statistic|script|package|code|develop).*\br\b", r"\br\b.*(?:data scien|analy|visuali|comput|model|stat)", r"(?:using|with|in|know)\s+r\b"],
+    "go": [r"\bgo\b.*(?:program|language|develop|backend|microservice|golang)", r"(?:program|language|develop|backend|microservice|golang).*\bgo\b", r"\bgo\b.*(?:goroutine|concurrent|channel)", r"(?:using|with|in|know)\s+go\b"],
+    "api": [r"\bapi\b.*(?:design|develop|build|rest|graphql|endpoint|integrat)", r"(?:rest|graphql|build|design|develop|integrat).*\bapi\b", r"\bapi\b.*(?:gateway|management|version|documentation)"],
+    "rest": [r"\brest\b.*(?:api|ful|service|endpoint|architect)", r"(?:api|ful|service|endpoint|architect).*\brest\b"],
+    "git": [r"\bgit\b.*(?:version|control|repository|branch|merge|commit|push|pull|clone)", r"(?:version|control|repository|branch|merge|commit|push|pull|clone).*\bgit\b", r"(?:using|with|in|know)\s+git\b"],
+    "sql": [r"\bsql\b.*(?:query|database|server|mysql|postgres|oracle|write)", r"(?:query|database|server|mysql|postgres|oracle|write).*\bsql\b"],
+}
+FALSE_POSITIVES = {"go": ["go-to-market", "go to market", "gtm", "go-live", "go live"]}
 QUESTION_TYPES = {
     "skills": ["skill", "technolog", "learn"],
     "salary": ["salary", "pay", "earn"],

@@ -131,17 +131,99 @@ def seniority_rank(level: Column) -> Column:
 
 
 def seniority_from_years(years: Column) -> Column:
-    return F.when(years < 1, "Intern").when(years < 2, "Entry Level").when(years < 5, "Mid-Level").when(years < 8, "Senior").when(years < 12, "Lead").otherwise("Executive")
+    return F.when(years == 0, "Intern").when(years < 2, "Entry Level").when(years < 5, "Mid-Level").when(years < 10, "Senior").when(years < 15, "Lead").otherwise("Executive")
 
 
-def years_experience(c: Column) -> Column:
-    """Most years named by any of the phrasings, 0 if none."""
+def years_experience(c: Column, patterns: list[str] = terms.EXPERIENCE_PATTERNS, low: int = 0, high: int | None = None) -> Column:
+    """Most years (``low`` to ``high``) named by any of the phrasings, 0 if none. The service uses its own patterns and 1 to 40 years."""
+    text = F.lower(c)
+    found = F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]), lambda x: x.try_cast("int"))
+    return F.coalesce(F.array_max(F.filter(found, lambda x: (x >= low) & (x <= (2**31 - 1 if high is None else high)))), F.lit(0))
+
+
+def matching_labels(c: Column, patterns: dict[str, str]) -> Column:
+    """Sorted labels of the patterns that the lower-case text matches."""
+    low = F.lower(c)
+    return F.array_sort(F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in patterns.items()])))
+
+
+def requirements(c: Column, patterns: list[str] = terms.REQUIREMENT_PATTERNS, most: int = 10) -> Column:
+    """What follows the trigger phrases up to the end of the sentence, 11 to 199 characters; the first ``most``, distinct and sorted."""
     low = F.lower(c)
-    found = [
-        F.regexp_extract_all(low, F.lit(p), F.lit(g))
-        for p, g in ((r"(\d+)\+?\s*years?\s+of\s+experience", 1), (r"(\d+)\s*-\s*(\d+)\s*years?\s+experience", 2), (r"(?:at least|minimum)\s+(\d+)\s*years?", 1), (r"(\d+)\+\s*years", 1))
-    ]
-    return F.coalesce(F.array_max(F.transform(F.concat(*found), lambda x: x.cast("int"))), F.lit(0))
+    found = F.transform(F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in patterns]), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_sort(F.array_distinct(F.slice(F.filter(found, lambda x: (F.length(x) > 10) & (F.length(x) < 200)), 1, most)))
+
+
+def salary_as_written(c: Column, patterns: list[str] = terms.SALARY_PATTERNS) -> tuple[Column, Column, Column]:
+    """Least, largest amount and currency by the plain patterns, which need no money cue: pairs move both bounds, later single amounts
+    replace the upper one; a lower bound of 0 counts as none, and a k multiplies nothing."""
+
+    def amounts(pattern: str, group: int) -> Column:
+        given = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+        return F.transform(given, lambda x: F.when(F.regexp_replace(x, ",", "").rlike(r"^(\d+\.?\d*|\.\d+)$"), F.regexp_replace(x, ",", "").cast("double")))
+
+    pair = lambda p: F.filter(F.arrays_zip(amounts(p, 1).alias("a"), amounts(p, 2).alias("b")), lambda x: x["a"].isNotNull() & x["b"].isNotNull())
+    pairs = F.concat(pair(patterns[0]), pair(patterns[1]))
+    low = F.aggregate(pairs, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull() | (acc == 0), x["a"]).otherwise(F.least(acc, x["a"])))
+    high = F.array_max(F.transform(pairs, lambda x: x["b"]))
+    single = F.array_compact(amounts(patterns[2], 1))
+    later = F.when(low.isNull(), F.when(F.size(single) > 1, F.element_at(single, -1))).otherwise(F.coalesce(F.try_element_at(single, F.lit(-1)), high))
+    currency = F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.lower(c).contains(w) for w in words]), k) for k, words in terms.SALARY_CURRENCIES.items()], F.lit("USD"))
+    return F.coalesce(low, F.try_element_at(single, F.lit(1))), later, F.when(F.coalesce(c, F.lit("")) != "", currency)
+
+
+def seniority(title: Column, text: Column, keywords: dict[str, str] = terms.SENIORITY_KEYWORDS) -> Column:
+    """The title's first keyword, else the text's, else Mid-Level."""
+    return F.coalesce(by_keyword(title, keywords), by_keyword(text, keywords), F.lit("Mid-Level"))
+
+
+def normalize_work_mode(mode: Column, text: Column, spellings: dict[str, str] = terms.WORK_MODE_SPELLINGS) -> Column:
+    """A known spelling, else what the text says."""
+    table = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.lower(clean_text(mode))), guess_work_mode(text))
+
+
+def is_pan_african(mode: Column, text: Column) -> Column:
+    return F.coalesce(F.lower(mode).contains("remote"), F.lit(False)) | F.coalesce(any_contained(text, terms.PAN_AFRICAN_WORDS), F.lit(False))
+
+
+def _table(pairs) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in pairs for x in (k, v)])
+
+
+def normalize_country(c: Column) -> Column:
+    """The name that a spelling, code or name stands for, whatever the case; null is Unknown, the rest Global Remote."""
+    known = dict([(n.lower(), n) for n, _, _ in terms.COUNTRIES] + [(k.lower(), v) for k, v in terms.COUNTRY_SPELLINGS.items()])
+    return F.when(c.isNull(), "Unknown").otherwise(F.coalesce(F.try_element_at(_table(known.items()), F.lower(F.trim(c))), F.lit("Global Remote")))
+
+
+def match_country(c: Column) -> Column:
+    """The country of an alpha-2 or alpha-3 code or a name as a whole; null for all else."""
+    t = F.trim(c)
+    code = _table([(x, n) for n, a, b in terms.COUNTRIES for x in (a, b)])
+    return F.coalesce(F.try_element_at(code, F.upper(t)), F.when(F.initcap(F.lower(t)).isin([n for n, _, _ in terms.COUNTRIES]), F.initcap(F.lower(t))))
+
+
+def role_matches(role: Column, title: Column) -> Column:
+    """One side's tokens (see ``title_tokens``) all occur in the other's; neither is empty."""
+    return (F.size(role) > 0) & (F.size(title) > 0) & ((F.size(F.array_except(role, title)) == 0) | (F.size(F.array_except(title, role)) == 0))
+
+
+def labelled_value(c: Column, label: str, others: list[str]) -> Column:
+    """What stands between ``label:`` and the next label."""
+    return F.regexp_extract(c, rf"(?s){label}:\s*(.*?)\s*(?:(?:{'|'.join(others)}):|$)", 1)
+
+
+def links(html: Column, url: Column, wanted: str = "^(/|https?://)") -> Column:
+    """Distinct links of a page that match, resolved against its host, sorted."""
+    host = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    found = F.filter(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1)), lambda x: x.rlike(wanted))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.when(x.startswith("/"), F.concat(host, x)).otherwise(x))))
+
+
+def section(html: Column, heading: str, most: int = 10_000) -> Column:
+    """Text after the heading up to the next one of any level (or the end), at most ``most`` characters."""
+    return F.substring(strip_html(F.concat(F.lit("<p>"), F.regexp_extract(html, rf"(?is){heading}(.*?)(?:<h[1-6][ >]|</body>|$)", 1))), 1, most)
 
 
 def labels(c: Column, words: dict[str, str]) -> Column:
@@ -160,10 +242,10 @@ def parse_date(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd/MM/yyyy"
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("date")
 
 
-def title_tokens(c: Column, drop: list[str], canon: dict[str, str]) -> Column:
+def title_tokens(c: Column, drop: list[str] = terms.TITLE_SENIORITY_WORDS, canon: dict[str, str] = terms.TITLE_SYNONYMS) -> Column:
     table = F.create_map(*[F.lit(x) for kv in canon.items() for x in kv])
     words = F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9+#.]+", " "), " "), lambda w: (w != "") & ~w.isin(drop))
-    return F.array_distinct(F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w)))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.split(F.coalesce(F.try_element_at(table, w), w), " "))))
 
 
 #: Title words by rank: entry, mid, senior, lead, management.

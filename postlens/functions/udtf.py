@@ -7,6 +7,8 @@ import re
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from postlens.operators.skills import boundary
+
 
 def register_extract_skills(spark: SparkSession, taxonomy: dict[str, str], name: str = "extract_skills") -> None:
     """Register ``name(text) -> (category, skill)`` over a taxonomy of skill -> category."""
@@ -14,7 +16,7 @@ def register_extract_skills(spark: SparkSession, taxonomy: dict[str, str], name:
     @udtf(returnType="category string, skill string")
     class ExtractSkills:
         def __init__(self):
-            self.known = [(re.compile(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"), c, t) for t, c in taxonomy.items()]
+            self.known = [(re.compile(boundary(t).replace(r"\p{L}\p{N}", r"\w")), c, t) for t, c in taxonomy.items()]
 
         def eval(self, text: str):
             low = (text or "").lower()

@@ -2,55 +2,89 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import terms
 
 
-def grams(words: Column, most: int = 3) -> Column:
-    """Distinct runs of 1 to ``most`` neighbouring entries of the array column ``words``, joined by a space.
+def _safe(term: str) -> str:
+    return "".join("\\" + c if c in r".+*?()[]{}|^$\#" else c for c in term.lower())
 
-    ``words`` must be a column of its own (not an expression): it is read for every run.
-    """
-    out = [words]
-    for n in range(2, most + 1):
-        at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(at, _run(words, n)))
-    return F.array_distinct(F.concat(*out))
 
+def boundary(term: str) -> str:
+    """A pattern that finds the term in lower-case text as a word of its own.
 
-def _run(words: Column, n: int):
-    return lambda i: F.concat_ws(" ", F.slice(words, i, n))
+    Up to three letters or digits: no letter, digit or underscore of any language on either side. Longer ones: none of a-z and 0-9.
+    Terms that begin or end with a symbol: white space or the end of the text on a side that ends with one.
+    """
+    inner = term.lower()
+    if inner.isalnum() and len(inner) <= 3:
+        return rf"(^|[^\p{{L}}\p{{N}}_]){_safe(inner)}([^\p{{L}}\p{{N}}_]|$)"
+    if inner[0].isalnum() and inner[-1].isalnum():
+        return rf"(^|[^a-z0-9]){_safe(inner)}([^a-z0-9]|$)"
+    if inner[-1].isalnum():
+        return rf"(^|\s){_safe(inner)}([^a-z0-9]|$)"
+    # Punctuation after a symbol ends a word too ("C++, Go").
+    return rf"(^|{'[^a-z0-9]' if inner[0].isalnum() else chr(92) + 's'}){_safe(inner)}([\s,;.:!?)]|$)"
 
 
 def bounded(text: Column, term: str) -> Column:
-    """The term stands in the text with no letter or digit of a-z, 0-9 on either side."""
-    safe = "".join("\\" + c if c in r".+*?()[]{}|^$\#" else c for c in term.lower())
-    return F.lower(text).rlike(f"(^|[^a-z0-9]){safe}([^a-z0-9]|$)")
+    """The term stands in the text as a word of its own (see ``boundary``)."""
+    return F.lower(text).rlike(boundary(term))
 
 
-def extract(df: DataFrame, key: str, text: str, taxonomy: dict[str, str]) -> DataFrame:
-    """``(key, skill, category)`` for every term of the taxonomy (skill -> category) in a text.
+def known(words: Column, text: Column, taxonomy: dict[str, str]) -> Column:
+    """Terms of the taxonomy in a text, as an array; ``words`` is the array column of the text's runs of a-z and 0-9.
 
-    Plain terms are found by intersecting the text's grams with the dictionary, which is linear in the
-    text whatever the dictionary's size; only terms with symbols cost an expression each, and gram
-    matches of several words are confirmed on the text.
+    Single words are found by intersecting ``words`` with the dictionary, which is linear in the text whatever the dictionary's
+    size; terms of several words are looked for where their first word occurs, terms with symbols by a pattern each.
     """
     plain = [t for t in taxonomy if all(c.isalnum() or c == " " for c in t)]
-    symbols = [t for t in taxonomy if t not in plain]
     single = [t for t in plain if " " not in t]
-    several = [t for t in plain if " " in t]
-    most = max([1, *[t.count(" ") + 1 for t in plain]])
-    parts = [F.array_intersect(F.col("_g"), F.array(*map(F.lit, single or [""])))]
-    parts += [F.array_compact(F.array(F.when(F.array_contains("_g", t) & bounded(F.col(text), t), F.lit(t)))) for t in several]
-    if symbols:
-        parts.append(F.array_compact(F.array(*[F.when(bounded(F.col(text), t), F.lit(t)) for t in symbols])))
+    hit = F.array_intersect(words, F.array(*map(F.lit, single or [""])))
+    # A short word may be part of a longer one of another script or with an underscore.
+    part = [F.when(F.array_contains(words, t) & ~bounded(text, t), F.lit(t)) for t in single if len(t) <= 3]
+    if part:
+        hit = F.array_except(hit, F.array_compact(F.array(*part)))
+    several = [F.when(F.array_contains(words, t.split(" ")[0]) & bounded(text, t), F.lit(t)) for t in plain if " " in t]
+    symbols = [F.when(bounded(text, t), F.lit(t)) for t in taxonomy if t not in plain]
+    return F.concat(hit, F.array_compact(F.array(*several, *symbols))) if several or symbols else hit
+
+
+def rescued(text: Column, taxonomy: dict[str, str], context: dict[str, list[str]]) -> Column:
+    """Ambiguous terms that a phrase tells to be meant."""
+    low = F.lower(text)
+    found = [F.when(reduce(lambda a, b: a | b, [low.rlike(p) for p in patterns]), F.lit(t)) for t, patterns in context.items() if t in taxonomy]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def mistaken(text: Column, phrases: dict[str, list[str]]) -> Column:
+    """Terms that stand in a phrase in which they name no skill."""
+    low = F.lower(text)
+    found = [F.when(reduce(lambda a, b: a | b, [low.contains(p) for p in ps]), F.lit(t)) for t, ps in phrases.items()]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def with_skills(df: DataFrame, text: str, taxonomy: dict[str, str], context: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None, name: str = "skills") -> DataFrame:
+    """``df`` with the sorted array of skills in a text: known terms and those rescued by context, without mistaken ones."""
+    c = F.col(text)
+    words = df.withColumn("_w", F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    found = known(F.col("_w"), c, taxonomy)
+    if context:
+        found = F.concat(found, rescued(c, taxonomy, context))
+    if phrases:
+        found = F.array_except(found, mistaken(c, phrases))
+    return words.withColumn(name, F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))).drop("_w")
+
+
+def extract(df: DataFrame, key: str, text: str, taxonomy: dict[str, str], context: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None) -> DataFrame:
+    """``(key, skill, category)`` for every term of the taxonomy (skill -> category) in a text."""
     category = F.create_map(*[F.lit(x) for kv in taxonomy.items() for x in kv])
-    words = df.select(key, text, F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)).alias("_w"))
-    held = words.select(key, text, F.array_intersect(grams(F.col("_w"), most), F.array(*map(F.lit, plain))).alias("_g"))
-    out = held.select(key, F.explode(F.concat(*parts)).alias("skill"))
-    return out.withColumn("category", F.element_at(category, F.col("skill")))
+    found = with_skills(df.select(key, text), text, taxonomy, context, phrases, "_s")
+    return found.select(key, F.explode("_s").alias("skill")).withColumn("category", F.element_at(category, F.col("skill")))
 
 
 def preferred(df: DataFrame, key: str, text: str, taxonomy: dict[str, str], words: list[str] = terms.PREFERRED_WORDS) -> DataFrame:

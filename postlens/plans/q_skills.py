@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from postlens.functions import terms
@@ -18,27 +20,44 @@ def _add(name, run, sql=None):
     QUERIES[name] = (run, sql)
 
 
-TAXONOMY = {
-    "python": "Language", "sql": "Language", "kubernetes": "Cloud", "data engineer": "Role", "full-time": "Terms", "on-site": "Terms",
-    "the": "Filler", "pour": "Filler", "und": "Filler", "senior": "Level", "phd": "Education", "remote": "Mode",
+#: The default dictionary and some words that occur in the test tables.
+TAXONOMY = terms.SKILLS | {
+    "data engineer": "role", "full-time": "terms", "on-site": "terms", "the": "filler", "pour": "filler", "und": "filler", "senior": "level", "phd": "education",
+    "remote": "mode", "10+": "years", "$4000": "money",
 }
+CONTEXT = terms.CONTEXT_PATTERNS | {"kubernetes": [r"aws certified.*contract"], "python": [r"data engineer"]}
+PHRASES = terms.FALSE_POSITIVES | {"remote": ["worldwide remote"]}
 
 
 def _hit(term, c="description"):
-    return f"regexp_matches(lower({c}), '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+    return f"regexp_matches(lower({c}), {q_text._q(K.boundary(term))})"
+
 
+def _found(c="description", frm="posting_text", taxonomy=TAXONOMY):
+    return "(" + " union all ".join(f"select job_id, {q_text._q(t)} as skill, {q_text._q(k)} as category from {frm} where {_hit(t, c)}" for t, k in taxonomy.items()) + ")"
 
-_EXTRACT = "(" + " union all ".join(f"select job_id, '{t}' as skill, '{c}' as category from posting_text where {_hit(t)}" for t, c in TAXONOMY.items()) + ")"
+
+_EXTRACT = _found()
+_RESCUED = "(" + " union all ".join(f"select job_id, {q_text._q(t)} as skill, {q_text._q(TAXONOMY[t])} as category from posting_text where " + " or ".join(f"regexp_matches(lower(description), {q_text._q(p)})" for p in ps) for t, ps in CONTEXT.items()) + ")"
+_MISTAKEN = "(" + " union all ".join(f"select job_id, {q_text._q(t)} as skill from posting_text where {q_text._has(ps)}" for t, ps in PHRASES.items()) + ")"
+_ALL_SKILLS = f"(select * from (select * from {_EXTRACT} union select * from {_RESCUED}) where (job_id, skill) not in (select (job_id, skill) from {_MISTAKEN}))"
 
 
 def _extract(s, d):
     return K.extract(posting_text(s, d), "job_id", "description", TAXONOMY)
 
 
+def _k2(s, d):
+    c = F.col("description")
+    t = posting_text(s, d).withColumn("_w", F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    return t.select("job_id", F.explode(F.array_except(K.rescued(c, TAXONOMY, CONTEXT), K.known(F.col("_w"), c, TAXONOMY))).alias("skill"))
+
+
 _add("k1_extract", _extract, f"select * from {_EXTRACT}")
-_add("k2_context_rescue", lambda s, d: posting_text(s, d).where(~K.bounded(F.col("description"), "python") & F.lower("description").rlike("data engineer|kubernetes")).select("job_id", F.lit("python").alias("skill")), f"select job_id, 'python' as skill from posting_text where not {_hit('python')} and regexp_matches(lower(description), 'data engineer|kubernetes')")
-_add("k3_false_positives", lambda s, d: _extract(s, d).join(posting_text(s, d).where(F.lower("description").contains("worldwide remote")).select("job_id", F.lit("remote").alias("skill")), ["job_id", "skill"], "left_anti").select("job_id", "skill"), f"select job_id, skill from {_EXTRACT} e where not (skill = 'remote' and job_id in (select job_id from posting_text where contains(lower(description), 'worldwide remote')))")
-_add("k4_symbol_boundaries", lambda s, d: posting_text(s, d).where(K.bounded(F.col("description"), "10+")).select("job_id"), "select job_id from posting_text where regexp_matches(lower(description), '(^|[^a-z0-9])10\\+([^a-z0-9]|$)')")
+_add("k2_context_rescue", _k2, f"select job_id, skill from {_RESCUED} except select job_id, skill from {_EXTRACT}")
+_add("k3_false_positives", lambda s, d: K.extract(posting_text(s, d), "job_id", "description", TAXONOMY, CONTEXT, PHRASES), f"select * from {_ALL_SKILLS}")
+_SYMBOLS = ["10+", "$4000", "c++", ".net", "ci/cd", "on-site", "r", "data engineer"]
+_add("k4_symbol_boundaries", lambda s, d: K.extract(posting_text(s, d), "job_id", "description", {t: "x" for t in _SYMBOLS}).select("job_id", "skill"), f"select job_id, skill from {_found(taxonomy={t: 'x' for t in _SYMBOLS})}")
 _ROLES = {"ring": ["metal", "design"], "box": ["paper"], "small": ["detail"]}
 _add("k5_title_skills", lambda s, d: K.from_titles(table(s, d, "part"), "p_partkey", "p_name", _ROLES), "select distinct p_partkey, skill from part join (values ('ring', 'metal'), ('ring', 'design'), ('box', 'paper'), ('small', 'detail')) r(word, skill) on contains(lower(p_name), word)")
 _add("k6_union_of_sources", lambda s, d: _extract(s, d).select("job_id", "skill").union(posting_text(s, d).where("source = 'src0'").select("job_id", F.lit("python").alias("skill"))).distinct().groupBy("skill").agg(F.count("*").alias("n")), f"select skill, count(*) as n from (select job_id, skill from {_EXTRACT} union select job_id, 'python' from posting_text where source = 'src0') group by 1")
@@ -49,30 +68,83 @@ _add("k8_category_counts", lambda s, d: posting_skills(s, d).groupBy("job_id", "
 
 def enrich(df):
     """The record enrichment as one projection: every column comes from the same pass over the text."""
-    c = F.col("description")
-    low, high = T.salary_bounds(c)
-    return df.select(
-        "job_id", "source", "country", T.years_experience(c).alias("years"), F.coalesce(T.by_keyword(c, terms.SENIORITY_KEYWORDS), F.lit("Mid-Level")).alias("seniority"),
-        T.extract_work_mode(c).alias("mode"), T.by_keyword(c, terms.EMPLOYMENT_KEYWORDS).alias("employment"), F.array_join(T.labels(c, terms.EDUCATION), ";").alias("education"),
-        T.any_contained(c, terms.REMOTE_KEYWORDS).alias("remote_ok"), low.alias("salary_low"), high.alias("salary_high"),
+    c, title = F.col("description"), q_text._TITLE
+    low, high, currency = T.salary_as_written(c)
+    category = F.create_map(*[F.lit(x) for kv in TAXONOMY.items() for x in kv])
+    return _with_title_skills(df).select(
+        "job_id", "source", "country", F.array_join("skills", ";").alias("skills"), F.size("skills").alias("skill_count"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("skills", lambda x: F.element_at(category, x)))), ";").alias("categories"),
+        T.years_experience(c).alias("years"), T.seniority(title, c).alias("seniority"), T.extract_work_mode(c).alias("mode"), T.by_keyword(c, terms.EMPLOYMENT_KEYWORDS).alias("employment"),
+        F.array_join(T.matching_labels(c, terms.EDUCATION), ";").alias("education"), F.array_join(T.labels(c, terms.CERTIFICATIONS), ";").alias("certifications"),
+        T.any_contained(c, terms.REMOTE_KEYWORDS).alias("remote_ok"), low.alias("salary_low"), high.alias("salary_high"), currency.alias("salary_currency"),
+        retrieval_document(title, F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("country"), F.lit(None).cast("string"), T.seniority(title, c), F.lit(None).cast("string"), F.col("skills"), c).alias("document"),
+    )
+
+
+def _with_title_skills(df):
+    """Skills of the text and of the title."""
+    both = K.with_skills(df, "description", TAXONOMY, CONTEXT, PHRASES, "_text")
+    both = K.with_skills(both.withColumn("_title", q_text._TITLE), "_title", TAXONOMY, CONTEXT, PHRASES, "_of_title")
+    return both.withColumn("skills", F.array_sort(F.array_union("_text", "_of_title")))
+
+
+def retrieval_document(title, company, location, country, mode, seniority, employment, skills, description, most=1200):
+    """Nine labelled lines, what is known best first."""
+    def line(label, value, default="Unknown"):
+        return F.concat(F.lit(f"{label}: "), F.coalesce(F.nullif(value, F.lit("")), F.lit(default)))
+
+    return F.concat_ws(
+        "\n", line("Job Title", title), line("Company", company), line("Location", F.coalesce(F.nullif(location, F.lit("")), country)), line("Country", country), line("Work Mode", mode),
+        line("Seniority", seniority), line("Employment Type", employment), line("Skills", F.array_join(skills, ", "), "None listed"), line("Description", F.substring(description, 1, most), "Not available"),
     )
 
 
 _PART = {
     "years": "p28_years_experience", "seniority": "p31_seniority", "mode": "p16_extract_work_mode", "employment": "p34_employment_type",
-    "education": "p29_education", "remote_ok": "p36_remote_eligible",
+    "education": "p29_education", "certifications": "p30_certifications", "remote_ok": "p36_remote_eligible",
 }
+_TITLED = f"(select job_id, {q_text._TITLE_SQL} as title from posting_text)"
+_WITH_TITLE = f"(select job_id, skill, category from {_ALL_SKILLS} union select job_id, skill, category from {_found('title', _TITLED)})"
 ENRICH_SQL = (
-    "select t.job_id, t.source, t.country, " + ", ".join(f"{k}.value as {k}" for k in _PART) + ", money.low as salary_low, money.high as salary_high from posting_text t "
+    "select t.job_id, t.source, t.country, coalesce(k.skills, '') as skills, cast(coalesce(k.n, 0) as int) as skill_count, coalesce(k.categories, '') as categories, " + ", ".join(f"{k}.value as {k}" for k in _PART)
+    + ", money.low as salary_low, money.high as salary_high, money.currency as salary_currency, "
+    + f"'Job Title: ' || {q_text._TITLE_SQL.replace('job_id', 't.job_id')} || chr(10) || 'Company: Unknown' || chr(10) || 'Location: ' || t.country || chr(10) || 'Country: ' || t.country || chr(10) || 'Work Mode: Unknown' || chr(10) || 'Seniority: ' || seniority.value"
+    + " || chr(10) || 'Employment Type: Unknown' || chr(10) || 'Skills: ' || coalesce(replace(k.skills, ';', ', '), 'None listed') || chr(10) || 'Description: ' || substr(description, 1, 1200) as document from posting_text t "
+    + f"left join (select job_id, string_agg(skill, ';' order by skill) as skills, count(*) as n, string_agg(distinct category, ';' order by category) as categories from {_WITH_TITLE} group by 1) k on k.job_id = t.job_id "
     + " ".join(f"join ({q_text.QUERIES[q][1]}) {k} on {k}.job_id = t.job_id" for k, q in _PART.items())
-    + f" join ({q_text.QUERIES['p22_salary_range'][1]}) money on money.job_id = t.job_id"
+    + f" join ({q_text.QUERIES['p22_salary_as_written'][1]}) money on money.job_id = t.job_id"
 )
 _add("k9_enrich", lambda s, d: enrich(posting_text(s, d)), ENRICH_SQL)
+_add("p38_retrieval_document", lambda s, d: enrich(posting_text(s, d)).select("job_id", "document"), f"select job_id, document from ({ENRICH_SQL})")
+
+
+def summary(enriched, skills):
+    """The run's summary as rows of (metric, key, value): distinct skills, the first 15 overall and 10 of each category, counts of levels, modes, types and country by category, years above 0."""
+    one = lambda df, metric, key, value: df.select(F.lit(metric).alias("metric") if isinstance(metric, str) else metric.alias("metric"), key.alias("key"), value.cast("double").alias("value"))
+    n = skills.groupBy("skill", "category").agg(F.count("*").alias("n"))
+    overall = A.top_per_group(n.withColumn("all", F.lit(1)), ["all"], ["n desc", "skill"], 15)
+    per = A.top_per_group(n, ["category"], ["n desc", "skill"], 10)
+    counts = [one(enriched.groupBy(c).agg(F.count("*").alias("n")), c, F.coalesce(c, F.lit("none")), F.col("n")) for c in ("seniority", "mode", "employment")]
+    years = enriched.where("years > 0").agg(F.min("years").alias("least"), F.max("years").alias("most"), F.round(F.avg("years"), 4).alias("mean"))
+    years = years.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in ("least", "most", "mean")])).alias("x")).select("x.*")
+    place = skills.join(enriched.select("job_id", "country"), "job_id").groupBy("country", "category").agg(F.count("*").alias("n"))
+    frames = [
+        one(n.agg(F.count_distinct("skill").alias("n")), "unique_skills", F.lit("all"), F.col("n")), one(overall, "top_skill", F.col("skill"), F.col("n")),
+        one(per, F.concat(F.lit("top of "), F.col("category")), F.col("skill"), F.col("n")), *counts, one(years, "years", F.col("key"), F.col("value")),
+        one(place, F.concat(F.lit("categories of "), F.col("country")), F.col("category"), F.col("n")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def _k10(s, d):
-    k = posting_skills(s, d).groupBy("category", "skill").agg(F.count("*").alias("n"))
-    return A.top_per_group(k, ["category"], ["n desc", "skill"], 10)
+    t = posting_text(s, d)
+    return summary(enrich(t), K.extract(t, "job_id", "description", TAXONOMY, CONTEXT, PHRASES))
 
 
-_add("k10_summary", _k10, "select * from (select category, skill, count(*) as n, cast(row_number() over (partition by category order by count(*) desc, skill) as int) as rank from posting_skills group by 1, 2) where rank <= 10")
+_COUNTED = f"(select skill, category, count(*) as n from {_ALL_SKILLS} group by 1, 2)"
+_add("k10_summary", _k10, f"""select 'unique_skills' as metric, 'all' as key, count(distinct skill)::double as value from {_COUNTED}
+union all select 'top_skill', skill, n::double from (select * from {_COUNTED} order by n desc, skill limit 15)
+union all select 'top of ' || category, skill, n::double from (select *, row_number() over (partition by category order by n desc, skill) as r from {_COUNTED}) where r <= 10
+""" + "".join(f"union all select '{k}', coalesce(value, 'none'), count(*)::double from ({q_text.QUERIES[_PART[k]][1]}) group by 2 " for k in ("seniority", "mode", "employment")) + f"""
+union all select 'years', unnest(['least', 'most', 'mean']), unnest([min(value)::double, max(value)::double, round(avg(value), 4)]) from ({q_text.QUERIES['p28_years_experience'][1]}) where value > 0
+union all select 'categories of ' || country, category, count(*)::double from {_ALL_SKILLS} join (select job_id, country from posting_text) using (job_id) group by 1, 2""")

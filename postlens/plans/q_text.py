@@ -61,20 +61,20 @@ _add(
 )
 _NAMES = ["that", "pour", "und", "para"]
 _text("p9_guess_country", lambda c: T.first_contained(c, _NAMES), _chain([(_has([n]), n) for n in _NAMES]))
-_CODES = {"EN": "Kenya", "FR": "Senegal", "DE": "Namibia"}
-_add(
-    "p10_normalize_country",
-    lambda s, d: posting_text(s, d).select("job_id", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _CODES.items() for x in kv]), F.upper(F.trim("country"))), F.when(F.col("country").isNull(), "Unknown"), F.lit("Global Remote")).alias("value")),
-    "select job_id, case when country is null then 'Unknown' when upper(trim(country)) = 'EN' then 'Kenya' when upper(trim(country)) = 'FR' then 'Senegal' when upper(trim(country)) = 'DE' then 'Namibia' else 'Global Remote' end as value from posting_text",
-)
+_WRITTEN_COUNTRY = ["Kenya", " nigeria", "ZA", "ken", None, "Worldwide", "NATION_4", "cape verde", "LAG", "côte d'ivoire", "BWA"]
 
 
-def _p11(s, d):
-    codes = s.createDataFrame(list(_CODES.items()), "code string, name string")
-    return posting_text(s, d).join(F.broadcast(codes), F.upper(F.trim("country")) == F.col("code"), "left").select("job_id", F.col("name").alias("value"))
+def _countries(s, d):
+    """Countries as people write them."""
+    k = (F.col("job_id") % (len(_WRITTEN_COUNTRY) + 1)).cast("int")
+    return postings(s, d).select("job_id", F.when(k < len(_WRITTEN_COUNTRY), F.element_at(F.array(*map(F.lit, _WRITTEN_COUNTRY)), F.least(k, F.lit(len(_WRITTEN_COUNTRY) - 1)) + 1)).otherwise(F.col("country")).alias("country"))
 
 
-_add("p11_iso_match", _p11, "select job_id, case upper(trim(country)) when 'EN' then 'Kenya' when 'FR' then 'Senegal' when 'DE' then 'Namibia' end as value from posting_text")
+_COUNTRY_SQL = f"(select job_id, case when job_id % {len(_WRITTEN_COUNTRY) + 1} < {len(_WRITTEN_COUNTRY)} then list_extract([{', '.join('null' if x is None else _q(x) for x in _WRITTEN_COUNTRY)}], cast(job_id % {len(_WRITTEN_COUNTRY) + 1} + 1 as int)) else country end as country from postings)"
+_SPELT = "(select * from (values " + ", ".join(f"({_q(k.lower())}, {_q(v)})" for k, v in {**{n: n for n, _, _ in terms.COUNTRIES}, **terms.COUNTRY_SPELLINGS}.items()) + ") as spelt(k, v))"
+_add("p10_normalize_country", lambda s, d: _countries(s, d).select("job_id", T.normalize_country(F.col("country")).alias("value")), f"select job_id, case when country is null then 'Unknown' else coalesce(v, 'Global Remote') end as value from {_COUNTRY_SQL} left join {_SPELT} on lower(trim(country)) = k")
+_ISO = "(select * from (values " + ", ".join(f"({_q(n)}, {_q(a)}, {_q(b)})" for n, a, b in terms.COUNTRIES) + ") as iso(n, a, b))"
+_add("p11_iso_match", lambda s, d: _countries(s, d).select("job_id", T.match_country(F.col("country")).alias("value")), f"select job_id, n as value from {_COUNTRY_SQL} left join {_ISO} on upper(trim(country)) in (a, b) or array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(trim(country), ' ')], ' ') = n")
 _AS_TEXT = "case job_id % 4 when 0 then strftime(date_posted, '%Y-%m-%d') when 1 then strftime(date_posted, '%d/%m/%Y') when 2 then 'soon' end"
 
 
@@ -85,7 +85,11 @@ def _dates(s, d):
 
 _add("p12_normalize_date", lambda s, d: _dates(s, d).select("job_id", F.date_format(T.parse_date(F.col("written")), "yyyy-MM-dd").alias("value")), "select job_id, case when job_id % 4 < 2 then strftime(date_posted, '%Y-%m-%d') end as value from postings")
 _add("p13_parse_deadline", lambda s, d: _dates(s, d).select("job_id", T.parse_date(F.substring("written", 1, 10)).cast("string").alias("value")), "select job_id, case when job_id % 4 < 2 then cast(date_posted as varchar) end as value from postings")
-_add("p14_day_first_date", lambda s, d: _dates(s, d).select("job_id", T.parse_date(F.col("written"), ("dd/MM/yyyy", "yyyy-MM-dd")).cast("string").alias("value")), "select job_id, case when job_id % 4 < 2 then cast(date_posted as varchar) end as value from postings")
+_LATE = F.when(F.col("job_id") % 4 == 3, F.concat(F.date_format("date_posted", "yyyy-MM-dd"), F.lit("T23:30:00-03:00")))
+_add(
+    "p14_day_first_date", lambda s, d: _dates(s, d).join(postings(s, d).select("job_id", _LATE.alias("zoned")), "job_id").select("job_id", T.parse_date(F.coalesce("written", "zoned"), ("dd/MM/yyyy", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ssXXX")).cast("string").alias("value")),
+    "select job_id, case when job_id % 4 < 2 then cast(date_posted as varchar) when job_id % 4 = 3 then cast(cast(date_posted + 1 as date) as varchar) end as value from postings",
+)
 _text("p15_guess_work_mode", T.guess_work_mode, _chain([(_has(["hybrid"]), "hybrid"), (_has(["remote", "work from home", "wfh"]), "remote"), (_has(["on-site", "onsite", "on site"]), "onsite")], "unknown"))
 _text("p16_extract_work_mode", T.extract_work_mode, _chain([(_has(["fully remote", "work from home", "remote"]), "Remote"), (_has(["hybrid"]), "Hybrid"), (_has(["on-site", "on site", "onsite", "in-office", "in office"]), "On-Site")]))
 _add(
@@ -94,6 +98,12 @@ _add(
         "job_id", F.when(F.array_contains("tags", "remote"), "remote").when(F.array_contains("tags", "hybrid"), "hybrid").when(F.arrays_overlap("tags", F.array(F.lit("onsite"), F.lit("office"))), "onsite").alias("value")),
     "select job_id, work_mode as value from postings",
 )
+_MODE = ["On-Site", " REMOTE ", "office", None]
+_MODE_OF = F.element_at(F.array(*map(F.lit, _MODE)), (F.col("job_id") % 4 + 1).cast("int"))
+_add(
+    "p17_work_mode_or_text", lambda s, d: posting_text(s, d).select("job_id", T.normalize_work_mode(_MODE_OF, F.col("description")).alias("value")),
+    f"select job_id, case job_id % 4 when 0 then 'onsite' when 1 then 'remote' else {_chain([(_has(['hybrid']), 'hybrid'), (_has(['remote', 'work from home', 'wfh']), 'remote'), (_has(['on-site', 'onsite', 'on site']), 'onsite')], 'unknown')} end as value from posting_text",
+)
 _text("p18_remote_scope", T.guess_remote_scope, f"case when {_has(['remote'])} then {_chain([(_has(['worldwide', 'global', 'anywhere']), 'Global'), (_has(['africa']), 'Africa-wide')], 'Country-only')} end")
 _text("p19_is_tech", lambda c: T.any_contained(c, terms.TECH_KEYWORDS), _has(terms.TECH_KEYWORDS))
 _text("p20_tech_category", T.tech_category, _chain([*[(_has(w), k) for k, w in terms.TECH_CATEGORY_MAP.items()], (_has(terms.TECH_KEYWORDS), "Other Tech")]))
@@ -105,6 +115,26 @@ _add(
     f"""select job_id, list_min(a) as low, list_max(a) as high from (select job_id,
   [cast(regexp_replace(lower(x), '[,k]', '', 'g') as double) * case when lower(x) like '%k' then 1000 else 1 end for x in regexp_extract_all(description, {_q(_CUE)}, 1)] as a from posting_text)""",
 )
+_VALID = "regexp_matches(replace(x, ',', ''), '^(\\d+\\.?\\d*|\\.\\d+)$')"
+_NUMBER = "cast(replace({}, ',', '') as double)"
+
+
+def _written_pairs(p):
+    a, b = (f"regexp_extract_all(description, {_q(p)}, {g})" for g in (1, 2))
+    ok = _VALID.replace("(x,", "(z[1],") + " and " + _VALID.replace("(x,", "(z[2],")
+    return f"list_transform(list_filter(list_transform(range(1, len({a}) + 1), lambda i: [list_extract({a}, i), list_extract({b}, i)]), lambda z: {ok}), lambda z: [{_NUMBER.format('z[1]')}, {_NUMBER.format('z[2]')}])"
+
+
+# The lower bound starts anew after every pair whose lower amount is 0 (but the last).
+_WRITTEN = f"""(select job_id, currency, singles, list_transform(pairs, lambda z: z[1]) as lows, list_max(list_transform(pairs, lambda z: z[2])) as top from (select job_id,
+  list_concat({_written_pairs(terms.SALARY_PATTERNS[0])}, {_written_pairs(terms.SALARY_PATTERNS[1])}) as pairs,
+  list_transform(list_filter(regexp_extract_all(description, {_q(terms.SALARY_PATTERNS[2])}, 1), lambda x: {_VALID}), lambda x: {_NUMBER.format('x')}) as singles,
+  {_chain([(" or ".join(f"contains(lower(description), {_q(w)})" for w in words), k) for k, words in terms.SALARY_CURRENCIES.items()], "USD")} as currency from posting_text))"""
+_add(
+    "p22_salary_as_written", lambda s, d: posting_text(s, d).select("job_id", *[c.alias(k) for k, c in zip(("low", "high", "currency"), T.salary_as_written(F.col("description")))]),
+    f"""select job_id, case when len(lows) = 0 then singles[1] else least_low end as low, case when len(lows) = 0 then case when len(singles) > 1 then singles[-1] end else coalesce(singles[-1], top) end as high, currency
+from (select *, case when lows[-1] = 0 then 0 else list_min(list_slice(lows, coalesce(list_max(list_filter(range(1, len(lows) + 1), lambda i: lows[i] = 0)), 0) + 1, len(lows))) end as least_low from {_WRITTEN})""",
+)
 _RATE = "case currency when 'EUR' then 1.10::double when 'KES' then 0.0078::double else 1.0::double end"
 _add(
     "p23_to_usd", lambda s, d: postings(s, d).select("job_id", F.round(T.to_usd(F.col("salary_min"), F.col("currency")), 1).alias("usd_min"), F.round(T.to_usd(F.col("salary_max"), F.col("currency")), 1).alias("usd_max")),
@@ -113,17 +143,26 @@ _add(
 _BUCKET = "case when years_experience is null or years_experience = 0 then 'Not specified' when years_experience < 1 then '0-1 years' when years_experience < 3 then '1-3 years' when years_experience < 5 then '3-5 years' when years_experience < 10 then '5-10 years' else '10+ years' end"
 _add("p24_experience_bucket", lambda s, d: postings(s, d).select("job_id", T.experience_bucket(F.col("years_experience")).alias("value")), f"select job_id, {_BUCKET} as value from postings")
 _add("p25_seniority_rank", lambda s, d: postings(s, d).select("job_id", T.seniority_rank(F.col("seniority")).alias("value")), "select job_id, case seniority when 'Intern' then 0 when 'Entry Level' then 1 when 'Mid-Level' then 2 when 'Senior' then 3 when 'Lead' then 4 when 'Executive' then 5 else 2 end as value from postings")
+_MODES = F.element_at(F.array(*map(F.lit, ["remote", "hybrid", "onsite"])), (F.col("job_id") % 3 + 1).cast("int"))
 _add(
     "p26_flags",
-    lambda s, d: postings(s, d).select("job_id", (F.lower("work_mode") == "remote").alias("is_remote"), F.coalesce((F.col("salary_min") > 100000) | (F.col("salary_max") > 100000), F.lit(False)).alias("is_high_salary"), (F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull()).alias("has_salary")),
-    "select job_id, lower(work_mode) = 'remote' as is_remote, coalesce(salary_min > 100000 or salary_max > 100000, false) as is_high_salary, salary_min is not null or salary_max is not null as has_salary from postings",
+    lambda s, d: posting_text(s, d).withColumn("mode", _MODES).join(postings(s, d).select("job_id", "salary_min", "salary_max", "currency"), "job_id").select(
+        "job_id", (F.lower("mode") == "remote").alias("is_remote"), T.is_pan_african(F.col("mode"), F.col("description")).alias("is_pan_african"), (F.size(T.labels(F.col("description"), terms.CERTIFICATIONS)) > 0).alias("requires_certification"),
+        F.coalesce((T.to_usd(F.col("salary_min"), F.col("currency")) > 100000) | (T.to_usd(F.col("salary_max"), F.col("currency")) > 100000), F.lit(False)).alias("is_high_salary"), F.coalesce(F.col("salary_min") > 0, F.lit(False)).alias("has_salary")),
+    f"""select job_id, job_id % 3 = 0 as is_remote, job_id % 3 = 0 or {_has(terms.PAN_AFRICAN_WORDS)} as is_pan_african, {_has(terms.CERTIFICATIONS)} as requires_certification,
+  coalesce(salary_min * {_RATE} > 100000 or salary_max * {_RATE} > 100000, false) as is_high_salary, coalesce(salary_min > 0, false) as has_salary from posting_text join (select job_id, salary_min, salary_max, currency from postings) using (job_id)""",
 )
 _add(
     "p27_json_map", lambda s, d: table(s, d, "events").select("event_id", F.element_at(F.from_json("props", "map<string,int>"), "k").alias("k"), F.coalesce(F.cardinality(F.from_json("props", "map<string,int>")), F.lit(0)).alias("richness")),
     "select event_id, cast(json_extract(props, '$.k') as int) as k, coalesce(len(json_keys(props)), 0)::int as richness from events",
 )
-_YEARS = [(r"(\d+)\+?\s*years?\s+of\s+experience", 1), (r"(\d+)\s*-\s*(\d+)\s*years?\s+experience", 2), (r"(?:at least|minimum)\s+(\d+)\s*years?", 1), (r"(\d+)\+\s*years", 1)]
-_text("p28_years_experience", T.years_experience, "coalesce(list_max([cast(x as int) for x in flatten([" + ", ".join(f"regexp_extract_all(lower(description), {_q(p)}, {g})" for p, g in _YEARS) + "])]), 0)")
+def _years(patterns, low, high):
+    found = "flatten([" + ", ".join(f"regexp_extract_all(lower(description), {_q(p)}, 1)" for p in patterns) + "])"
+    return f"coalesce(list_max(list_filter([try_cast(x as int) for x in {found}], lambda x: x between {low} and {high})), 0)"
+
+
+_text("p28_years_experience", T.years_experience, _years(terms.EXPERIENCE_PATTERNS, 0, 2**31 - 1))
+_text("p28_years_of_service", lambda c: T.years_experience(c, terms.SERVICE_EXPERIENCE_PATTERNS, 1, 40), _years(terms.SERVICE_EXPERIENCE_PATTERNS, 1, 40))
 
 
 def _labels(words):
@@ -134,36 +173,39 @@ def _joined(name, words):
     _text(name, lambda c: F.array_join(T.labels(c, words), ";"), f"array_to_string({_labels(words)}, ';')")
 
 
-_joined("p29_education", terms.EDUCATION)
+_text("p29_education", lambda c: F.array_join(T.matching_labels(c, terms.EDUCATION), ";"), "array_to_string(list_sort(list_filter([" + ", ".join(f"case when regexp_matches(lower(description), {_q(p)}) then {_q(k)} end" for k, p in terms.EDUCATION.items()) + "], lambda x: x is not null)), ';')")
+_joined("p29_education_of_service", terms.SERVICE_EDUCATION)
+_joined("p30_certifications_of_service", {k: k for k in terms.SERVICE_CERTIFICATIONS})
 _joined("p30_certifications", terms.CERTIFICATIONS)
 _SENIOR = [(_has([k]), v) for k, v in terms.SENIORITY_KEYWORDS.items()]
-_text("p31_seniority", lambda c: F.coalesce(T.by_keyword(c, terms.SENIORITY_KEYWORDS), F.lit("Mid-Level")), _chain(_SENIOR, "Mid-Level"))
+_TITLES = ["Senior Engineer", "Data Analyst", "Junior Developer", "Head of Sales"]
+_TITLE = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("job_id") % 4 + 1).cast("int"))
+_TITLE_SQL = f"list_extract([{', '.join(map(_q, _TITLES))}], cast(job_id % 4 + 1 as int))"
+_add("p31_seniority", lambda s, d: posting_text(s, d).select("job_id", T.seniority(_TITLE, F.col("description")).alias("value")), f"select job_id, case job_id % 4 when 0 then 'Senior' when 2 then 'Entry Level' else {_chain(_SENIOR, 'Mid-Level')} end as value from posting_text")
 _text("p32_seniority_or_unspecified", lambda c: F.coalesce(T.by_keyword(c, terms.SENIORITY_KEYWORDS), F.lit("Unspecified")), _chain(_SENIOR, "Unspecified"))
-_add("p33_seniority_from_years", lambda s, d: postings(s, d).select("job_id", T.seniority_from_years(F.col("years_experience")).alias("value")), "select job_id, case when years_experience < 1 then 'Intern' when years_experience < 2 then 'Entry Level' when years_experience < 5 then 'Mid-Level' when years_experience < 8 then 'Senior' when years_experience < 12 then 'Lead' else 'Executive' end as value from postings")
+_add("p33_seniority_from_years", lambda s, d: postings(s, d).select("job_id", T.seniority_from_years(F.col("years_experience")).alias("value")), "select job_id, case when years_experience = 0 then 'Intern' when years_experience < 2 then 'Entry Level' when years_experience < 5 then 'Mid-Level' when years_experience < 10 then 'Senior' when years_experience < 15 then 'Lead' else 'Executive' end as value from postings")
 _text("p34_employment_type", lambda c: T.by_keyword(c, terms.EMPLOYMENT_KEYWORDS), _chain([(_has([k]), v) for k, v in terms.EMPLOYMENT_KEYWORDS.items()]))
-_TRIGGER = r"(?i)(?:experience|minimum)[^.!?\n]{10,200}"
-_text("p35_key_requirements", lambda c: F.array_join(F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(_TRIGGER), F.lit(0))), 1, 10), "|"), f"array_to_string(list_slice(regexp_extract_all(description, {_q(_TRIGGER)}), 1, 10), '|')")
+_REQUIRED = "flatten([" + ", ".join(f"regexp_extract_all(lower(description), {_q(p)}, 1)" for p in terms.REQUIREMENT_PATTERNS) + "])"
+_text("p35_key_requirements", lambda c: F.array_join(T.requirements(c), "|"), f"array_to_string(list_sort(list_distinct(list_slice(list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') for x in {_REQUIRED}], lambda x: length(x) > 10 and length(x) < 200), 1, 10))), '|')")
 _text("p36_remote_eligible", lambda c: T.any_contained(c, terms.REMOTE_KEYWORDS), _has(terms.REMOTE_KEYWORDS))
 _add(
     "p37_canonical_skills", lambda s, d: postings(s, d).select("job_id", F.array_join(T.canonical_skills(F.array(F.concat(F.lit(" "), F.col("source")), F.when(F.col("job_id") % 2 == 0, "K8s").otherwise("Golang"))), ",").alias("value")),
     "select job_id, array_to_string(list_sort(list_distinct([lower(source), case when job_id % 2 = 0 then 'kubernetes' else 'go' end])), ',') as value from postings",
 )
 _add(
-    "p38_retrieval_document",
-    lambda s, d: posting_text(s, d).select("job_id", F.concat_ws("\n", F.concat(F.lit("Source: "), F.coalesce("source", F.lit("Unknown"))), F.concat(F.lit("Country: "), F.coalesce("country", F.lit("Unknown"))), F.lit("Skills: None listed"), F.concat(F.lit("Description: "), F.substring("description", 1, 1200))).alias("value")),
-    "select job_id, 'Source: ' || coalesce(source, 'Unknown') || chr(10) || 'Country: ' || coalesce(country, 'Unknown') || chr(10) || 'Skills: None listed' || chr(10) || 'Description: ' || substr(description, 1, 1200) as value from posting_text",
-)
-_add(
-    "p39_title_split", lambda s, d: table(s, d, "part").select("p_partkey", F.split(F.concat("p_brand", F.lit(": "), "p_name"), ": ", 2).alias("x")).select("p_partkey", F.col("x")[0].alias("company"), F.col("x")[1].alias("title")),
-    "select p_partkey, p_brand as company, p_name as title from part",
+    "p39_title_split",
+    lambda s, d: table(s, d, "part").select("p_partkey", F.split(F.concat("p_brand", F.lit(": "), "p_name"), ": ", 2).alias("x"), F.concat(F.lit("Company: "), "p_brand", F.lit("  Location:\n"), "p_type", F.lit(" Posted: 2024")).alias("page")).select(
+        "p_partkey", F.col("x")[0].alias("company"), F.col("x")[1].alias("title"), T.labelled_value(F.col("page"), "Location", ["Company", "Posted"]).alias("location"), T.labelled_value(F.col("page"), "Posted", ["Company", "Location"]).alias("posted")),
+    "select p_partkey, p_brand as company, p_name as title, p_type as location, '2024' as posted from part",
 )
 _add(
-    "p40_links", lambda s, d: table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link")).where(F.col("link").rlike("^/[a-z]")).distinct(),
-    "select distinct page_id, link from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as link from pages) where regexp_matches(link, '^/[a-z]')",
+    "p40_links", lambda s, d: table(s, d, "pages").select("page_id", F.array_join(T.links(F.col("html"), F.col("url")), " ").alias("links")),
+    """select page_id, coalesce(array_to_string(list_sort(list_distinct([case when starts_with(x, '/') then regexp_extract(url, '^(https?://[^/?#]+)', 1) || x else x end
+  for x in regexp_extract_all(html, 'href="([^"]*)"', 1) if regexp_matches(x, '^(/|https?://)')])), ' '), '') as links from pages""",
 )
 _add(
-    "p41_section", lambda s, d: table(s, d, "pages").select("page_id", F.substring(T.strip_html(F.concat(F.lit("<p>"), F.regexp_extract("html", r"(?s)<h1>.*?</h1>(.*?)</article>", 1))), 1, 10000).alias("value")),
-    r"""select page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace('<p>' || regexp_extract(html, '(?s)<h1>.*?</h1>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'),
+    "p41_section", lambda s, d: table(s, d, "pages").select("page_id", T.section(F.col("html"), "</h1>").alias("value")),
+    r"""select page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace('<p>' || regexp_extract(html, '(?is)</h1>(.*?)(?:<h[1-6][ >]|</body>|$)', 1), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')), 1, 10000) as value from pages""",
 )
 
@@ -179,3 +221,14 @@ _add(
     "p43_title_tokens", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(T.title_tokens(F.col("p_name"), ["small", "large"], {"ring": "band"}), " ").alias("value")),
     "select p_partkey, array_to_string([case when w = 'ring' then 'band' else w end for w in string_split(p_name, ' ') if w not in ('small', 'large')], ' ') as value from part",
 )
+
+
+def _p43_role(s, d):
+    """Does the title of the part before name the same role?"""
+    p = table(s, d, "part").select("p_partkey", T.title_tokens(F.col("p_name"), ["small", "large", "dim"], {"ring": "band of metal"}).alias("title"))
+    before = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("title").alias("role"))
+    return p.join(before, "p_partkey").select("p_partkey", T.role_matches(F.col("role"), F.col("title")).alias("same"))
+
+
+_TOKENS = "(select p_partkey, list_distinct(flatten([case when w = 'ring' then ['band', 'of', 'metal'] else [w] end for w in string_split(p_name, ' ') if w not in ('small', 'large', 'dim')])) as t from part)"
+_add("p43_role_match", _p43_role, f"select a.p_partkey, len(a.t) > 0 and len(b.t) > 0 and (list_has_all(a.t, b.t) or list_has_all(b.t, a.t)) as same from {_TOKENS} a join {_TOKENS} b on b.p_partkey = a.p_partkey - 1")

@@ -223,3 +223,19 @@ def test_aggregates_do_the_surveyed_work(spark, data, monkeypatch):
     assert (len(seen["grid"]), seen["folds"], seen["by"]) == (48, 4, "fold")
     guesses = spark.createDataFrame([(0.0, 0.0)] * 8 + [(1.0, 0.0), (1.0, 1.0)], "label double, prediction double")
     assert abs(ml.MacroF1().evaluate(guesses) - (16 / 17 + 2 / 3) / 2) < 1e-12
+
+
+def test_bootstrap_interval_agrees_with_plain_resampling(spark):
+    import numpy as np
+
+    from postlens.operators.timeseries import bootstrap_median
+
+    rng = np.random.default_rng(1)
+    ages = {"a": rng.integers(0, 90, 400).tolist(), "b": rng.integers(0, 4, 60).tolist(), "c": [1, 2, 3]}
+    df = spark.createDataFrame([(g, x) for g, xs in ages.items() for x in [*xs, None]], "g string, age int")
+    got = {r.g: r for r in bootstrap_median(df, "g", "age").collect()}
+    assert set(got) == {"a", "b"}
+    for g, r in got.items():
+        plain = [np.median(rng.choice(ages[g], len(ages[g]))) for _ in range(2000)]
+        assert r.median == np.median(ages[g]) and r.n == len(ages[g])
+        assert abs(r.low - np.quantile(plain, 0.025)) <= 3 and abs(r.high - np.quantile(plain, 0.975)) <= 3 and r.low <= r.median <= r.high

@@ -257,6 +257,69 @@ def test_secret_base_and_lexer(spark):
     assert "abcdefghijkl" not in red[2] and red[9] == texts[9] and red[0] is None and "Zq8fK2pLm9Rt" not in red[6]
 
 
+def plain_assign(t):
+    """The assign pattern, letter by letter."""
+    low, out, at = t.lower(), [], 0
+    value = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    while at < len(t):
+        name = next((n for n in ("password", "passwd", "secret", "token", "apikey", "api_key") if low.startswith(n, at) and len(low) == len(t)), None)
+        end = None
+        if name:
+            i = at + len(name)
+            i += i < len(t) and t[i] in "\"'"
+            while i < len(t) and t[i] == " ":
+                i += 1
+            if i < len(t) and t[i] in ":=":
+                i += 1
+                while i < len(t) and t[i] == " ":
+                    i += 1
+                i += i < len(t) and t[i] in "\"'"
+                j = i
+                while j < len(t) and t[j] in value:
+                    j += 1
+                end = (i, j) if j > i else None
+        if end:
+            if end[1] - end[0] >= 12:
+                out.append((at, end[1]))
+            at = end[1]
+        else:
+            at += 1
+    return out
+
+
+def test_secret_base_patterns_match_plain_scans():
+    rng = random.Random(4)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "=", ": ", "  =  ", "'", '"', "AKIA", "AKIAAB12", "abcdef0123456789", "Zq8fK2pLm9Rt", "x.y-z=", " ", "\n", "é", "9F", "0" * 18]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        got = secrets.base_spans(t)
+        assert [(a, z) for a, z, k in got if k == 0] == plain_assign(t), t
+        access, at = [], 0
+        while (at := t.find("AKIA", at)) >= 0:
+            end = at + 4
+            while end < len(t) and t[end] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
+                end += 1
+            if end - at >= 18:
+                access.append((at, end))
+            at = max(end, at + 4)
+        assert [(a, z) for a, z, k in got if k == 1] == access, t
+
+
+def test_secrets_of_escapes_blocks_and_long_texts(spark):
+    v = "Zx81kQ7pLm2RtVw9"
+    forms = [f'api_token = """\n  {v}\n"""', f"client_secret: |\n    {v}\n", f"password: >-\n  {v}", f'# password = "{v}"', f"/* secret = '{v}' */"]
+    quoted = 'db_password = "Zx81\\"kQ7pLm2RtVw9"'
+    assert [quoted[a:z] for a, z, _ in secrets.lex(quoted)] == ['Zx81\\"kQ7pLm2RtVw9']
+    for t in forms:
+        assert any(t[a:z] == v for a, z, _ in secrets.lex(t)), t
+    long = "word " * 400_000 + f'passphrase = "{v}"'
+    df = spark.createDataFrame([(1, long, 7), (None, long, 8), (None, None, 9)], "doc_id long, text string, secret_spans int")
+    out = secrets.scan(df)
+    assert out.columns == ["doc_id", "text", "secret_spans"]
+    at = long.index(v)
+    assert sorted((r.doc_id or 0, r.secret_spans) for r in out.collect()) == [(0, []), (0, [at, at + 16, 3]), (1, [at, at + 16, 3])]
+
+
 def test_secrets_of_every_part_and_form(spark):
     v = "Zx81kQ7pLm2RtVw9"
     forms = [f'{n} = "{v}"' for n in (*secrets.SENSITIVE, "encryption_key", "signing.key", "authHeader", "pass_phrase", "pass_word", "pass-word", "p_w_d", "cre-dential")]
@@ -462,6 +525,26 @@ def test_html_words_of_wrappers_and_articles(spark, data):
     assert html_extract.judge(html_extract.Boosted(7.5), x)[0] > 0 > html_extract.judge(html_extract.Boosted(6.0), x)[0]
 
 
+def test_html_edges_of_tables_and_scripts(spark, data, tmp_path):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    model = html_extract.train(pages)
+    body = "".join(f"<p>Paragraph {i} tells of the harbour and its {i} boats in the morning light, quietly.</p>" for i in range(30))
+    page = f'<html><body><nav><a href="/">Home</a></nav><article><h1>T &amp; U</h1><script src="x"/>var code = 1;</script><style/>p {{}}</style>{body}</article></body></html>'
+    plain = page.replace('<script src="x"/>var code = 1;</script><style/>p {}</style>', "")
+    far = f"<html><body><article>{body * 400}</article></body></html>"
+    rows = [(1, "u", page, "a"), (1, "u", page, "b"), (2, "u", plain, "c"), (3, None, None, None), (None, "u", "", None), (4, "u", far, "d")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_extract.extract(df, model).collect()
+    assert len(got) == 6
+    texts = {}
+    for r in got:
+        texts.setdefault(r.page_id, set()).add(r.text)
+    assert texts[1] == texts[2] and "code" not in next(iter(texts[1])) and "T & U" in next(iter(texts[1])) and "Home" not in next(iter(texts[1]))
+    assert texts[3] == texts[None] == {""} and len(next(iter(texts[4])).split("Paragraph")) == 12_001
+    pages.limit(0).write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.QUERIES["op2_html_extract"](spark, str(tmp_path)).count() == 0
+
+
 def test_decoding_never_contradicts():
     rng = random.Random(2)
     for _ in range(50):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,19 +50,84 @@ def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Data
     return j.select(key, *[F.coalesce(blank(F.col(c)), F.col(f"_{c}")).alias(c) for c in columns], action.alias("action"))
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, block: list[Column], least: float) -> DataFrame:
-    """Pairs of different texts of a block with edit similarity of ``least`` or more.
+#: Lengths that text columns of the store are cut to.
+LIMITS = {"title": 255, "company": 255, "description": 65535, "country": 100, "city": 100, "work_mode": 50, "employment_type": 50, "source_url": 1000}
+_YES = ("1", "true", "yes", "on")
 
-    Equal texts of a block are one row first (``key`` is their smallest), and a pair is looked at only if
-    its lengths allow the similarity, so a block costs its distinct texts of near length.
+
+def ingest(store: DataFrame, batch: DataFrame, order: str, preserve: bool, day: str, source_default: str) -> DataFrame:
+    """The store after a batch, with ``action`` (kept, created, updated); rows of the batch without an id are left out.
+
+    The last row (by ``order``) of a source and id counts. Texts are trimmed and cut to ``LIMITS``; blank ones empty the column, or with
+    ``preserve`` keep what the store has, where the longer description wins too. A posting is remote by its mode, scope or flag; with
+    ``preserve`` a batch that tells none of these changes nothing. ``created_at`` is set once.
     """
-    one = df.select(*[b.alias(f"_b{i}") for i, b in enumerate(block)], F.col(key), F.col(text)).groupBy(*[f"_b{i}" for i in range(len(block))], text).agg(F.min(key).alias(key))
-    left = one.select(*[F.col(f"_b{i}") for i in range(len(block))], F.col(key).alias("a"), F.col(text).alias("_x"))
-    right = one.select(*[F.col(f"_b{i}") for i in range(len(block))], F.col(key).alias("b"), F.col(text).alias("_y"))
-    longest = F.greatest(F.length("_x"), F.length("_y"))
-    near = F.least(F.length("_x"), F.length("_y")) >= least * longest
-    j = left.join(right, [f"_b{i}" for i in range(len(block))]).where(F.col("a") < F.col("b")).where(near)
-    return j.withColumn("similarity", F.round(1 - F.levenshtein("_x", "_y") / longest, 4)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    key = ["source", "source_job_id"]
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    rows = batch.withColumns({"source": F.coalesce(F.nullif(text("source"), F.lit("")), F.lit(source_default)), "source_job_id": text("source_job_id")}).where("source_job_id <> ''")
+    rows = keep_first(rows, key, [F.desc(order)])
+    columns = [c for c in store.columns if c not in key]
+    o = store.select(*key, F.lit(True).alias("_old"), *[F.col(c).alias(f"_{c}") for c in columns])
+    both = rows.withColumn("_new", F.lit(True)).join(o, key, "full_outer")
+    known = F.coalesce(F.col("_old"), F.lit(False)) & F.lit(preserve)
+    kept = lambda c: F.when(known, F.col(f"_{c}"))
+    plain = lambda c: F.coalesce(F.nullif(F.substring(text(c), 1, LIMITS[c]), F.lit("")), kept(c))
+    long = F.coalesce(F.col("description"), F.lit(""))
+    long = F.when(known & (F.length(F.coalesce("_description", F.lit(""))) >= F.length(long)), F.col("_description")).otherwise(long)
+    mode, scope, flag = F.lower(text("work_mode")), F.lower(text("remote_scope")), F.lower(text("remote_eligible"))
+    told = ~mode.isin("", "unknown") | (scope != "") | (flag != "")
+    remote = mode.isin("remote", "hybrid") | scope.isin("global", "africa-wide") | flag.isin(*_YES)
+    merged_mode = F.when(known & mode.isin("", "unknown"), F.coalesce(F.nullif(F.lower(text("_work_mode")), F.lit("")), F.nullif(mode, F.lit("")), F.col("_work_mode"))).otherwise(F.nullif(mode, F.lit("")))
+    new = {
+        "title": F.coalesce(F.nullif(F.substring(text("title"), 1, LIMITS["title"]), F.lit("")), F.col("_title"), F.lit("")), "description": F.nullif(F.substring(long, 1, LIMITS["description"]), F.lit("")),
+        "work_mode": F.substring(merged_mode, 1, LIMITS["work_mode"]), "remote": F.when(known & ~told, F.col("_remote")).otherwise(remote), "posted_at": F.coalesce("posted_at", kept("posted_at")),
+        "expires_at": F.coalesce("expires_at", kept("expires_at")), "created_at": F.coalesce("_created_at", F.lit(day).cast("date")), **{c: plain(c) for c in ("company", "country", "city", "employment_type", "source_url")},
+    }
+    action = F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "created").otherwise("updated")
+    return both.select(*key, *[F.when(F.col("_new").isNull(), F.col(f"_{c}")).otherwise(new[c]).alias(c) for c in columns], action.alias("action"))
+
+
+def ingest_counts(ingested: DataFrame, batch: DataFrame) -> DataFrame:
+    """One row: created, updated, skipped (rows of the batch without an id) and processed."""
+    n = lambda a: F.count_if(F.col("action") == a)
+    skipped = batch.agg(F.count_if(F.trim(F.coalesce(F.col("source_job_id").cast("string"), F.lit(""))) == "").alias("skipped"))
+    return ingested.agg(n("created").alias("created"), n("updated").alias("updated")).crossJoin(F.broadcast(skipped)).withColumn("total_processed", F.col("created") + F.col("updated"))
+
+
+def new_links(linked: DataFrame, *found: DataFrame) -> DataFrame:
+    """Distinct non-blank ``(job_id, skill)`` of all that was found, without those that are linked."""
+    every = reduce(lambda a, b: a.unionByName(b), [f.select("job_id", F.trim("skill").alias("skill")) for f in found])
+    return every.where("skill <> ''").distinct().join(linked.select("job_id", "skill"), ["job_id", "skill"], "left_anti")
+
+
+PLACEHOLDERS = ("", "nan", "none", "n/a", "null", "-")
+
+
+def clean(df: DataFrame) -> DataFrame:
+    """Without empty columns, empty rows and copies; white space collapsed, placeholders null, columns named after a date as timestamps."""
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
+    full = df.select(*[c for c in df.columns if counts[c]]).dropna(how="all")
+    texts = [f.name for f in full.schema.fields if f.dataType.simpleString() == "string"]
+    for c in texts:
+        tidy = F.trim(F.regexp_replace(c, r"\s+", " "))
+        full = full.withColumn(c, F.when(~F.lower(tidy).isin(*PLACEHOLDERS), tidy))
+    for c in [c for c in full.columns if "date" in c.lower()]:
+        full = full.withColumn(c, F.try_to_timestamp(F.col(c).cast("string")))
+    return full.dropna(how="all").distinct()
+
+
+def search(jobs: DataFrame, links: DataFrame, words=None, country=None, city=None, type=None, remote=None, open_since=None, skills=None) -> DataFrame:
+    """Postings that meet every condition given; ``words`` in the title or company, ``skills`` any of them."""
+    same = lambda c, v: F.lower(c) == v.lower()
+    if words:
+        jobs = jobs.where(F.lower("title").contains(words.lower()) | F.lower("company").contains(words.lower()))
+    for c, v in (("country", country), ("city", city), ("type", type)):
+        jobs = jobs if v is None else jobs.where(same(c, v))
+    if remote is not None:
+        jobs = jobs.where((F.lower("work_mode") == "remote") == remote)
+    if open_since is not None:
+        jobs = jobs.where(F.col("date_posted") >= open_since)
+    return jobs if skills is None else jobs.join(links.where(F.col("skill").isin(skills)).select("job_id"), "job_id", "left_semi")
 
 
 def edits(bits: dict[str, int], m: int, y: str, most: int) -> int:
@@ -152,7 +218,7 @@ def whole_pairs(df: DataFrame, key: str, text: str, block: list[Column], least:
     return near.select("a", "b", F.round(1 - F.col("d") / F.col("n"), 4).alias("similarity")).where(F.col("similarity") >= least), copies
 
 
-def clusters(pairs: DataFrame, nodes: DataFrame, key: str, save, most_rounds: int = 30) -> DataFrame:
+def clusters(pairs: DataFrame, nodes: DataFrame, key: str, save) -> DataFrame:
     """``(key, cluster)``: every node with the smallest node it is linked to, directly or not.
 
     Labels spread along the links and jump over what they reach, so rounds grow with the logarithm of the
@@ -161,7 +227,7 @@ def clusters(pairs: DataFrame, nodes: DataFrame, key: str, save, most_rounds: in
     links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = save(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     now = save(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")).distinct())
-    for _ in range(most_rounds):
+    while True:
         near = links.join(now, F.col("v") == F.col("n")).groupBy("u").agg(F.min("l").alias("m"))
         step = now.join(near, F.col("n") == F.col("u"), "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"))
         jump = step.select(F.col("n").alias("_n"), F.col("l").alias("_l"))
@@ -170,4 +236,3 @@ def clusters(pairs: DataFrame, nodes: DataFrame, key: str, save, most_rounds: in
         now = new
         if not moved:
             return now.select(F.col("n").alias(key), F.col("l").alias("cluster"))
-    raise RuntimeError("clusters did not settle")

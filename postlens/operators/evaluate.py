@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlens.functions.text import any_contained
+
 
 def set_scores(gold: DataFrame, found: DataFrame, key: str, item: str) -> DataFrame:
     """True and false positives and misses of each item, from one full outer join of the pairs."""
@@ -22,21 +24,44 @@ def class_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
     )
 
 
-def ranking(hits: DataFrame, query: str) -> DataFrame:
+def with_f1(report: DataFrame) -> DataFrame:
+    """A class report with precision, recall and F1; their mean over the classes is the macro average."""
+    ratio = lambda a, b: F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 6)
+    return report.withColumns({"precision": ratio(F.col("tp"), F.col("predicted")), "recall": ratio(F.col("tp"), F.col("actual")), "f1": ratio(2 * F.col("tp"), F.col("predicted") + F.col("actual"))})
+
+
+def category_scores(gold: DataFrame, found: DataFrame, key: str, item: str, categories: dict[str, str]) -> DataFrame:
+    """Hits, spurious and missed pairs with precision, recall and F1, of each category and of ALL pairs together."""
+    table = F.create_map(*[F.lit(x) for kv in categories.items() for x in kv])
+    each = set_scores(gold, found, key, item).withColumn("category", F.try_element_at(table, F.col(item))).where("category is not null")
+    sums = each.rollup("category").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn("category", F.coalesce("category", F.lit("ALL")))
+    ratio = lambda a, b: F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return sums.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+
+
+def ranking(hits: DataFrame, query: str, weak: float = 0.2) -> DataFrame:
+    """Precision at 3 and 5, recall at 5 (of what the list holds), reciprocal rank, and whether the best score is weak."""
     rel = lambda k: F.count(F.when(F.col("relevant") & (F.col("rank") <= k), 1))
-    first = F.min(F.when(F.col("relevant"), F.col("rank")))
-    return hits.groupBy(query).agg(F.round(rel(3) / 3, 4).alias("p_at_3"), F.round(rel(5) / 5, 4).alias("p_at_5"), F.round(F.coalesce(1 / first, F.lit(0.0)), 4).alias("mrr"))
+    first, all_ = F.min(F.when(F.col("relevant"), F.col("rank"))), F.count(F.when(F.col("relevant"), 1))
+    return hits.groupBy(query).agg(
+        F.round(rel(3) / 3, 4).alias("p_at_3"), F.round(rel(5) / 5, 4).alias("p_at_5"), F.round(F.coalesce(rel(5) / F.nullif(all_, F.lit(0)), F.lit(0.0)), 4).alias("r_at_5"),
+        F.round(F.coalesce(1 / first, F.lit(0.0)), 4).alias("mrr"), (F.max("score") < weak).alias("low_confidence"))
 
 
-def in_context(found: DataFrame, texts: DataFrame, key: str, text: str, word: str, width: int = 40) -> DataFrame:
-    """Whether ``word`` stands within ``width`` characters of an extracted term."""
+def in_context(found: DataFrame, texts: DataFrame, key: str, text: str, words: list[str], width: int = 40) -> DataFrame:
+    """Whether one of ``words`` stands within ``width`` characters of an extracted term."""
     j = found.join(texts.select(key, F.lower(text).alias("_t")), key)
-    return j.select(key, "skill", F.expr(f"substring(_t, greatest(locate(skill, _t) - {width}, 1), {2 * width} + length(skill))").contains(word).alias("technical"))
+    near = F.expr(f"substring(_t, greatest(locate(skill, _t) - {width}, 1), {2 * width} + length(skill))")
+    return j.select(key, "skill", any_contained(near, words).alias("technical"))
+
+
+def long(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """``keys, metric, value``: a row for each metric column."""
+    return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("_m")).select(*keys, "_m.*")
 
 
-def deltas(df: DataFrame, dead_band: float) -> DataFrame:
-    """Mean of each metric column now and in the previous run (here: the even ids), and the trend outside a dead band."""
-    names = [c for c in df.columns if c != "doc_id"]
-    one = df.agg(*[F.round(F.avg(c), 4).alias(f"v_{c}") for c in names], *[F.round(F.avg(F.when(F.col("doc_id") % 2 == 0, F.col(c))), 4).alias(f"p_{c}") for c in names])
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"v_{c}").alias("value"), F.col(f"p_{c}").alias("previous")) for c in names])).alias("m")).select("m.*")
+def deltas(now: DataFrame, before: DataFrame, dead_band: float) -> DataFrame:
+    """``metric, value`` of two runs side by side, and the trend outside a dead band."""
+    rows = now.select("metric", "value").join(before.select("metric", F.col("value").alias("previous")), "metric", "left")
     return rows.withColumn("trend", F.when(F.abs(F.col("value") - F.col("previous")) <= dead_band, "same").when(F.col("value") > F.col("previous"), "up").otherwise("down"))

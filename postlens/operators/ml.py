@@ -15,6 +15,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.functions.text import is_real_description
+
 
 def _order(key: str) -> list:
     return [F.md5(F.col(key).cast("string")), F.col(key)]
@@ -33,10 +35,19 @@ def stratified_sample(df: DataFrame, key: str, label: str, n: int) -> DataFrame:
     return df.withColumn("_r", r).where(F.col("_r") <= n).orderBy("_r", *_order(key)).limit(n).drop("_r")
 
 
+def training_rows(df: DataFrame, key: str, label: str, title: str, text: str, spellings: dict[str, str], least: int, test: float) -> DataFrame:
+    """``key, label, text, test``: one spelling of each class, the title and the text where it is a real one, classes of ``least`` rows or more."""
+    table = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
+    real = F.when(is_real_description(F.col(text)), F.col(text))
+    rows = df.where(F.col(label).isNotNull()).select(key, F.coalesce(F.try_element_at(table, F.col(label)), F.col(label)).alias(label), F.concat_ws(" ", title, real).alias("text"))
+    many = rows.withColumn("_n", F.count("*").over(Window.partitionBy(label))).where(F.col("_n") >= least).drop("_n")
+    return stratified_split(many, key, label, test)
+
+
 def text_pipeline(features: int = 1 << 14) -> Pipeline:
     return Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="_words", pattern="\\W+", minTokenLength=2), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="features", minDocFreq=2), LogisticRegression(weightCol="weight", maxIter=20, regParam=0.01),
+        IDF(inputCol="_tf", outputCol="features", minDocFreq=2), LogisticRegression(weightCol="weight", maxIter=2000, regParam=0.01),
     ])
 
 

@@ -228,7 +228,6 @@ _add("o1_sorted", lambda s, d: postings(s, d).select("job_id", "salary_min").ord
 _add("o2_page", lambda s, d: postings(s, d).select("job_id", "company").orderBy("company", "job_id").offset(40).limit(20), "select job_id, company from postings order by company, job_id limit 20 offset 40")
 _add("o3_top_k", lambda s, d: postings(s, d).select("job_id", "salary_min").orderBy(F.desc_nulls_last("salary_min"), "job_id").limit(25), "select job_id, salary_min from postings order by salary_min desc nulls last, job_id limit 25")
 _add("o4_min_score_fallback", lambda s, d: (lambda p: p.withColumn("any", F.max((F.col("salary_min") > 450000).cast("int")).over(Window.partitionBy("country"))).where("any = 0 or salary_min > 450000").withColumn("r", F.row_number().over(Window.partitionBy("country").orderBy(F.desc_nulls_last("salary_min"), "job_id"))).where("r <= 3").select("country", "job_id", "r"))(postings(s, d)), "select country, job_id, cast(r as int) as r from (select *, row_number() over (partition by country order by salary_min desc nulls last, job_id) as r from (select *, coalesce(max((salary_min > 450000)::int) over (partition by country), 0) as a from postings) where a = 0 or salary_min > 450000) where r <= 3")
-_sorted = lambda s, d: postings(s, d).join(posting_skills(s, d).groupBy("job_id").agg(F.count("*").alias("k")), "job_id", "left").select("job_id", F.row_number().over(Window.partitionBy("source").orderBy(F.col("k").isNull(), F.asc("k"), F.desc("date_posted"), "job_id")).alias("place"), "source")
 _MODES = {"match": "k is null, k, date_posted desc", "recent": "k is null, date_posted desc", "fewest_gaps": "k is null, k - m, date_posted desc"}
 
 
@@ -241,4 +240,3 @@ def _modes(s, d):
 
 
 _add("o6_sort_modes", _modes, "select p.job_id, source, " + ", ".join(f"cast(row_number() over (partition by source order by {by}, p.job_id) as int) as {m}" for m, by in _MODES.items()) + " from postings p left join (select job_id, count(*) as k, count(*) filter (where is_preferred) as m from posting_skills group by 1) s on s.job_id = p.job_id")
-_add("o6_sort_modes_whole", _sorted)

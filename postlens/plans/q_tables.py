@@ -71,17 +71,28 @@ _add(
 )
 
 
+_WANTED = ["job_id", "company", "country", "salary_min", "vacancy_url", "industry"]
+
+
 def _s7(s, d):
-    from postlens.operators.aggregates import null_profile
+    """Columns that are missing or not asked for, and nulls of those that are there."""
+    return files.schema_report(postings(s, d), _WANTED)
 
-    return null_profile(postings(s, d), ["salary_min", "company", "country"])
+
+_HAVE = ["job_id", "source", "company", "country", "work_mode", "seniority", "years_experience", "currency", "salary_min", "salary_max", "date_posted", "tech_category"]
+_add("s7_schema_report", _s7, " union all ".join(
+    f"select '{c}' as \"column\", '{'present' if c in _WANTED else 'extra'}' as state, count(*) filter (where {c} is null) as nulls, round(count(*) filter (where {c} is null) * 100.0::double / count(*), 2) as null_pct from postings" for c in _HAVE)
+    + "".join(f" union all select '{c}', 'missing', count(*), 100.0::double from postings" for c in _WANTED if c not in _HAVE))
+
+
+def _s8(s, d):
+    """Rows, columns, the ten largest countries and every source."""
+    return files.summary(postings(s, d), "country", "source", 10)
 
 
-_add(
-    "s7_schema_report", _s7,
-    "select 'salary_min' as \"column\", count(*) filter (where salary_min is null) as nulls, round(count(*) filter (where salary_min is null) * 100.0::double / count(*), 2) as null_pct from postings union all select 'company', 0, 0.0::double union all select 'country', 0, 0.0::double",
-)
 _add("s8_top_countries", lambda s, d: postings(s, d).groupBy("country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country").limit(10), "select country, count(*) as n from postings group by 1 order by 2 desc, 1 limit 10")
+_add("s8_summary", _s8, f"""select 'rows' as metric, 'all' as key, count(*) as value from postings union all select 'columns', 'all', {len(_HAVE)}
+union all select * from (select 'country', country, count(*) as n from postings group by 2 order by n desc, country limit 10) union all select 'source', source, count(*) from postings group by 2""")
 _add("s9_column_mapping", lambda s, d: (lambda o: o.select(*[F.col(c).alias(t) for t, c in files.guess_columns(o.columns, {"date_posted": ["date"], "salary": ["price", "salary"], "job_id": ["key"]}).items()]).withColumn("date_posted", F.date_format("date_posted", "yyyy-MM-dd")))(table(s, d, "orders")), "select strftime(o_orderdate, '%Y-%m-%d') as date_posted, o_totalprice as salary, o_orderkey as job_id from orders")
 _add("s10_column_profile", lambda s, d: postings(s, d).groupBy(F.col("country").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(15).withColumn("recognised", F.col("value").rlike("_[0-9]$")), "select country as value, count(*) as n, regexp_matches(country, '_[0-9]$') as recognised from postings group by 1 order by 2 desc, 1 limit 15")
 
@@ -98,11 +109,27 @@ _add("s12_newest_run", _s12, "select job_id, country, 20260201 as run_id from po
 
 
 def _s13(s, d):
+    """Open jobs with their skills as JSON, by source and id; a row without its identity is an error."""
     skills = posting_skills(s, d).groupBy("job_id").agg(F.to_json(F.array_sort(F.collect_set("skill"))).alias("skills"))
-    return postings(s, d).where("work_mode = 'remote'").join(skills, "job_id").select("source", "job_id", "skills")
+    jobs = postings(s, d).where("work_mode = 'remote'").join(skills, "job_id").withColumn("source_job_id", F.col("job_id").cast("string"))
+    known = F.coalesce(F.trim("source"), F.lit("")) != ""
+    sure = F.when(known & (F.coalesce(F.trim("source_job_id"), F.lit("")) != ""), F.col("source_job_id")).otherwise(F.raise_error(F.lit("a posting has no source or id")))
+    return jobs.select("source", "job_id", "skills", sure.alias("source_job_id")).orderBy("source", "source_job_id")
 
 
-_add("s13_snapshot_export", _s13, "select source, job_id, '[' || string_agg('\"' || skill || '\"', ',' order by skill) || ']' as skills from (select distinct job_id, skill from posting_skills) join (select source, job_id from postings where work_mode = 'remote') using (job_id) group by 1, 2")
+_add("s13_snapshot_export", _s13, "select source, job_id, '[' || string_agg('\"' || skill || '\"', ',' order by skill) || ']' as skills, cast(job_id as varchar) as source_job_id from (select distinct job_id, skill from posting_skills) join (select source, job_id from postings where work_mode = 'remote') using (job_id) group by 1, 2")
+
+
+def _s11_csv(s, d):
+    """The long table of skills by country as CSV, read back."""
+    from postlens.operators.aggregates import skill_by_region
+
+    path = f"{files.work_dir(s)}/csv-{uuid.uuid4().hex}"
+    skill_by_region(posting_skills(s, d), postings(s, d)).select("skill", F.col("country").alias("region"), F.col("n").alias("count")).write.option("header", True).csv(path)
+    return s.read.schema("skill string, region string, count long").option("header", True).csv(path)
+
+
+_add("s11_csv_export", _s11_csv, "select skill, country as region, count(*) as \"count\" from (select distinct job_id, skill from posting_skills) join postings using (job_id) group by 1, 2")
 
 _SET = [f"NATION_{i}" for i in (1, 5, 9)]
 _add("f1_geo_filter", lambda s, d: postings(s, d).where(F.lower("country").isin([c.lower() for c in _SET]) | F.col("work_mode").rlike("remote|hybrid|wfh|unknown")).select("job_id", "country", "work_mode"), "select job_id, country, work_mode from postings where country in ('NATION_1', 'NATION_5', 'NATION_9') or work_mode in ('remote', 'hybrid')")
@@ -117,15 +144,29 @@ def _f4(s, d):
 
 _add("f4_trust_filter", lambda s, d: _f4(s, d).select("job_id"), "select job_id from postings where date_posted >= date '1995-01-01' and date_posted <= (select max(date_posted) - 30 from postings)")
 _add("f5_non_negative_age", lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("age", F.datediff("l_shipdate", "o_orderdate")).where("age >= 0").groupBy("age").agg(F.count("*").alias("n")), "select cast(date_diff('day', cast(o_orderdate as date), cast(l_shipdate as date)) as int) as age, count(*) as n from lineitem join orders on l_orderkey = o_orderkey where l_shipdate::date >= o_orderdate::date group by 1")
-_add("f6_clean_data", lambda s, d: posting_text(s, d).drop("job_id").withColumn("source", F.when(F.col("source") != "src0", F.col("source"))).dropna(how="all").distinct().groupBy("source", "country").agg(F.count("*").alias("n")), "select source, country, count(*) as n from (select distinct case when source <> 'src0' then source end as source, country, description from posting_text) group by 1, 2")
+
+
+def _messy(s, d):
+    """Rows with spaces, placeholders, a date column as text, an empty column and copies."""
+    k = F.col("job_id")
+    rows = posting_text(s, d).select(
+        F.when(k % 5 != 0, F.concat(F.lit("  "), "source", F.lit("\t x "))).alias("source"), F.when(k % 5 != 0, F.element_at(F.array(F.lit(" N/A "), F.lit("-"), F.lit("null"), F.col("country")), (k % 4 + 1).cast("int"))).alias("country"),
+        F.when(k % 5 != 0, F.when(k % 3 == 0, "2024-01-05").when(k % 3 == 1, "no day")).alias("seen_date"), F.lit(None).cast("string").alias("empty"))
+    return rows.unionByName(rows)
+
+
+_add("f6_clean_data", lambda s, d: dedup.clean(_messy(s, d)).withColumn("seen_date", F.col("seen_date").cast("string")), """select distinct case when job_id % 5 <> 0 then source || ' x' end as source, case when job_id % 5 <> 0 and job_id % 4 = 3 then country end as country, case when job_id % 5 <> 0 and job_id % 3 = 0 then '2024-01-05 00:00:00' end as seen_date
+from posting_text where job_id % 5 <> 0""")
 
 
 def _f7(s, d):
-    wanted = posting_skills(s, d).where(F.col("skill").isin("brand#1", "brand#2")).select("job_id")
-    return postings(s, d).where(F.lower("company").like("%00%") & (F.lower("country") == "nation_3") & (F.col("work_mode") == "hybrid")).join(wanted, "job_id", "left_semi").select("job_id", "company")
+    """Words in title or company, country, city and type whatever the case, remote, open at the day of the newest posting, any of some skills."""
+    p = postings(s, d).withColumns({"title": F.concat_ws(" ", "seniority", "source"), "city": F.concat(F.lit("City "), (F.col("job_id") % 3).cast("string")), "type": F.when(F.col("job_id") % 2 == 0, "Full-Time").otherwise("Contract")})
+    return dedup.search(p, posting_skills(s, d), words="senior", country="NATION_3", city="city 1", type="full-time", remote=False, open_since=F.lit("1995-01-01").cast("date"), skills=["brand#1", "brand#2", "brand#3"]).select("job_id", "title", "company")
 
 
-_add("f7_search", _f7, "select job_id, company from postings where lower(company) like '%00%' and country = 'NATION_3' and work_mode = 'hybrid' and job_id in (select job_id from posting_skills where skill in ('brand#1', 'brand#2'))")
+_add("f7_search", _f7, """select job_id, seniority || ' ' || source as title, company from postings where (contains(lower(seniority || ' ' || source), 'senior') or contains(lower(company), 'senior')) and country = 'NATION_3' and job_id % 3 = 1 and job_id % 2 = 0
+  and work_mode <> 'remote' and date_posted >= date '1995-01-01' and job_id in (select job_id from posting_skills where skill in ('brand#1', 'brand#2', 'brand#3'))""")
 _add("f8_min_class_size", lambda s, d: (lambda t: t.join(t.groupBy("source", "country").agg(F.count("*").alias("n")).where("n >= 8"), ["source", "country"], "left_semi").select("job_id", "source"))(posting_text(s, d)), "select job_id, source from posting_text where (source, country) in (select (source, country) from posting_text group by source, country having count(*) >= 8)")
 _add("f9_groups_over", lambda s, d: postings(s, d).groupBy("country", "seniority").agg(F.count("*").alias("n")).where("n > 100"), "select country, seniority, count(*) as n from postings group by 1, 2 having count(*) > 100")
 _add("f10_source_relevance", lambda s, d: posting_text(s, d).where(T.any_contained(F.col("description"), ["worldwide", "africa"]) | (F.col("country") == "fr")).select("job_id", F.when(T.any_contained(F.col("description"), ["worldwide"]), "Global").otherwise("Regional").alias("scope")), "select job_id, case when contains(lower(description), 'worldwide') then 'Global' else 'Regional' end as scope from posting_text where contains(lower(description), 'worldwide') or contains(lower(description), 'africa') or country = 'fr'")
@@ -163,12 +204,8 @@ _add(
     "j10_skill_countries", lambda s, d: candidates(s, d).select("candidate_id", "skill").join(posting_skills(s, d).join(postings(s, d).select("job_id", "country"), "job_id").select("skill", "country").distinct(), "skill").groupBy("candidate_id").agg(F.count_distinct("country").alias("n")),
     "select candidate_id, count(distinct p.country) as n from candidates join (select distinct skill, p.country from posting_skills join postings p using (job_id)) p using (skill) group by 1",
 )
-_add(
-    "j11_similar_pairs", lambda s, d: dedup.similar_pairs(table(s, d, "documents").where(F.length("text") <= 400), "doc_id", "text", [F.col("lang"), F.substring("text", 1, 4)], 0.85),
-    "with one as (select lang, text, min(doc_id) as doc_id from documents where length(text) <= 400 group by 1, 2), pair as (select x.doc_id as a, y.doc_id as b, round(1 - levenshtein(x.text, y.text)::double / greatest(length(x.text), length(y.text)), 4) as similarity from one x join one y on x.lang = y.lang and substr(x.text, 1, 4) = substr(y.text, 1, 4) and x.doc_id < y.doc_id and least(length(x.text), length(y.text)) >= 0.85 * greatest(length(x.text), length(y.text))) select a, b, similarity from pair where similarity >= 0.85",
-)
-# j11 with its SQL holds short texts with equal first characters only; this one holds all of them. SQL would need the product of a language's texts.
-_add("j11_similar_pairs_whole", lambda s, d: dedup.whole_pairs(table(s, d, "documents"), "doc_id", "text", [F.col("lang")], 0.85)[0])
+# All texts of a language, whatever their length or first letters; SQL would need the product of a language's texts, so brute force on small tables checks it.
+_add("j11_similar_pairs", lambda s, d: dedup.whole_pairs(table(s, d, "documents"), "doc_id", "text", [F.col("lang")], 0.85)[0])
 _add(
     "j12_as_of_status", lambda s, d: posting_events(s, d).where("ts <= timestamp '2024-01-15 00:00:00'").groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status")),
     "select job_id, status from (select job_id, status, row_number() over (partition by job_id order by ts desc, event_id desc) as r from posting_events where ts <= timestamp '2024-01-15 00:00:00') where r = 1",
@@ -184,11 +221,122 @@ _DUP = "(select job_id, source, company, country, 0 as src_priority from posting
 _add("u1_union", lambda s, d: _dup(s, d).groupBy("src_priority").agg(F.count("*").alias("n")), f"select src_priority, count(*) as n from {_DUP} group by 1")
 _add("u2_keep_first", lambda s, d: dedup.keep_first(_dup(s, d), ["job_id"], ["src_priority"]).select("job_id", "source"), "select job_id, source from postings")
 _add("u3_composite_key", lambda s, d: dedup.keep_first(_dup(s, d).withColumn("key", T.dedup_key(F.col("company"), F.col("country"))), ["key"], ["src_priority", "job_id"]).select("key", "job_id"), f"select md5(lower(company) || '|' || lower(country)) as key, arg_min(job_id, (src_priority, job_id)) as job_id from {_DUP} group by 1")
-_add("u4_two_step", lambda s, d: dedup.keep_first(dedup.keep_first(_dup(s, d), ["job_id"], ["src_priority"]), ["company", "country"], ["src_priority", "job_id"]).select("job_id", "company"), "select min(job_id) as job_id, company from postings group by company, country")
+
+
+def _u4(s, d):
+    """By the address first (without query, fragment and closing slash), then by the fingerprint of what is left."""
+    url = F.concat(F.lit("https://example.org/jobs/"), F.floor(F.col("job_id") / 2).cast("string"), F.when(F.col("src_priority") == 1, "/?from=again").otherwise("/"))
+    one = dedup.keep_first(_dup(s, d).withColumn("url", T.normalize_url(url)), ["url"], ["src_priority", "job_id"])
+    two = one.withColumn("print", T.fingerprint(F.lit("Job"), F.col("company"), F.col("country")))
+    return dedup.keep_first(two, ["print"], ["src_priority", "job_id"]).select("job_id", "company", "url")
+
+
+_add("u4_two_step", _u4, "select min(job_id) as job_id, company, 'https://example.org/jobs/' || (min(job_id) // 2) as url from (select min(job_id) as job_id, arg_min(company, job_id) as company, arg_min(country, job_id) as country from postings group by job_id // 2) group by company, country")
 _add("u5_accumulate", lambda s, d: (lambda old, new: old.unionByName(new.join(old, "job_id", "left_anti")).groupBy(F.col("company").endswith("Limited").alias("old")).agg(F.count("*").alias("n")))(*_halves(s, d)), "select job_id % 2 = 0 or job_id % 5 = 0 as old, count(*) as n from postings group by 1")
-_add("u6_rekey", lambda s, d: dedup.keep_first(postings(s, d).select(T.stable_id(F.lit("ke"), F.col("company")).alias("new_id"), "country", "job_id"), ["new_id"], ["job_id"]), "select substr(sha256('ke|' || company), 1, 16) as new_id, country, min(job_id) as job_id from postings group by 1, 2")
+
+
+def _u6(s, d):
+    """A foreign dataset: ids hashed anew, mode and source spellings mapped, country, category and currency told by the text where the columns are empty; the first of each id."""
+    t = posting_text(s, d)
+    mode = F.element_at(F.array(F.lit("On Site"), F.lit("REMOTE"), F.lit("")), (F.col("job_id") % 3 + 1).cast("int"))
+    c = F.col("description")
+    rows = t.select(
+        T.stable_id(F.lower(F.regexp_replace("source", " ", "_")), F.floor(F.col("job_id") / 2).cast("string")).alias("new_id"), "job_id", T.normalize_work_mode(mode, c).alias("work_mode"),
+        F.coalesce(F.when(F.col("job_id") % 2 == 0, F.col("country")), T.first_contained(c, ["that", "pour", "und", "para"])).alias("country"), T.tech_category(c).alias("category"), T.guess_currency(c).alias("currency"))
+    return dedup.keep_first(rows, ["new_id"], ["job_id"])
+
+
+def _u6_sql():
+    from postlens.plans import q_text
+
+    part = lambda q: f"({q_text.QUERIES[q][1]})"
+    return f"""select new_id, job_id, case job_id % 3 when 0 then 'onsite' when 1 then 'remote' else g.value end as work_mode, case when job_id % 2 = 0 then country else c.value end as country, k.value as category, m.value as currency
+from (select substr(sha256(lower(source) || '|' || (job_id // 2)), 1, 16) as new_id, min(job_id) as job_id from posting_text group by 1) x join posting_text using (job_id)
+join {part('p15_guess_work_mode')} g using (job_id) join {part('p9_guess_country')} c using (job_id) join {part('p20_tech_category')} k using (job_id) join {part('p21_guess_currency')} m using (job_id)"""
+
+
+_add("u6_rekey", _u6, _u6_sql())
 _add("u7_upsert", lambda s, d: dedup.upsert(*_halves(s, d), "job_id", ["company", "country"]), "select job_id, case when job_id % 2 = 0 and job_id % 5 <> 0 then company || ' Limited' else company end as company, case when job_id % 2 = 1 and job_id % 5 <> 0 and job_id % 7 = 0 then null else country end as country, case when job_id % 5 = 0 then 'updated' when job_id % 2 = 0 then 'kept' else 'created' end as action from postings")
-_add("u8_link_upsert", lambda s, d: (lambda k: k.where("not is_preferred").select("job_id", "skill").distinct().join(k.where("is_preferred").select("job_id", "skill"), ["job_id", "skill"], "left_anti"))(posting_skills(s, d)), "select distinct job_id, skill from posting_skills where not is_preferred except select job_id, skill from posting_skills where is_preferred")
+
+
+def _store(s, d):
+    """A store of every second posting, as it was seen before."""
+    k = F.col("job_id")
+    return postings(s, d).where("job_id % 2 = 0").select(
+        "source", k.cast("string").alias("source_job_id"), F.concat(F.lit("Old "), "seniority").alias("title"), "company", F.concat(F.lit("Old text of "), "company", F.repeat(F.lit("!"), (k % 40).cast("int"))).alias("description"),
+        "country", F.lit("Town").alias("city"), "work_mode", F.lit("Full-Time").alias("employment_type"), F.lit("https://old.example.org").alias("source_url"), (F.col("work_mode") == "remote").alias("remote"),
+        F.col("date_posted").alias("posted_at"), F.lit(None).cast("date").alias("expires_at"), F.lit("2024-01-01").cast("date").alias("created_at"))
+
+
+def _incoming(s, d):
+    """A batch of a third of the postings: blanks, long texts, rows without an id and rows that come twice."""
+    k = F.col("job_id")
+    rows = postings(s, d).where("job_id % 3 = 0").select(
+        F.when(k % 21 == 0, "").otherwise(F.col("source")).alias("source"), F.when(k % 33 == 0, " ").otherwise(k.cast("string")).alias("source_job_id"), F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("New "), F.repeat("seniority", 40))).alias("title"),
+        F.when(k % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit(" "), "company", F.lit(" "))).alias("company"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("New text of "), "company")).alias("description"),
+        F.when(k % 4 == 0, "").otherwise(F.col("country")).alias("country"), F.lit("").alias("city"), F.when(k % 6 == 0, "Unknown").otherwise(F.upper("work_mode")).alias("work_mode"), F.when(k % 13 == 0, "Global").alias("remote_scope"),
+        F.when(k % 17 == 0, "Yes").alias("remote_eligible"), F.lit("Contract").alias("employment_type"), F.lit("https://new.example.org").alias("source_url"), F.when(k % 8 != 0, F.col("date_posted")).alias("posted_at"), F.lit(None).cast("date").alias("expires_at"),
+        F.lit(1).alias("place"))
+    again = rows.where("source_job_id like '%3'").withColumns({"title": F.lit("Second"), "place": F.lit(2)})
+    return rows.unionByName(again)
+
+
+_UP_COLUMNS = "source, source_job_id, title, company, description, country, city, work_mode, employment_type, source_url, remote, posted_at, expires_at, created_at"
+_STORE = """(select source, cast(job_id as varchar) as source_job_id, 'Old ' || seniority as title, company, 'Old text of ' || company || repeat('!', job_id % 40) as description, country, 'Town' as city, work_mode,
+  'Full-Time' as employment_type, 'https://old.example.org' as source_url, work_mode = 'remote' as remote, date_posted as posted_at, null::date as expires_at, date '2024-01-01' as created_at from postings where job_id % 2 = 0)"""
+_BATCH = """(select case when job_id % 21 = 0 then 'import' else source end as source, cast(job_id as varchar) as source_job_id, case when job_id % 10 = 3 then 'Second' when job_id % 9 = 0 then '' else 'New ' || repeat(seniority, 40) end as title,
+  case when job_id % 7 = 0 then '' else company end as company, case when job_id % 5 = 0 then '' else 'New text of ' || company end as description, case when job_id % 4 = 0 then '' else country end as country,
+  case when job_id % 6 = 0 then 'unknown' else work_mode end as mode, job_id % 13 = 0 as scoped, job_id % 17 = 0 as eligible, case when job_id % 8 <> 0 then date_posted end as posted_at
+  from postings where job_id % 3 = 0 and job_id % 33 <> 0)"""
+
+
+def _ingested(preserve):
+    old = lambda c: f"case when o.source is not null then {c} end" if preserve else "null"
+    text = lambda c, n: f"coalesce(nullif(substr(b.{c}, 1, {n}), ''), {old('o.' + c)})"
+    known = "(o.source is not null)"
+    longest = "case when length(coalesce(o.description, '')) >= length(b.description) then o.description else b.description end" if preserve else "b.description"
+    mode = f"case when {known} and b.mode = 'unknown' then coalesce(nullif(o.work_mode, ''), 'unknown') else b.mode end" if preserve else "b.mode"
+    signal = "(b.mode <> 'unknown' or scoped or eligible)"
+    remote = "(b.mode in ('remote', 'hybrid') or scoped or eligible)"
+    kept = f"case when {known} and not {signal} then o.remote else {remote} end" if preserve else remote
+    return f"""select coalesce(b.source, o.source) as source, coalesce(b.source_job_id, o.source_job_id) as source_job_id,
+  case when b.source is null then o.title else coalesce(nullif(substr(b.title, 1, 255), ''), o.title, '') end as title, case when b.source is null then o.company else {text('company', 255)} end as company,
+  case when b.source is null then o.description else nullif(substr({longest}, 1, 65535), '') end as description, case when b.source is null then o.country else {text('country', 100)} end as country,
+  case when b.source is null then o.city else {old('o.city')} end as city, case when b.source is null then o.work_mode else {mode} end as work_mode, case when b.source is null then o.employment_type else 'Contract' end as employment_type,
+  case when b.source is null then o.source_url else 'https://new.example.org' end as source_url, case when b.source is null then o.remote else {kept} end as remote,
+  case when b.source is null then o.posted_at else coalesce(b.posted_at, {old('o.posted_at') if preserve else 'null::date'}) end as posted_at, null::date as expires_at, coalesce(o.created_at, date '2024-02-01') as created_at,
+  case when b.source is null then 'kept' when o.source is null then 'created' else 'updated' end as action from {_STORE} o full join {_BATCH} b on o.source = b.source and o.source_job_id = b.source_job_id"""
+
+
+def _ingest(s, d, preserve):
+    return dedup.ingest(_store(s, d), _incoming(s, d), "place", preserve, "2024-02-01", "import")
+
+
+_add("u7_ingest", lambda s, d: _ingest(s, d, False), _ingested(False))
+_add("u7_ingest_preserving", lambda s, d: _ingest(s, d, True), _ingested(True))
+_add("u7_ingest_counts", lambda s, d: dedup.ingest_counts(_ingest(s, d, True), _incoming(s, d)), f"select count(*) filter (where action = 'created') as created, count(*) filter (where action = 'updated') as updated, (select count(*) from postings where job_id % 33 = 0) as skipped, count(*) filter (where action <> 'kept') as total_processed from ({_ingested(True)})")
+
+
+def _u8(s, d):
+    """New links of a batch: skills of the text, of the serialized list and of the title's words and role, without those that are linked."""
+    from postlens.operators import skills as K
+    from postlens.plans.q_skills import _ROLES, TAXONOMY
+
+    t = posting_text(s, d).withColumn("_title", F.concat_ws(" ", "source", F.when(F.col("job_id") % 3 == 0, "python ring")))
+    text = K.extract(t, "job_id", "description", TAXONOMY).select("job_id", "skill").union(K.extract(t, "job_id", "_title", TAXONOMY).select("job_id", "skill")).union(K.from_titles(t, "job_id", "_title", _ROLES))
+    listed = t.select("job_id", F.explode(F.from_json(F.when(F.col("job_id") % 4 == 0, '["kubernetes", " xgboost ", ""]'), "array<string>")).alias("skill"))
+    linked = t.where("job_id % 2 = 0").select("job_id", F.lit("the").alias("skill"))
+    return dedup.new_links(linked, text, listed)
+
+
+
+
+def _u8_sql():
+    from postlens.plans.q_skills import _EXTRACT, TAXONOMY, _found
+
+    titled = "(select job_id, concat_ws(' ', source, case when job_id % 3 = 0 then 'python ring' end) as title from posting_text)"
+    return f"""select job_id, skill from (select job_id, skill from {_EXTRACT} union select job_id, skill from {_found('title', titled)} union select job_id, unnest(['metal', 'design']) from posting_text where job_id % 3 = 0
+  union select job_id, unnest(['kubernetes', 'xgboost']) from posting_text where job_id % 4 = 0) except select job_id, 'the' from posting_text where job_id % 2 = 0"""
 _add(
     "u9_set_operations",
     lambda s, d: (lambda k: k.groupBy("job_id").agg(F.collect_set(F.when(F.col("is_preferred"), F.col("category"))).alias("p"), F.collect_set(F.when(~F.col("is_preferred"), F.col("category"))).alias("r")).select("job_id", F.size(F.array_intersect("p", "r")).alias("both"), F.size(F.array_except("p", "r")).alias("only_p"), F.size(F.array_union("p", "r")).alias("all")))(posting_skills(s, d)),
@@ -217,3 +365,4 @@ def _s11(s, d):
 
 
 _add("s11_json_sink", _s11, "select country, count(*) as n from postings group by 1")
+_add("u8_link_upsert", _u8, _u8_sql())

@@ -22,9 +22,11 @@ FEED = (
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """A folder that all executors share: ``spark.checkpoint.dir``, or in local mode (tests) one of our own where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-postlens-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/postlens"
@@ -80,3 +82,21 @@ def newest_run(df: DataFrame, column: str = "run_id") -> DataFrame:
     """Rows of the newest run; the filter prunes the partitions of the others."""
     newest = df.agg(F.max(column)).first()[0]
     return df.where(F.col(column) == newest)
+
+
+def schema_report(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """``column, state, nulls, null_pct``: columns present, extra or missing against ``wanted``; a missing column is null in every row."""
+    n = lambda c: F.count_if(F.col(c).isNull())
+    one = df.agg(F.count("*").alias("_n"), *[n(c).alias(c) for c in df.columns])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit("present" if c in wanted else "extra").alias("state"), F.col(c).alias("nulls")) for c in df.columns]
+    rows += [F.struct(F.lit(c).alias("column"), F.lit("missing").alias("state"), F.col("_n").alias("nulls")) for c in wanted if c not in df.columns]
+    return one.select("_n", F.explode(F.array(*rows)).alias("r")).select("r.*", F.round(F.col("r.nulls") * 100.0 / F.col("_n"), 2).alias("null_pct"))
+
+
+def summary(df: DataFrame, top: str, whole: str, k: int) -> DataFrame:
+    """``metric, key, value``: rows, columns, the ``k`` commonest values of ``top`` and all of ``whole``."""
+    count = lambda c: df.groupBy(c).agg(F.count("*").alias("value"))
+    named = lambda f, m, c: f.select(F.lit(m).alias("metric"), F.col(c).alias("key"), "value")
+    rows = df.agg(F.count("*").alias("value")).select(F.lit("rows").alias("metric"), F.lit("all").alias("key"), "value")
+    columns = rows.select(F.lit("columns").alias("metric"), "key", F.lit(len(df.columns)).cast("bigint").alias("value"))
+    return rows.unionByName(columns).unionByName(named(count(top).orderBy(F.desc("value"), top).limit(k), top, top)).unionByName(named(count(whole), whole, whole))

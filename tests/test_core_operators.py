@@ -178,7 +178,7 @@ def test_whole_clusters_match_brute_force(spark, tmp_path):
         pairs, _ = dedup.whole_pairs(df, "doc_id", "text", [F.col("lang")], 0.85, tile)
         got = [(r.a, r.b) for r in pairs.collect()]
         assert len(got) == len(set(got)) and set(got) == want
-    assert {(r.a, r.b) for r in registry.QUERIES["j11_similar_pairs_whole"](spark, str(tmp_path)).collect()} == want
+    assert {(r.a, r.b) for r in registry.QUERIES["j11_similar_pairs"](spark, str(tmp_path)).collect()} == want
     label = {i: i for i, _, _ in rows}
     links = want | {(least[g, t], i) for i, t, g in rows if t is not None}
     for _ in rows:
@@ -195,11 +195,11 @@ def test_search_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "plain " + " ".join(["zzz"] * 12) + " golden harbour golden harbour")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {0, 1} <= {r.job_id for r in run("v2_search_whole")}
-    assert run("v5_context_whole")[0].context.split("\n")[0] in ("[1] 0", "[1] 1")
-    assert {0, 1} <= {r.job_id for r in run("j8_query_corpus_whole")}
-    assert run("v4_strong_match_whole")[0].strong and run("v8_answers")[0].confidence == "high"
-    assert run("e4_ranking_metrics_whole")[0].mrr > 0
+    assert {0, 1} <= {r.job_id for r in run("v2_search")}
+    assert run("v5_context")[0].context.split("\n")[0] in ("[1] 0", "[1] 1")
+    assert {0, 1} <= {r.job_id for r in run("j8_query_corpus")}
+    assert run("v4_strong_match")[0].strong and run("v8_answers")[0].confidence == "high"
+    assert run("e4_ranking_metrics")[0].mrr > 0
 
 
 def test_aggregates_do_the_surveyed_work(spark, data, monkeypatch):
@@ -207,8 +207,8 @@ def test_aggregates_do_the_surveyed_work(spark, data, monkeypatch):
     from postlens.plans import registry
     from postlens.sources.fixtures import postings
 
-    whole = registry.QUERIES["o6_sort_modes_whole"](spark, data)
-    assert whole.count() == postings(spark, data).count() and whole.agg(F.max("place")).first()[0] > 50
+    whole = registry.QUERIES["o6_sort_modes"](spark, data)
+    assert whole.count() == postings(spark, data).count() and whole.agg(F.max("match")).first()[0] > 50
     asked = []
     monkeypatch.setattr(timeseries, "bootstrap_median", lambda *a: asked.append(a[4]))
     registry.QUERIES["a11_freshness_interval"](spark, data)

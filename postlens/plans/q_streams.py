@@ -36,19 +36,8 @@ _add("t2_once_per_id", _t2, "select event_id from posting_events")
 def _t3(s, d):
     path = f"{work_dir(s)}/store-{uuid.uuid4().hex}"
     e = posting_events(s, d).select("job_id", "ts", "event_id", "status")
-
-    def apply(batch, number):
-        known = batch.select("job_id", "ts", "event_id", "status")
-        if last:
-            known = known.unionByName(s.read.parquet(f"{path}/{last[-1]}"))
-        # Files come in any order: the newest status by event time wins, whichever batch brings it.
-        newest = known.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("x")).select("job_id", "x.*")
-        newest.write.mode("overwrite").parquet(f"{path}/{number}")
-        last.append(number)
-
-    last: list[int] = []
-    jobs.upserts(jobs.source(s, e), apply).awaitTermination()
-    return s.read.parquet(f"{path}/{max(last)}").select("job_id", "status")
+    jobs.upserts(jobs.source(s, e), jobs.keep_newest(path, "job_id", ["ts", "event_id"])).awaitTermination()
+    return jobs.stored(s, path).select("job_id", "status")
 
 
 _add("t3_upsert_sink", _t3, "select job_id, arg_max(status, (ts, event_id)) as status from posting_events group by 1")
@@ -56,8 +45,21 @@ _add("t4_tumbling", lambda s, d: jobs.drain(jobs.tumbling(_stream(s, d, "ts", "e
 _add("t5_sliding", lambda s, d: jobs.drain(jobs.tumbling(_stream(s, d, "ts", "status"), "ts", "7 days", ["status"], "1 day"), "complete"), "select strftime(date_trunc('day', ts) - to_days(k::int), '%Y-%m-%d %H:%M:%S') as start, status, count(*) as n from posting_events, generate_series(0, 6) g(k) group by 1, 2")
 _add("t6_weekly_counts", lambda s, d: jobs.drain(_stream(s, d, "ts", "status").groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), "status").agg(F.count("*").alias("n")), "complete"), "select strftime(date_trunc('week', ts), '%Y-%m-%d') as week, status, count(*) as n from posting_events group by 1, 2")
 _add("t7_stale_batch", lambda s, d: (lambda e: e.groupBy("job_id").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(e.agg(F.max("ts").alias("end")))).select("job_id", (F.col("last") < F.col("end") - F.expr("interval 5 days")).alias("removed")))(posting_events(s, d)), "select job_id, max(ts) < (select max(ts) - interval 5 days from posting_events) as removed from posting_events group by 1")
-_add("t7_stale_stream", lambda s, d: jobs.drain(jobs.expiry(_stream(s, d, "job_id", "ts"), "job_id", "ts", 8 * 3_600_000)))
+# A gap of more than eight hours, or nothing for eight hours before the watermark (an hour behind the newest event).
+_add("t7_stale_stream", lambda s, d: jobs.drain(jobs.expiry(_stream(s, d, "job_id", "ts"), "job_id", "ts", 8 * 3_600_000)), """select job_id, epoch_ms(ts) as last_ms from (select job_id, ts, lead(ts) over (partition by job_id order by ts) as next from posting_events) where next > ts + interval 8 hours
+union all select job_id, epoch_ms(max(ts)) from posting_events group by 1 having max(ts) + interval 8 hours < (select max(ts) - interval 1 hour from posting_events)""")
 _add("t8_status_changes", lambda s, d: (lambda e: e.withColumn("before", F.lag("status").over(Window.partitionBy("job_id").orderBy("ts", "event_id"))).where("before is null or before <> status").select("event_id", "job_id", "status"))(posting_events(s, d)), "select event_id, job_id, status from (select *, lag(status) over (partition by job_id order by ts, event_id) as before from posting_events) where before is null or before <> status")
 _add("t9_first_seen", lambda s, d: jobs.drain(_stream(s, d, "job_id", "ts").groupBy("job_id").agg(F.min("ts").cast("string").alias("first")), "complete").select("job_id", F.substring("first", 1, 19).alias("first")), "select job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first from posting_events group by 1")
 _add("t10_sessions", lambda s, d: jobs.drain(jobs.sessions(_stream(s, d, "job_id", "ts"), "ts", "job_id"), "complete").select("job_id", F.substring("start", 1, 19).alias("start"), "n"), "select job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (select *, sum(new) over (partition by job_id order by ts, event_id) as k from (select *, case when lag(ts) over (partition by job_id order by ts, event_id) > ts - interval 30 minutes then 0 else 1 end as new from posting_events)) group by job_id, k")
-_add("t11_late_rows", lambda s, d: jobs.drain(jobs.source(s, posting_events(s, d).select("ts", "event_type", (F.col("event_id") % 4).alias("file")), order="file").withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")))
+def _t11(s, d):
+    """Daily counts of four files that each cover all days: rows more than two days behind what was seen two files before are dropped."""
+    e = posting_events(s, d).select("ts", "event_type", (F.col("event_id") % 4).alias("file"))
+    days = jobs.in_order(s, e, "file").withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return jobs.drain(days.select(F.col("w.start").cast("string").alias("start"), "event_type", "n"))
+
+
+# A batch drops by the watermark that the batch before it ended days with, so dropping begins with the third file.
+_add("t11_late_rows", _t11, """select strftime(day, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from (
+  select date_trunc('day', ts) as day, event_type, event_id % 4 as file, (select max(ts) - interval 2 days from posting_events where event_id % 4 = 0) as w1,
+    (select max(ts) - interval 2 days from posting_events where event_id % 4 < 2) as w2, (select max(ts) - interval 2 days from posting_events) as w4 from posting_events)
+where day + interval 1 day <= w4 and (file < 2 or file = 2 and day + interval 1 day > w1 or file = 3 and day + interval 1 day > w2) group by 1, 2""")

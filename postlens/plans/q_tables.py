@@ -45,13 +45,20 @@ def _s3(s, d):
 
 
 def _s4(s, d):
-    p = postings(s, d)
+    """A nested feed written from postings: markup in two of three records, tags, untitled records and a malformed line."""
+    p, k = postings(s, d), F.col("job_id")
+    org = F.struct(
+        F.when(k % 2 == 0, F.struct(F.concat(F.lit("Org "), k).alias("name"))).alias("hiringOrganization"),
+        F.struct(F.struct(F.when(k % 4 != 0, F.lit("Town")).alias("addressLocality"), F.lit("").alias("addressRegion"), F.col("country").alias("addressCountry")).alias("address")).alias("jobLocation"),
+        F.lit("FULL_TIME").alias("employmentType"), F.col("currency").alias("salaryCurrency"), F.date_format("date_posted", "yyyy-MM-dd").alias("datePosted"), F.lit("2024-12-31").alias("validThrough"), F.col("source").alias("industry"),
+        F.lit("BSc").alias("educationRequirements"), F.lit("5 years").alias("qualifications"), F.col("tech_category").alias("relevantOccupation"))
     feed = p.select(
-        F.lit("portal").alias("source"), F.col("job_id").cast("string").alias("idInSource"), F.when(F.col("job_id") % 5 != 0, F.concat(F.lit("Role "), "job_id")).alias("name"),
-        F.struct(F.col("company").alias("name")).alias("company"), F.struct(F.col("country").alias("name"), F.lit(None).cast("string").alias("country")).alias("location"),
-        F.struct(F.struct(F.when(F.col("job_id") % 2 == 0, F.struct(F.concat(F.lit("Org "), "job_id").alias("name"))).alias("hiringOrganization"), F.col("work_mode").alias("employmentType")).alias("schemaOrg")).alias("json"),
-    )
+        F.when(k % 7 != 0, F.lit("feed")).alias("source"), F.lit("portal").alias("portal"), k.cast("string").alias("idInSource"), F.when(k % 5 != 0, F.concat(F.lit(" Role "), k)).alias("name"), F.concat(F.lit("Text "), k).alias("text"),
+        F.concat(F.lit("https://example.org/"), k).alias("url"), F.struct(F.col("company").alias("name")).alias("company"), F.struct(F.lit("Somewhere").alias("name"), F.lit(None).cast("string").alias("country")).alias("location"),
+        F.struct(F.when(k % 2 == 1, F.lit("as agreed")).alias("text")).alias("salary"), F.struct(F.when(k % 3 != 0, org).alias("schemaOrg")).alias("json"),
+        F.struct(F.array(F.upper("work_mode")).alias("WORK_TYPES"), F.array("seniority").alias("JOBNAMES")).alias("inferredTags"))
     path = _written(s, feed, "json")
+    s.createDataFrame([('{"name": "broken',)], "value string").coalesce(1).write.mode("append").text(path)
     return files.read_feed(s, path)
 
 
@@ -59,7 +66,11 @@ _add("s1_csv_round_trip", _s1, f"select {', '.join(f'cast({c} as varchar) as {c}
 _add("s3_partitioned_read", _s3, f"select {', '.join(f'cast({c} as varchar) as {c}' for c in _BASIC)} from postings where country = 'NATION_7'")
 _add(
     "s4_nested_feed", _s4,
-    "select cast(job_id as varchar) as source_job_id, 'Role ' || job_id as job_title, case when job_id % 2 = 0 then 'Org ' || job_id else company end as company, country as location, work_mode as employment_type from postings where job_id % 5 <> 0",
+    """select substr(sha256(src || '|' || job_id), 1, 16) as job_id, src as source, cast(job_id as varchar) as source_job_id, 'Role ' || job_id as job_title, case when m and job_id % 2 = 0 then 'Org ' || job_id else company end as company, 'Text ' || job_id as job_description,
+  case when m then case when job_id % 4 <> 0 then 'Town, ' || country else country end else 'Somewhere' end as location, case when m then country end as country, work_mode, null::varchar as remote_scope, case when m then tech_category end as job_field,
+  case when m then source end as industry, case when m then 'FULL_TIME' end as employment_type, case when m then '5 years' end as experience_required, case when m then 'BSc' end as education_required, case when job_id % 2 = 1 then 'as agreed' end as salary,
+  case when m then currency end as currency, case when m then strftime(date_posted, '%Y-%m-%d') end as date_posted, case when m then '2024-12-31' end as application_deadline, seniority as tech_category, 'https://example.org/' || job_id as vacancy_url, null::varchar as scraped_at
+from (select *, case when job_id % 7 <> 0 then 'feed' else 'portal' end as src, job_id % 3 <> 0 as m from postings where job_id % 5 <> 0)""",
 )
 _add(
     "s5_location_parts", lambda s, d: postings(s, d).select("job_id", F.coalesce(T.clean_text(F.concat_ws(", ", F.when(F.col("job_id") % 2 == 0, F.col("source")), F.when(F.col("job_id") % 3 == 0, F.col("country")))), F.col("country")).alias("location")),
@@ -93,7 +104,21 @@ def _s8(s, d):
 _add("s8_top_countries", lambda s, d: postings(s, d).groupBy("country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country").limit(10), "select country, count(*) as n from postings group by 1 order by 2 desc, 1 limit 10")
 _add("s8_summary", _s8, f"""select 'rows' as metric, 'all' as key, count(*) as value from postings union all select 'columns', 'all', {len(_HAVE)}
 union all select * from (select 'country', country, count(*) as n from postings group by 2 order by n desc, country limit 10) union all select 'source', source, count(*) from postings group by 2""")
-_add("s9_column_mapping", lambda s, d: (lambda o: o.select(*[F.col(c).alias(t) for t, c in files.guess_columns(o.columns, {"date_posted": ["date"], "salary": ["price", "salary"], "job_id": ["key"]}).items()]).withColumn("date_posted", F.date_format("date_posted", "yyyy-MM-dd")))(table(s, d, "orders")), "select strftime(o_orderdate, '%Y-%m-%d') as date_posted, o_totalprice as salary, o_orderkey as job_id from orders")
+#: Twelve targets and the words of column names that tell them, in order.
+_TARGETS = {
+    "job_id": ["orderkey"], "company": ["c_name", "company"], "country": ["n_name", "country"], "date_posted": ["date"], "salary": ["price", "salary"], "job_title": ["title", "priority"], "work_mode": ["mode", "status"], "tech_category": ["segment"],
+    "source": ["custkey"], "location": ["city", "regionkey"], "experience_required": ["acctbal"], "vacancy_url": ["url"],
+}
+
+
+def _s9(s, d):
+    o, c, n = table(s, d, "orders"), table(s, d, "customer"), table(s, d, "nation")
+    wide = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    found = files.guess_columns(wide.columns, _TARGETS)
+    return wide.select(*[F.col(x).alias(t) for t, x in found.items()]).withColumn("date_posted", F.date_format("date_posted", "yyyy-MM-dd"))
+
+
+_add("s9_column_mapping", _s9, "select o_orderkey as job_id, c_name as company, n_name as country, strftime(o_orderdate, '%Y-%m-%d') as date_posted, o_totalprice as salary, o_orderpriority as job_title, o_orderstatus as work_mode, c_mktsegment as tech_category, o_custkey as source, n_regionkey as location, c_acctbal as experience_required from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
 _add("s10_column_profile", lambda s, d: postings(s, d).groupBy(F.col("country").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(15).withColumn("recognised", F.col("value").rlike("_[0-9]$")), "select country as value, count(*) as n, regexp_matches(country, '_[0-9]$') as recognised from postings group by 1 order by 2 desc, 1 limit 15")
 
 

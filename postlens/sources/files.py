@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from postlens.functions.text import stable_id
+
 #: The posting contract: 22 text columns.
 POSTING = t.StructType([t.StructField(c, t.StringType()) for c in (
     "job_id source source_job_id job_title company job_description location country work_mode remote_scope job_field industry employment_type "
@@ -17,7 +19,9 @@ POSTING = t.StructType([t.StructField(c, t.StringType()) for c in (
 FEED = (
     "source string, portal string, idInSource string, name string, text string, url string, company struct<name:string>, "
     "location struct<name:string,countryCode:string,country:string>, salary struct<amount:double,text:string>, "
-    "json struct<schemaOrg:struct<hiringOrganization:struct<name:string>,employmentType:string,salaryCurrency:string,datePosted:string,validThrough:string>>"
+    "json struct<schemaOrg:struct<hiringOrganization:struct<name:string>,jobLocation:struct<address:struct<addressLocality:string,addressRegion:string,addressCountry:string>>,"
+    "employmentType:string,salaryCurrency:string,datePosted:string,validThrough:string,industry:string,educationRequirements:string,qualifications:string,relevantOccupation:string>>, "
+    "inferredTags struct<WORK_TYPES:array<string>,JOBNAMES:array<string>>"
 )
 
 
@@ -49,14 +53,30 @@ def read_postings_csv(spark: SparkSession, path: str, columns: dict[str, str] |
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+_ON_SITE = ["onsite", "on-site", "office", "full_time", "part_time"]
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Nested JSON lines, flattened; malformed lines and records without a title are skipped."""
+    """Nested JSON lines, flattened to the 22 columns of the contract; malformed lines and records without a title are skipped.
+
+    What schema.org markup says goes before the record's own fields.
+    """
     raw = spark.read.schema(FEED).option("mode", "DROPMALFORMED").json(path)
-    org = F.col("json.schemaOrg")
-    return raw.where(F.trim("name") != "").select(
-        F.col("idInSource").alias("source_job_id"), F.trim("name").alias("job_title"), F.coalesce(org["hiringOrganization"]["name"], F.col("company.name")).alias("company"),
-        F.coalesce(F.nullif(F.concat_ws(", ", "location.name", "location.country"), F.lit("")), F.lit("Unknown")).alias("location"), org["employmentType"].alias("employment_type"),
-    )
+    org, none = F.col("json.schemaOrg"), F.lit(None).cast("string")
+    some = lambda *cs: F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cs])
+    at = org["jobLocation"]["address"]
+    place = F.nullif(F.concat_ws(", ", some(at["addressLocality"]), some(at["addressRegion"]), some(at["addressCountry"])), F.lit(""))
+    tags = F.transform(F.coalesce("inferredTags.WORK_TYPES", F.array().cast("array<string>")), F.lower)
+    mode = F.when(F.array_contains(tags, "remote"), "remote").when(F.array_contains(tags, "hybrid"), "hybrid").when(F.arrays_overlap(tags, F.array(*map(F.lit, _ON_SITE))), "onsite")
+    source = some(F.col("source"), F.col("portal"))
+    columns = {
+        "job_id": stable_id(source, some(F.col("idInSource"), F.col("url"))), "source": source, "source_job_id": F.col("idInSource"), "job_title": F.trim("name"), "company": some(org["hiringOrganization"]["name"], F.col("company.name")),
+        "job_description": some(F.col("text")), "location": F.coalesce(place, some(F.col("location.name"))), "country": some(at["addressCountry"], F.col("location.country"), F.col("location.countryCode")), "work_mode": mode, "remote_scope": none,
+        "job_field": some(org["relevantOccupation"]), "industry": some(org["industry"]), "employment_type": some(org["employmentType"]), "experience_required": some(org["qualifications"]), "education_required": some(org["educationRequirements"]),
+        "salary": some(F.col("salary.text"), F.col("salary.amount").cast("string")), "currency": some(org["salaryCurrency"]), "date_posted": some(org["datePosted"]), "application_deadline": some(org["validThrough"]),
+        "tech_category": F.try_element_at("inferredTags.JOBNAMES", F.lit(1)), "vacancy_url": some(F.col("url")), "scraped_at": none,
+    }
+    return raw.where(F.trim("name") != "").select(*[columns[c].alias(c) for c in POSTING.names])
 
 
 def guess_columns(columns: list[str], keywords: dict[str, list[str]]) -> dict[str, str]:

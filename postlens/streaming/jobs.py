@@ -53,9 +53,47 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> D
     return stream.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").cast("string").alias("start"), "n")
 
 
-def upserts(stream: DataFrame, apply: Callable[[DataFrame, int], None]):
-    """Hand each batch once to ``apply(batch, number)``."""
-    return stream.writeStream.option("checkpointLocation", f"{work_dir(stream.sparkSession)}/upsert-{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(apply).start()
+def upserts(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str | None = None):
+    """Hand each batch once to ``apply(batch, number)``; with the ``checkpoint`` of an earlier run it goes on where that ended."""
+    checkpoint = checkpoint or f"{work_dir(stream.sparkSession)}/upsert-{uuid.uuid4().hex}"
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+
+
+def keep_newest(path: str, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps the newest row (by ``order``) of each key in ``path``, one folder for each batch.
+
+    The store before a batch is the newest whole folder of a smaller number, found on disk: a restart goes on from it, and a
+    batch that is repeated overwrites its folder.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known, columns = batch, [c for c in batch.columns if c != key]
+        if number:
+            held = spark.read.parquet(path).where(F.col("batch") < number)
+            newest = held.agg(F.max("batch")).first()[0]
+            if newest is not None:
+                known = known.unionByName(held.where(F.col("batch") == newest).select(*batch.columns))
+        rest = [c for c in columns if c not in order]
+        # Files come in any order: the newest row by event time wins, whichever batch brings it.
+        one = known.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("x")).select(key, "x.*").select(*batch.columns)
+        one.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return apply
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """What ``keep_newest`` has in ``path`` now."""
+    every = spark.read.parquet(path)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def in_order(spark: SparkSession, df: DataFrame, by: str) -> DataFrame:
+    """``df`` as a stream of one file for each value of ``by``, in that order."""
+    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for value in [r[0] for r in df.select(by).distinct().orderBy(by).collect()]:  # a few files
+        df.where(F.col(by) == value).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def expiry(stream: DataFrame, key: str, ts: str, after_ms: int) -> DataFrame:
@@ -70,7 +108,7 @@ def expiry(stream: DataFrame, key: str, ts: str, after_ms: int) -> DataFrame:
             state.remove()
             yield pd.DataFrame({key: [k[0]], "last_ms": [last]})
             return
-        seen = sorted(int(t.timestamp() * 1000) for f in frames for t in f[ts])
+        seen = sorted(t.value // 1_000_000 for f in frames for t in f[ts])  # whole milliseconds
         times = ([state.get[0]] if state.exists else []) + seen
         gone = [a for a, b in zip(times, times[1:]) if b - a > after_ms]
         last = max(times)

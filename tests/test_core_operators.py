@@ -239,3 +239,24 @@ def test_bootstrap_interval_agrees_with_plain_resampling(spark):
         plain = [np.median(rng.choice(ages[g], len(ages[g]))) for _ in range(2000)]
         assert r.median == np.median(ages[g]) and r.n == len(ages[g])
         assert abs(r.low - np.quantile(plain, 0.025)) <= 3 and abs(r.high - np.quantile(plain, 0.975)) <= 3 and r.low <= r.median <= r.high
+
+
+def test_upsert_sink_goes_on_after_a_restart(spark, tmp_path):
+    from postlens.streaming import jobs
+
+    def feed(rows):
+        spark.createDataFrame(rows, "job_id long, ts long, status string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = spark.readStream.schema("job_id long, ts long, status string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        jobs.upserts(stream, jobs.keep_newest(f"{tmp_path}/store", "job_id", ["ts"]), f"{tmp_path}/state").awaitTermination()
+        return sorted(tuple(r) for r in jobs.stored(spark, f"{tmp_path}/store").select("job_id", "status").collect())
+
+    feed([(1, 5, "new"), (2, 1, "old")])
+    assert run() == [(1, "new"), (2, "old")]
+    feed([(1, 3, "late"), (3, 1, "x")])
+    feed([(2, 9, "newer")])
+    assert run() == [(1, "new"), (2, "newer"), (3, "x")]
+    # A batch that is repeated reads the store before it, not its own folder.
+    jobs.keep_newest(f"{tmp_path}/store", "job_id", ["ts"])(spark.createDataFrame([(2, 9, "newer")], "job_id long, ts long, status string"), 2)
+    assert run() == [(1, "new"), (2, "newer"), (3, "x")]

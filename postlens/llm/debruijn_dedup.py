@@ -314,7 +314,7 @@ def remove_repeated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` after every word under a window that occurs more than once is removed."""
     rows, layout = traced(docs, k)
     found = placed(rows, cut(compacted(rows), "paths"))
-    labels = rows.where(F.col("kind") == _LABEL).select(F.col("doc").alias("sdoc"), F.col("start").alias("block"), "label").dropDuplicates(["sdoc", "block"])
+    labels = rows.where(F.col("kind") == _LABEL).select(F.col("doc").alias("sdoc"), F.col("start").alias("block"), "label")  # one of each block
     asked = found.withColumn("block", F.floor(F.col("sstart") / BLOCK).cast("int")).join(labels, ["sdoc", "block"])
     words = F.slice(F.split("label", " "), F.col("sstart") % BLOCK + 1, F.col("n") + (k - 1))
     checks = cut(asked.select("doc", "start", "n", F.unhex(F.sha2(F.array_join(words, " ").cast("binary"), 256)).alias("digest")).mapInArrow(lean(_to_buckets(layout)), "bucket int, doc long, start int, n int, digest binary"), "checks")

@@ -133,7 +133,8 @@ left join (select item_id, count(*) || ' postings match. Skills: ' || coalesce(a
   left join (select item_id, string_agg(skill, ', ' order by n desc, skill) as skills from (select item_id, skill, count(*) as n, row_number() over (partition by item_id order by count(*) desc, skill) as r from hit join {q_skills._ALL_SKILLS} using (job_id) group by 1, 2) where r <= 3 group by 1) k using (item_id)
   group by item_id) f on f.item_id = b.item_id""")
 _add("v8_answers", _v8, _V8)
-_add("v9_embeddings", lambda s, d: ml.hashing_embeddings(posting_text(s, d), "job_id", "description", 32))
+_add("v9_embeddings", lambda s, d: ml.hashing_embeddings(posting_text(s, d), "job_id", "description", 32).select("job_id", F.posexplode("embedding").alias("place", "value")).where("value <> 0").withColumn("value", F.round("value", 6)), r"""select job_id, place, round(n / sqrt(sum(n * n) over (partition by job_id)), 6) as value from (
+  select job_id, cast(('0x' || substr(md5(w), 1, 8))::bigint % 32 as int) as place, count(*)::double as n from (select job_id, unnest(regexp_extract_all(lower(description), '[^ \t-\r]+')) as w from posting_text) group by 1, 2)""")
 
 # Model jobs.
 _SPELT_LABELS = {"src0": "src1"}  # two spellings of a class
@@ -282,9 +283,7 @@ _add("j8_query_corpus", lambda s, d: _corpus(_hits(s, d)), _sql("select job_id,
 
 
 def _m3(s, d):
-    model = ml.tuned(_labelled(s, d))
-    rows = s.createDataFrame([(float(m),) for m in model.avgMetrics], "f1 double")
-    return rows.withColumn("f1", F.round("f1", 4))
+    return s.createDataFrame([(*map(str, c.values()), round(f1, 4)) for c, f1 in ml.tuned(_labelled(s, d))], "terms string, words string, least string, c string, f1 double")
 
 
 _add("m3_grid_search", _m3)

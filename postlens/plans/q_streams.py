@@ -46,8 +46,8 @@ _add("t5_sliding", lambda s, d: jobs.drain(jobs.tumbling(_stream(s, d, "ts", "st
 _add("t6_weekly_counts", lambda s, d: jobs.drain(_stream(s, d, "ts", "status").groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), "status").agg(F.count("*").alias("n")), "complete"), "select strftime(date_trunc('week', ts), '%Y-%m-%d') as week, status, count(*) as n from posting_events group by 1, 2")
 _add("t7_stale_batch", lambda s, d: (lambda e: e.groupBy("job_id").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(e.agg(F.max("ts").alias("end")))).select("job_id", (F.col("last") < F.col("end") - F.expr("interval 5 days")).alias("removed")))(posting_events(s, d)), "select job_id, max(ts) < (select max(ts) - interval 5 days from posting_events) as removed from posting_events group by 1")
 # A gap of more than eight hours, or nothing for eight hours before the watermark (an hour behind the newest event).
-_add("t7_stale_stream", lambda s, d: jobs.drain(jobs.expiry(_stream(s, d, "job_id", "ts"), "job_id", "ts", 8 * 3_600_000)), """select job_id, epoch_ms(ts) as last_ms from (select job_id, ts, lead(ts) over (partition by job_id order by ts) as next from posting_events) where next > ts + interval 8 hours
-union all select job_id, epoch_ms(max(ts)) from posting_events group by 1 having max(ts) + interval 8 hours < (select max(ts) - interval 1 hour from posting_events)""")
+_add("t7_stale_stream", lambda s, d: jobs.drain(jobs.expiry(_stream(s, d, "job_id", "ts"), "job_id", "ts", 8 * 3_600_000)), """select job_id, ms as last_ms from (select job_id, ms, lead(ms) over (partition by job_id order by ms) as next from (select job_id, epoch_us(ts) // 1000 as ms from posting_events)) where next - ms > 28800000
+union all select job_id, max(epoch_us(ts) // 1000) from posting_events group by 1 having max(epoch_us(ts) // 1000) + 28800000 < (select max(epoch_us(ts) // 1000) - 3600000 from posting_events)""")
 _add("t8_status_changes", lambda s, d: (lambda e: e.withColumn("before", F.lag("status").over(Window.partitionBy("job_id").orderBy("ts", "event_id"))).where("before is null or before <> status").select("event_id", "job_id", "status"))(posting_events(s, d)), "select event_id, job_id, status from (select *, lag(status) over (partition by job_id order by ts, event_id) as before from posting_events) where before is null or before <> status")
 _add("t9_first_seen", lambda s, d: jobs.drain(_stream(s, d, "job_id", "ts").groupBy("job_id").agg(F.min("ts").cast("string").alias("first")), "complete").select("job_id", F.substring("first", 1, 19).alias("first")), "select job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first from posting_events group by 1")
 _add("t10_sessions", lambda s, d: jobs.drain(jobs.sessions(_stream(s, d, "job_id", "ts"), "ts", "job_id"), "complete").select("job_id", F.substring("start", 1, 19).alias("start"), "n"), "select job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (select *, sum(new) over (partition by job_id order by ts, event_id) as k from (select *, case when lag(ts) over (partition by job_id order by ts, event_id) > ts - interval 30 minutes then 0 else 1 end as new from posting_events)) group by job_id, k")

@@ -14,10 +14,10 @@ from postlens.sources.files import work_dir
 
 
 def source(spark: SparkSession, df: DataFrame, files: int = 4, order: str = "ts") -> DataFrame:
-    """``df`` as a stream of files in event-time ranges, one file a trigger."""
-    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """``df`` as a stream of files in ranges of ``order``, one file a trigger, in order."""
+    cuts = df.agg(F.percentile_approx(order, [k / files for k in range(1, files)])).first()[0] or []
+    part = sum(((F.col(order) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    return in_order(spark, df.withColumn("_file", part), "_file", df.columns)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -88,12 +88,13 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
     return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
 
 
-def in_order(spark: SparkSession, df: DataFrame, by: str) -> DataFrame:
-    """``df`` as a stream of one file for each value of ``by``, in that order."""
+def in_order(spark: SparkSession, df: DataFrame, by: str, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``df`` as a stream of one file for each value of ``by``, written and read in that order."""
     path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = df.select(*(columns or df.columns))
     for value in [r[0] for r in df.select(by).distinct().orderBy(by).collect()]:  # a few files
-        df.where(F.col(by) == value).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.where(F.col(by) == value).select(*out.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(out.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def expiry(stream: DataFrame, key: str, ts: str, after_ms: int) -> DataFrame:

@@ -210,17 +210,16 @@ def test_aggregates_do_the_surveyed_work(spark, data, monkeypatch):
     whole = registry.QUERIES["o6_sort_modes"](spark, data)
     assert whole.count() == postings(spark, data).count() and whole.agg(F.max("match")).first()[0] > 50
     asked = []
-    monkeypatch.setattr(timeseries, "bootstrap_median", lambda *a: asked.append(a[4]))
+    monkeypatch.setattr(timeseries, "bootstrap_median", lambda *a: asked.append(a[3]))
     registry.QUERIES["a11_freshness_interval"](spark, data)
     assert asked == [2000]
     assert registry.QUERIES["m6_topics"](spark, data).select("topic").distinct().count() == 6
     rows = spark.createDataFrame([(i, f"word{i % 7} text {i}", float(i < 4)) for i in range(40)], "doc_id long, text string, label double")
     dealt, folds = ml.stratified_folds(rows, "doc_id", "label")
     assert folds == 4 and {r.n for r in dealt.where("label = 1").groupBy("fold").agg(F.count("*").alias("n")).collect()} == {1}
-    seen = {}
-    monkeypatch.setattr(ml.CrossValidator, "fit", lambda self, df: seen.update(grid=self.getEstimatorParamMaps(), folds=self.getNumFolds(), by=self.getFoldCol()))
-    ml.tuned(rows)
-    assert (len(seen["grid"]), seen["folds"], seen["by"]) == (48, 4, "fold")
+    assert len(ml.GRID["vocabSize"]) * len(ml.GRID["inputCol"]) * len(ml.GRID["minDF"]) * len(ml.GRID["c"]) == 48
+    told = ml.tuned(rows, grid={"vocabSize": (50,), "inputCol": ("_one", "_both"), "minDF": (1.0,), "c": (0.1, 10.0)})
+    assert len(told) == 4 and all(0 <= f1 <= 1 for _, f1 in told) and told[0][1] == max(f1 for _, f1 in told)
     guesses = spark.createDataFrame([(0.0, 0.0)] * 8 + [(1.0, 0.0), (1.0, 1.0)], "label double, prediction double")
     assert abs(ml.MacroF1().evaluate(guesses) - (16 / 17 + 2 / 3) / 2) < 1e-12
 

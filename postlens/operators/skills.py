@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,48 +37,56 @@ def bounded(text: Column, term: str) -> Column:
     return F.lower(text).rlike(boundary(term))
 
 
-def known(words: Column, text: Column, taxonomy: dict[str, str]) -> Column:
-    """Terms of the taxonomy in a text, as an array; ``words`` is the array column of the text's runs of a-z and 0-9.
+def known(words: Column, low: Column, taxonomy: dict[str, str]) -> Column:
+    """Terms of the taxonomy in a text, as an array; ``low`` is the text in lower case, ``words`` its runs of a-z and 0-9.
 
-    Single words are found by intersecting ``words`` with the dictionary, which is linear in the text whatever the dictionary's
-    size; terms of several words are looked for where their first word occurs, terms with symbols by a pattern each.
+    Both should be variables (see ``per_text``), as they are read for many terms. Single words are found by
+    intersecting ``words`` with the dictionary, which is linear in the text whatever the dictionary's size; terms of several
+    words are looked for where their first word occurs, terms with symbols where the text holds them at all.
     """
     plain = [t for t in taxonomy if all(c.isalnum() or c == " " for c in t)]
     single = [t for t in plain if " " not in t]
+    stands = lambda t: low.rlike(boundary(t))
     hit = F.array_intersect(words, F.array(*map(F.lit, single or [""])))
     # A short word may be part of a longer one of another script or with an underscore.
-    part = [F.when(F.array_contains(words, t) & ~bounded(text, t), F.lit(t)) for t in single if len(t) <= 3]
+    part = [F.when(F.array_contains(words, t) & ~stands(t), F.lit(t)) for t in single if len(t) <= 3]
     if part:
         hit = F.array_except(hit, F.array_compact(F.array(*part)))
-    several = [F.when(F.array_contains(words, t.split(" ")[0]) & bounded(text, t), F.lit(t)) for t in plain if " " in t]
-    symbols = [F.when(bounded(text, t), F.lit(t)) for t in taxonomy if t not in plain]
+    several = [F.when(F.array_contains(words, t.split(" ")[0]) & stands(t), F.lit(t)) for t in plain if " " in t]
+    symbols = [F.when(low.contains(t.lower()) & stands(t), F.lit(t)) for t in taxonomy if t not in plain]
     return F.concat(hit, F.array_compact(F.array(*several, *symbols))) if several or symbols else hit
 
 
-def rescued(text: Column, taxonomy: dict[str, str], context: dict[str, list[str]]) -> Column:
-    """Ambiguous terms that a phrase tells to be meant."""
-    low = F.lower(text)
+def rescued(low: Column, taxonomy: dict[str, str], context: dict[str, list[str]]) -> Column:
+    """Ambiguous terms that a phrase of the lower-case text tells to be meant."""
     found = [F.when(reduce(lambda a, b: a | b, [low.rlike(p) for p in patterns]), F.lit(t)) for t, patterns in context.items() if t in taxonomy]
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
-def mistaken(text: Column, phrases: dict[str, list[str]]) -> Column:
-    """Terms that stand in a phrase in which they name no skill."""
-    low = F.lower(text)
+def mistaken(low: Column, phrases: dict[str, list[str]]) -> Column:
+    """Terms that stand in a phrase of the lower-case text in which they name no skill."""
     found = [F.when(reduce(lambda a, b: a | b, [low.contains(p) for p in ps]), F.lit(t)) for t, ps in phrases.items()]
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
+def per_text(text: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(words, low)`` of a text, where both are worked out once: as columns, Spark would put their expressions in for each term that reads them."""
+    words = lambda low: F.transform(F.array(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))), lambda w: use(w, low))[0]
+    return F.transform(F.array(F.lower(text)), words)[0]
+
+
 def with_skills(df: DataFrame, text: str, taxonomy: dict[str, str], context: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None, name: str = "skills") -> DataFrame:
     """``df`` with the sorted array of skills in a text: known terms and those rescued by context, without mistaken ones."""
-    c = F.col(text)
-    words = df.withColumn("_w", F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    found = known(F.col("_w"), c, taxonomy)
-    if context:
-        found = F.concat(found, rescued(c, taxonomy, context))
-    if phrases:
-        found = F.array_except(found, mistaken(c, phrases))
-    return words.withColumn(name, F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))).drop("_w")
+
+    def found(words: Column, low: Column) -> Column:
+        out = known(words, low, taxonomy)
+        if context:
+            out = F.concat(out, rescued(low, taxonomy, context))
+        if phrases:
+            out = F.array_except(out, mistaken(low, phrases))
+        return F.array_sort(F.array_distinct(out))
+
+    return df.withColumn(name, F.coalesce(per_text(F.col(text), found), F.array().cast("array<string>")))
 
 
 def extract(df: DataFrame, key: str, text: str, taxonomy: dict[str, str], context: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None) -> DataFrame:

@@ -48,9 +48,8 @@ def _extract(s, d):
 
 
 def _k2(s, d):
-    c = F.col("description")
-    t = posting_text(s, d).withColumn("_w", F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    return t.select("job_id", F.explode(F.array_except(K.rescued(c, TAXONOMY, CONTEXT), K.known(F.col("_w"), c, TAXONOMY))).alias("skill"))
+    only = lambda words, low: F.array_except(K.rescued(low, TAXONOMY, CONTEXT), K.known(words, low, TAXONOMY))
+    return posting_text(s, d).select("job_id", F.explode(K.per_text(F.col("description"), only)).alias("skill"))
 
 
 _add("k1_extract", _extract, f"select * from {_EXTRACT}")

@@ -36,8 +36,6 @@ def bootstrap_median(df: DataFrame, group: str, value: str, replicates: int = 20
     def interval(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_value")
         n = int(g._count.sum())
-        if n < least:
-            return pd.DataFrame({group: [], "median": [], "n": [], "low": [], "high": []})
         values, counts = g._value.to_numpy(), g._count.to_numpy()
         total = np.cumsum(counts)
         plain = (values[np.searchsorted(total, (n - 1) // 2, "right")] + values[np.searchsorted(total, n // 2, "right")]) / 2
@@ -45,4 +43,4 @@ def bootstrap_median(df: DataFrame, group: str, value: str, replicates: int = 20
         return pd.DataFrame({group: [g[group].iloc[0]], "median": [plain], "n": [n], "low": [np.quantile(drawn, 0.025)], "high": [np.quantile(drawn, 0.975)]})
 
     kind = df.schema[group].dataType.simpleString()
-    return counted.groupBy(group).applyInPandas(interval, f"{group} {kind}, median double, n long, low double, high double")
+    return counted.groupBy(group).applyInPandas(interval, f"{group} {kind}, median double, n long, low double, high double").where(F.col("n") >= least)

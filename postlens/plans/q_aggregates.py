@@ -50,9 +50,14 @@ def _sets_and_category(columns, source):
 
 _add("a2_salary_distribution", lambda s, d: _segments(s, d, A.with_usd(postings(s, d)), A.salary_columns()), _sets_and_category(_STATS, _USD))
 # One posting in seven tells in its text that it is open to the continent.
-_TOLD = F.when(F.col("job_id") % 7 == 0, "pan-African team")
+
+
+def _told():
+    return F.when(F.col("job_id") % 7 == 0, "pan-African team")
+
+
 _OPEN = "round(count(*) filter (where work_mode = 'remote' or job_id % 7 = 0) * 100.0::double / count(*), 2) as pan_african_pct"
-_pan = lambda: F.round(F.count(F.when(T.is_pan_african(F.col("work_mode"), _TOLD), 1)) * 100.0 / F.count("*"), 2).alias("pan_african_pct")
+_pan = lambda: F.round(F.count(F.when(T.is_pan_african(F.col("work_mode"), _told()), 1)) * 100.0 / F.count("*"), 2).alias("pan_african_pct")
 _add("a3_remote_trends", lambda s, d: _segments(s, d, postings(s, d), [*A.remote_columns(), _pan()]), _sets_and_category(f"{_REMOTE}, {_OPEN}", "postings"))
 
 
@@ -127,8 +132,13 @@ def _a13(s, d):
 
 _add("a13_skill_demand", _a13, "select skill, count(distinct job_id) as jobs, cast(floor(count(distinct job_id) * 100 / t) as int) as demand, case when floor(count(distinct job_id) * 100 / t) >= 10 then 'Growing' else 'Stable' end as trend from posting_skills, (select count(distinct job_id)::double as t from posting_skills) group by skill, t")
 _add("a14_demand_of_all_jobs", lambda s, d: posting_skills(s, d).groupBy("skill").agg(F.count_distinct("job_id").alias("jobs")).crossJoin(F.broadcast(postings(s, d).agg(F.count("*").alias("t")))).select("skill", "jobs", F.round(F.col("jobs") * 100.0 / F.col("t"), 1).alias("pct")).orderBy(F.desc("jobs"), "skill").limit(20), "select skill, count(distinct job_id) as jobs, round(count(distinct job_id) * 100.0::double / (select count(*) from postings), 1) as pct from posting_skills group by 1 order by 2 desc, 1 limit 20")
-_TITLE = F.concat_ws(" ", "seniority", "source")
-_add("a14_role_demand", lambda s, d: A.share(postings(s, d).withColumn("role", _TITLE), "role").orderBy(F.desc("n"), "role").limit(20), "select seniority || ' ' || source as role, count(*) as n, round(count(*) * 100.0::double / (select count(*) from postings), 1) as pct from postings group by 1 order by 2 desc, 1 limit 20")
+
+
+def _role():
+    return F.concat_ws(" ", "seniority", "source")
+
+
+_add("a14_role_demand", lambda s, d: A.share(postings(s, d).withColumn("role", _role()), "role").orderBy(F.desc("n"), "role").limit(20), "select seniority || ' ' || source as role, count(*) as n, round(count(*) * 100.0::double / (select count(*) from postings), 1) as pct from postings group by 1 order by 2 desc, 1 limit 20")
 
 
 def _a15(s, d):

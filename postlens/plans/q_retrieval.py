@@ -142,7 +142,7 @@ _SPELT_LABELS = {"src0": "src1"}  # two spellings of a class
 
 def _training(s, d):
     """Rows to learn from: one spelling of each class, title and real description as the text, classes of 8 rows or more, the test share marked."""
-    t = posting_text(s, d).select(F.col("job_id").alias("doc_id"), F.col("source").alias("label"), q_text._TITLE.alias("title"), "description")
+    t = posting_text(s, d).select(F.col("job_id").alias("doc_id"), F.col("source").alias("label"), q_text._title().alias("title"), "description")
     return ml.training_rows(t, "doc_id", "label", "title", "description", _SPELT_LABELS, 8, 0.25)
 
 
@@ -220,7 +220,7 @@ _add("e1_category_f1", lambda s, d: _scored_runs(s, d).where("run = 'whole'").dr
 def _levels(s, d):
     """The level that a title names (expected) and the one that the text alone gives (actual); titles without one are left out."""
     t = posting_text(s, d)
-    return t.select(T.by_keyword(q_text._TITLE, terms.SENIORITY_KEYWORDS).alias("expected"), T.seniority(F.lit(None).cast("string"), F.col("description")).alias("actual")).where("expected is not null")
+    return t.select(T.by_keyword(q_text._title(), terms.SENIORITY_KEYWORDS).alias("expected"), T.seniority(F.lit(None).cast("string"), F.col("description")).alias("actual")).where("expected is not null")
 
 
 _LEVELS = f"(select {q_text._chain([(q_text._has([k], q_text._TITLE_SQL), v) for k, v in terms.SENIORITY_KEYWORDS.items()])} as expected, level as actual from posting_text join {_LEVEL} using (job_id))"
@@ -257,7 +257,7 @@ _add("e8_misses", _misses, "select skill, count(*) as missed from (select job_id
 def _e9(s, d):
     e = q_skills.enrich(posting_text(s, d))
     pct = lambda c: F.round(F.avg(c.cast("int")) * 100, 2)
-    named = T.by_keyword(q_text._TITLE, terms.SENIORITY_KEYWORDS)
+    named = T.by_keyword(q_text._title(), terms.SENIORITY_KEYWORDS)
     own = posting_text(s, d).select("job_id", T.seniority(F.lit(None).cast("string"), F.col("description")).alias("text_level"), (F.length("description") < 40).alias("near_empty"))
     return e.join(own, "job_id").agg(
         F.count("*").alias("n"), pct(F.col("years") > 0).alias("years_pct"), pct(F.col("skill_count") > 0).alias("skills_pct"), pct(F.col("mode").isNotNull()).alias("mode_pct"), pct(F.col("employment").isNotNull()).alias("employment_pct"),
@@ -268,7 +268,7 @@ def _e9(s, d):
 _add("e9_coverage", _e9, f"""select count(*) as n, round(avg((years > 0)::int) * 100, 2) as years_pct, round(avg((skill_count > 0)::int) * 100, 2) as skills_pct, round(avg((mode is not null)::int) * 100, 2) as mode_pct, round(avg((employment is not null)::int) * 100, 2) as employment_pct,
   round(avg((education <> '')::int) * 100, 2) as education_pct, round(avg((salary_low is not null)::int) * 100, 2) as salary_pct, round(avg(near_empty::int) * 100, 2) as near_empty_pct, round(avg((expected = level)::int) * 100, 2) as level_agreement_pct
 from ({q_skills.ENRICH_SQL}) join {_LEVEL} using (job_id) join (select job_id, length(description) < 40 as near_empty, {q_text._chain([(q_text._has([k], q_text._TITLE_SQL), v) for k, v in terms.SENIORITY_KEYWORDS.items()])} as expected from posting_text) using (job_id)""")
-_add("e9_mismatches", lambda s, d: posting_text(s, d).select("job_id", T.by_keyword(q_text._TITLE, terms.SENIORITY_KEYWORDS).alias("expected"), T.seniority(F.lit(None).cast("string"), F.col("description")).alias("actual")).where("expected <> actual").orderBy("job_id").limit(10), f"select job_id, expected, level as actual from (select job_id, {q_text._chain([(q_text._has([k], q_text._TITLE_SQL), v) for k, v in terms.SENIORITY_KEYWORDS.items()])} as expected from posting_text) join {_LEVEL} using (job_id) where expected <> level order by job_id limit 10")
+_add("e9_mismatches", lambda s, d: posting_text(s, d).select("job_id", T.by_keyword(q_text._title(), terms.SENIORITY_KEYWORDS).alias("expected"), T.seniority(F.lit(None).cast("string"), F.col("description")).alias("actual")).where("expected <> actual").orderBy("job_id").limit(10), f"select job_id, expected, level as actual from (select job_id, {q_text._chain([(q_text._has([k], q_text._TITLE_SQL), v) for k, v in terms.SENIORITY_KEYWORDS.items()])} as expected from posting_text) join {_LEVEL} using (job_id) where expected <> level order by job_id limit 10")
 
 
 def _e10(s, d):
@@ -301,10 +301,15 @@ def _m5(s, d):
 
 _add("m5_save_load", _m5)
 _ALIASES = list(terms.SKILL_ALIASES.items())
-_AT = F.pmod("p_partkey", F.lit(len(_ALIASES))).cast("int") + 1
+
+
+def _alias_at():
+    return F.pmod("p_partkey", F.lit(len(_ALIASES))).cast("int") + 1
+
+
 _add(
     "e5_alias_cases",
-    lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(F.array(*[F.lit(f"  {k.upper()} ") for k, _ in _ALIASES]), _AT).alias("given"), F.element_at(F.array(*[F.lit(v) for _, v in _ALIASES]), _AT).alias("expected")).withColumn("got", F.element_at(T.canonical_skills(F.array("given")), 1))
+    lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(F.array(*[F.lit(f"  {k.upper()} ") for k, _ in _ALIASES]), _alias_at()).alias("given"), F.element_at(F.array(*[F.lit(v) for _, v in _ALIASES]), _alias_at()).alias("expected")).withColumn("got", F.element_at(T.canonical_skills(F.array("given")), 1))
     .groupBy("given").agg(F.count("*").alias("n"), F.round(F.avg((F.col("got") == F.col("expected")).cast("int")), 4).alias("accuracy"), F.count_if(F.col("got") != F.col("expected")).alias("failures")),
     "select list_extract([" + ", ".join(q_text._q(f"  {k.upper()} ") for k, _ in _ALIASES) + f"], cast(p_partkey % {len(_ALIASES)} + 1 as int)) as given, count(*) as n, 1.0::double as accuracy, 0::bigint as failures from part group by 1",
 )

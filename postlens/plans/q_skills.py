@@ -67,7 +67,7 @@ _add("k8_category_counts", lambda s, d: posting_skills(s, d).groupBy("job_id", "
 
 def enrich(df):
     """The record enrichment as one projection: every column comes from the same pass over the text."""
-    c, title = F.col("description"), q_text._TITLE
+    c, title = F.col("description"), q_text._title()
     low, high, currency = T.salary_as_written(c)
     category = F.create_map(*[F.lit(x) for kv in TAXONOMY.items() for x in kv])
     return _with_title_skills(df).select(
@@ -83,7 +83,7 @@ def enrich(df):
 def _with_title_skills(df):
     """Skills of the text and of the title."""
     both = K.with_skills(df, "description", TAXONOMY, CONTEXT, PHRASES, "_text")
-    both = K.with_skills(both.withColumn("_title", q_text._TITLE), "_title", TAXONOMY, CONTEXT, PHRASES, "_of_title")
+    both = K.with_skills(both.withColumn("_title", q_text._title()), "_title", TAXONOMY, CONTEXT, PHRASES, "_of_title")
     return both.withColumn("skills", F.array_sort(F.array_union("_text", "_of_title")))
 
 

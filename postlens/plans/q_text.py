@@ -85,9 +85,14 @@ def _dates(s, d):
 
 _add("p12_normalize_date", lambda s, d: _dates(s, d).select("job_id", F.date_format(T.parse_date(F.col("written")), "yyyy-MM-dd").alias("value")), "select job_id, case when job_id % 4 < 2 then strftime(date_posted, '%Y-%m-%d') end as value from postings")
 _add("p13_parse_deadline", lambda s, d: _dates(s, d).select("job_id", T.parse_date(F.substring("written", 1, 10)).cast("string").alias("value")), "select job_id, case when job_id % 4 < 2 then cast(date_posted as varchar) end as value from postings")
-_LATE = F.when(F.col("job_id") % 4 == 3, F.concat(F.date_format("date_posted", "yyyy-MM-dd"), F.lit("T23:30:00-03:00")))
+
+
+def _late():
+    return F.when(F.col("job_id") % 4 == 3, F.concat(F.date_format("date_posted", "yyyy-MM-dd"), F.lit("T23:30:00-03:00")))
+
+
 _add(
-    "p14_day_first_date", lambda s, d: _dates(s, d).join(postings(s, d).select("job_id", _LATE.alias("zoned")), "job_id").select("job_id", T.parse_date(F.coalesce("written", "zoned"), ("dd/MM/yyyy", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ssXXX")).cast("string").alias("value")),
+    "p14_day_first_date", lambda s, d: _dates(s, d).join(postings(s, d).select("job_id", _late().alias("zoned")), "job_id").select("job_id", T.parse_date(F.coalesce("written", "zoned"), ("dd/MM/yyyy", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ssXXX")).cast("string").alias("value")),
     "select job_id, case when job_id % 4 < 2 then cast(date_posted as varchar) when job_id % 4 = 3 then cast(cast(date_posted + 1 as date) as varchar) end as value from postings",
 )
 _text("p15_guess_work_mode", T.guess_work_mode, _chain([(_has(["hybrid"]), "hybrid"), (_has(["remote", "work from home", "wfh"]), "remote"), (_has(["on-site", "onsite", "on site"]), "onsite")], "unknown"))
@@ -99,9 +104,14 @@ _add(
     "select job_id, work_mode as value from postings",
 )
 _MODE = ["On-Site", " REMOTE ", "office", None]
-_MODE_OF = F.element_at(F.array(*map(F.lit, _MODE)), (F.col("job_id") % 4 + 1).cast("int"))
+
+
+def _mode_of():
+    return F.element_at(F.array(*map(F.lit, _MODE)), (F.col("job_id") % 4 + 1).cast("int"))
+
+
 _add(
-    "p17_work_mode_or_text", lambda s, d: posting_text(s, d).select("job_id", T.normalize_work_mode(_MODE_OF, F.col("description")).alias("value")),
+    "p17_work_mode_or_text", lambda s, d: posting_text(s, d).select("job_id", T.normalize_work_mode(_mode_of(), F.col("description")).alias("value")),
     f"select job_id, case job_id % 4 when 0 then 'onsite' when 1 then 'remote' else {_chain([(_has(['hybrid']), 'hybrid'), (_has(['remote', 'work from home', 'wfh']), 'remote'), (_has(['on-site', 'onsite', 'on site']), 'onsite')], 'unknown')} end as value from posting_text",
 )
 _text("p18_remote_scope", T.guess_remote_scope, f"case when {_has(['remote'])} then {_chain([(_has(['worldwide', 'global', 'anywhere']), 'Global'), (_has(['africa']), 'Africa-wide')], 'Country-only')} end")
@@ -143,10 +153,15 @@ _add(
 _BUCKET = "case when years_experience is null or years_experience = 0 then 'Not specified' when years_experience < 1 then '0-1 years' when years_experience < 3 then '1-3 years' when years_experience < 5 then '3-5 years' when years_experience < 10 then '5-10 years' else '10+ years' end"
 _add("p24_experience_bucket", lambda s, d: postings(s, d).select("job_id", T.experience_bucket(F.col("years_experience")).alias("value")), f"select job_id, {_BUCKET} as value from postings")
 _add("p25_seniority_rank", lambda s, d: postings(s, d).select("job_id", T.seniority_rank(F.col("seniority")).alias("value")), "select job_id, case seniority when 'Intern' then 0 when 'Entry Level' then 1 when 'Mid-Level' then 2 when 'Senior' then 3 when 'Lead' then 4 when 'Executive' then 5 else 2 end as value from postings")
-_MODES = F.element_at(F.array(*map(F.lit, ["remote", "hybrid", "onsite"])), (F.col("job_id") % 3 + 1).cast("int"))
+
+
+def _modes():
+    return F.element_at(F.array(*map(F.lit, ["remote", "hybrid", "onsite"])), (F.col("job_id") % 3 + 1).cast("int"))
+
+
 _add(
     "p26_flags",
-    lambda s, d: posting_text(s, d).withColumn("mode", _MODES).join(postings(s, d).select("job_id", "salary_min", "salary_max", "currency"), "job_id").select(
+    lambda s, d: posting_text(s, d).withColumn("mode", _modes()).join(postings(s, d).select("job_id", "salary_min", "salary_max", "currency"), "job_id").select(
         "job_id", (F.lower("mode") == "remote").alias("is_remote"), T.is_pan_african(F.col("mode"), F.col("description")).alias("is_pan_african"), (F.size(T.labels(F.col("description"), terms.CERTIFICATIONS)) > 0).alias("requires_certification"),
         F.coalesce((T.to_usd(F.col("salary_min"), F.col("currency")) > 100000) | (T.to_usd(F.col("salary_max"), F.col("currency")) > 100000), F.lit(False)).alias("is_high_salary"), F.coalesce(F.col("salary_min") > 0, F.lit(False)).alias("has_salary")),
     f"""select job_id, job_id % 3 = 0 as is_remote, job_id % 3 = 0 or {_has(terms.PAN_AFRICAN_WORDS)} as is_pan_african, {_has(terms.CERTIFICATIONS)} as requires_certification,
@@ -179,9 +194,14 @@ _joined("p30_certifications_of_service", {k: k for k in terms.SERVICE_CERTIFICAT
 _joined("p30_certifications", terms.CERTIFICATIONS)
 _SENIOR = [(_has([k]), v) for k, v in terms.SENIORITY_KEYWORDS.items()]
 _TITLES = ["Senior Engineer", "Data Analyst", "Junior Developer", "Head of Sales"]
-_TITLE = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("job_id") % 4 + 1).cast("int"))
+
+
+def _title():
+    return F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("job_id") % 4 + 1).cast("int"))
+
+
 _TITLE_SQL = f"list_extract([{', '.join(map(_q, _TITLES))}], cast(job_id % 4 + 1 as int))"
-_add("p31_seniority", lambda s, d: posting_text(s, d).select("job_id", T.seniority(_TITLE, F.col("description")).alias("value")), f"select job_id, case job_id % 4 when 0 then 'Senior' when 2 then 'Entry Level' else {_chain(_SENIOR, 'Mid-Level')} end as value from posting_text")
+_add("p31_seniority", lambda s, d: posting_text(s, d).select("job_id", T.seniority(_title(), F.col("description")).alias("value")), f"select job_id, case job_id % 4 when 0 then 'Senior' when 2 then 'Entry Level' else {_chain(_SENIOR, 'Mid-Level')} end as value from posting_text")
 _text("p32_seniority_or_unspecified", lambda c: F.coalesce(T.by_keyword(c, terms.SENIORITY_KEYWORDS), F.lit("Unspecified")), _chain(_SENIOR, "Unspecified"))
 _add("p33_seniority_from_years", lambda s, d: postings(s, d).select("job_id", T.seniority_from_years(F.col("years_experience")).alias("value")), "select job_id, case when years_experience = 0 then 'Intern' when years_experience < 2 then 'Entry Level' when years_experience < 5 then 'Mid-Level' when years_experience < 10 then 'Senior' when years_experience < 15 then 'Lead' else 'Executive' end as value from postings")
 _text("p34_employment_type", lambda c: T.by_keyword(c, terms.EMPLOYMENT_KEYWORDS), _chain([(_has([k]), v) for k, v in terms.EMPLOYMENT_KEYWORDS.items()]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.llm import ann, debruijn_dedup, decontaminate, html_extract, langid, minhash, packing, secrets, suffix_dedup, toxicity
+from postlens.llm import ann, debruijn_dedup, decontaminate, html_extract, langid, merkle, minhash, packing, secrets, suffix_dedup, toxicity, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_debruijn_dedup": debruijn_dedup.op8,
     "op9_langid": langid.op9,
     "op10_minhash": minhash.op10,
+    "op11_merkle": merkle.op11,
+    "op12_whitening": whitening.op12,
+    "op13_warc": warc.op13,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op8_debruijn_dedup": debruijn_dedup.OP8_SQL,
     "op10_minhash": minhash.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op13_warc": warc.OP13_SQL,
 }

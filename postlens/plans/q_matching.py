@@ -54,17 +54,22 @@ _S = f"""(select *, round((coalesce(c1 * 0.65::double, 0) + coalesce(c2 * 0.15::
   / ((case when n > 0 then 0.65::double else 0 end) + (case when np > 0 then 0.15::double else 0 end) + (case when years_experience > 0 then 0.15::double else 0 end) + 0.05::double), 6) as score from {_PARTS})"""
 _ORDER = "partition by candidate_id order by score desc, gap, urgent desc, job_id"
 _T = f"(select * from (select *, cast(row_number() over ({_ORDER}) as int) as rank from {_S}) where rank <= 10)"
-#: Postings that ask for many skills: the ones that leave gaps.
-_DEMANDING = 5
-_T_DEMANDING = _T.replace(f"from {_S})", f"from {_S} where n >= {_DEMANDING})")
 
 
-def _top(s, d, k=10, least=0):
-    return R.top_jobs(_who(s, d), _jobs(s, d).where(F.size("required") >= least), _as_of(s, d), k)
+def _top(s, d, k=10, who=None):
+    return R.top_jobs(_who(s, d) if who is None else who, _jobs(s, d), _as_of(s, d), k)
 
 
-def _full(s, d, k=10, least=0):
-    return R.explained(_top(s, d, k, least), _who(s, d), _jobs(s, d), _as_of(s, d))
+def _full(s, d, k=10, who=None):
+    return R.explained(_top(s, d, k, who), _who(s, d) if who is None else who, _jobs(s, d), _as_of(s, d))
+
+
+def _newcomers(s, d):
+    """The same candidates before they had learnt much: two skills, or none for every other one. Their best postings leave gaps."""
+    return _who(s, d).withColumn("skills", F.slice("skills", F.lit(1), (F.col("candidate_id") % 2 * 2).cast("int")))
+
+
+_FEW = f"(select * replace (list_slice(skills, 1, candidate_id % 2 * 2) as skills) from {_WHO})"
 
 
 _add("r1_overlap", lambda s, d: R.overlaps(_who(s, d), _jobs(s, d)), f"select candidate_id, m as matched, n as size, count(*) as n from {_PAIRS} where m > 0 group by 1, 2, 3")
@@ -79,7 +84,7 @@ _add("r4_gap_and_urgency", lambda s, d: _full(s, d).select("candidate_id", "job_
 _add("r5_top_jobs", lambda s, d: _top(s, d).select("candidate_id", "job_id", "score", "rank"), f"select candidate_id, job_id, score, rank from {_T}")
 _GAPS = f"""(select *, cast(row_number() over (partition by candidate_id order by priority desc, skill) as int) as rank from (
   select candidate_id, skill, sum(cast(round(score * 1000000) as bigint) * case when urgent then 5 else 4 end)::double / 4000000 as priority
-  from (select candidate_id, score, urgent, unnest(list_filter(required, lambda x: not list_contains(skills, x))) as skill from {_T_DEMANDING} where score > 0) group by 1, 2))"""
+  from (select candidate_id, score, urgent, unnest(list_filter(required, lambda x: not list_contains(skills, x))) as skill from {_T} where score > 0) group by 1, 2))"""
 _G = f"(select * from {_GAPS} where rank <= 5)"
 _COURSES = "(select lower(p_brand) as skill, min(p_name) as title, 'Part school' as provider, 'https://example.org/learn/' || min(p_partkey) as url from part where p_size = 50 group by 1)"
 
@@ -89,19 +94,21 @@ def _courses(s, d):
 
 
 _COURSE_SQL = "coalesce(title, 'Learn ' || skill) as title, coalesce(provider, 'Coursera') as provider, coalesce(url, 'https://www.coursera.org/search?query=' || replace(skill, '#', '%23')) as url"
-_add("r6_gap_priorities", lambda s, d: R.with_courses(R.gaps(_full(s, d, least=_DEMANDING)), _courses(s, d)), f"select candidate_id, skill, priority, rank, {_COURSE_SQL} from {_G} left join {_COURSES} using (skill)")
+_add("r6_gap_priorities", lambda s, d: R.with_courses(R.gaps(_full(s, d)), _courses(s, d)), f"select candidate_id, skill, priority, rank, {_COURSE_SQL} from {_G} left join {_COURSES} using (skill)")
+# On these tables the best ten leave no gaps: enough postings ask for nothing that a candidate lacks. The best 200 do.
+_add("r6_gaps_of_newcomers", lambda s, d: R.with_courses(R.gaps(_full(s, d, 200, _newcomers(s, d))), _courses(s, d)), QUERIES["r6_gap_priorities"][1].replace(_WHO, _FEW).replace("rank <= 10", "rank <= 200"))
 _MARKET = "(select skill, cast(row_number() over (order by count(*) desc, skill) as int) as place from posting_skills group by 1 qualify place <= 50)"
 _LACK = f"(select candidate_id, m.skill, cast(row_number() over (partition by candidate_id order by place) as int) as rank from {_WHO} w, {_MARKET} m where not list_contains(skills, m.skill) qualify rank <= 5)"
 
 
 def _r7(s, d):
     """Candidates whose best posting lacks nothing get the most asked skills that they do not have."""
-    with_gaps = R.gaps(_full(s, d, 1, _DEMANDING)).select("candidate_id").distinct()
+    with_gaps = R.gaps(_full(s, d, 1)).select("candidate_id").distinct()
     fallback = R.missing_market_skills(_who(s, d).join(with_gaps, "candidate_id", "left_anti"), posting_skills(s, d))
     return R.with_courses(fallback, _courses(s, d)).select("candidate_id", "skill", "rank", "title")
 
 
-_add("r7_fallback_courses", _r7, f"select candidate_id, skill, rank, coalesce(title, 'Learn ' || skill) as title from {_LACK} left join {_COURSES} using (skill) where candidate_id not in (select candidate_id from {_T_DEMANDING} where rank = 1 and score > 0 and m < n)")
+_add("r7_fallback_courses", _r7, f"select candidate_id, skill, rank, coalesce(title, 'Learn ' || skill) as title from {_LACK} left join {_COURSES} using (skill) where candidate_id not in (select candidate_id from {_T} where rank = 1 and score > 0 and m < n)")
 _KINDS = "(select lower(p_brand) as skill, max(p_size) = 50 as design, min(split_part(p_type, ' ', 1)) filter (where p_size < 10) as kind from part group by 1)"
 
 

@@ -21,6 +21,8 @@ QUERIES: dict = {}
 
 
 def _add(name, run, sql=None):
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered twice")
     QUERIES[name] = (run, sql)
 
 
@@ -127,15 +129,27 @@ union all select * from (select 'country', country, count(*) as n from {_MASTER}
 
 
 def _q10(s, d):
-    """Ranked postings, the gaps that they share with their courses, and a label for the best score."""
-    full = q_matching._full(s, d, least=q_matching._DEMANDING)
-    best = full.groupBy("candidate_id").agg(F.max("score").alias("best"), F.count("*").alias("jobs"))
-    plan = R.with_courses(R.gaps(full), q_matching._courses(s, d)).select("candidate_id", "skill", "priority", "rank", "title")
-    return plan.join(best, "candidate_id").withColumn("priority_label", R.label(F.col("best")))
+    """The plan of every candidate: ranked postings, courses for the gaps that they share, what to practise, and a label for the best score."""
+    who = q_matching._newcomers(s, d)
+    full = files.save(q_matching._full(s, d, who=who), "plan")
+    part = lambda df, name, item, value: df.select("candidate_id", F.lit(name).alias("part"), F.col("rank").cast("int").alias("rank"), item.cast("string").alias("item"), value.alias("value"))
+    courses = R.with_courses(R.gaps(full), q_matching._courses(s, d))
+    practised = R.practice(who, full, q_matching._kinds(s, d)).withColumnRenamed("place", "rank")
+    best = full.groupBy("candidate_id").agg(F.max("score").alias("best"), F.lit(1).alias("rank"))
+    frames = [
+        part(full, "posting", F.col("job_id"), F.col("score")), part(courses, "course", F.concat_ws(": ", "skill", "title"), F.col("priority")),
+        part(practised, "practice", F.concat_ws(": ", "skill", "kind"), F.lit(None).cast("double")), part(best, "priority", R.label(F.col("best")), F.col("best")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-_add("q10_plan", _q10, f"select g.candidate_id, g.skill, priority, g.rank, coalesce(title, 'Learn ' || g.skill) as title, best, jobs, case when best >= 0.6 then 'HIGH' when best >= 0.3 then 'MEDIUM' else 'LOW' end as priority_label from {q_matching._G} g join (select candidate_id, max(score) as best, count(*) as jobs from {q_matching._T_DEMANDING} group by 1) b on b.candidate_id = g.candidate_id left join {q_matching._COURSES} c on c.skill = g.skill")
-_add("q7_freshness_and_trend", q_aggregates.QUERIES["w8_decompose"][0], q_aggregates.QUERIES["w8_decompose"][1])
+_PLAN = q_matching._T.replace(q_matching._WHO, q_matching._FEW)
+_PRACTISED = f"""(select candidate_id, skill, cast(row_number() over (partition by candidate_id order by skill) as int) as rank from (
+  select candidate_id, unnest(skills) as skill from {q_matching._FEW} union select candidate_id, unnest(list_intersect(required, skills)) from {_PLAN} where urgent) qualify rank <= 5)"""
+_add("q10_plan", _q10, f"""select candidate_id, 'posting' as part, rank, job_id::varchar as item, score as value from {_PLAN}
+union all select candidate_id, 'course', rank, skill || ': ' || coalesce(title, 'Learn ' || skill), priority from {q_matching._G.replace(q_matching._WHO, q_matching._FEW)} left join {q_matching._COURSES} using (skill)
+union all select candidate_id, 'practice', rank, skill || ': ' || case when design then 'system design' else coalesce(kind, 'behavioural') end, null from {_PRACTISED} left join {q_matching._KINDS} using (skill)
+union all select candidate_id, 'priority', 1, case when max(score) >= 0.6 then 'HIGH' when max(score) >= 0.3 then 'MEDIUM' else 'LOW' end, max(score) from {_PLAN} group by 1""")
 
 
 def _q9(s, d):

@@ -15,6 +15,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 for _module in (q_text, q_tables, q_aggregates, q_skills, q_matching, q_retrieval, q_streams, q_pipelines):
     for _name, (_run, _sql) in _module.QUERIES.items():
+        if _name in QUERIES:
+            raise ValueError(f"{_name} is registered twice")
         QUERIES[_name] = _run
         if _sql:
             ORACLE_SQL[_name] = fixtures.with_sql(_sql)

@@ -1,10 +1,17 @@
-"""TF-IDF index and cosine search as joins over long tables."""
+"""TF-IDF index as a long table, and cosine search over blocks of it."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.sources.files import save
+
 
 def tokens(df: DataFrame, key: str, text: str, pattern: str = "[a-z]{3,}") -> DataFrame:
     return df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("term"))
@@ -15,10 +22,11 @@ def index(df: DataFrame, key: str, text: str, features: int = 3000, min_df: int
 
     The vocabulary is bounded by ``features`` and is broadcast.
     """
-    tf = tokens(df, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # Written once: the vocabulary and the index read it, and every projection of queries reads the vocabulary.
+    tf = save(tokens(df, key, text).groupBy(key, "term").agg(F.count("*").alias("tf")), "counts")
     n = df.agg(F.count("*").alias("N"))
     df_ = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("N")))
-    vocabulary = df_.orderBy(F.desc("cf"), "term").limit(features).select("term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
+    vocabulary = save(df_.orderBy(F.desc("cf"), "term").limit(features).select("term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
     weighted = tf.join(F.broadcast(vocabulary), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.withColumn("weight", F.col("w") / norm).drop("w"), vocabulary
@@ -31,12 +39,107 @@ def project(queries: DataFrame, key: str, text: str, vocabulary: DataFrame) -> D
     return w.withColumn("q", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).drop("w")
 
 
+#: Queries that are broadcast at a time, rows of a batch, and rows of a block with bounds of its own.
+QUERIES, ROWS, BLOCK = 1024, 8192, 128
+
+
+class _Queries:
+    """Queries of one pass as a matrix of (term, query)."""
+
+    def __init__(self, rows: list) -> None:
+        self.ids = sorted({r[0] for r in rows})
+        at = {q: i for i, q in enumerate(self.ids)}
+        self.terms = {t: i for i, t in enumerate(sorted({r[1] for r in rows}))}
+        self.weights = np.zeros((len(self.terms), len(self.ids)))
+        for q, t, w in rows:
+            self.weights[self.terms[t], at[q]] = w
+
+
+class _Top:
+    """The best ``k`` rows of each query so far, and the score that a further row has to reach."""
+
+    def __init__(self, queries: _Queries, k: int) -> None:
+        self.k, self.queries = k, queries
+        self.scores = np.full((len(queries.ids), k), -1.0)
+        self.rows = np.full((len(queries.ids), k), np.iinfo(np.int64).max)
+
+    def take(self, keys: np.ndarray, terms: np.ndarray, weights: np.ndarray, first: np.ndarray) -> None:
+        """A batch of rows as (term, weight) lists that begin at ``first``; blocks are visited from the highest bound on."""
+        n, v = len(keys), len(self.queries.terms)
+        edges = np.append(np.arange(0, n, BLOCK), n)
+        block = np.repeat(np.arange(n), np.diff(first)) // BLOCK
+        most = np.zeros((len(edges) - 1, v))
+        np.maximum.at(most, (block, terms), weights)
+        bound = most @ self.queries.weights + 1e-6
+        for b in np.argsort(-bound.max(1), kind="stable"):
+            alive = np.flatnonzero((bound[b] >= self.scores[:, -1]) & (bound[b] > 1e-6))
+            if not len(alive):
+                continue
+            i, j = edges[b], edges[b + 1]
+            dense = np.zeros((j - i, v))
+            part = slice(first[i], first[j])
+            dense[np.repeat(np.arange(j - i), np.diff(first[i : j + 1])), terms[part]] = weights[part]
+            used = np.flatnonzero(most[b])
+            self.merge(alive, (dense[:, used] @ self.queries.weights[np.ix_(used, alive)]).T, keys[i:j])
+
+    def merge(self, alive: np.ndarray, raw: np.ndarray, keys: np.ndarray) -> None:
+        scores = np.where(raw > 0, np.round(raw, 6), -1.0)
+        some = (scores >= self.scores[alive, -1:]).any(1) & (scores >= 0).any(1)
+        alive, scores = alive[some], scores[some]
+        both = np.concatenate([self.scores[alive], scores], 1)
+        rows = np.concatenate([self.rows[alive], np.broadcast_to(keys, scores.shape)], 1)
+        rows = np.where(both < 0, np.iinfo(np.int64).max, rows)
+        order = np.lexsort((rows, -both), axis=1)[:, : self.k]
+        self.scores[alive], self.rows[alive] = np.take_along_axis(both, order, 1), np.take_along_axis(rows, order, 1)
+
+    def told(self, query: str, key: str) -> pa.RecordBatch:
+        some = self.scores >= 0
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(self.queries.ids), some.sum(1))), pa.array(self.rows[some]), pa.array(self.scores[some])], [query, key, "score"])
+
+
 def search(index_: DataFrame, key: str, queries: DataFrame, query: str, k: int = 5, least: float = 0.1) -> DataFrame:
-    """Top ``k`` by cosine of each query among those of at least ``least``, or the plain top ``k`` if none reaches it."""
-    scored = queries.join(index_, "term").groupBy(query, key).agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score"))
-    passing = F.max((F.col("score") >= least).cast("int")).over(Window.partitionBy(query))
-    kept = scored.withColumn("_p", passing).where((F.col("_p") == 0) | (F.col("score") >= least)).drop("_p")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+    """Top ``k`` by cosine of each query among those of at least ``least``, or the plain top ``k`` if none reaches it.
+
+    Rows of the index that share their heaviest term stand together in blocks, each with the maximum weight of its terms. The
+    queries (a stated set; ids and keys are whole numbers) are broadcast, ``QUERIES`` at a time; a task visits its blocks from the highest bound on and leaves out a
+    query where the block's bound does not reach its ``k``-th best so far. No pair becomes a row: a task hands on ``k`` rows for each query.
+    """
+    spark = index_.sparkSession
+    packed = index_.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("terms"), F.max(F.struct("weight", "term"))["term"].alias("_top"))
+    packed = packed.sortWithinPartitions("_top").select(F.col(key).cast("long").alias(key), "terms")
+    asked = save(queries.select(query, "term", "q"), "queries")
+    n = -(-asked.select(query).distinct().count() // QUERIES)
+    packed = save(packed, "postings") if n > 1 else packed
+    out = []
+    for part in range(n):
+        rows = asked.where(F.pmod(F.xxhash64(query), F.lit(n)) == part).collect()
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(_Queries([tuple(r) for r in rows]))
+
+        def run(batches, shared=shared):
+            top = _Top(shared.value, k)
+            for b in batches:
+                for i in range(0, b.num_rows, ROWS):
+                    part = b.slice(i, ROWS)
+                    lists = part.column("terms")
+                    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                    flat = lists.flatten()
+                    names = flat.field("term").dictionary_encode()
+                    ids = np.array([top.queries.terms.get(t, -1) for t in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+                    known = ids >= 0
+                    left = np.bincount(np.repeat(np.arange(len(size)), size)[known], minlength=len(size))
+                    top.take(part.column(key).to_numpy(), ids[known], flat.field("weight").to_numpy()[known], np.append(0, np.cumsum(left)))
+            yield top.told(query, key)
+
+        one = packed.mapInArrow(run, f"{query} long, {key} long, score double")
+        out.append(save(one, "found") if n > 1 else one)
+        if n > 1:
+            shared.destroy()
+    found = reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"{query} long, {key} long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+    passing = F.max("score").over(Window.partitionBy(query)) >= least
+    return ranked.withColumn("_p", passing).where(~F.col("_p") | (F.col("score") >= least)).drop("_p")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -154,22 +154,36 @@ def requirements(c: Column, patterns: list[str] = terms.REQUIREMENT_PATTERNS, mo
     return F.array_sort(F.array_distinct(F.slice(F.filter(found, lambda x: (F.length(x) > 10) & (F.length(x) < 200)), 1, most)))
 
 
-def salary_as_written(c: Column, patterns: list[str] = terms.SALARY_PATTERNS) -> tuple[Column, Column, Column]:
-    """Least, largest amount and currency by the plain patterns, which need no money cue: pairs move both bounds, later single amounts
-    replace the upper one; a lower bound of 0 counts as none, and a k multiplies nothing."""
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def salary(c: Column, patterns: list[str] = terms.SALARY_PATTERNS) -> Column:
+    """Least, largest amount and currency (a struct of low, high, currency) by the plain patterns, which need no money cue: pairs move both bounds,
+    later single amounts replace the upper one; a lower bound of 0 counts as none, and a k multiplies nothing."""
 
     def amounts(pattern: str, group: int) -> Column:
         given = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
         return F.transform(given, lambda x: F.when(F.regexp_replace(x, ",", "").rlike(r"^(\d+\.?\d*|\.\d+)$"), F.regexp_replace(x, ",", "").cast("double")))
 
     pair = lambda p: F.filter(F.arrays_zip(amounts(p, 1).alias("a"), amounts(p, 2).alias("b")), lambda x: x["a"].isNotNull() & x["b"].isNotNull())
-    pairs = F.concat(pair(patterns[0]), pair(patterns[1]))
-    low = F.aggregate(pairs, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull() | (acc == 0), x["a"]).otherwise(F.least(acc, x["a"])))
-    high = F.array_max(F.transform(pairs, lambda x: x["b"]))
-    single = F.array_compact(amounts(patterns[2], 1))
-    later = F.when(low.isNull(), F.when(F.size(single) > 1, F.element_at(single, -1))).otherwise(F.coalesce(F.try_element_at(single, F.lit(-1)), high))
+    lowest = lambda pairs: F.aggregate(pairs, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull() | (acc == 0), x["a"]).otherwise(F.least(acc, x["a"])))
     currency = F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.lower(c).contains(w) for w in words]), k) for k, words in terms.SALARY_CURRENCIES.items()], F.lit("USD"))
-    return F.coalesce(low, F.try_element_at(single, F.lit(1))), later, F.when(F.coalesce(c, F.lit("")) != "", currency)
+
+    def told(pairs: Column, single: Column, low: Column) -> Column:
+        high = F.array_max(F.transform(pairs, lambda x: x["b"]))
+        later = F.when(low.isNull(), F.when(F.size(single) > 1, F.element_at(single, -1))).otherwise(F.coalesce(F.try_element_at(single, F.lit(-1)), high))
+        return F.struct(F.coalesce(low, F.try_element_at(single, F.lit(1))).alias("low"), later.alias("high"), F.when(F.coalesce(c, F.lit("")) != "", currency).alias("currency"))
+
+    pairs, single = F.concat(pair(patterns[0]), pair(patterns[1])), F.array_compact(amounts(patterns[2], 1))
+    return let(pairs, lambda p: let(single, lambda s: let(lowest(p), lambda low: told(p, s, low))))
+
+
+def salary_as_written(c: Column, patterns: list[str] = terms.SALARY_PATTERNS) -> tuple[Column, Column, Column]:
+    """The parts of ``salary``."""
+    one = salary(c, patterns)
+    return one["low"], one["high"], one["currency"]
 
 
 def seniority(title: Column, text: Column, keywords: dict[str, str] = terms.SENIORITY_KEYWORDS) -> Column:

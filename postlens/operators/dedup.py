@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +160,59 @@ def edits(bits: dict[str, int], m: int, y: str, most: int) -> int:
     return min(n + up.bit_count() - down.bit_count(), most + 1) if n else min(m, most + 1)
 
 
-def whole_pairs(df: DataFrame, key: str, text: str, block: list[Column], least: float, tile: int = 128) -> tuple[DataFrame, DataFrame]:
+#: Letters of a piece (the bits of a word), and the longest texts that are compared by pieces first.
+_PIECE, _LONGEST = 64, 5_000
+
+
+class Pieces:
+    """Pieces of many texts, to bound their edit distances to another text from below, all at once.
+
+    An alignment of ``d`` edits maps each of a text's disjoint pieces to a part of the other text at most ``d`` places away,
+    so the distance is at least the sum over the pieces of the best match in that window. The matches of a piece of every text run in
+    the lanes of one array: bit vectors of 64 rows, a step for each letter of the window.
+    """
+
+    def __init__(self, texts: list[str], most: int) -> None:
+        self.most = most
+        self.count = min(min(map(len, texts)) // _PIECE, most // 33 + 1)
+        self.letters = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
+        codes = np.array([[self.letters[c] for c in t[: self.count * _PIECE]] for t in texts]).reshape(len(texts), self.count, _PIECE)
+        self.equal = np.zeros((len(self.letters) + 1, self.count, len(texts)), np.uint64)  # the last letter is none of theirs
+        lane, piece = np.arange(len(texts))[:, None], np.arange(self.count)[None, :]
+        for k in range(_PIECE):
+            self.equal[codes[:, :, k], piece, lane] |= np.uint64(1 << k)
+
+    def least(self, other: str, lanes: int) -> np.ndarray:
+        """A lower bound of the distance of ``other`` and each of the first ``lanes`` texts, as long as that is at most ``most``."""
+        none = len(self.letters)
+        letters = np.array([self.letters.get(c, none) for c in other])
+        at = np.arange(self.count)[:, None] * _PIECE - self.most + np.arange(2 * self.most + _PIECE)[None, :]
+        window = np.where((at >= 0) & (at < len(letters)), letters[np.clip(at, 0, len(letters) - 1)], none)
+        equal, piece = np.ascontiguousarray(self.equal[:, :, :lanes]), np.arange(self.count)
+        one, last = np.uint64(1), np.uint64(_PIECE - 1)
+        up, down = np.full((self.count, lanes), ~np.uint64(0)), np.zeros((self.count, lanes), np.uint64)
+        score = np.full((self.count, lanes), np.uint64(_PIECE))
+        best = score.copy()
+        for k in range(window.shape[1]):
+            eq = equal[window[:, k], piece]
+            xv = eq | down
+            xh = eq & up
+            xh += up
+            xh ^= up
+            xh |= eq
+            ph = down | ~(xh | up)
+            mh = up & xh
+            score += ph >> last
+            score -= mh >> last
+            np.minimum(best, score, out=best)
+            ph <<= one
+            mh <<= one
+            down = ph & xv
+            up = mh | ~(xv | ph)
+        return best.sum(0).astype(np.int64)
+
+
+def whole_pairs(df: DataFrame, key: str, text: str, block: list[Column], least: float, tile: int = 256) -> tuple[DataFrame, DataFrame]:
     """All pairs ``(a, b, similarity)`` of different texts of a block with edit similarity of ``least`` or more, and the links ``(a, b)`` of copies.
 
     Equal texts of a block are one row of the pairs (their smallest ``key``); the links tie the others to it. Texts of any
@@ -186,6 +239,10 @@ def whole_pairs(df: DataFrame, key: str, text: str, block: list[Column], least:
     below = F.when(F.col("_p").isNotNull(), F.transform(parts("_p"), lambda i: spot(s - 1, i, s, c))).otherwise(none)
     met = own.select("_b", "_s", "_c", "_k", "_t", F.explode(F.concat(same, above, below)).alias("_at"))
 
+    def allowed(long):
+        """Edits that leave texts of this length similar enough."""
+        return np.floor((1 - least + 1e-4) * np.asarray(long)).astype(np.int64) + 1
+
     def compare(frame):
         import pandas as pd
 
@@ -195,9 +252,20 @@ def whole_pairs(df: DataFrame, key: str, text: str, block: list[Column], least:
         left, right = [i for i, x in enumerate(side) if x[0]], [i for i, x in enumerate(side) if x[1]]
         alone = (at["s"], at["i"]) == (at["z"], at["j"])
         found = []
-        for i in left:
+        # Pairs whose pieces alone take too many edits are left out before the whole texts are compared.
+        longest = max(map(len, texts))
+        by_pieces = bool(left and right) and _PIECE * 4 <= min(len(texts[i]) for i in left) and longest <= _LONGEST
+        possible = np.ones((len(left), len(right)), bool)
+        if by_pieces:
+            sizes = np.array([len(texts[i]) for i in left])
+            pieces = Pieces([texts[i] for i in left], int(allowed(longest)))
+            for k, j in enumerate(right):
+                lanes = k if alone else len(left)
+                if lanes:
+                    possible[:lanes, k] = pieces.least(texts[j], lanes) <= allowed(np.maximum(sizes[:lanes], len(texts[j])))
+        for r, i in enumerate(left):
             x, bits = texts[i], None
-            for j in right:
+            for j in [j for k, j in enumerate(right) if possible[r, k]]:
                 y = texts[j]
                 long = max(len(x), len(y))
                 if alone and j <= i or min(len(x), len(y)) < least * long:
@@ -207,7 +275,7 @@ def whole_pairs(df: DataFrame, key: str, text: str, block: list[Column], least:
                     for k, ch in enumerate(x):
                         where.setdefault(ch, bytearray(len(x) // 8 + 1))[k >> 3] |= 1 << (k & 7)
                     bits = {ch: int.from_bytes(w, "little") for ch, w in where.items()}
-                most = int((1 - least + 1e-4) * long) + 1
+                most = int(allowed(long))
                 d = edits(bits, len(x), y, most)
                 if d <= most:
                     found.append((min(keys[i], keys[j]), max(keys[i], keys[j]), d, long))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -37,24 +39,36 @@ def bounded(text: Column, term: str) -> Column:
     return F.lower(text).rlike(boundary(term))
 
 
+#: Terms of a dictionary that is part of the plan (one literal) and of one that is broadcast; larger ones are joined by a shuffle.
+MAX_TERMS, MAX_BROADCAST = 20_000, 1_000_000
+_TERMS = "map<string,array<struct<term:string,category:string,pattern:string>>>"
+
+
+def by_first_word(taxonomy: dict[str, str]) -> Column:
+    """The dictionary as one constant: first word -> its terms, each with its category and the pattern that confirms it.
+
+    A text's words lead to the terms that begin with them, so a text is walked once whatever the number of terms, and the plan has one
+    literal for all of them. A single word of more than three letters needs no pattern: the word is the term.
+    """
+    if len(taxonomy) > MAX_TERMS:
+        raise ValueError(f"{len(taxonomy)} terms, more than {MAX_TERMS}: join them as a table (extract_from)")
+    out: dict[str, list[dict]] = {}
+    for term, category in taxonomy.items():
+        words = re.findall("[a-z0-9]+", term.lower())
+        if not words:
+            raise ValueError(f"the term {term!r} has no letter or digit")
+        out.setdefault(words[0], []).append({"term": term, "category": category, "pattern": None if term == words[0] and len(term) > 3 else boundary(term)})
+    return F.from_json(F.lit(json.dumps(out)), _TERMS)
+
+
 def known(words: Column, low: Column, taxonomy: dict[str, str]) -> Column:
     """Terms of the taxonomy in a text, as an array; ``low`` is the text in lower case, ``words`` its runs of a-z and 0-9.
 
-    Both should be variables (see ``per_text``), as they are read for many terms. Single words are found by
-    intersecting ``words`` with the dictionary, which is linear in the text whatever the dictionary's size; terms of several
-    words are looked for where their first word occurs, terms with symbols where the text holds them at all.
+    Both should be variables (see ``per_text``), as they are read more than once.
     """
-    plain = [t for t in taxonomy if all(c.isalnum() or c == " " for c in t)]
-    single = [t for t in plain if " " not in t]
-    stands = lambda t: low.rlike(boundary(t))
-    hit = F.array_intersect(words, F.array(*map(F.lit, single or [""])))
-    # A short word may be part of a longer one of another script or with an underscore.
-    part = [F.when(F.array_contains(words, t) & ~stands(t), F.lit(t)) for t in single if len(t) <= 3]
-    if part:
-        hit = F.array_except(hit, F.array_compact(F.array(*part)))
-    several = [F.when(F.array_contains(words, t.split(" ")[0]) & stands(t), F.lit(t)) for t in plain if " " in t]
-    symbols = [F.when(low.contains(t.lower()) & stands(t), F.lit(t)) for t in taxonomy if t not in plain]
-    return F.concat(hit, F.array_compact(F.array(*several, *symbols))) if several or symbols else hit
+    table = by_first_word(taxonomy)
+    begun = F.flatten(F.transform(F.array_intersect(words, F.map_keys(table)), lambda w: table[w]))
+    return F.transform(F.filter(begun, lambda t: t["pattern"].isNull() | F.rlike(low, t["pattern"])), lambda t: t["term"])
 
 
 def rescued(low: Column, taxonomy: dict[str, str], context: dict[str, list[str]]) -> Column:
@@ -75,8 +89,8 @@ def per_text(text: Column, use: Callable[[Column, Column], Column]) -> Column:
     return F.transform(F.array(F.lower(text)), words)[0]
 
 
-def with_skills(df: DataFrame, text: str, taxonomy: dict[str, str], context: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None, name: str = "skills") -> DataFrame:
-    """``df`` with the sorted array of skills in a text: known terms and those rescued by context, without mistaken ones."""
+def skills_in(text: Column, taxonomy: dict[str, str], context: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None) -> Column:
+    """The sorted array of skills in a text: known terms and those rescued by context, without mistaken ones."""
 
     def found(words: Column, low: Column) -> Column:
         out = known(words, low, taxonomy)
@@ -86,14 +100,57 @@ def with_skills(df: DataFrame, text: str, taxonomy: dict[str, str], context: dic
             out = F.array_except(out, mistaken(low, phrases))
         return F.array_sort(F.array_distinct(out))
 
-    return df.withColumn(name, F.coalesce(per_text(F.col(text), found), F.array().cast("array<string>")))
+    return F.coalesce(per_text(text, found), F.array().cast("array<string>"))
+
+
+def categories_of(skills: Column, taxonomy: dict[str, str]) -> Column:
+    """The sorted distinct categories of an array of skills."""
+    return F.array_sort(F.array_distinct(F.transform(skills, lambda x: F.element_at(_categories(taxonomy), x))))
+
+
+def _categories(taxonomy: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(taxonomy)), "map<string,string>")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once for each row, however many later columns read them: Spark puts the expression of a
+    projected column into each of its readers, but not one that comes out of a generator."""
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+    return df.select("*", made.alias("_once")).select(*df.columns, "_once.*")
+
+
+def with_skills(df: DataFrame, text: str, taxonomy: dict[str, str], context: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None, name: str = "skills") -> DataFrame:
+    return once(df, **{name: skills_in(F.col(text), taxonomy, context, phrases)})
 
 
 def extract(df: DataFrame, key: str, text: str, taxonomy: dict[str, str], context: dict[str, list[str]] | None = None, phrases: dict[str, list[str]] | None = None) -> DataFrame:
     """``(key, skill, category)`` for every term of the taxonomy (skill -> category) in a text."""
-    category = F.create_map(*[F.lit(x) for kv in taxonomy.items() for x in kv])
-    found = with_skills(df.select(key, text), text, taxonomy, context, phrases, "_s")
-    return found.select(key, F.explode("_s").alias("skill")).withColumn("category", F.element_at(category, F.col("skill")))
+    found = df.select(key, F.explode(skills_in(F.col(text), taxonomy, context, phrases)).alias("skill"))
+    return found.withColumn("category", F.element_at(_categories(taxonomy), F.col("skill")))
+
+
+def _pattern(term: Column) -> Column:
+    """``boundary`` of a column of terms."""
+    low = F.lower(term)
+    escaped = F.regexp_replace(low, r"([.+*?()\[\]{}|^$\\#])", r"\\$1")
+    word = lambda p: low.rlike(p)
+    starts, ends = word(r"^[\p{L}\p{N}]"), word(r"[\p{L}\p{N}]$")
+    left = F.when(starts, F.lit("(^|[^a-z0-9])")).otherwise(F.lit(r"(^|\s)"))
+    right = F.when(ends, F.lit("([^a-z0-9]|$)")).otherwise(F.lit(r"([\s,;.:!?)]|$)"))
+    short = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), escaped, F.lit(r"([^\p{L}\p{N}_]|$)"))
+    return F.when(word(r"^[\p{L}\p{N}]{1,3}$"), short).otherwise(F.concat(left, escaped, right))
+
+
+def extract_from(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """``(key, skill, category)`` for every row of ``dictionary(term, category)`` in a text, for dictionaries of any size.
+
+    A text's distinct words meet the terms that begin with them; terms of several words or with symbols are confirmed in the text.
+    """
+    first = F.regexp_extract(F.lower("term"), "[a-z0-9]+", 0)
+    ready = dictionary.select("term", "category", first.alias("_first"), F.when((F.col("term") != first) | (F.length("term") <= 3), _pattern(F.col("term"))).alias("_pattern")).where("_first <> ''").distinct()
+    words = once(df.select(key, text), _low=F.lower(text)).select(key, "_low", F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("_first"))
+    met = words.join(F.broadcast(ready) if ready.count() <= MAX_BROADCAST else ready, "_first")
+    return met.where(F.col("_pattern").isNull() | F.rlike("_low", "_pattern")).select(key, F.col("term").alias("skill"), "category")
 
 
 def preferred(df: DataFrame, key: str, text: str, taxonomy: dict[str, str], words: list[str] = terms.PREFERRED_WORDS) -> DataFrame:

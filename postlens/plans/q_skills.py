@@ -57,6 +57,22 @@ _add("k2_context_rescue", _k2, f"select job_id, skill from {_RESCUED} except sel
 _add("k3_false_positives", lambda s, d: K.extract(posting_text(s, d), "job_id", "description", TAXONOMY, CONTEXT, PHRASES), f"select * from {_ALL_SKILLS}")
 _SYMBOLS = ["10+", "$4000", "c++", ".net", "ci/cd", "on-site", "r", "data engineer"]
 _add("k4_symbol_boundaries", lambda s, d: K.extract(posting_text(s, d), "job_id", "description", {t: "x" for t in _SYMBOLS}).select("job_id", "skill"), f"select job_id, skill from {_found(taxonomy={t: 'x' for t in _SYMBOLS})}")
+#: A dictionary of any size is a table: here the benchmark's words of four letters or more, and its pairs of words.
+_BENCH_WORDS = "select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) as k from benchmark"
+
+
+def _dictionary(s, d):
+    words = table(s, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i < F.size("w")), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    one = words.where("size(w) > 0").select(F.explode(F.concat(F.filter("w", lambda x: F.length(x) > 3), pairs)).alias("term")).distinct()
+    return one.select("term", F.when(F.contains("term", F.lit(" ")), "pair").otherwise("word").alias("category"))
+
+
+_add("k1_large_dictionary", lambda s, d: K.extract_from(posting_text(s, d), "job_id", "description", _dictionary(s, d)), f"""select * from (with b as ({_BENCH_WORDS}), p as (select job_id, string_split(regexp_replace(lower(description), '[^a-z0-9 ]', chr(1), 'g'), ' ') as x from posting_text),
+  pieces as (select job_id, unnest(x) as piece, generate_subscripts(x, 1) as k from p)
+select distinct job_id, w as skill, 'word' as category from (select job_id, unnest(regexp_extract_all(lower(description), '[a-z0-9]+')) as w from posting_text) where w in (select w from b where length(w) > 3)
+union all select distinct job_id, term, 'pair' from (select a.job_id, regexp_extract(a.piece, '[a-z0-9]+$') as x, regexp_extract(c.piece, '^[a-z0-9]+') as y, x || ' ' || y as term from pieces a join pieces c on a.job_id = c.job_id and c.k = a.k + 1)
+  join (select distinct a.w || ' ' || c.w as term from b a join b c on a.item_id = c.item_id and c.k = a.k + 1) using (term) where x <> '' and y <> '')""")
 _ROLES = {"ring": ["metal", "design"], "box": ["paper"], "small": ["detail"]}
 _add("k5_title_skills", lambda s, d: K.from_titles(table(s, d, "part"), "p_partkey", "p_name", _ROLES), "select distinct p_partkey, skill from part join (values ('ring', 'metal'), ('ring', 'design'), ('box', 'paper'), ('small', 'detail')) r(word, skill) on contains(lower(p_name), word)")
 _add("k6_union_of_sources", lambda s, d: _extract(s, d).select("job_id", "skill").union(posting_text(s, d).where("source = 'src0'").select("job_id", F.lit("python").alias("skill"))).distinct().groupBy("skill").agg(F.count("*").alias("n")), f"select skill, count(*) as n from (select job_id, skill from {_EXTRACT} union select job_id, 'python' from posting_text where source = 'src0') group by 1")
@@ -66,27 +82,23 @@ _add("k8_category_counts", lambda s, d: posting_skills(s, d).groupBy("job_id", "
 
 
 def enrich(df):
-    """The record enrichment as one projection: every column comes from the same pass over the text."""
-    c, title = F.col("description"), q_text._title()
-    low, high, currency = T.salary_as_written(c)
-    category = F.create_map(*[F.lit(x) for kv in TAXONOMY.items() for x in kv])
-    return _with_title_skills(df).select(
-        "job_id", "source", "country", F.array_join("skills", ";").alias("skills"), F.size("skills").alias("skill_count"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("skills", lambda x: F.element_at(category, x)))), ";").alias("categories"),
-        T.years_experience(c).alias("years"), T.seniority(title, c).alias("seniority"), T.extract_work_mode(c).alias("mode"), T.by_keyword(c, terms.EMPLOYMENT_KEYWORDS).alias("employment"),
+    """The record enrichment: every column that others read is worked out once for each text."""
+    c, title = F.col("description"), F.col("_title")
+    both = K.once(
+        df.withColumn("_title", q_text._title()),
+        _skills=F.array_sort(F.array_union(K.skills_in(c, TAXONOMY, CONTEXT, PHRASES), K.skills_in(title, TAXONOMY, CONTEXT, PHRASES))),
+        _money=T.salary(c), _level=T.seniority(title, c),
+    )
+    skills, money, nothing = F.col("_skills"), F.col("_money"), F.lit(None).cast("string")
+    return both.select(
+        "job_id", "source", "country", F.array_join(skills, ";").alias("skills"), F.size(skills).alias("skill_count"), F.array_join(K.categories_of(skills, TAXONOMY), ";").alias("categories"),
+        T.years_experience(c).alias("years"), F.col("_level").alias("seniority"), T.extract_work_mode(c).alias("mode"), T.by_keyword(c, terms.EMPLOYMENT_KEYWORDS).alias("employment"),
         F.array_join(T.matching_labels(c, terms.EDUCATION), ";").alias("education"), F.array_join(T.labels(c, terms.CERTIFICATIONS), ";").alias("certifications"),
-        T.any_contained(c, terms.REMOTE_KEYWORDS).alias("remote_ok"), low.alias("salary_low"), high.alias("salary_high"), currency.alias("salary_currency"),
-        retrieval_document(title, F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("country"), F.lit(None).cast("string"), T.seniority(title, c), F.lit(None).cast("string"), F.col("skills"), c).alias("document"),
+        T.any_contained(c, terms.REMOTE_KEYWORDS).alias("remote_ok"), money["low"].alias("salary_low"), money["high"].alias("salary_high"), money["currency"].alias("salary_currency"),
+        retrieval_document(title, nothing, nothing, F.col("country"), nothing, F.col("_level"), nothing, skills, c).alias("document"),
     )
 
 
-def _with_title_skills(df):
-    """Skills of the text and of the title."""
-    both = K.with_skills(df, "description", TAXONOMY, CONTEXT, PHRASES, "_text")
-    both = K.with_skills(both.withColumn("_title", q_text._title()), "_title", TAXONOMY, CONTEXT, PHRASES, "_of_title")
-    return both.withColumn("skills", F.array_sort(F.array_union("_text", "_of_title")))
-
-
 def retrieval_document(title, company, location, country, mode, seniority, employment, skills, description, most=1200):
     """Nine labelled lines, what is known best first."""
     def line(label, value, default="Unknown"):

@@ -174,7 +174,7 @@ def test_whole_clusters_match_brute_force(spark, tmp_path):
             long = max(len(x), len(y))
             if i < j and g == h and min(len(x), len(y)) >= 0.85 * long and round(1 - _levenshtein(x, y) / long, 4) >= 0.85:
                 want.add((i, j))
-    for tile in (5, 128):
+    for tile in (5, 256):
         pairs, _ = dedup.whole_pairs(df, "doc_id", "text", [F.col("lang")], 0.85, tile)
         got = [(r.a, r.b) for r in pairs.collect()]
         assert len(got) == len(set(got)) and set(got) == want

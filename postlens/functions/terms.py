@@ -78,6 +78,8 @@ EXPERIENCE_PATTERNS = [r"(\d+)\+?\s*years?\s+of\s+experience", r"(\d+)\s*-\s*(\d
 SERVICE_EXPERIENCE_PATTERNS = [r"(\d{1,2})\s*\+?\s*years?\s+(?:of\s+)?experience", r"experience\s*[:\-]?\s*(\d{1,2})\s*\+?\s*years?", r"(\d{1,2})\s*\+?\s*yrs?\b"]
 REQUIREMENT_PATTERNS = [r"must have\s+([^.!?]+)", r"requires?\s+([^.!?]+)", r"needs?\s+([^.!?]+)", r"essential\s+([^.!?]+)", r"key\s+qualifications?\s*:?\s*([^.!?]+)"]
 SALARY_PATTERNS = [r"\$?([\d,]+(?:\.\d{2})?)\s*-\s*\$?([\d,]+(?:\.\d{2})?)", r"\$?([\d.]+)k?\s*-\s*\$?([\d.]+)k?", r"(?:from|starting at)?\s*\$?([\d,]+(?:\.\d{2})?)"]
+# What stands between the amounts of a pair.
+SALARY_PAIR_HINT = r"[\d,.k]\s*-\s*\$?[\d,.]"
 SALARY_CURRENCIES = {"USD": ["$", "usd", "dollar"], "EUR": ["€", "eur"], "GBP": ["£", "gbp"], "ZAR": ["zar", "rand"], "NGN": ["ngn", "naira"]}
 PAN_AFRICAN_WORDS = ["africa", "diaspora", "pan-african", "panafrican"]
 WORK_MODE_SPELLINGS = {"remote": "remote", "hybrid": "hybrid", "on-site": "onsite", "onsite": "onsite", "on site": "onsite"}
@@ -102,7 +104,9 @@ COUNTRY_SPELLINGS = {
     "ABJ": "Nigeria", "LOS": "Nigeria", "LAG": "Nigeria", "Any": "Global Remote", "Global Remote": "Global Remote", "Remote": "Global Remote",
     "Worldwide": "Global Remote", "Unknown": "Global Remote",
 }
-TITLE_SENIORITY_WORDS = "senior sr junior jr entry mid lead principal staff associate intern chief head the of and a i ii iii iv 1 2 3 4".split()
+TITLE_SENIORITY_WORDS = [
+    "senior", "sr", "junior", "jr", "entry", "mid", "lead", "principal", "staff", "associate", "intern", "chief", "head", "the", "of", "and", "a", "i", "ii", "iii", "iv", "1", "2", "3", "4",
+]
 TITLE_SYNONYMS = {
     "engineer": "developer", "programmer": "developer", "coder": "developer", "dev": "developer", "devs": "developer", "analysts": "analyst",
     "analytics": "analysis", "ml": "machine learning", "ai": "artificial intelligence",

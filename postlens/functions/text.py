@@ -159,9 +159,10 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def salary(c: Column, patterns: list[str] = terms.SALARY_PATTERNS) -> Column:
+def salary(c: Column, patterns: list[str] = terms.SALARY_PATTERNS, hint: str | None = terms.SALARY_PAIR_HINT) -> Column:
     """Least, largest amount and currency (a struct of low, high, currency) by the plain patterns, which need no money cue: pairs move both bounds,
-    later single amounts replace the upper one; a lower bound of 0 counts as none, and a k multiplies nothing."""
+    later single amounts replace the upper one; a lower bound of 0 counts as none, and a k multiplies nothing. ``hint`` is a short pattern that
+    every text with a pair matches."""
 
     def amounts(pattern: str, group: int) -> Column:
         given = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
@@ -176,7 +177,9 @@ def salary(c: Column, patterns: list[str] = terms.SALARY_PATTERNS) -> Column:
         later = F.when(low.isNull(), F.when(F.size(single) > 1, F.element_at(single, -1))).otherwise(F.coalesce(F.try_element_at(single, F.lit(-1)), high))
         return F.struct(F.coalesce(low, F.try_element_at(single, F.lit(1))).alias("low"), later.alias("high"), F.when(F.coalesce(c, F.lit("")) != "", currency).alias("currency"))
 
-    pairs, single = F.concat(pair(patterns[0]), pair(patterns[1])), F.array_compact(amounts(patterns[2], 1))
+    both = F.concat(pair(patterns[0]), pair(patterns[1]))
+    pairs = F.when(c.rlike(hint), both).otherwise(F.array().cast("array<struct<a:double,b:double>>")) if hint else both
+    single = F.array_compact(amounts(patterns[2], 1))
     return let(pairs, lambda p: let(single, lambda s: let(lowest(p), lambda low: told(p, s, low))))
 
 

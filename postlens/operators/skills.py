@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import terms
+from postlens.functions.text import let
 
 
 def _safe(term: str) -> str:
@@ -71,10 +72,22 @@ def known(words: Column, low: Column, taxonomy: dict[str, str]) -> Column:
     return F.transform(F.filter(begun, lambda t: t["pattern"].isNull() | F.rlike(low, t["pattern"])), lambda t: t["term"])
 
 
-def rescued(low: Column, taxonomy: dict[str, str], context: dict[str, list[str]]) -> Column:
-    """Ambiguous terms that a phrase of the lower-case text tells to be meant."""
-    found = [F.when(reduce(lambda a, b: a | b, [low.rlike(p) for p in patterns]), F.lit(t)) for t, patterns in context.items() if t in taxonomy]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+def rescued(words: Column, low: Column, taxonomy: dict[str, str], context: dict[str, list[str]], found: Column | None = None) -> Column:
+    """Ambiguous terms that a phrase of the lower-case text tells to be meant; those of ``found`` need no telling.
+
+    A pattern that names the term as a word of its own is tried only in texts that have the word.
+    """
+
+    def told(term: str, pattern: str) -> Column:
+        whole = re.search(rf"(\\b|\\s\+){re.escape(term)}\\b", pattern) and re.fullmatch("[a-z0-9]+", term)
+        return F.array_contains(words, term) & low.rlike(pattern) if whole else low.rlike(pattern)
+
+    def meant(term: str, patterns: list[str]) -> Column:
+        any_ = reduce(lambda a, b: a | b, [told(term, p) for p in patterns])
+        return any_ if found is None else ~F.array_contains(found, term) & any_
+
+    out = [F.when(meant(t, patterns), F.lit(t)) for t, patterns in context.items() if t in taxonomy]
+    return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
 
 def mistaken(low: Column, phrases: dict[str, list[str]]) -> Column:
@@ -95,7 +108,7 @@ def skills_in(text: Column, taxonomy: dict[str, str], context: dict[str, list[st
     def found(words: Column, low: Column) -> Column:
         out = known(words, low, taxonomy)
         if context:
-            out = F.concat(out, rescued(low, taxonomy, context))
+            out = let(out, lambda own: F.concat(own, rescued(words, low, taxonomy, context, own)))
         if phrases:
             out = F.array_except(out, mistaken(low, phrases))
         return F.array_sort(F.array_distinct(out))

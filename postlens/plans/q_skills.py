@@ -48,7 +48,7 @@ def _extract(s, d):
 
 
 def _k2(s, d):
-    only = lambda words, low: F.array_except(K.rescued(low, TAXONOMY, CONTEXT), K.known(words, low, TAXONOMY))
+    only = lambda words, low: F.array_except(K.rescued(words, low, TAXONOMY, CONTEXT), K.known(words, low, TAXONOMY))
     return posting_text(s, d).select("job_id", F.explode(K.per_text(F.col("description"), only)).alias("skill"))
 
 

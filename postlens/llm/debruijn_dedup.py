@@ -18,8 +18,8 @@ all documents share makes a large row; hot sources meet their spans in joins tha
 
 Defined results: null, empty and short texts have no windows and keep their words; windows that repeat
 within one document count; all of equal documents' windows repeat; an empty table gives no rows; rows
-without an id match nothing and come out with all their words; an id names one text, and rows that repeat it
-are copies of each other; columns but doc_id and text are not read; a text is held whole by one task.
+without an id match nothing and come out with all their words; rows that repeat an id
+and its text count once, and different texts under one id are documents of their own; columns but doc_id and text are not read; a text is held whole by one task.
 """
 
 from __future__ import annotations
@@ -303,15 +303,17 @@ def placed(rows: DataFrame, paths: DataFrame) -> DataFrame:
 
 def paths(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """``path, n_words, n_places, doc_id, start``: each nonbranching path of repeated windows: its words, the documents' spans on it, and its first source."""
+    docs, _, names = spans.told_apart(docs)
     rows, _ = traced(docs, k)
     pieces = cut(compacted(rows), "paths")
     size = pieces.groupBy("path").agg((F.sum(F.col("stop") - F.col("start")) + k - 1).cast("long").alias("n_words"), F.min(F.struct("doc", "start")).alias("source"))
     places = placed(rows, pieces).groupBy("path").agg(F.count("*").alias("n_places"))
-    return size.join(places, "path").select("path", "n_words", "n_places", F.col("source.doc").alias("doc_id"), F.col("source.start").alias("start"))
+    return spans.named(size.join(places, "path").select("path", "n_words", "n_places", F.col("source.doc").alias("doc_id"), F.col("source.start").alias("start")), names)
 
 
 def remove_repeated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` after every word under a window that occurs more than once is removed."""
+    docs, _, names = spans.told_apart(docs)
     rows, layout = traced(docs, k)
     found = placed(rows, cut(compacted(rows), "paths"))
     labels = rows.where(F.col("kind") == _LABEL).select(F.col("doc").alias("sdoc"), F.col("start").alias("block"), "label")  # one of each block
@@ -353,7 +355,7 @@ def remove_repeated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     none = {"start": F.lit(None).cast("int"), "n": F.lit(None).cast("int"), "digest": F.lit(None).cast("binary")}
     met = checks.withColumnRenamed("doc", "doc_id").withColumn("text", F.lit(None).cast("string")).unionByName(keyed.withColumns(none))
     met = met.repartition(spans.tasks(layout.documents), "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(lean(finisher), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return spans.named(met.mapInArrow(lean(finisher), "doc_id long, n_words long, n_removed long, kept_sha256 string"), names)
 
 
 def _to_buckets(layout: spans.Layout):

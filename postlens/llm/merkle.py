@@ -21,17 +21,15 @@ rows; other columns take no part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.shared import cut
+from postlens.llm.shared import RANGE_ROWS, cut, ranked
 
 #: Children of a node (three bits of the rank), and levels inside a block.
 BITS = 3
 FAN = 1 << BITS
 DIGITS = 4
-#: Rows of a range partition.
-RANGE_ROWS = 200_000
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -55,24 +53,6 @@ def leaves(docs: DataFrame, tampered: dict[str, Column] | None = None) -> DataFr
     return own.select("doc_id", "lang", leaf.alias("leaf"), seen.alias("seen"))
 
 
-def ranked(nodes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``_rank`` (from 0) of each row among those of equal keys, and their number ``_total``."""
-    parts = max(1, -(-nodes.count() // RANGE_ROWS))
-    by = [*keys, *order, "_row"]
-    dealt = nodes.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_row")
-    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "merkle-placed").withColumn("_part", F.shiftright("_at", 33))
-    runs = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
-        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"), "_first",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    same = F.col("_part") == F.col("_of_part")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    return placed.join(runs, same).select(*nodes.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("_rank"), "_total")
-
-
 def height(total: Column) -> Column:
     """Levels above so many nodes."""
     levels = F.lit(0)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a range partition.
+RANGE_ROWS = 200_000
+
+
+def ranked(nodes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``_rank`` (from 0) of each row among those of equal keys, and their number ``_total``."""
+    parts = max(1, -(-nodes.count() // RANGE_ROWS))
+    by = [*keys, *order, "_row"]
+    dealt = nodes.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_row")
+    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "placed").withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"), "_first",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+    )
+    same = F.col("_part") == F.col("_of_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return placed.join(runs, same).select(*nodes.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("_rank"), "_total")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Bound Arrow batches by rows and by bytes (a batch of whole texts may be large), so that Python workers stay small."""
     arrow = "spark.sql.execution.arrow."

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm import textkit as tk
-from postlens.llm.shared import cut, grouped, lean, pack, small_batches, text_bytes, unpack
+from postlens.llm.shared import cut, grouped, lean, pack, ranked, small_batches, text_bytes, unpack
 
 #: Text for each bucket of documents.
 GROUP_BYTES = 2 << 20
@@ -71,6 +71,32 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
+    """``docs(doc_id, text)`` with one text for each id, the bits that tell the texts of one id apart, and the ids' names.
+
+    Nothing changes (0, None) while no id has several texts, by a 64-bit hash. Else each pair of id and text gets a number of its own, which
+    ascends with the id; numbers of one id are equal without their lowest ``bits``.
+    """
+    own = docs.select("doc_id", "text")
+    hashed = own.select("doc_id", F.xxhash64("text").alias("_h")).where("doc_id is not null")
+    if not hashed.groupBy("doc_id").agg(F.min("_h").alias("a"), F.max("_h").alias("z")).where("a < z").limit(1).count():
+        return own, 0, None
+    places = ranked(cut(hashed.distinct().withColumn("_all", F.lit(0)), "texts"), ["_all"], ["doc_id", "_h"])
+    first = places.groupBy("doc_id").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
+    bits = int(first.agg(F.max("_n")).first()[0]).bit_length()
+    key = F.shiftleft("_first", bits) + F.col("_rank") - F.col("_first")
+    names = cut(places.join(first, "doc_id").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_text"), key.alias("_key")), "names")
+    met = own.withColumn("_h", F.xxhash64("text")).join(names, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_text")), "left")
+    return met.select(F.col("_key").alias("doc_id"), "text"), bits, names.select("_id", "_key")
+
+
+def named(found: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``found`` with the ids that ``told_apart`` replaced."""
+    if names is None:
+        return found
+    return found.join(names, F.col("doc_id") == F.col("_key"), "left").withColumn("doc_id", F.col("_id")).select(*found.columns)
+
+
 def remove_repeats(
     docs: DataFrame,
     send: Callable[[tk.Slice, np.ndarray, Layout], Iterator[tuple[int, int, bytes]]],
@@ -82,7 +108,8 @@ def remove_repeats(
 ) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id`` and ``columns``, for every row.
 
-    An id names one text; rows that repeat it get the same result. Rows without an id have no ranges.
+    An id must name one text (see ``told_apart``); rows that repeat it get the same result. Rows without an id have no ranges.
+    A range never reaches beyond its row.
 
     ``send(slice, ids, layout)`` gives (bucket, 0, blob) records and, through ``answers``, ranges that
     the slice settles itself; ``find(blobs)`` gives the ranges of a bucket (doc, start, end);
@@ -169,7 +196,10 @@ def remove_repeats(
             row, start, end = row[by], start[by], end[by]
             for s in tk.slices(own.column("text"), slice_bytes):
                 a, z = np.searchsorted(row, [s.first, s.first + len(s)])
-                made = finish(s, row[a:z] - s.first, start[a:z], end[a:z])
+                mine = row[a:z] - s.first
+                if (end[a:z] > np.diff(s.offs)[mine]).any():
+                    raise ValueError("a range reaches beyond its text")
+                made = finish(s, mine, start[a:z], end[a:z])
                 yield pa.RecordBatch.from_arrays([given.slice(s.first, len(s)), *made], ["doc_id", *[c.split()[0] for c in columns.split(", ")]])
 
     return met.mapInArrow(lean(finisher), f"doc_id long, {columns}")

@@ -16,8 +16,8 @@ arrays: they cannot match. Both use hashes to choose, and bytes to decide.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` keep all; repeats
 within one document stay; of equal documents all but the smallest id lose every byte (from ``length``
-bytes on); rows without an id match nothing and keep all; rows that repeat an id are one document, and
-get equal results for equal texts; columns but doc_id and text are not read; a text is held whole by
+bytes on); rows without an id match nothing and keep all; rows that repeat an id get
+equal results for equal texts, and different texts under one id are judged each for itself, against smaller ids only; columns but doc_id and text are not read; a text is held whole by
 one task.
 """
 
@@ -175,6 +175,7 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` after every byte under a string of ``length`` bytes that a smaller document has is removed."""
 
     half = (length + gram) // 2
+    docs, bits, names = spans.told_apart(docs)
 
     def send(s, ids, layout):
         sums = tk.byte_sums(s.buf)
@@ -183,7 +184,7 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
             return
         row = np.searchsorted(s.offs, start, "right") - 1
         doc, pos = ids[row].astype(np.int64), start - s.offs[row]
-        beaten = _beaten(tk.span_hash(sums, start, end), doc, s.buf, start, end - start)
+        beaten = _beaten(tk.span_hash(sums, start, end), doc >> bits, s.buf, start, end - start)
         if beaten.any():
             yield from spans.answers(doc[beaten], pos[beaten], (pos + end - start)[beaten], layout, 1)
         go = np.flatnonzero(~beaten)
@@ -222,11 +223,12 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
             for side, x, y in ((right, place, place + half), (left, place + gram - half, place + gram)):
                 i = a + np.flatnonzero((x[a:z] >= start[a:z]) & (y[a:z] <= end[a:z]))
                 side[i] = tk.span_hash(sums, x[i] - low, y[i] - low)
-        beaten = _beaten(whole, doc, buf, start, size)
+        owner = doc >> bits
+        beaten = _beaten(whole, owner, buf, start, size)
         out = [(doc[beaten], pos[beaten], (pos + size)[beaten])]
         # A window holds the half to the left of its minimizer or the one to the right, so it can
         # only match where another document shares that half; most windows end here.
-        right, left = (~beaten & _shared(side, doc) for side in (right, left))
+        right, left = (~beaten & _shared(side, owner) for side in (right, left))
         turn = place + gram - half
         low = np.where(left, start, np.maximum(start, turn))
         high = np.where(right, end - length, np.minimum(end - length, turn - 1))
@@ -238,7 +240,7 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
         for a, z in zip(cuts, np.append(cuts[1:], len(some))):
             i = some[a:z]
             at, of = tk.ragged(low[i], n[i]), np.repeat(i, n[i])
-            hit = family.add(at, doc[of])
+            hit = family.add(at, owner[of])
             at, of = at[hit], of[hit]
             if len(at):
                 new = np.append(True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]))
@@ -260,7 +262,8 @@ def remove_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
             digests.append(hashlib.sha256(kept.tobytes()).hexdigest())
         return [pa.array(np.diff(s.offs)), pa.array(removed.astype(np.int64)), pa.array(np.diff(first).astype(np.int64)), pa.array(digests)]
 
-    return spans.remove_repeats(docs, send, find, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", RECORD_BYTES, SLICE_BYTES)
+    found = spans.remove_repeats(docs, send, find, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", RECORD_BYTES, SLICE_BYTES)
+    return spans.named(found, names)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

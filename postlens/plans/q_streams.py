@@ -36,7 +36,7 @@ _add("t2_once_per_id", _t2, "select event_id from posting_events")
 def _t3(s, d):
     path = f"{work_dir(s)}/store-{uuid.uuid4().hex}"
     e = posting_events(s, d).select("job_id", "ts", "event_id", "status")
-    jobs.upserts(jobs.source(s, e), jobs.keep_newest(path, "job_id", ["ts", "event_id"])).awaitTermination()
+    jobs.upserts(jobs.source(s, e), jobs.keep_newest(path, "job_id", ["ts", "event_id"], 16)).awaitTermination()
     return jobs.stored(s, path).select("job_id", "status")
 
 
@@ -51,15 +51,20 @@ union all select job_id, max(epoch_us(ts) // 1000) from posting_events group by
 _add("t8_status_changes", lambda s, d: (lambda e: e.withColumn("before", F.lag("status").over(Window.partitionBy("job_id").orderBy("ts", "event_id"))).where("before is null or before <> status").select("event_id", "job_id", "status"))(posting_events(s, d)), "select event_id, job_id, status from (select *, lag(status) over (partition by job_id order by ts, event_id) as before from posting_events) where before is null or before <> status")
 _add("t9_first_seen", lambda s, d: jobs.drain(_stream(s, d, "job_id", "ts").groupBy("job_id").agg(F.min("ts").cast("string").alias("first")), "complete").select("job_id", F.substring("first", 1, 19).alias("first")), "select job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first from posting_events group by 1")
 _add("t10_sessions", lambda s, d: jobs.drain(jobs.sessions(_stream(s, d, "job_id", "ts"), "ts", "job_id"), "complete").select("job_id", F.substring("start", 1, 19).alias("start"), "n"), "select job_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (select *, sum(new) over (partition by job_id order by ts, event_id) as k from (select *, case when lag(ts) over (partition by job_id order by ts, event_id) > ts - interval 30 minutes then 0 else 1 end as new from posting_events)) group by job_id, k")
-def _t11(s, d):
+
+
+def _overlapping(s, d):
     """Daily counts of four files that each cover all days: rows more than two days behind what was seen two files before are dropped."""
     e = posting_events(s, d).select("ts", "event_type", (F.col("event_id") % 4).alias("file"))
     days = jobs.in_order(s, e, "file").withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return jobs.drain(days.select(F.col("w.start").cast("string").alias("start"), "event_type", "n"))
+    return days.select(F.col("w.start").cast("string").alias("start"), "event_type", "n")
 
 
 # A batch drops by the watermark that the batch before it ended days with, so dropping begins with the third file.
-_add("t11_late_rows", _t11, """select strftime(day, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from (
-  select date_trunc('day', ts) as day, event_type, event_id % 4 as file, (select max(ts) - interval 2 days from posting_events where event_id % 4 = 0) as w1,
-    (select max(ts) - interval 2 days from posting_events where event_id % 4 < 2) as w2, (select max(ts) - interval 2 days from posting_events) as w4 from posting_events)
-where day + interval 1 day <= w4 and (file < 2 or file = 2 and day + interval 1 day > w1 or file = 3 and day + interval 1 day > w2) group by 1, 2""")
+_DAYS = """(select date_trunc('day', ts) as day, event_type, event_id % 4 as file, (select max(ts) - interval 2 days from posting_events where event_id % 4 = 0) as w1,
+    (select max(ts) - interval 2 days from posting_events where event_id % 4 < 2) as w2, (select max(ts) - interval 2 days from posting_events) as w4 from posting_events)"""
+_IN_TIME = "(file < 2 or file = 2 and day + interval 1 day > w1 or file = 3 and day + interval 1 day > w2)"
+_add("t11_late_rows", lambda s, d: jobs.drain(_overlapping(s, d)), f"select strftime(day, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from {_DAYS} where day + interval 1 day <= w4 and {_IN_TIME} group by 1, 2")
+# Each file is a batch of one partition, so what the state operator drops are its groups.
+_add("t11_dropped", lambda s, d: s.createDataFrame(sorted(jobs.late(_overlapping(s, d), ["start", "event_type"]).items()), "metric string, value long"), f"""select unnest(['read', 'counted', 'late', 'dropped']) as metric, unnest([count(*), count(*) filter (where {_IN_TIME}), count(*) filter (where not {_IN_TIME}),
+  count(distinct (file, day, event_type)) filter (where not {_IN_TIME})]) as value from {_DAYS}""")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postlens.sources.files import work_dir
@@ -59,33 +61,118 @@ def upserts(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
 
-def keep_newest(path: str, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the newest row (by ``order``) of each key in ``path``, one folder for each batch.
+#: Buckets of an upsert store: a batch rewrites those that its keys fall into.
+BUCKETS = 64
 
-    The store before a batch is the newest whole folder of a smaller number, found on disk: a restart goes on from it, and a
-    batch that is repeated overwrites its folder.
+
+def keep_newest(path: str, key: str, order: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps the newest row (by ``order``) of each key in ``path``.
+
+    The store is dealt to buckets by a hash of the key. A batch reads and writes only the buckets it touches, as
+    ``data/version=<batch>/bucket=<b>``, and commits by a manifest of all buckets' versions, ``manifest/batch=<batch>``, which is
+    written last: a reader sees a batch whole or not at all. The store before a batch is the newest manifest of a smaller number, found
+    on disk: a restart goes on from it, and a batch that is repeated overwrites its own version. See ``vacuum`` for what is replaced.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known, columns = batch, [c for c in batch.columns if c != key]
-        if number:
-            held = spark.read.parquet(path).where(F.col("batch") < number)
-            newest = held.agg(F.max("batch")).first()[0]
-            if newest is not None:
-                known = known.unionByName(held.where(F.col("batch") == newest).select(*batch.columns))
-        rest = [c for c in columns if c not in order]
+        spark, columns = batch.sparkSession, batch.columns
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets``
+        versions = _versions(spark, path, number) if number else {}
+        known = dealt.select(*columns, "bucket")
+        held = [f"{path}/data/version={versions[b]}/bucket={b}" for b in touched if b in versions]
+        if held:
+            old = spark.read.schema(batch.schema).option("basePath", f"{path}/data").parquet(*held).select(*columns)
+            known = known.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        rest = [c for c in columns if c != key and c not in order]
         # Files come in any order: the newest row by event time wins, whichever batch brings it.
-        one = known.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("x")).select(key, "x.*").select(*batch.columns)
-        one.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        one = known.groupBy("bucket", key).agg(F.max(F.struct(*order, *rest)).alias("x")).select(*[F.col(c) if c == key else F.col(f"x.{c}") for c in columns], "bucket")
+        if touched:
+            one.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={number}")
+        now = sorted((versions | dict.fromkeys(touched, number)).items())
+        spark.createDataFrame(now, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
+        dealt.unpersist()
 
     return apply
 
 
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Bucket -> version of the newest manifest (of a batch before ``before``)."""
+    every = spark.read.schema("bucket int, version long, batch long").parquet(f"{path}/manifest")
+    every = every if before is None else every.where(F.col("batch") < before)
+    newest = every.agg(F.max("batch")).first()[0]
+    return {} if newest is None else {r.bucket: r.version for r in every.where(F.col("batch") == newest).collect()}
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """What ``keep_newest`` has in ``path`` now."""
-    every = spark.read.parquet(path)
-    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+    held = [f"{path}/data/version={v}/bucket={b}" for b, v in sorted(_versions(spark, path).items())]
+    return spark.read.option("basePath", f"{path}/data").parquet(*held).drop("version", "bucket")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete what none of the newest ``keep`` manifests refers to, and older manifests; how many folders went. No batch may run meanwhile."""
+    every = spark.read.schema("bucket int, version long, batch long").parquet(f"{path}/manifest")
+    numbers = [r[0] for r in every.select("batch").distinct().orderBy(F.desc("batch")).collect()]
+    live = {(r.version, r.bucket) for r in every.where(F.col("batch").isin(numbers[:keep])).collect()}
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [f"{path}/manifest/batch={n}" for n in numbers[keep:]]
+    for version in fs.listStatus(jvm(f"{path}/data")):
+        n = int(version.getPath().getName().split("=")[1])
+        names = [x.getPath().getName() for x in fs.listStatus(version.getPath())]
+        gone += [f"{path}/data/version={n}/{b}" for b in names if b.startswith("bucket=") and n <= max(numbers) and (n, int(b.split("=")[1])) not in live]
+    for folder in gone:
+        fs.delete(jvm(folder), True)
+    return len(gone)
+
+
+class Progress(StreamingQueryListener):
+    """Totals of each run of a stream: rows read, and rows that stateful operators dropped as too late."""
+
+    def __init__(self) -> None:
+        self.read: dict[str, int] = {}
+        self.dropped: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryProgress(self, event) -> None:
+        run, told = str(event.progress.runId), event.progress
+        self.read[run] = self.read.get(run, 0) + told.numInputRows
+        self.dropped[run] = self.dropped.get(run, 0) + sum(o.numRowsDroppedByWatermark for o in told.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+
+def late(counts: DataFrame, keys: list[str], n: str = "n") -> dict[str, int]:
+    """Totals of a windowed count over what is there: ``read`` rows, ``counted`` and ``late`` ones, and ``dropped`` by the watermark as the
+    state operator tells it, which sees partial counts: a number of (batch, partition, group), not of rows.
+
+    The stream runs in update mode, so open windows count too: a group's last count is its largest.
+    """
+    spark, listener = counts.sparkSession, Progress()
+    path = f"{work_dir(spark)}/late-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    spark.streams.addListener(listener)
+    try:
+        query = counts.writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(put).start()
+        run = str(query.runId)
+        query.awaitTermination()
+        listener.ended.setdefault(run, threading.Event()).wait(60)  # the listener hears of the last batch after the query ends
+    finally:
+        spark.streams.removeListener(listener)
+    counted = spark.read.parquet(path).groupBy(*keys).agg(F.max(n).alias("n")).agg(F.sum("n")).first()[0] or 0
+    read = listener.read.get(run, 0)
+    return {"read": read, "counted": counted, "late": read - counted, "dropped": listener.dropped.get(run, 0)}
 
 
 def in_order(spark: SparkSession, df: DataFrame, by: str, columns: list[str] | None = None) -> DataFrame:

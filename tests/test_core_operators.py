@@ -259,3 +259,13 @@ def test_upsert_sink_goes_on_after_a_restart(spark, tmp_path):
     # A batch that is repeated reads the store before it, not its own folder.
     jobs.keep_newest(f"{tmp_path}/store", "job_id", ["ts"])(spark.createDataFrame([(2, 9, "newer")], "job_id long, ts long, status string"), 2)
     assert run() == [(1, "new"), (2, "newer"), (3, "x")]
+    # A batch writes the buckets that it touches, and readers go by the manifest: a version without one does not count.
+    import os
+
+    versions = {v: sorted(os.listdir(f"{tmp_path}/store/data/{v}")) for v in os.listdir(f"{tmp_path}/store/data")}
+    assert {v: sum(b.startswith("bucket=") for b in names) for v, names in versions.items()} == {"version=0": 2, "version=1": 2, "version=2": 1}
+    spark.createDataFrame([(1, 99, "not committed")], "job_id long, ts long, status string").write.parquet(f"{tmp_path}/store/data/version=3/bucket=0")
+    assert run() == [(1, "new"), (2, "newer"), (3, "x")]
+    assert jobs.vacuum(spark, f"{tmp_path}/store", 1) > 0 and run() == [(1, "new"), (2, "newer"), (3, "x")]
+    feed([(3, 4, "y"), (8, 1, "z")])
+    assert run() == [(1, "new"), (2, "newer"), (3, "y"), (8, "z")]

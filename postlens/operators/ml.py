@@ -6,7 +6,10 @@ from collections.abc import Iterator
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.text import is_real_description
+from postlens.sources.files import save
 
 
 def _order(key: str) -> list:
@@ -141,6 +145,79 @@ def topics(df: DataFrame, k: int, words: int) -> DataFrame:
     return t.select("topic", F.posexplode("termIndices").alias("place", "_i")).select("topic", "place", F.element_at(vocabulary, F.col("_i") + 1).alias("term"))
 
 
+def _sums(parts: DataFrame) -> dict[int, float]:
+    return {r.cell: r.v for r in parts.groupBy("cell").agg(F.sum("v").alias("v")).collect()}
+
+
+def factors(index: DataFrame, key: str, topics: int = 6, rounds: int = 20, sweeps: int = 25, seed: int = 42) -> tuple[np.ndarray, list[str], list[float]]:
+    """Non-negative factorisation of a sparse table ``(key, term, weight)``: topics by terms, the terms, and the squared error of each round.
+
+    A round is one pass over the rows, packed by ``key``: each task takes the best non-negative shares of its rows in the topics (coordinate
+    descent on the small Gram matrix), and adds up what the multiplicative update of the topics needs: shares by terms and shares by shares.
+    Spark sums those cells; the driver holds topics by terms, both bounded (the index keeps its commonest terms). Shares are not stored, as
+    they follow from the topics. Neither step can raise the error.
+    """
+    packed = save(index.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("terms")), "factored")
+    names = [r.term for r in packed.select(F.explode("terms.term").alias("term")).distinct().orderBy("term").collect()]
+    at, width = {t: i for i, t in enumerate(names)}, len(names)
+    rng = np.random.default_rng(seed)
+    h = rng.random((topics, width)) + 0.1
+    errors: list[float] = []
+
+    def one_pass(h: np.ndarray) -> dict[int, float]:
+        shared = packed.sparkSession.sparkContext.broadcast((h, at))
+
+        def run(batches):
+            h, at = shared.value
+            gram = h @ h.T
+            cells = np.zeros(topics * width + topics * topics + 1)
+            by_term, by_topic = cells[: topics * width].reshape(topics, width), cells[topics * width : -1].reshape(topics, topics)
+            for b in batches:
+                lists = b.column("terms")
+                flat = lists.flatten()
+                term = flat.field("term").dictionary_encode()
+                ids = np.array([at[t] for t in term.dictionary.to_pylist()], np.int64)[term.indices.to_numpy()]
+                x = flat.field("weight").to_numpy()
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                to = np.stack([np.bincount(row, x * h[t, ids], b.num_rows) for t in range(topics)], 1)
+                w = shares(to, gram, sweeps)
+                for t in range(topics):
+                    by_term[t] += np.bincount(ids, x * w[row, t], width)
+                by_topic += w.T @ w
+                cells[-1] += (x * x).sum() - 2 * (w * to).sum() + ((w @ gram) * w).sum()
+            some = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], ["cell", "v"])
+
+        told = _sums(packed.select("terms").mapInArrow(run, "cell long, v double"))
+        shared.destroy()
+        return told
+
+    for _ in range(rounds):
+        told = one_pass(h)
+        cells = np.zeros(topics * width + topics * topics + 1)
+        cells[list(told)] = list(told.values())
+        errors.append(float(cells[-1]))
+        by_term, by_topic = cells[: topics * width].reshape(topics, width), cells[topics * width : -1].reshape(topics, topics)
+        h = h * by_term / np.maximum(by_topic @ h, 1e-12)
+    return h, names, errors
+
+
+def shares(to: np.ndarray, gram: np.ndarray, sweeps: int) -> np.ndarray:
+    """Non-negative shares of rows in topics with least squared error: ``to`` is rows times topics, ``gram`` topics times topics."""
+    w = np.zeros_like(to)
+    for _ in range(sweeps):
+        for t in range(to.shape[1]):
+            if gram[t, t] > 0:
+                w[:, t] = np.maximum(0.0, w[:, t] + (to[:, t] - w @ gram[:, t]) / gram[t, t])
+    return w
+
+
+def topic_words(h: np.ndarray, names: list[str], words: int) -> list[tuple[int, int, str, float]]:
+    """``(topic, place, term, weight)`` of each topic's first words; topics by falling norm."""
+    order = np.argsort(-np.linalg.norm(h, axis=1), kind="stable")
+    return [(k, i, names[j], float(h[t, j])) for k, t in enumerate(order) for i, j in enumerate(np.argsort(-h[t], kind="stable")[:words])]
+
+
 def embeddings(df: DataFrame, key: str, text: str, encode, size: int) -> DataFrame:
     """Vectors of texts by the user's model, ``encode(list of texts) -> list of vectors``, a batch of texts at a time."""
 

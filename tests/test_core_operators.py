@@ -269,3 +269,105 @@ def test_upsert_sink_goes_on_after_a_restart(spark, tmp_path):
     assert jobs.vacuum(spark, f"{tmp_path}/store", 1) > 0 and run() == [(1, "new"), (2, "newer"), (3, "x")]
     feed([(3, 4, "y"), (8, 1, "z")])
     assert run() == [(1, "new"), (2, "newer"), (3, "y"), (8, "z")]
+
+
+def test_factors_equal_a_plain_run(spark):
+    """Squared error falls each round, and topics and errors are those of a plain run on the whole matrix; topics that are there are found."""
+    import numpy as np
+
+    from postlens.operators import ml
+
+    rng = np.random.default_rng(6)
+    truth = np.kron(np.eye(3), np.ones(5)) * rng.random((3, 15))
+    x = np.vstack([rng.random((60, 3)) ** 4 @ truth, np.zeros((1, 15))])
+    rows = [(i, f"t{j:02d}", float(x[i, j])) for i in range(len(x)) for j in range(15) if x[i, j] > 0]
+    h, names, errors = ml.factors(spark.createDataFrame(rows, "doc_id long, term string, weight double").repartition(3), "doc_id", 3, 30)
+    assert names == [f"t{j:02d}" for j in range(15)] and all(b <= a + 1e-9 for a, b in zip(errors, errors[1:])) and errors[-1] < 0.05 * errors[0]
+    mine, told = np.random.default_rng(42).random((3, 15)) + 0.1, []
+    for _ in range(30):
+        w = np.zeros((len(x), 3))
+        for _ in range(25):
+            for t in range(3):
+                w[:, t] = np.maximum(0, w[:, t] + (x @ mine[t] - w @ (mine @ mine[t])) / (mine[t] @ mine[t]))
+        told.append(((x - w @ mine) ** 2).sum())
+        mine = mine * (w.T @ x) / (w.T @ w @ mine)
+    assert np.allclose(errors, told, atol=1e-9) and np.allclose(h, mine, atol=1e-9)
+    best = {tuple(sorted(t for k, i, t, _ in ml.topic_words(h, names, 5) if k == topic)) for topic in range(3)}
+    assert best == {tuple(names[5 * b : 5 * b + 5]) for b in range(3)}
+
+
+def test_search_in_blocks_equals_brute_force(spark, monkeypatch):
+    """Several passes of queries, small blocks and batches, ties, queries and rows without common terms."""
+    import numpy as np
+
+    from postlens.operators import retrieval
+
+    for name, value in (("QUERIES", 3), ("ROWS", 7), ("BLOCK", 2)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(8)
+    docs = {i: {f"t{rng.integers(12)}": float(rng.integers(1, 9)) / 8 for _ in range(rng.integers(1, 5))} for i in range(60)}
+    docs |= {100 + i: docs[i] for i in range(5)}
+    asked = {i: {f"t{rng.integers(14)}": float(rng.integers(1, 9)) / 8 for _ in range(3)} for i in range(10)} | {50: {"none": 1.0}}
+    index = spark.createDataFrame([(i, t, w) for i, ws in docs.items() for t, w in ws.items()], "doc_id long, term string, weight double").repartition(2)
+    queries = spark.createDataFrame([(i, t, w) for i, ws in asked.items() for t, w in ws.items()], "q_id long, term string, q double")
+    got = sorted((r.q_id, r["rank"], r.doc_id, r.score) for r in retrieval.search(index, "doc_id", queries, "q_id", 4, 0.5).collect())
+    want = []
+    for q, ws in asked.items():
+        scores = [(-round(sum(w * d.get(t, 0.0) for t, w in ws.items()), 6), i) for i, d in docs.items() if set(ws) & set(d)]
+        kept = [x for x in scores if -x[0] >= 0.5] or scores
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted(kept)[:4])]
+    assert got == sorted(want)
+
+
+def test_dictionaries_of_any_size(spark):
+    """One literal for ten thousand terms, the same rows as a joined dictionary, and patterns that agree with the plain ones."""
+    taxonomy = {f"term{i}": "a" for i in range(6000)} | {f"word{i} pair{i}": "b" for i in range(4000)} | {"c++": "s", ".net": "s", "ci/cd": "s", "r": "s", "go": "s", "node.js": "s", "Looker": "s"}
+    texts = [(1, "Term5, term6x word7 pair7 word8  pair8"), (2, "C++ and .NET; CI/CD. R_ go-to"), (3, None), (4, ""), (5, "node.js rgo term5999 xterm1 looker " + "filler " * 3000 + "term77")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    few = {k: v for k, v in list(taxonomy.items())[:300]}
+    plans = [skills.extract(df, "doc_id", "text", t)._jdf.queryExecution().analyzed().treeString().count("\n") for t in (few, taxonomy)]
+    assert plans[0] == plans[1]
+    want = {(1, "term5"), (1, "word7 pair7"), (2, "c++"), (2, ".net"), (2, "ci/cd"), (2, "go"), (5, "node.js"), (5, "term5999"), (5, "term77"), (5, "Looker")}
+    assert {(r.doc_id, r.skill) for r in skills.extract(df, "doc_id", "text", taxonomy).collect()} == want
+    table = spark.createDataFrame(list(taxonomy.items()), "term string, category string")
+    assert {(r.doc_id, r.skill) for r in skills.extract_from(df, "doc_id", "text", table).collect()} == want
+
+
+def test_enrichment_is_worked_out_once(spark, data):
+    from postlens.plans import q_skills
+    from postlens.sources.fixtures import posting_text
+
+    plan = q_skills.enrich(posting_text(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[a-z0-9]+") == 2  # of the text and of the title
+
+
+def test_signatures_stand_for_postings(spark, monkeypatch):
+    """Many equal postings, several passes of candidates: the same best postings as scoring every pair."""
+    monkeypatch.setattr(recommend, "BLOCK", 3)
+    monkeypatch.setattr(recommend, "BLOCKS", 2)
+    monkeypatch.setattr(recommend, "ROWS", 5)
+    monkeypatch.setattr(recommend, "PAIRS", 40)
+    rng = random.Random(9)
+    names = list("abcdef")
+    jobs = [(i, sorted(rng.sample(names, rng.randrange(4))), sorted(rng.sample(names, rng.randrange(2))), rng.choice([None, 0, 3, 6]), rng.choice(["KE", "ng ", None]), rng.choice(["remote", None])) for i in range(150)]
+    jobs += [(1000 + i, ["a", "b"], [], 3, "KE", "remote") for i in range(200)]
+    who = [(i, rng.sample(names, rng.randrange(5)), rng.choice([0, 2, 9]), rng.choice([["KE"], []]), rng.choice([["Remote"], []])) for i in range(14)]
+    df = spark.createDataFrame(jobs, "job_id long, required array<string>, preferred array<string>, years_experience int, country string, work_mode string")
+    cand = spark.createDataFrame(who, "candidate_id long, skills array<string>, years int, locations array<string>, modes array<string>")
+    got = sorted((r.candidate_id, r["rank"], r.job_id, r.score) for r in recommend.top_jobs(cand, df).collect())
+    want = []
+    for c, skills_, years, places, modes in who:
+        scored = []
+        for j, need, wish, asked, country, mode in jobs:
+            parts = {"required": len(set(need) & set(skills_)) / len(need) if need else None, "preferred": len(set(wish) & set(skills_)) / len(wish) if wish else None, "experience": min(1.0, years / asked) if asked else None}
+            near = [x for x in ((country.strip().lower() in [p.lower() for p in places]) * 1.0 if places and country else None, (mode in [m.lower() for m in modes]) * 1.0 if modes and mode else None) if x is not None]
+            parts["location_work_mode"] = sum(near) / len(near) if near else None
+            known = {k: v for k, v in parts.items() if v is not None}
+            total = sum(recommend.WEIGHTS[k] for k in known)
+            scored.append((-round(sum(v * recommend.WEIGHTS[k] for k, v in known.items()) / total, 6) if total else 0.0, max((asked or 0) - years, 0), j))
+        want += [(c, k + 1, j, -s) for k, (s, _, j) in enumerate(sorted(scored)[:10])]
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
+    reached = {r.job_id: (r.candidates, r.best) for r in recommend.reach(cand, df).collect()}
+    for j, need, *_ in jobs:
+        n = [len(set(need) & set(w[1])) for w in who]
+        assert reached.get(j) == ((sum(x > 0 for x in n), max(n) / len(need)) if any(n) else None)

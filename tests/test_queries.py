@@ -37,6 +37,7 @@ HOLDS = {
     "m2_m4_classifier": lambda r: r.confidence.between(0.5, 1).all() and r.doc_id.is_unique and set(r.prediction) <= {0.0, 1.0},
     "m5_save_load": lambda r: r.same.all(),
     "m6_topics": lambda r: len(r) == 60 and (r.groupby("topic").term.nunique() == 10).all(),
+    "m6_factors": lambda r: len(r) == 60 and (r.groupby("topic").term.nunique() == 10).all() and (r.weight >= 0).all() and r.error.nunique() == 1 and r.error.min() > 0,
     "m7_classifier_report": lambda r: (r.tp <= r[["predicted", "actual"]].min(axis=1)).all() and r.predicted.sum() == r.actual.sum() and r.f1.max() > 0.8,
 }
 SLOW = {"m3_grid_search"}

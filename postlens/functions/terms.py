@@ -134,9 +134,54 @@ CONTEXT_PATTERNS = {
     "sql": [r"\bsql\b.*(?:query|database|server|mysql|postgres|oracle|write)", r"(?:query|database|server|mysql|postgres|oracle|write).*\bsql\b"],
 }
 FALSE_POSITIVES = {"go": ["go-to-market", "go to market", "gtm", "go-live", "go live"]}
-QUESTION_TYPES = {
-    "skills": ["skill", "technolog", "learn"],
-    "salary": ["salary", "pay", "earn"],
-    "location": ["where", "country", "remote"],
-    "comparison": ["compare", "versus", "difference"],
+# What a question is about, in order (the first of equal counts), patterns of questions about the market and about roles, and countries named.
+QUESTION_PATTERNS = {
+    "market_intelligence": [
+        r"\b(?:most|top|best|in\s+demand|trending|popular|common|needed)\s+(?:skill|technology|role|job|tool)",
+        r"\b(?:skill|technology|role|job)\s+(?:demand|gap|shortage|trend)",
+        r"\b(?:what|which)\s+(?:skill|technology|role|job|position)\s+(?:is|are)\s+(?:the\s+)?(?:most|top|best|popular|common|needed|demanded)",
+        r"\b(?:how\s+many|number\s+of)\s+(?:job|role|posting)",
+        r"\b(?:market\s+(?:data|trend|insight|intelligence))",
+    ],
+    "skill_inquiry": [
+        r"\b(?:what|which)\s+(?:skill|technology|tool|language|framework)",
+        r"\b(?:do|should)\s+(?:i|we)\s+(?:need|learn|know)",
+        r"\b(?:is|are)\s+\w+\s+(?:in\s+demand|popular|needed|required|important)",
+        r"\b(?:trending|growing|emerging)\s+(?:skill|technology|tool)",
+    ],
+    "job_search": [
+        r"\b(?:find|search|show|look\s+for|available)\s+(?:job|role|position|opening)",
+        r"\b(?:remote|onsite|hybrid)\s+(?:job|role|position|work)",
+        r"\b(?:who|which)\s+(?:company|companies)\s+(?:is|are)\s+hiring",
+        r"\b(?:hiring|vacancy|opening|recruitment)",
+    ],
+    "career_advice": [
+        r"\b(?:how|what)\s+(?:do|can|should)\s+(?:i|we)\s+(?:become|get\s+into|start|transition)",
+        r"\b(?:career|path|progression|growth|advance)",
+        r"\b(?:switch|change|move|transition)\s+(?:to|into|from)",
+    ],
+    "salary_compensation": [
+        r"\b(?:salary|compensation|pay|wage|earn|income|remuneration)",
+        r"\b(?:how\s+much|what)\s+(?:do|does|can|should)\s+\w+\s+(?:earn|make|get\s+paid)",
+    ],
 }
+MARKET_PATTERNS = [
+    r"\b(?:most|top|best|highest|popular)\s+(?:in\s+demand|demanded|common|frequent|popular|wanted|sought|needed|requested)",
+    r"\b(?:in\s+demand|trending|growing|fastest\s+growing|emerging)",
+    r"\b(?:what|which)\s+(?:skill|technology|role|job|position)\s+(?:is|are)\s+(?:the\s+)?(?:most|top|best|popular|common|needed|demanded)",
+    r"\b(?:skill|skills|role|roles|job|jobs)\s+(?:in|across|for)\s+(?:kenya|nigeria|ghana|south\s+africa|egypt|africa)",
+    r"\b(?:african|africa|kenya|nigeria|ghana|south\s+africa|egypt)\s+(?:market|tech\s+market|job\s+market)",
+    r"\b(?:most|top|best)\s+(?:popular|common|frequent|needed)\s+(?:skill|technology|tool|role|job|position)",
+    r"\b(?:skill|technology|tool|role|job)\s+(?:demand|gap|shortage|surplus)",
+    r"\b(?:how\s+many|number\s+of)\s+(?:job|role|posting)",
+    r"\b(?:market\s+(?:share|data|intelligence|trend|insight))",
+    r"\b(?:which\s+skill|what\s+skill|which\s+role|what\s+role|what\s+job|which\s+job).*(?:kenya|nigeria|ghana|south\s+africa|egypt|africa)",
+    r"\b(?:needed|available)\s+(?:role|job|position)",
+    r"\b(?:most|top)\s+(?:hiring|recruited)",
+]
+ROLE_PATTERN = r"\b(?:role|roles|job|jobs|position|positions|hiring)\b"
+COUNTRY_PATTERNS = {
+    "Kenya": r"\b(?:kenya|ke)\b", "Nigeria": r"\b(?:nigeria|ng)\b", "Ghana": r"\b(?:ghana|gh)\b", "South Africa": r"\b(?:south\s+africa|za)\b", "Egypt": r"\b(?:egypt|eg)\b",
+    "Rwanda": r"\b(?:rwanda|rw)\b", "Uganda": r"\b(?:uganda|ug)\b", "Tanzania": r"\b(?:tanzania|tz)\b",
+}
+OPEN_TO_ALL_MARKERS = ["anywhere", "worldwide", "global"]

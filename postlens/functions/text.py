@@ -259,6 +259,15 @@ def parse_date(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd/MM/yyyy"
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("date")
 
 
+def name_line(c: Column) -> Column:
+    """A CV's first line that may be a name: of the first eight, at most five words and 70 letters, no address; capitals become a title."""
+    lines = F.transform(F.slice(F.split(c, r"\r\n|\n|\r"), 1, 8), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    fit = F.filter(lines, lambda x: (x != "") & ~F.contains(x, F.lit("@")) & F.length(x).between(2, 70) & (F.size(F.split(x, " ")) <= 5))
+    line = F.coalesce(F.try_element_at(fit, F.lit(1)), F.lit("Candidate"))
+    title = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0)), lambda w: F.initcap(w)), "")
+    return let(line, lambda x: F.when(x.rlike("[A-Z]") & (x == F.upper(x)), title(x)).otherwise(x))
+
+
 def title_tokens(c: Column, drop: list[str] = terms.TITLE_SENIORITY_WORDS, canon: dict[str, str] = terms.TITLE_SYNONYMS) -> Column:
     table = F.create_map(*[F.lit(x) for kv in canon.items() for x in kv])
     words = F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9+#.]+", " "), " "), lambda w: (w != "") & ~w.isin(drop))

@@ -19,6 +19,22 @@ def top_per_group(df: DataFrame, groups: list[str], order: list[str], k: int) ->
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """``column, value, n, rank``: the ``k`` commonest values of each column, counted in one pass."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("_v")).select("_v.*").where("value is not null")
+    return top_per_group(each.groupBy("column", "value").agg(F.count("*").alias("n")), ["column"], ["n desc", "value"], k)
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, n, mean, stddev, least, q1, median, q3, most`` of numbers, in one pass."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_v")).select("_v.*").where("value is not null")
+    quarter = lambda q: F.round(F.percentile("value", F.lit(q)), 4)
+    return each.groupBy("column").agg(
+        F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("stddev"), F.min("value").alias("least"),
+        quarter(0.25).alias("q1"), quarter(0.5).alias("median"), quarter(0.75).alias("q3"), F.max("value").alias("most"),
+    )
+
+
 def skill_by_region(skills: DataFrame, jobs: DataFrame) -> DataFrame:
     return skills.select("job_id", "skill").distinct().join(jobs.select("job_id", "country"), "job_id").groupBy("country", "skill").agg(F.count("*").alias("n"))
 

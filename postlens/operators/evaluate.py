@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.functions.text import any_contained
+from postlens.functions.text import any_contained, canonical_skills
+from postlens.operators.aggregates import top_per_group
 
 
 def set_scores(gold: DataFrame, found: DataFrame, key: str, item: str) -> DataFrame:
@@ -49,6 +50,32 @@ def ranking(hits: DataFrame, query: str, weak: float = 0.2) -> DataFrame:
         F.round(F.coalesce(1 / first, F.lit(0.0)), 4).alias("mrr"), (F.max("score") < weak).alias("low_confidence"))
 
 
+def top_errors(scores: DataFrame, item: str, k: int = 10) -> DataFrame:
+    """``kind, rank, item, n``: the items of ``set_scores`` that are missed and spurious most often."""
+    each = scores.select(item, F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), F.col(c).alias("n")) for name, c in (("missed", "fn"), ("spurious", "fp"))])).alias("_e"))
+    return top_per_group(each.select("_e.kind", item, "_e.n").where("n > 0"), ["kind"], ["n desc", item], k)
+
+
+def field_confusion(df: DataFrame, fields: list[str]) -> DataFrame:
+    """``field, expected, actual, n`` of all fields (columns ``expected_<field>``, ``actual_<field>``) in one pass; rows without an expected value do not count."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"expected_{f}").alias("expected"), F.coalesce(f"actual_{f}", F.lit("None")).alias("actual")) for f in fields]))
+    return df.select(each.alias("_f")).select("_f.*").where("expected is not null").groupBy("field", "expected", "actual").agg(F.count("*").alias("n"))
+
+
+def field_accuracy(confusion: DataFrame) -> DataFrame:
+    right = F.sum(F.when(F.col("expected") == F.col("actual"), F.col("n")).otherwise(0))
+    return confusion.groupBy("field").agg(F.sum("n").alias("total"), right.alias("correct"), F.round(right / F.sum("n"), 3).alias("accuracy"))
+
+
+def matcher_cases(cases: DataFrame) -> DataFrame:
+    """Cases ``(key, candidate, job, matched, missing, score)`` of skill lists with what a matcher does, and whether that is as expected."""
+    own, need = canonical_skills(F.col("candidate")), canonical_skills(F.col("job"))
+    told = cases.withColumns({"got_matched": F.array_intersect(need, own), "got_missing": F.array_except(need, own)})
+    share = F.when(F.size("job") > 0, F.size("got_matched") / (F.size("got_matched") + F.size("got_missing"))).otherwise(0.0)
+    same = lambda a, b: F.array_sort(a) == F.array_sort(b)
+    return told.withColumn("got_score", F.coalesce(share, F.lit(0.0))).withColumns({"match_ok": same("got_matched", "matched") & same("got_missing", "missing"), "score_ok": F.abs(F.col("got_score") - F.col("score")) < 0.01})
+
+
 def in_context(found: DataFrame, texts: DataFrame, key: str, text: str, words: list[str], width: int = 40) -> DataFrame:
     """Whether one of ``words`` stands within ``width`` characters of an extracted term."""
     j = found.join(texts.select(key, F.lower(text).alias("_t")), key)

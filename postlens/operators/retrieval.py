@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.functions.text import let
 from postlens.sources.files import save
 
 
@@ -142,6 +144,32 @@ def search(index_: DataFrame, key: str, queries: DataFrame, query: str, k: int =
     return ranked.withColumn("_p", passing).where(~F.col("_p") | (F.col("score") >= least)).drop("_p")
 
 
+#: Letters of all alphabets make words.
+_WORDS = "(?U)"
+
+
+def question_type(text: Column, groups: dict[str, list[str]]) -> Column:
+    """The group with the most patterns in a text (the first of equal ones), else ``general``. The groups are one literal of the plan."""
+    rows = [{"place": -i, "kind": k, "patterns": [_WORDS + p for p in ps]} for i, (k, ps) in enumerate(groups.items())]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<place:int,kind:string,patterns:array<string>>>")
+
+    def best(low: Column) -> Column:
+        counted = F.transform(table, lambda g: F.struct(F.size(F.filter(g["patterns"], lambda p: F.rlike(low, p))).alias("n"), g["place"].alias("place"), g["kind"].alias("kind")))
+        return F.array_max(counted)
+
+    top = let(F.lower(text), best)
+    return F.when(top["n"] > 0, top["kind"]).otherwise("general")
+
+
+def any_pattern(text: Column, patterns: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(_WORDS + p) for p in patterns]), lambda p: F.rlike(F.lower(text), p))
+
+
+def first_pattern(text: Column, patterns: dict[str, str]) -> Column:
+    """The name of the first pattern that a text holds."""
+    return F.coalesce(*[F.when(F.lower(text).rlike(_WORDS + p), F.lit(k)) for k, p in patterns.items()])
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -152,6 +152,10 @@ _add("a15_skill_trend", _a15, f"select month, skill, n, round((n - lag(n) over w
 _add("a16_monthly_by_source", lambda s, d: A.monthly(postings(s, d), "date_posted", []).join(postings(s, d).groupBy(F.date_format("date_posted", "yyyy-MM").alias("month")).pivot("source", _CATS).count().na.fill(0), "month"), "select strftime(date_posted, '%Y-%m') as month, count(*) as n, " + ", ".join(f"count(*) filter (where source = '{c}') as {c}" for c in _CATS) + " from postings group by 1")
 _add("a17_null_profile", lambda s, d: A.null_profile(A.with_usd(postings(s, d)), ["salary_min", "country"]), "select 'salary_min' as \"column\", count(*) filter (where salary_min is null) as nulls, round(count(*) filter (where salary_min is null) * 100.0::double / count(*), 2) as null_pct from postings union all select 'country', 0, 0.0::double")
 _add("a18_distinct_counts", lambda s, d: postings(s, d).agg(F.count_distinct("company").alias("companies"), F.count_distinct("country").alias("countries"), F.count_distinct("source").alias("sources"), F.round(F.avg("years_experience"), 3).alias("years")), "select count(distinct company) as companies, count(distinct country) as countries, count(distinct source) as sources, round(avg(years_experience), 3) as years from postings")
+_COUNTED = ["company", "country", "source", "work_mode", "seniority"]
+_DESCRIBED = ["years_experience", "salary_min", "salary_max"]
+_add("a18_top_values", lambda s, d: A.top_values(postings(s, d), _COUNTED, 10), "select \"column\", value, n, cast(r as int) as rank from (select *, row_number() over (partition by \"column\" order by n desc, value) as r from (" + " union all ".join(f"select '{c}' as \"column\", {c} as value, count(*) as n from postings where {c} is not null group by 2" for c in _COUNTED) + ")) where r <= 10")
+_add("a18_describe", lambda s, d: A.describe(postings(s, d), _DESCRIBED), " union all ".join(f"select '{c}' as \"column\", count({c}) as n, round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as stddev, min({c})::double as least, round(quantile_cont({c}, 0.25), 4)::double as q1, round(quantile_cont({c}, 0.5), 4)::double as median, round(quantile_cont({c}, 0.75), 4)::double as q3, max({c})::double as most from postings" for c in _DESCRIBED))
 
 
 def _a19(s, d):

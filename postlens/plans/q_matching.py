@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postlens.functions import terms
 from postlens.functions import text as T
 from postlens.operators import recommend as R
 from postlens.operators import skills as K
@@ -272,15 +273,26 @@ _add("e3_recommender_metrics", _e3, f"""select count(*) as candidates, round(avg
 
 
 _YEAR = "(?:^|[^0-9A-Za-z])((?:19|20)[0-9]{2})(?:$|[^0-9A-Za-z])"
+#: First lines that CVs have, put before the texts.
+_HEADERS = ["JANE  W. DOE\n", "jane@example.org\n  Kofi   Mensah \n", "\n\nX\nMARY-ANN O'NEIL\n", ""]
 
 
 def _r11(s, d):
-    """Profiles from texts: skills, and years from phrases or from the earliest year named."""
-    t = posting_text(s, d)
-    named = F.array_min(F.transform(F.regexp_extract_all("description", F.lit(_YEAR), F.lit(1)), lambda x: x.cast("int")))
-    years = F.least(F.greatest(T.years_experience(F.col("description")), F.coalesce(F.lit(2026) - named, F.lit(0))), F.lit(50))
-    found = K.extract(t, "job_id", "description", TAXONOMY).groupBy("job_id").agg(F.count("*").alias("skills"))
-    return t.select("job_id", years.alias("years")).join(found, "job_id", "left").na.fill(0, ["skills"])
-
-
-_add("r11_profiles_from_text", _r11, f"select t.job_id, cast(least(greatest(y.value, coalesce(2026 - list_min([cast(x as int) for x in regexp_extract_all(description, '{_YEAR}', 1)]), 0)), 50) as int) as years, coalesce(k, 0) as skills from posting_text t join ({q_text.QUERIES['p28_years_experience'][1]}) y on y.job_id = t.job_id left join (select job_id, count(*) as k from {_EXTRACT} group by 1) f on f.job_id = t.job_id")
+    """Profiles from texts: the name, skills, and years from phrases or from the earliest year named, counted from the newest posting's year."""
+    head = F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("job_id") % len(_HEADERS) + 1).cast("int"))
+    t = posting_text(s, d).withColumn("cv", F.concat(head, "description"))
+    now = _as_of(s, d).year
+    named = F.array_min(F.filter(F.transform(F.regexp_extract_all("cv", F.lit(_YEAR), F.lit(1)), lambda x: x.cast("int")), lambda y: y <= now))
+    years = F.least(F.greatest(T.years_experience(F.col("cv")), F.coalesce(F.lit(now) - named, F.lit(0))), F.lit(50))
+    skills = F.size(T.canonical_skills(K.skills_in(F.col("cv"), TAXONOMY)))
+    return t.select("job_id", T.name_line(F.col("cv")).alias("name"), years.alias("years"), skills.alias("skills"))
+
+
+_NAME_SQL = r"""(select job_id, coalesce(list_filter(list_transform(list_slice(string_split(cv, chr(10)), 1, 8), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '' and not contains(x, '@') and length(x) between 2 and 70 and len(string_split(x, ' ')) <= 5)[1], 'Candidate') as line from cvs)"""
+_CVS = f"cvs as (select job_id, list_extract([{', '.join(q_text._q(h) for h in _HEADERS)}], cast(job_id % {len(_HEADERS)} + 1 as int)) || description as cv from posting_text)"
+_ALIASED = "(select * from (values " + ", ".join(f"({q_text._q(k)}, {q_text._q(v)})" for k, v in terms.SKILL_ALIASES.items()) + ") as aliased(k, v))"
+_add("r11_profiles_from_text", _r11, f"""select * from (with {_CVS}, y as (select year({_DAY}) as now)
+select t.job_id, case when regexp_matches(line, '[A-Z]') and line = upper(line) then array_to_string(list_transform(regexp_extract_all(line, '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '') else line end as name,
+  cast(least(greatest(p.value, coalesce(now - list_min(list_filter([cast(x as int) for x in regexp_extract_all(cv, '{_YEAR}', 1)], lambda q: q <= now)), 0)), 50) as int) as years, cast(coalesce(k, 0) as int) as skills
+from cvs t cross join y join {_NAME_SQL} n on n.job_id = t.job_id join ({q_text.QUERIES['p28_years_experience'][1]}) p on p.job_id = t.job_id
+left join (select job_id, count(distinct coalesce(v, skill)) as k from {_EXTRACT} left join {_ALIASED} on k = skill group by 1) f on f.job_id = t.job_id)""")

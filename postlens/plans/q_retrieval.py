@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from functools import reduce
 
@@ -18,7 +20,7 @@ from postlens.operators import skills as K
 from postlens.plans import q_aggregates, q_skills, q_text
 from postlens.plans.q_skills import _EXTRACT, CONTEXT, PHRASES, TAXONOMY
 from postlens.sources import files
-from postlens.sources.fixtures import posting_text, table
+from postlens.sources.fixtures import ASKED, posting_skills, posting_text, postings, questions, table
 
 QUERIES: dict = {}
 
@@ -69,43 +71,66 @@ def _v5(s, d):
 
 
 _add("v5_context", _v5, _sql("select item_id, string_agg('[' || rank || '] ' || job_id || ' | ' || source || ' | ' || country || chr(10) || substr(description, 1, 300), chr(10) || '---' || chr(10) order by rank) as context from hit join posting_text using (job_id) group by 1"))
-#: Words by type of question; the tables' languages are added, as their texts are invented.
-_TYPES = {"skills": [*terms.QUESTION_TYPES["skills"], "que", "the"], "salary": [*terms.QUESTION_TYPES["salary"], "der", "para"], "location": [*terms.QUESTION_TYPES["location"], "pour", "von"], "comparison": terms.QUESTION_TYPES["comparison"]}
+def _v6(s, d):
+    return questions(s, d).select("conv_id", "turn", V.question_type(F.col("text"), terms.QUESTION_PATTERNS).alias("kind"))
 
 
-def _v6(s, d):
-    hits = {k: reduce(lambda a, b: a + b, [F.lower("text").contains(w).cast("int") for w in ws]) for k, ws in _TYPES.items()}
-    best = F.greatest(*hits.values())
-    kind = F.when(best == 0, "general")
-    for k, h in hits.items():
-        kind = kind.when(h == best, k)
-    return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", kind.alias("kind"))
+def _words_sql(p):
+    """The pattern for an engine whose words are of a-z only."""
+    edge = r"[^\p{L}\p{N}_]"
+    p = re.sub(r"^\\b", lambda _: f"(?:^|{edge})", p)
+    return q_text._q(re.sub(r"\\b$", lambda _: f"(?:$|{edge})", p).replace(r"\w", r"[\p{L}\p{N}_]"))
+
+
+def _kind_sql(c):
+    hits = {k: "(" + " + ".join(f"regexp_matches(lower({c}), {_words_sql(p)})::int" for p in ps) + ")" for k, ps in terms.QUESTION_PATTERNS.items()}
+    best = f"greatest({', '.join(hits.values())})"
+    return f"case when {best} = 0 then 'general' " + " ".join(f"when {h} = {best} then '{k}'" for k, h in hits.items()) + " end"
 
 
-_HITS = {k: " + ".join(f"contains(lower(text), '{w}')::int" for w in ws) for k, ws in _TYPES.items()}
-_BEST = f"greatest({', '.join(_HITS.values())})"
-_add("v6_question_type", _v6, f"select conv_id, turn, case when {_BEST} = 0 then 'general' " + " ".join(f"when {h} = {_BEST} then '{k}'" for k, h in _HITS.items()) + " end as kind from conversations where role = 'user'")
+_any_sql = lambda c, patterns: "(" + " or ".join(f"regexp_matches(lower({c}), {_words_sql(p)})" for p in patterns) + ")"
+_country_sql = lambda c: "case " + " ".join(f"when regexp_matches(lower({c}), {_words_sql(p)}) then '{k}'" for k, p in terms.COUNTRY_PATTERNS.items()) + " end"
+_add("v6_question_type", _v6, f"select conv_id, turn, {_kind_sql('text')} as kind from questions")
 
 
 def _v7(s, d):
-    """The country that a question names, whether it asks about the market, and the skills it mentions."""
-    q = table(s, d, "conversations").withColumn("market", F.lower("text").rlike(_MARKET)).withColumn("country", T.first_contained(F.col("text"), _NAMED))
+    """The country that a question names, whether it asks about the market and about roles, and the skills it mentions."""
+    q = questions(s, d).select("*", V.any_pattern(F.col("text"), terms.MARKET_PATTERNS).alias("market"), V.any_pattern(F.col("text"), [terms.ROLE_PATTERN]).alias("role"), V.first_pattern(F.col("text"), terms.COUNTRY_PATTERNS).alias("country"))
     found = K.with_skills(q, "text", TAXONOMY, CONTEXT, PHRASES)
-    return found.select("conv_id", "turn", "country", "market", F.array_join("skills", ",").alias("skills"))
+    return found.select("conv_id", "turn", "country", "market", "role", F.array_join("skills", ",").alias("skills"))
 
 
-_MARKET = "market|demand|trend|que "
-_NAMED = ["pour", "that", "und"]
-_SAID = "(select conv_id * 1000 + turn as job_id, text as description from conversations)"
+_SAID = "(select conv_id * 1000 + turn as job_id, text as description from questions)"
 _V7_SKILLS = f"(select job_id, string_agg(skill, ',' order by skill) as skills from (select * from (select job_id, skill from {q_skills._found('description', _SAID)} union select job_id, skill from {q_skills._RESCUED.replace('posting_text', _SAID)}) where (job_id, skill) not in (select (job_id, skill) from {q_skills._MISTAKEN.replace('posting_text', _SAID)})) group by 1)"
-_add("v7_question_filters", _v7, f"select conv_id, turn, case when contains(lower(text), 'pour') then 'pour' when contains(lower(text), 'that') then 'that' when contains(lower(text), 'und') then 'und' end as country, regexp_matches(lower(text), '{_MARKET}') as market, coalesce(skills, '') as skills from conversations left join {_V7_SKILLS} k on k.job_id = conv_id * 1000 + turn")
+_add("v7_question_filters", _v7, f"select conv_id, turn, {_country_sql('text')} as country, {_any_sql('text', terms.MARKET_PATTERNS)} as market, regexp_matches(lower(text), {_words_sql(terms.ROLE_PATTERN)}) as role, coalesce(skills, '') as skills from questions left join {_V7_SKILLS} k on k.job_id = conv_id * 1000 + turn")
+
+
+def _asked(s, d):
+    """Each benchmark text as a question: what it is about, and where."""
+    said = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("item_id") % len(ASKED) + 1).cast("int"))
+    q = table(s, d, "benchmark").select("item_id", F.concat("text", said).alias("text"))
+    market, role = V.any_pattern(F.col("text"), terms.MARKET_PATTERNS), V.any_pattern(F.col("text"), [terms.ROLE_PATTERN])
+    route = F.when(market & role, "market roles").when(market, "market skills").otherwise("postings")
+    return q.select("item_id", "text", V.question_type(F.col("text"), terms.QUESTION_PATTERNS).alias("kind"), route.alias("route"), F.upper(V.first_pattern(F.col("text"), terms.COUNTRY_PATTERNS)).alias("place"))
+
+
+def _market(s, d):
+    """``place, route, told``: the three most asked skills and the three most posted roles of each country and of all (place ALL)."""
+    jobs = postings(s, d).select("job_id", F.explode(F.array(F.lit("ALL"), "country")).alias("place"), F.col("tech_category").alias("name"))
+    skills = posting_skills(s, d).select("job_id", F.col("skill").alias("name")).distinct().join(jobs.select("job_id", "place"), "job_id")
+    total = jobs.groupBy("place").agg(F.count("*").alias("total"))
+    n = skills.groupBy("place", "name").agg(F.count("*").alias("n")).withColumn("route", F.lit("market skills")).unionByName(jobs.groupBy("place", "name").agg(F.count("*").alias("n")).withColumn("route", F.lit("market roles")))
+    top = A.top_per_group(n, ["place", "route"], ["n desc", "name"], 3).join(total, "place")
+    part = F.struct("rank", F.concat("name", F.lit(" ("), F.format_number(F.round(F.col("n") * 100.0 / F.col("total"), 1), 1), F.lit(" %)")).alias("t"))
+    head = F.when(F.col("route") == "market skills", "Most asked skills: ").otherwise("Most posted roles: ")
+    return top.groupBy("place", "route").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.t), ", ").alias("told")).select("place", "route", F.concat(head, "told", F.lit(".")).alias("told"))
 
 
 def _v8(s, d):
-    """An answer for each benchmark text as a question: the market's most asked skills, or what the best postings say, with a confidence and the sources."""
-    questions = table(s, d, "benchmark").select("item_id", F.lower("text").rlike(_ASKS_MARKET).alias("market"))
-    demand = q_aggregates.QUERIES["a14_demand_of_all_jobs"][0](s, d).orderBy(F.desc("jobs"), "skill").limit(3)
-    market = demand.agg(F.concat(F.lit("Most asked skills: "), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("jobs", "skill", "pct")), False), lambda x: F.concat(x.skill, F.lit(" ("), F.format_number(x.pct, 1), F.lit(" %)"))), ", "), F.lit(".")).alias("told"))
+    """An answer for each benchmark text as a question: the market's skills or roles (of the country named, if it has postings), or what the best postings say, with a confidence and the sources."""
+    questions_, market = _asked(s, d), _market(s, d)
+    known = market.select("place").distinct().withColumn("known", F.lit(True))
+    questions_ = questions_.join(known, "place", "left").withColumn("place", F.when(F.col("known"), F.col("place")).otherwise("ALL")).drop("known")
     hits = _hits(s, d).join(posting_text(s, d), "job_id")
     hits = K.with_skills(hits.withColumn("level", T.seniority(F.lit(None).cast("string"), F.col("description"))), "description", TAXONOMY, CONTEXT, PHRASES)
     skills = hits.select("item_id", F.explode("skills").alias("skill")).groupBy("item_id", "skill").agg(F.count("*").alias("n"))
@@ -116,17 +141,24 @@ def _v8(s, d):
         F.count("*").alias("found"), listed("country").alias("countries"), listed("level").alias("levels"), F.when(strong, "high").when(F.max("score") >= 0.1, "medium").otherwise("low").alias("confidence"),
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "job_id"))), lambda x: x.job_id)).alias("sources"))
     text = F.concat(F.col("found").cast("string"), F.lit(" postings match. Skills: "), F.coalesce("skills", F.lit("none")), F.lit(". Countries: "), "countries", F.lit(". Levels: "), "levels", F.lit("."))
-    told = questions.join(each.join(named, "item_id", "left").withColumn("text", text), "item_id", "left").crossJoin(F.broadcast(market))  # one row
-    answer = F.when(F.col("market"), F.col("told")).otherwise(F.coalesce("text", F.lit("No posting matches.")))
-    return told.select("item_id", F.when(F.col("market"), "market").otherwise("postings").alias("route"), answer.alias("answer"), F.when(F.col("market"), "high").otherwise(F.coalesce("confidence", F.lit("low"))).alias("confidence"), F.when(~F.col("market"), F.coalesce("sources", F.lit("[]"))).alias("sources"))
+    told = questions_.drop("text").join(each.join(named, "item_id", "left").withColumn("text", text), "item_id", "left").join(market, ["place", "route"], "left")
+    by_market = F.col("route") != "postings"
+    answer = F.when(by_market, F.col("told")).otherwise(F.coalesce("text", F.lit("No posting matches.")))
+    return told.select("item_id", "kind", "route", answer.alias("answer"), F.when(by_market, "high").otherwise(F.coalesce("confidence", F.lit("low"))).alias("confidence"), F.when(~by_market, F.coalesce("sources", F.lit("[]"))).alias("sources"))
 
 
-_ASKS_MARKET = "market|demand|trend|mer"
 _LEVEL = f"(select job_id, {q_text._chain([(q_text._has([k]), v) for k, v in terms.SENIORITY_KEYWORDS.items()], 'Mid-Level')} as level from posting_text)"
-_V8 = _sql(f"""select b.item_id, case when market then 'market' else 'postings' end as route, case when market then told else coalesce(f.text, 'No posting matches.') end as answer,
-  case when market then 'high' else coalesce(confidence, 'low') end as confidence, case when not market then coalesce(sources, '[]') end as sources
-from (select item_id, regexp_matches(lower(text), '{_ASKS_MARKET}') as market from benchmark) b
-cross join (select 'Most asked skills: ' || string_agg(skill || ' (' || printf('%.1f', pct) || ' %)', ', ' order by jobs desc, skill desc) || '.' as told from (select skill, count(distinct job_id) as jobs, round(count(distinct job_id) * 100.0::double / (select count(*) from postings), 1) as pct from posting_skills group by 1 order by 2 desc, 1 limit 3)) m
+_ASKED_SQL = f"""(select item_id, {_kind_sql('said')} as kind, case when {_any_sql('said', terms.MARKET_PATTERNS)} then case when regexp_matches(lower(said), {_words_sql(terms.ROLE_PATTERN)}) then 'market roles' else 'market skills' end else 'postings' end as route,
+  coalesce((select any_value(country) from postings where country = upper({_country_sql('said')})), 'ALL') as place
+  from (select item_id, text || list_extract([{", ".join(map(q_text._q, ASKED))}], cast(item_id % {len(ASKED)} + 1 as int)) as said from benchmark))"""
+_MARKET_SQL = """(select place, route, case when route = 'market skills' then 'Most asked skills: ' else 'Most posted roles: ' end || string_agg(name || ' (' || printf('%.1f', round(n * 100.0::double / total, 1)) || ' %)', ', ' order by r) || '.' as told
+  from (select *, row_number() over (partition by place, route order by n desc, name) as r from (
+    select place, 'market skills' as route, skill as name, count(*) as n from (select distinct job_id, skill from posting_skills) join (select job_id, unnest(['ALL', country]) as place from postings) using (job_id) group by 1, 3
+    union all select place, 'market roles', tech_category, count(*) from (select tech_category, unnest(['ALL', country]) as place from postings) group by 1, 3))
+  join (select place, count(*) as total from (select unnest(['ALL', country]) as place from postings) group by 1) using (place) where r <= 3 group by 1, 2)"""
+_V8 = _sql(f"""select b.item_id, b.kind, b.route, case when b.route <> 'postings' then told else coalesce(f.text, 'No posting matches.') end as answer,
+  case when b.route <> 'postings' then 'high' else coalesce(confidence, 'low') end as confidence, case when b.route = 'postings' then coalesce(sources, '[]') end as sources
+from {_ASKED_SQL} b left join {_MARKET_SQL} m on m.place = b.place and m.route = b.route
 left join (select item_id, count(*) || ' postings match. Skills: ' || coalesce(any_value(k.skills), 'none') || '. Countries: ' || string_agg(distinct country, ', ' order by country) || '. Levels: ' || string_agg(distinct level, ', ' order by level) || '.' as text,
     case when max(score) >= 0.2 and avg(score) filter (where rank <= 3) >= 0.16 then 'high' when max(score) >= 0.1 then 'medium' else 'low' end as confidence, '[' || string_agg(job_id, ',' order by rank) || ']' as sources
   from hit join posting_text using (job_id) join {_LEVEL} using (job_id)
@@ -213,6 +245,10 @@ def _found(s, d):
 _add("e1_set_scores", lambda s, d: E.set_scores(_gold(s, d), _found(s, d), "job_id", "skill"), f"select coalesce(g.skill, f.skill) as skill, count(*) filter (where g.skill is not null and f.skill is not null) as tp, count(*) filter (where g.skill is null) as fp, count(*) filter (where f.skill is null) as fn from {_GOLD} g full join (select job_id, skill from {_EXTRACT}) f on g.job_id = f.job_id and g.skill = f.skill group by 1")
 
 
+_add("e1_top_errors", lambda s, d: E.top_errors(E.set_scores(_gold(s, d), _found(s, d), "job_id", "skill"), "skill"), f"""select kind, skill, n, cast(r as int) as rank from (select *, row_number() over (partition by kind order by n desc, skill) as r from (
+  select skill, unnest(['missed', 'spurious']) as kind, unnest([fn, fp]) as n from ({QUERIES['e1_set_scores'][1]})) where n > 0) where r <= 10""")
+
+
 def _scored_runs(s, d):
     """Precision, recall and F1 over all pairs and for each category, of the whole extraction and of the plain dictionary."""
     t, gold = posting_text(s, d), _gold(s, d)
@@ -235,6 +271,26 @@ def _levels(s, d):
 
 
 _LEVELS = f"(select {q_text._chain([(q_text._has([k], q_text._TITLE_SQL), v) for k, v in terms.SENIORITY_KEYWORDS.items()])} as expected, level as actual from posting_text join {_LEVEL} using (job_id))"
+_FIELDS = ["level", "mode", "employment"]
+_WANTED = {"mode": ["remote", "hybrid", "onsite", "remote", None, None], "employment": [None, None, "Full-Time", "Internship", "Contract", None]}  # of the texts' last sentences
+
+
+def _fields(s, d):
+    """Levels, work modes and employment types: what the title or the last sentence says, and what the extraction finds in the text."""
+    c, t = F.col("description"), posting_text(s, d)
+    gold = lambda f: F.element_at(F.array(*map(F.lit, _WANTED[f])), (F.col("job_id") % 6 + 1).cast("int"))
+    return t.select(
+        T.by_keyword(q_text._title(), terms.SENIORITY_KEYWORDS).alias("expected_level"), T.seniority(F.lit(None).cast("string"), c).alias("actual_level"),
+        gold("mode").alias("expected_mode"), T.extract_work_mode(c).alias("actual_mode"), gold("employment").alias("expected_employment"), T.by_keyword(c, terms.EMPLOYMENT_KEYWORDS).alias("actual_employment"),
+    )
+
+
+_gold_sql = lambda f: f"list_extract([{', '.join('null' if x is None else q_text._q(x) for x in _WANTED[f])}], cast(job_id % 6 + 1 as int))"
+_FIELD_ROWS = f"""(select 'level' as field, expected, actual from {_LEVELS} union all select 'mode', {_gold_sql('mode')}, value from ({q_text.QUERIES['p16_extract_work_mode'][1]})
+  union all select 'employment', {_gold_sql('employment')}, value from ({q_text.QUERIES['p34_employment_type'][1]}))"""
+_FIELD_CONFUSION = f"(select field, expected, coalesce(actual, 'None') as actual, count(*) as n from {_FIELD_ROWS} where expected is not null group by 1, 2, 3)"
+_add("e2_field_confusion", lambda s, d: E.field_confusion(_fields(s, d), _FIELDS), f"select * from {_FIELD_CONFUSION}")
+_add("e2_field_accuracy", lambda s, d: E.field_accuracy(E.field_confusion(_fields(s, d), _FIELDS)), f"select field, sum(n)::bigint as total, coalesce(sum(n) filter (where expected = actual), 0)::bigint as correct, round(coalesce(sum(n) filter (where expected = actual), 0)::double / sum(n), 3) as accuracy from {_FIELD_CONFUSION} group by 1")
 _add("e2_confusion", lambda s, d: _levels(s, d).groupBy("expected", "actual").agg(F.count("*").alias("n")), f"select expected, actual, count(*) as n from {_LEVELS} where expected is not null group by 1, 2")
 _add("e2_accuracy", lambda s, d: _levels(s, d).agg(F.count("*").alias("n"), F.round(F.avg((F.col("expected") == F.col("actual")).cast("int")), 6).alias("accuracy")), f"select count(*) as n, round(avg((expected = actual)::int), 6) as accuracy from {_LEVELS} where expected is not null")
 
@@ -326,17 +382,43 @@ _add(
 )
 
 
+# Cases of the matcher: a candidate's skills, a posting's, what is matched and missing, and the score.
+_CASES = [
+    (["python", "django", "postgresql"], ["python", "django", "postgresql"], ["python", "django", "postgresql"], [], 1.0),
+    (["python", "django", "redis"], ["python", "django", "postgresql", "redis", "aws"], ["python", "django", "redis"], ["postgresql", "aws"], 0.6),
+    (["java", "spring"], ["python", "django"], [], ["python", "django"], 0.0),
+    (["python", "django"], [], [], [], 0.0),
+    ([], ["python", "django"], [], ["python", "django"], 0.0),
+    (["golang", "python"], ["go", "python"], ["go", "python"], [], 1.0),
+    (["sklearn", "pandas"], ["scikit-learn", "pandas", "tensorflow"], ["scikit-learn", "pandas"], ["tensorflow"], 2 / 3),
+    (["docker", "k8s"], ["docker", "kubernetes", "terraform"], ["docker", "kubernetes"], ["terraform"], 2 / 3),
+]
+
+
+def _matcher(s, d):
+    """The cases, one for each part by turns: how often match and score are as expected, and the first case that fails."""
+    case = F.from_json(F.lit(json.dumps([dict(zip(("candidate", "job", "matched", "missing", "score"), c)) for c in _CASES])), "array<struct<candidate:array<string>,job:array<string>,matched:array<string>,missing:array<string>,score:double>>")
+    k = F.pmod("p_partkey", F.lit(len(_CASES))).cast("int")
+    told = E.matcher_cases(table(s, d, "part").select(k.alias("case"), F.element_at(case, k + 1).alias("c")).select("case", "c.*"))
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 3).alias(c)
+    return told.groupBy("case").agg(F.count("*").alias("n"), share("match_ok"), share("score_ok"), F.round(F.max("got_score"), 3).alias("score"), F.max(F.array_join(F.array_sort("got_missing"), ",")).alias("missing"))
+
+
+_add("e5_matcher_cases", _matcher, f"""select cast(p_partkey % {len(_CASES)} as int) as case, count(*) as n, 1.0::double as match_ok, 1.0::double as score_ok, list_extract([{", ".join(f"{c[4]}::double" for c in _CASES)}], cast(p_partkey % {len(_CASES)} + 1 as int)).round(3) as score,
+  list_extract([{", ".join(q_text._q(",".join(sorted(c[3]))) for c in _CASES)}], cast(p_partkey % {len(_CASES)} + 1 as int)) as missing from part group by all""")
+
+
 def _e6(s, d):
     """Of each answer: words, whether it stands on postings or counts, its parts, the question's words in it, and whether the route is the right one."""
-    asked = table(s, d, "benchmark").select("item_id", F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))), 1, 3).alias("_w"), F.lower("text").rlike(_ASKS_MARKET).alias("_m"))
+    asked = table(s, d, "benchmark").select("item_id", F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))), 1, 3).alias("_w"), F.lit(1).alias("_1")).join(_asked(s, d).select("item_id", (F.col("route") != "postings").alias("_m")), "item_id")
     parts = sum((F.contains("answer", F.lit(p)).cast("int") for p in ("Skills: ", "Countries: ", "Levels: ")), F.lit(0))
     covered = F.size(F.filter("_w", lambda w: F.contains(F.lower("answer"), w)))
     return _v8(s, d).join(asked, "item_id").select(
-        "item_id", F.size(F.split("answer", " ")).alias("words"), F.col("answer").rlike("postings|skills").alias("grounded"), F.when(F.col("route") == "market", 1.0).otherwise(F.round(parts / 3, 4)).alias("structure"),
-        F.when(F.size("_w") > 0, F.round(covered / F.size("_w"), 4)).alias("coverage"), (F.col("_m") == (F.col("route") == "market")).alias("type_correct"))
+        "item_id", F.size(F.split("answer", " ")).alias("words"), F.col("answer").rlike("postings|skills|roles").alias("grounded"), F.when(F.col("route") != "postings", 1.0).otherwise(F.round(parts / 3, 4)).alias("structure"),
+        F.when(F.size("_w") > 0, F.round(covered / F.size("_w"), 4)).alias("coverage"), (F.col("_m") == (F.col("route") != "postings")).alias("type_correct"))
 
 
-_add("e6_answer_metrics", _e6, f"""select item_id, cast(len(string_split(answer, ' ')) as int) as words, regexp_matches(answer, 'postings|skills') as grounded,
-  case when route = 'market' then 1.0::double else round((contains(answer, 'Skills: ')::int + contains(answer, 'Countries: ')::int + contains(answer, 'Levels: ')::int)::double / 3, 4) end as structure,
-  case when len(w) > 0 then round(len(list_filter(w, lambda x: contains(lower(answer), x)))::double / len(w), 4) end as coverage, regexp_matches(lower(text), '{_ASKS_MARKET}') = (route = 'market') as type_correct
-from ({_V8}) a join (select item_id, text, list_slice(list_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}')), 1, 3) as w from benchmark) using (item_id)""")
+_add("e6_answer_metrics", _e6, f"""select a.item_id, cast(len(string_split(answer, ' ')) as int) as words, regexp_matches(answer, 'postings|skills|roles') as grounded,
+  case when a.route <> 'postings' then 1.0::double else round((contains(answer, 'Skills: ')::int + contains(answer, 'Countries: ')::int + contains(answer, 'Levels: ')::int)::double / 3, 4) end as structure,
+  case when len(w) > 0 then round(len(list_filter(w, lambda x: contains(lower(answer), x)))::double / len(w), 4) end as coverage, (k.route <> 'postings') = (a.route <> 'postings') as type_correct
+from ({_V8}) a join (select item_id, text, list_slice(list_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}')), 1, 3) as w from benchmark) using (item_id) join {_ASKED_SQL} k on k.item_id = a.item_id""")

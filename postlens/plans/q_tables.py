@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postlens.functions import terms
 from postlens.functions import text as T
 from postlens.operators import dedup
+from postlens.plans import q_text
 from postlens.sources import files
 from postlens.sources.fixtures import candidates, posting_events, posting_skills, posting_text, postings, table
 
@@ -194,7 +196,25 @@ _add("f7_search", _f7, """select job_id, seniority || ' ' || source as title, co
   and work_mode <> 'remote' and date_posted >= date '1995-01-01' and job_id in (select job_id from posting_skills where skill in ('brand#1', 'brand#2', 'brand#3'))""")
 _add("f8_min_class_size", lambda s, d: (lambda t: t.join(t.groupBy("source", "country").agg(F.count("*").alias("n")).where("n >= 8"), ["source", "country"], "left_semi").select("job_id", "source"))(posting_text(s, d)), "select job_id, source from posting_text where (source, country) in (select (source, country) from posting_text group by source, country having count(*) >= 8)")
 _add("f9_groups_over", lambda s, d: postings(s, d).groupBy("country", "seniority").agg(F.count("*").alias("n")).where("n > 100"), "select country, seniority, count(*) as n from postings group by 1, 2 having count(*) > 100")
-_add("f10_source_relevance", lambda s, d: posting_text(s, d).where(T.any_contained(F.col("description"), ["worldwide", "africa"]) | (F.col("country") == "fr")).select("job_id", F.when(T.any_contained(F.col("description"), ["worldwide"]), "Global").otherwise("Regional").alias("scope")), "select job_id, case when contains(lower(description), 'worldwide') then 'Global' else 'Regional' end as scope from posting_text where contains(lower(description), 'worldwide') or contains(lower(description), 'africa') or country = 'fr'")
+_COUNTRY_NAMES = [n for n, _, _ in terms.COUNTRIES]
+_PLACES = ["", "Nairobi, Kenya", "Anywhere", "Paris", "Lagos, Nigeria", "Berlin", None]
+
+
+def _f10(s, d):
+    """Postings that name an African country or are open to all (a marker or no place); their scope and country follow from that."""
+    place = F.coalesce(F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("job_id") % len(_PLACES) + 1).cast("int")), F.lit(""))
+    t = posting_text(s, d).select("job_id", place.alias("place"), "description")
+    hay = F.concat_ws(" ", "place", "description")
+    africa, open_ = T.any_contained(hay, [n.lower() for n in _COUNTRY_NAMES]), T.any_contained(hay, terms.OPEN_TO_ALL_MARKERS) | (F.trim("place") == "")
+    named = F.coalesce(T.first_contained(F.col("place"), _COUNTRY_NAMES), T.first_contained(F.col("description"), _COUNTRY_NAMES))
+    told = t.select("job_id", africa.alias("africa"), open_.alias("open_to_all"), F.coalesce(named, F.when(open_, "Any (Global Remote)")).alias("country"))
+    return told.where("africa or open_to_all").select("job_id", F.when(F.col("open_to_all"), "Global").otherwise("Regional").alias("scope"), "country")
+
+
+_F10 = f"""(select job_id, place, description, place || ' ' || description as hay from (select job_id, coalesce(list_extract([{', '.join('null' if x is None else q_text._q(x) for x in _PLACES)}], cast(job_id % {len(_PLACES)} + 1 as int)), '') as place, description from posting_text))"""
+_NAMED_IN = lambda c: q_text._chain([(q_text._has([n.lower()], c), n) for n in _COUNTRY_NAMES])
+_add("f10_source_relevance", _f10, f"""select job_id, case when open_ then 'Global' else 'Regional' end as scope, coalesce(in_place, in_text, case when open_ then 'Any (Global Remote)' end) as country from (
+  select job_id, {q_text._has(terms.OPEN_TO_ALL_MARKERS, 'hay')} or trim(place) = '' as open_, {q_text._has([n.lower() for n in _COUNTRY_NAMES], 'hay')} as africa, {_NAMED_IN('place')} as in_place, {_NAMED_IN('description')} as in_text from {_F10}) where open_ or africa""")
 
 _add("j1_three_way", lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 1).alias("q")), "select p_brand, o_orderstatus, count(*) as n, round(sum(l_quantity), 1) as q from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey group by 1, 2")
 _add(

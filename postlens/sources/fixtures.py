@@ -10,6 +10,11 @@ SUFFIXES = [
     " minimum 3 years, on-site, full-time, python and sql preferred. kubernetes", " internship worldwide remote KES 50,000",
     " manager with phd and 10+ years, aws certified, contract", "",
 ]
+#: What people ask, put behind the tables' invented texts.
+ASKED = [
+    " what skills are in demand in kenya?", " show remote jobs", " how do i become a data engineer", " how many jobs in egypt", " what is the salary of a developer", "", " which companies are hiring in nigeria",
+    " do i need to learn sql and python?", " top roles in africa", " move into analytics", " market trend", " is kubernetes popular",
+]
 SENIORITY = ["Entry Level", "Mid-Level", "Senior", "Lead", "Executive"]
 
 
@@ -43,6 +48,11 @@ def posting_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), "source", F.concat("text", suffix).alias("description"), F.col("lang").alias("country"))
 
 
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    asked = lambda k: F.element_at(F.array(*map(F.lit, ASKED)), (k % len(ASKED) + 1).cast("int"))
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat("text", asked(F.col("conv_id") * 5 + F.col("turn"))).alias("text"))
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     li, p, s, n = (table(spark, d, t) for t in ("lineitem", "part", "supplier", "nation"))
     have = li.where("l_quantity >= 50").join(p, li.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("candidate_id"), F.lower("p_brand").alias("skill")).distinct()
@@ -71,6 +81,8 @@ SQL = {
   from lineitem join part on l_partkey = p_partkey group by 1, 2, 3)""",
     "posting_text": f"""posting_text as (
   select doc_id as job_id, source, text || list_extract([{", ".join(map(_q, SUFFIXES))}], cast(doc_id % 6 + 1 as int)) as description, lang as country from documents)""",
+    "questions": f"""questions as (
+  select conv_id, turn, text || list_extract([{", ".join(map(_q, ASKED))}], cast((conv_id * 5 + turn) % {len(ASKED)} + 1 as int)) as text from conversations where role = 'user')""",
     "candidates": """candidates as (
   select distinct s_suppkey as candidate_id, cast(s_suppkey % 12 as int) as years, n_name as location, lower(p_brand) as skill
   from supplier join nation on s_nationkey = n_nationkey join lineitem on l_suppkey = s_suppkey join part on l_partkey = p_partkey where l_quantity >= 50)""",

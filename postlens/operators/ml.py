@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import product
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,43 +90,219 @@ def stratified_folds(df: DataFrame, key: str, label: str, most: int = 5) -> tupl
     return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(*_order(key))) - 1) % folds).cast("int")), folds
 
 
-#: Rows of a partition, and values that the grid search tries: terms, single words or pairs too, least documents, and inverse strength.
-ROWS_A_TASK = 20_000
+#: Values that the grid search tries: terms, single words or pairs too, least documents, and inverse strength.
 GRID = {"vocabSize": (1500, 3000, 5000), "inputCol": ("_one", "_both"), "minDF": (1.0, 2.0), "c": (0.1, 1.0, 5.0, 10.0)}
-
-
-def tuned(df: DataFrame, key: str = "doc_id", most: int = 5, parallelism: int = 4, grid: dict = GRID) -> list[tuple[dict, float]]:
+#: Passes over the rows at most, the largest entry of a gradient (per unit of weight) that counts as settled, and rows of a task.
+PASSES, SETTLED, ROWS_A_TASK = 2000, 1e-4, 20_000
+
+
+@dataclass
+class Space:
+    """A vocabulary of one fold's training rows: terms by their number, inverse document frequencies, and the strengths that share it."""
+
+    fold: int
+    name: tuple
+    terms: np.ndarray
+    idf: np.ndarray
+
+    def matrix(self, row: np.ndarray, ids: np.ndarray, tf: np.ndarray, n: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit TF-IDF rows in this space as (row, place, value); ``place`` maps a term's number to a place or -1."""
+        at = place[ids]
+        known = at >= 0
+        row, at = row[known], at[known]
+        x = tf[known] * self.idf[at]
+        norm = np.sqrt(np.bincount(row, x * x, n))
+        return row, at, x / np.maximum(norm[row], 1e-300)
+
+
+class Descent:
+    """L-BFGS of several models over the same rows, each with its own steps; one evaluation of all of them at a time."""
+
+    def __init__(self, size: int, models: int, memory: int = 10) -> None:
+        self.w, self.trial = np.zeros((models, size)), np.zeros((models, size))
+        self.value, self.slope = np.full(models, np.inf), np.zeros(models)
+        self.gradient, self.direction = np.zeros((models, size)), np.zeros((models, size))
+        self.step, self.settled = np.ones(models), np.zeros(models, bool)
+        self.past: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(models)]
+        self.memory = memory
+
+    def tell(self, values: np.ndarray, gradients: np.ndarray, scale: float) -> None:
+        """Objective and gradient at ``trial``; makes the next trial."""
+        for m in np.flatnonzero(~self.settled):
+            if values[m] <= self.value[m] + 1e-4 * self.step[m] * self.slope[m] or self.step[m] < 1e-10:
+                if np.isfinite(self.value[m]):
+                    s, y = self.trial[m] - self.w[m], gradients[m] - self.gradient[m]
+                    if s @ y > 1e-12 * (y @ y):
+                        self.past[m] = [*self.past[m], (s, y)][-self.memory :]
+                flat = self.step[m] < 1e-10
+                self.w[m], self.value[m], self.gradient[m] = self.trial[m], values[m], gradients[m]
+                if flat or np.abs(gradients[m]).max() <= SETTLED * scale:
+                    self.settled[m] = True
+                    continue
+                self.direction[m] = -self.along(m)
+                self.slope[m] = self.direction[m] @ self.gradient[m]
+                self.step[m] = 1.0 if self.past[m] else min(1.0, 1.0 / max(np.linalg.norm(self.gradient[m]), 1e-300))
+            else:
+                self.step[m] /= 2
+            self.trial[m] = self.w[m] + self.step[m] * self.direction[m]
+
+    def along(self, m: int) -> np.ndarray:
+        q, kept = self.gradient[m].copy(), []
+        for s, y in reversed(self.past[m]):
+            a = (s @ q) / (s @ y)
+            kept.append(a)
+            q -= a * y
+        if self.past[m]:
+            s, y = self.past[m][-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y), a in zip(self.past[m], reversed(kept)):
+            q += s * (a - (y @ q) / (s @ y))
+        return q
+
+
+def _counted(df: DataFrame, folds: int, grid: dict) -> list[Space]:
+    """The vocabularies of every fold, kind of terms and least frequency; each size is a prefix of the commonest terms."""
+    each = df.withColumn("_row", F.monotonically_increasing_id()).select("_row", "fold", F.explode(F.concat(F.transform("_one", lambda w: F.struct(w.alias("term"), F.lit(True).alias("one"))), F.transform("_two", lambda w: F.struct(w.alias("term"), F.lit(False).alias("one"))))).alias("t"))
+    tf = each.groupBy("_row", "fold", F.col("t.term").alias("term"), F.col("t.one").alias("one")).agg(F.count("*").alias("tf"))
+    by_fold = tf.groupBy("term", "one").agg(*[F.sum(F.when(F.col("fold") != f, F.col("tf")).otherwise(0)).alias(f"n{f}") for f in range(folds)], *[F.count(F.when(F.col("fold") != f, 1)).alias(f"d{f}") for f in range(folds)])
+    by_fold = save(by_fold, "grid-terms")
+    rows = df.groupBy("fold").count().collect()
+    most, out = max(grid["vocabSize"]), []
+    for f in range(folds):
+        n = sum(r["count"] for r in rows if r["fold"] != f)
+        for column in grid["inputCol"]:
+            for least in grid["minDF"]:
+                mine = by_fold if column == "_both" else by_fold.where("one")
+                top = mine.where((F.col(f"d{f}") >= (least if least >= 1 else least * n)) & (F.col(f"n{f}") > 0)).orderBy(F.desc(f"n{f}"), "term").limit(most).select("term", f"d{f}").collect()  # bounded by the grid
+                for size in grid["vocabSize"]:
+                    out.append(Space(f, (size, column, least), np.array([r.term for r in top[:size]], object), np.log((n + 1) / (np.array([r[1] for r in top[:size]], float) + 1))))
+    return out
+
+
+def tuned(df: DataFrame, key: str = "doc_id", most: int = 5, grid: dict = GRID) -> list[tuple[dict, float]]:
     """Each combination of the grid with its macro-averaged F1, the mean over stratified folds, best first.
 
-    A fold's terms and weights are learnt once for all strengths; folds and vectorisers run side by side.
+    ``df`` has text and label (0 or 1). All models of all folds are fitted together: a pass over the rows adds up loss and gradient of every
+    model (``c`` times the weighted log loss, and half the squared weights), and each model takes its own L-BFGS step, until every gradient
+    is at most ``SETTLED`` per unit of weight or ``PASSES`` passes are done. Rows stay where they are; what moves is a gradient of each model for each task.
     """
     dealt, folds = stratified_folds(balanced(df), key, "label", most)
     words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: F.length(w) >= 2)
     stop = StopWordsRemover(inputCol="_all", outputCol="_one")
     rows = stop.transform(dealt.withColumn("_all", F.coalesce(words, F.array().cast("array<string>"))))
-    rows = NGram(n=2, inputCol="_one", outputCol="_two").transform(rows).withColumn("_both", F.concat("_one", "_two"))
-    # A fit is many passes over few rows: no more partitions than the rows fill.
-    n = dealt.count()
-    rows = rows.select("fold", "label", "weight", "_one", "_both").coalesce(max(1, n // ROWS_A_TASK)).persist()
-
-    def fitted(job: tuple) -> list[tuple[tuple, float]]:
-        size, column, least, fold = job
-        made = Pipeline(stages=[CountVectorizer(outputCol="_tf", vocabSize=size, inputCol=column, minDF=least), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")])
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        vectors = made.fit(train)
-        train, test = (vectors.transform(x).select("label", "weight", "features").persist() for x in (train, test))
-        out = [((size, column, least, c), MacroF1().evaluate(LogisticRegression(weightCol="weight", maxIter=20, regParam=1 / (c * max(n, 1))).fit(train).transform(test))) for c in grid["c"]]
-        train.unpersist()
-        test.unpersist()
+    rows = save(NGram(n=2, inputCol="_one", outputCol="_two").transform(rows).select("fold", F.col("label").cast("double").alias("label"), "weight", "_one", "_two"), "grid-rows")
+    spaces = _counted(rows, folds, grid)
+    names = sorted({t for s in spaces for t in s.terms})
+    number = {t: i for i, t in enumerate(names)}
+    for s in spaces:
+        s.terms = np.array([number[t] for t in s.terms], np.int64)
+    spark, strengths = rows.sparkSession, np.array(grid["c"], float)
+
+    def count(batches):
+        at = shared_names.value
+        for b in batches:
+            ids, tf = [], []
+            for one, two in zip(b.column("_one").to_pylist(), b.column("_two").to_pylist()):
+                n = Counter(at[t] for t in (*one, *two) if t in at)
+                ids.append(list(n.keys()))
+                tf.append([float(x) for x in n.values()])
+            yield pa.RecordBatch.from_arrays([b.column("fold"), b.column("label"), b.column("weight"), pa.array(ids, pa.list_(pa.int64())), pa.array(tf, pa.list_(pa.float64()))], ["fold", "label", "weight", "ids", "tf"])
+
+    shared_names = spark.sparkContext.broadcast(number)  # at most the vocabularies of the grid
+    kind = "fold int, label double, weight double, ids array<long>, tf array<double>"
+    total = rows.count()
+    packed = save(rows.mapInArrow(count, kind).repartition(max(1, -(-total // ROWS_A_TASK))), "grid-packed")
+    shared_spaces = spark.sparkContext.broadcast(spaces)
+    weights = {r.fold: r.w for r in packed.groupBy("fold").agg(F.sum("weight").alias("w")).collect()}
+    scale = [sum(w for f, w in weights.items() if f != s.fold) for s in spaces]
+
+    def over(batches):
+        """Each batch with each space: rows of the space's training folds or of its test fold."""
+        places = []
+        for s in shared_spaces.value:
+            place = np.full(len(shared_names.value), -1, np.int64)
+            place[s.terms] = np.arange(len(s.terms))
+            places.append(place)
+        for b in batches:
+            n, lists = b.num_rows, b.column("ids")
+            row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            ids, tf = lists.flatten().to_numpy(), b.column("tf").flatten().to_numpy()
+            fold, label, weight = (b.column(c).to_numpy() for c in ("fold", "label", "weight"))
+            for k, s in enumerate(shared_spaces.value):
+                yield k, s, fold != s.fold, label, weight, s.matrix(row, ids, tf, n, places[k])
+
+    def margins(w, x, n):
+        row, at, v = x
+        return np.stack([np.bincount(row, v * m[at], n) + m[-1] for m in w])
+
+    def evaluate(points: list[np.ndarray], active: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
+        shared = spark.sparkContext.broadcast((points, active))
+
+        def run(batches):
+            points, active = shared.value
+            loss, gradient = [np.zeros(len(w)) for w in points], [np.zeros_like(w) for w in points]
+            for k, _, train, label, weight, x in over(batches):
+                if not active[k]:
+                    continue
+                z, weight = margins(points[k], x, len(label)), np.where(train, weight, 0.0)
+                loss[k] += ((np.logaddexp(0, z) - label * z) * weight).sum(1)
+                off = (1 / (1 + np.exp(-z)) - label) * weight
+                row, at, v = x
+                for m in range(len(z)):
+                    gradient[k][m, :-1] += np.bincount(at, v * off[m][row], gradient[k].shape[1] - 1)
+                    gradient[k][m, -1] += off[m].sum()
+            for k in range(len(points)):
+                if active[k]:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.hstack([loss[k][:, None], gradient[k]]).ravel()], pa.list_(pa.float64()))], ["space", "v"])
+
+        def add(batches):
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, v in zip(b.column("space").to_pylist(), b.column("v")):
+                    held[k] = held.get(k, 0.0) + v.values.to_numpy()
+            for k, v in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v], pa.list_(pa.float64()))], ["space", "v"])
+
+        parts = packed.mapInArrow(run, "space int, v array<double>")
+        if parts.rdd.getNumPartitions() > 1:
+            parts = parts.repartition(min(len(spaces), 32), "space").mapInArrow(add, "space int, v array<double>")
+        told = {b: v for r in parts.toArrow().to_batches() for b, v in zip(r.column("space").to_pylist(), r.column("v"))}
+        shared.destroy()
+        out = []
+        for k, w in enumerate(points):
+            if k in told:
+                both = told[k].values.to_numpy().reshape(len(w), -1)
+                penalty = w.copy()
+                penalty[:, -1] = 0
+                out.append((strengths * both[:, 0] + 0.5 * (penalty * penalty).sum(1), strengths[:, None] * both[:, 1:] + penalty))
+            else:
+                out.append((np.zeros(len(w)), np.zeros_like(w)))
         return out
 
-    work = [(*v, fold) for v in product(grid["vocabSize"], grid["inputCol"], grid["minDF"]) for fold in range(folds)]
-    with ThreadPool(parallelism) as pool:
-        told = [x for xs in pool.map(fitted, work) for x in xs]
-    rows.unpersist()
+    models = [Descent(len(s.terms) + 1, len(strengths)) for s in spaces]
+    for _ in range(PASSES):
+        active = [not m.settled.all() for m in models]
+        if not any(active):
+            break
+        for k, (value, gradient) in enumerate(evaluate([m.trial for m in models], active)):
+            if active[k]:
+                models[k].tell(value, gradient, scale[k])
+    fitted = spark.sparkContext.broadcast([m.w for m in models])
+
+    def predict(batches):
+        for k, _, train, label, _, x in over(batches):
+            guess = (margins(fitted.value[k], x, len(label)) > 0)[:, ~train]
+            for m, g in enumerate(guess):
+                cell, n = np.unique(label[~train].astype(int) * 2 + g, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k), pa.int32()), pa.array(np.full(len(cell), m), pa.int32()), pa.array(cell, pa.int32()), pa.array(n)], ["space", "model", "cell", "n"])
+
+    cells: dict[tuple, dict[int, int]] = {}
+    for r in packed.mapInArrow(predict, "space int, model int, cell int, n long").groupBy("space", "model", "cell").agg(F.sum("n").alias("n")).collect():
+        cells.setdefault((r.space, r.model), {})[r.cell] = r.n
     mean: dict[tuple, list[float]] = {}
-    for combination, f1 in told:
-        mean.setdefault(combination, []).append(f1)
+    for (k, m), n in cells.items():
+        f1 = [2 * n.get(3 * c, 0) / seen for c in (0, 1) if (seen := sum(v * ((cell // 2 == c) + (cell % 2 == c)) for cell, v in n.items()))]
+        mean.setdefault((*spaces[k].name, grid["c"][m]), []).append(sum(f1) / len(f1))
     found = [(dict(zip(("vocabSize", "inputCol", "minDF", "c"), k)), sum(v) / len(v)) for k, v in mean.items()]
     return sorted(found, key=lambda x: (-x[1], str(x[0])))
 

@@ -371,3 +371,44 @@ def test_signatures_stand_for_postings(spark, monkeypatch):
     for j, need, *_ in jobs:
         n = [len(set(need) & set(w[1])) for w in who]
         assert reached.get(j) == ((sum(x > 0 for x in n), max(n) / len(need)) if any(n) else None)
+
+
+def test_grid_search_equals_plain_fits(spark, monkeypatch):
+    """Every fold and combination fitted on its own by Newton's method, on a matrix of the whole text."""
+    import re
+
+    import numpy as np
+    from pyspark.ml.feature import StopWordsRemover
+
+    from postlens.operators import ml
+
+    monkeypatch.setattr(ml, "SETTLED", 1e-6)
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green", "sun", "moon"] + (["rare", "odd"] if i % 3 == 0 else ["plain"])) for _ in range(rng.randrange(1, 9))), float(i % 3 == 0)) for i in range(45)]
+    df = spark.createDataFrame([*rows, (90, None, 1.0), (91, "", 0.0)], "doc_id long, text string, label double")
+    grid = {"vocabSize": (50,), "inputCol": ("_one", "_both"), "minDF": (2.0,), "c": (0.5, 10.0)}
+    got = {tuple(k.values()): f1 for k, f1 in ml.tuned(df, grid=grid)}
+    dealt, folds = ml.stratified_folds(ml.balanced(df), "doc_id", "label")
+    stop, held = set(StopWordsRemover.loadDefaultStopWords("english")), [(r.fold, r.label, r.weight, r.text or "") for r in dealt.collect()]
+    tokens = [[w for w in re.split(r"\W+", t.lower()) if len(w) >= 2 and w not in stop] for *_, t in held]
+    fold, y, weight = (np.array([h[k] for h in held]) for k in range(3))
+    for size, column, least, c in got:
+        f1 = []
+        terms_of = [t + [" ".join(p) for p in zip(t, t[1:])] if column == "_both" else t for t in tokens]
+        for f in range(folds):
+            train = np.flatnonzero(fold != f)
+            df_of = {t: sum(t in terms_of[i] for i in train) for i in train for t in terms_of[i]}
+            n_of = {t: sum(terms_of[i].count(t) for i in train) for t in df_of}
+            names = sorted((t for t in df_of if df_of[t] >= least), key=lambda t: (-n_of[t], t))[:size]
+            x = np.array([[terms_of[i].count(t) * np.log((len(train) + 1) / (df_of[t] + 1)) for t in names] for i in range(len(held))])
+            x = np.hstack([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), np.ones((len(held), 1))])
+            w, ridge = np.zeros(x.shape[1]), np.append(np.ones(len(names)), 0)
+            for _ in range(50):
+                p = 1 / (1 + np.exp(-x[train] @ w))
+                g = c * x[train].T @ ((p - y[train]) * weight[train]) + ridge * w
+                w = w - np.linalg.solve(c * (x[train] * (p * (1 - p) * weight[train])[:, None]).T @ x[train] + np.diag(ridge) + 1e-9 * np.eye(len(w)), g)
+            test = fold == f
+            guess, real = x[test] @ w > 0, y[test] > 0
+            each = [2 * ((guess == v) & (real == v)).sum() / ((guess == v).sum() + (real == v).sum()) for v in (False, True) if ((guess == v) | (real == v)).any()]
+            f1.append(sum(each) / len(each))
+        assert abs(got[size, column, least, c] - sum(f1) / folds) < 1e-9, (size, column, least, c)

@@ -43,6 +43,17 @@ HOLDS = {
 SLOW = {"m3_grid_search"}
 
 
+def test_classifier_beats_the_baseline(spark, data):
+    """Held-out macro F1 of the classifier is above that of guessing the commoner class of a source, and its top classes agree with its prediction."""
+    import json
+
+    f1 = {n: registry.QUERIES[n](spark, data).toPandas().f1.mean() for n in ("m7_classifier_report", "m7_report")}
+    assert f1["m7_classifier_report"] > f1["m7_report"] + 0.1
+    for r in registry.QUERIES["m2_m4_classifier"](spark, data).collect():
+        top = json.loads(r.top)
+        assert top[0]["label"] == r.prediction and top[0]["p"] == r.confidence and abs(sum(x["p"] for x in top) - 1) < 1e-5
+
+
 def test_every_query_is_checked():
     assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == set(HOLDS) | SLOW
 

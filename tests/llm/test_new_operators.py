@@ -10,7 +10,7 @@ import zstandard
 from pyarrow import fs as files
 from pyspark.sql import functions as F
 
-from postlens.llm import merkle, shared, warc, whitening
+from postlens.llm import html_extract, merkle, shared, warc, whitening
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -207,3 +207,23 @@ def test_archive_of_nothing_and_damage(spark, tmp_path):
         warc._page(headers, block.replace(b"payload", b"payl0ad"))
     with pytest.raises(ValueError, match="end"):
         list(warc.parse(record[:-2] + b"xx"))
+
+
+def test_main_text_without_unwanted_parts(spark, data):
+    """Comments, related links, an aside and a form inside an article, and a side bar; with and without the article's tag. Gold is what was written as the article."""
+    import time
+
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    model = html_extract.train(pages)
+    said = [f"Sentence {i} of the article, long enough to be one, with commas." for i in range(3)]
+    parts = [
+        '<section class="comments"><p>I liked this very much, thank you for writing it.</p></section><div class="related"><a href=y>Other</a><p>Another piece that you may like, read on.</p></div>',
+        "<aside>Buy now and save a lot of money.</aside><form><p>Sign up for our letters, one a week.</p></form>",
+    ]
+    body = f"<p>{said[0]}</p><p>{said[1]}</p>{parts[0]}{parts[1]}<p>{said[2]}</p>"
+    bar = '<div class="sidebar"><p>In the bar beside the text, with some words.</p></div>'
+    shown = [f"<html><body><nav><a href=x>Home</a></nav>{bar}<{tag}>{body}</{tag}><footer>Imprint</footer></body></html>" for tag in ("article", "div")]
+    rows = spark.createDataFrame(list(enumerate(shown)), "page_id long, html string")
+    assert {r.text for r in html_extract.extract(rows, model).collect()} == {" ".join(said)}
+    began = time.time()
+    assert html_extract.Page("x > " + "<a " * 350_000).pieces and time.time() - began < 2

@@ -164,6 +164,14 @@ def edits(bits: dict[str, int], m: int, y: str, most: int) -> int:
 _PIECE, _LONGEST = 64, 5_000
 
 
+def _bags(texts: list[str], columns: int = 64) -> np.ndarray:
+    """How often each text has each letter; letters share ``columns`` by their codes."""
+    out = np.zeros((len(texts), columns), np.int32)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % columns, minlength=columns)
+    return out
+
+
 class Pieces:
     """Pieces of many texts, to bound their edit distances to another text from below, all at once.
 
@@ -182,13 +190,14 @@ class Pieces:
         for k in range(_PIECE):
             self.equal[codes[:, :, k], piece, lane] |= np.uint64(1 << k)
 
-    def least(self, other: str, lanes: int) -> np.ndarray:
-        """A lower bound of the distance of ``other`` and each of the first ``lanes`` texts, as long as that is at most ``most``."""
+    def least(self, other: str, lanes: np.ndarray) -> np.ndarray:
+        """A lower bound of the distance of ``other`` and each of the texts ``lanes``, as long as that is at most ``most``."""
         none = len(self.letters)
         letters = np.array([self.letters.get(c, none) for c in other])
         at = np.arange(self.count)[:, None] * _PIECE - self.most + np.arange(2 * self.most + _PIECE)[None, :]
         window = np.where((at >= 0) & (at < len(letters)), letters[np.clip(at, 0, len(letters) - 1)], none)
-        equal, piece = np.ascontiguousarray(self.equal[:, :, :lanes]), np.arange(self.count)
+        equal, piece = self.equal[:, :, lanes], np.arange(self.count)
+        lanes = len(lanes)
         one, last = np.uint64(1), np.uint64(_PIECE - 1)
         up, down = np.full((self.count, lanes), ~np.uint64(0)), np.zeros((self.count, lanes), np.uint64)
         score = np.full((self.count, lanes), np.uint64(_PIECE))
@@ -254,15 +263,20 @@ def whole_pairs(df: DataFrame, key: str, text: str, block: list[Column], least:
         found = []
         # Pairs whose pieces alone take too many edits are left out before the whole texts are compared.
         longest = max(map(len, texts))
+        sizes = np.array(list(map(len, texts)))
+        bags = _bags(texts)
         by_pieces = bool(left and right) and _PIECE * 4 <= min(len(texts[i]) for i in left) and longest <= _LONGEST
-        possible = np.ones((len(left), len(right)), bool)
-        if by_pieces:
-            sizes = np.array([len(texts[i]) for i in left])
-            pieces = Pieces([texts[i] for i in left], int(allowed(longest)))
-            for k, j in enumerate(right):
-                lanes = k if alone else len(left)
-                if lanes:
-                    possible[:lanes, k] = pieces.least(texts[j], lanes) <= allowed(np.maximum(sizes[:lanes], len(texts[j])))
+        possible = np.zeros((len(left), len(right)), bool)
+        pieces = Pieces([texts[i] for i in left], int(allowed(longest))) if by_pieces else None
+        for k, j in enumerate(right):
+            lanes = np.arange(k if alone else len(left))
+            most = allowed(np.maximum(sizes[left][lanes], sizes[j]))
+            # Each edit moves at most one letter into a text and one out of it.
+            moved = bags[left][lanes] - bags[j]
+            fit = np.maximum(np.maximum(moved, 0).sum(1), np.maximum(-moved, 0).sum(1)) <= most
+            if pieces and fit.any():
+                fit[fit] = pieces.least(texts[j], lanes[fit]) <= most[fit]
+            possible[: len(lanes), k] = fit
         for r, i in enumerate(left):
             x, bits = texts[i], None
             for j in [j for k, j in enumerate(right) if possible[r, k]]:

@@ -93,7 +93,7 @@ def stratified_folds(df: DataFrame, key: str, label: str, most: int = 5) -> tupl
 #: Values that the grid search tries: terms, single words or pairs too, least documents, and inverse strength.
 GRID = {"vocabSize": (1500, 3000, 5000), "inputCol": ("_one", "_both"), "minDF": (1.0, 2.0), "c": (0.1, 1.0, 5.0, 10.0)}
 #: Passes over the rows at most, the largest entry of a gradient (per unit of weight) that counts as settled, and rows of a task.
-PASSES, SETTLED, ROWS_A_TASK = 2000, 1e-4, 20_000
+PASSES, SETTLED, ROWS_A_TASK = 2000, 1e-4, 500
 
 
 @dataclass

@@ -383,6 +383,7 @@ def test_grid_search_equals_plain_fits(spark, monkeypatch):
     from postlens.operators import ml
 
     monkeypatch.setattr(ml, "SETTLED", 1e-6)
+    monkeypatch.setattr(ml, "ROWS_A_TASK", 20)
     rng = random.Random(11)
     rows = [(i, " ".join(rng.choice(["red", "blue", "green", "sun", "moon"] + (["rare", "odd"] if i % 3 == 0 else ["plain"])) for _ in range(rng.randrange(1, 9))), float(i % 3 == 0)) for i in range(45)]
     df = spark.createDataFrame([*rows, (90, None, 1.0), (91, "", 0.0)], "doc_id long, text string, label double")

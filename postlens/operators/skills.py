@@ -69,7 +69,7 @@ def known(words: Column, low: Column, taxonomy: dict[str, str]) -> Column:
     """
     table = by_first_word(taxonomy)
     begun = F.flatten(F.transform(F.array_intersect(words, F.map_keys(table)), lambda w: table[w]))
-    return F.transform(F.filter(begun, lambda t: t["pattern"].isNull() | F.rlike(low, t["pattern"])), lambda t: t["term"])
+    return F.transform(F.filter(begun, lambda t: t["pattern"].isNull() | (F.contains(low, F.lower(t["term"])) & F.rlike(low, t["pattern"]))), lambda t: t["term"])
 
 
 def rescued(words: Column, low: Column, taxonomy: dict[str, str], context: dict[str, list[str]], found: Column | None = None) -> Column:
@@ -163,7 +163,7 @@ def extract_from(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> D
     ready = dictionary.select("term", "category", first.alias("_first"), F.when((F.col("term") != first) | (F.length("term") <= 3), _pattern(F.col("term"))).alias("_pattern")).where("_first <> ''").distinct()
     words = once(df.select(key, text), _low=F.lower(text)).select(key, "_low", F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("_first"))
     met = words.join(F.broadcast(ready) if ready.count() <= MAX_BROADCAST else ready, "_first")
-    return met.where(F.col("_pattern").isNull() | F.rlike("_low", "_pattern")).select(key, F.col("term").alias("skill"), "category")
+    return met.where(F.col("_pattern").isNull() | (F.contains("_low", F.lower("term")) & F.rlike("_low", "_pattern"))).select(key, F.col("term").alias("skill"), "category")
 
 
 def preferred(df: DataFrame, key: str, text: str, taxonomy: dict[str, str], words: list[str] = terms.PREFERRED_WORDS) -> DataFrame:

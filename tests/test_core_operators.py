@@ -413,3 +413,21 @@ def test_grid_search_equals_plain_fits(spark, monkeypatch):
             each = [2 * ((guess == v) & (real == v)).sum() / ((guess == v).sum() + (real == v).sum()) for v in (False, True) if ((guess == v) | (real == v)).any()]
             f1.append(sum(each) / len(each))
         assert abs(got[size, column, least, c] - sum(f1) / folds) < 1e-9, (size, column, least, c)
+
+
+def test_words_of_patterns_are_those_of_the_sql(spark):
+    """Letters beyond a-z end a word of a context pattern, as in the SQL's engine; other line ends than a newline do not end a line."""
+    taxonomy, context = {"r": "language", "phd": "education"}, {"r": [r"\br\b.*analy"], "phd": [r"in\s+phd.x"]}
+    texts = ["für die analyse", "fur die analyse", "für die\nanalyse", "für die analyse", "in\x0bphd x", "in phd\rx", "in phd\nx"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k: r.s for r in skills.with_skills(rows, "t", taxonomy, context, name="s").collect()}
+    assert got == {0: ["r"], 1: [], 2: [], 3: ["r"], 4: ["phd"], 5: ["phd"], 6: ["phd"]}
+    only = rows.select("k", skills.per_text(rows.t, lambda words, low: skills.rescued(words, low, taxonomy, context)).alias("s"))
+    assert {r.k: r.s for r in only.collect()} == {0: ["r"], 1: [], 2: [], 3: ["r"], 4: [], 5: ["phd"], 6: []}
+
+
+def test_name_line_begins_runs_of_letters_with_capitals(spark):
+    from postlens.functions import text as T
+
+    rows = spark.createDataFrame([("JANE  W. DOE",), ("MI!! ÑADORA",)], "t string")
+    assert [r[0] for r in rows.select(T.name_line(rows.t)).collect()] == ["Jane W. Doe", "Mi!! ñAdora"]

@@ -431,3 +431,48 @@ def test_name_line_begins_runs_of_letters_with_capitals(spark):
 
     rows = spark.createDataFrame([("JANE  W. DOE",), ("MI!! ÑADORA",)], "t string")
     assert [r[0] for r in rows.select(T.name_line(rows.t)).collect()] == ["Jane W. Doe", "Mi!! ñAdora"]
+
+
+def test_top_jobs_leaves_most_runs_out_and_loses_none(spark, monkeypatch):
+    """Against every pair, with short runs and candidates of all kinds; and few pairs of a large table are scored."""
+    import random
+    from datetime import date, timedelta
+
+    import numpy as np
+
+    rnd, names, day = random.Random(5), [f"s{i}" for i in range(12)], date(2024, 1, 1)
+    some = lambda n: sorted(rnd.sample(names, n))
+    jobs = [(i, some(rnd.randint(0, 4)), some(rnd.randint(0, 2)), rnd.randint(0, 5), rnd.choice(["ke", "ng", "", None]), rnd.choice(["remote", "onsite", None]), day + timedelta(rnd.randint(-3, 12))) for i in range(600)]
+    who = [(c, some(rnd.choice([0, 2, 6])), rnd.randint(0, 6), rnd.choice([[], ["ke"], ["ng", "ke"], ["za"]]), rnd.choice([[], ["remote"], ["onsite", "remote"]])) for c in range(60)]
+    cand = spark.createDataFrame(who, "candidate_id long, skills array<string>, years int, locations array<string>, modes array<string>")
+    posted = spark.createDataFrame(jobs, "job_id long, required array<string>, preferred array<string>, years_experience int, country string, work_mode string, deadline date")
+
+    def score(c, j):
+        own = lambda given, has: None if not given else len(set(given) & set(c[1])) / len(given)
+        place, mode = (None if not x or not given else float(x in given) for x, given in ((j[4], c[3]), (j[5], c[4])))
+        known = [x for x in (place, mode) if x is not None]
+        parts = [(own(j[1], c), 0.65), (own(j[2], c), 0.15), (min(1, c[2] / j[3]) if j[3] else None, 0.15), (sum(known) / len(known) if known else None, 0.05)]
+        total = sum(w for x, w in parts if x is not None)
+        return round(sum(x * w for x, w in parts if x is not None) / total, 6) if total else 0.0
+
+    for limits, k in (((3, 2, 50, 40, 7), 4), ((4000, 16, 10_000, 1_000_000, 2048), 25)):
+        for name, value in zip(("BLOCK", "BLOCKS", "ROWS", "PAIRS", "RUN"), limits):
+            monkeypatch.setattr(recommend, name, value)
+        got = {}
+        for r in recommend.top_jobs(cand if k > 4 else cand.where("candidate_id < 14"), posted, day, k).collect():
+            got.setdefault(r.candidate_id, {})[r["rank"]] = (r.job_id, r.score)
+        for c in who if k > 4 else who[:14]:
+            best = sorted(((-score(c, j), max(j[3] - c[2], 0), -(0 <= (j[6] - day).days <= 7), j[0]) for j in jobs))[:k]
+            assert [got[c[0]][i + 1] for i in range(k)] == [(j, -s) for s, _, _, j in best]
+
+    # 40,000 postings of two places: a candidate of one place and all skills finishes within the first run of each size.
+    import pyarrow as pa
+
+    block = recommend._block([spark.createDataFrame([(1, ["a", "b"], 3, ["ke"], ["remote"])], cand.schema).first()])
+    scored, real = [], recommend.Postings.score
+    monkeypatch.setattr(recommend.Postings, "score", lambda self, w, r: scored.append(len(w)) or real(self, w, r))
+    n = 40_000
+    rows = {"required": ["a"] * n, "preferred": [""] * n, "years": np.zeros(n), "place": ["ke"] * (n // 2) + ["ng"] * (n // 2), "mode": ["remote"] * n, "urgent": [True] * n, "n_required": pa.array([1] * n, pa.int32()), "n_preferred": pa.array([0] * n, pa.int32()), "first": np.arange(n), "ids": [[i] for i in range(n)]}
+    fold = recommend.Best([block], 10)
+    fold.add(pa.RecordBatch.from_pydict(rows))
+    assert sum(len(b) for b in fold.rows()) == 10 and sum(scored) <= 2 * 2048

@@ -476,3 +476,18 @@ def test_top_jobs_leaves_most_runs_out_and_loses_none(spark, monkeypatch):
     fold = recommend.Best([block], 10)
     fold.add(pa.RecordBatch.from_pydict(rows))
     assert sum(len(b) for b in fold.rows()) == 10 and sum(scored) <= 2 * 2048
+
+
+def test_large_dictionaries_are_met_by_equality(spark):
+    """Runs of words equal to a term, whatever stands around them; plain terms are not looked up in the text."""
+    terms = spark.createDataFrame([("data engineer", "role"), ("Engineer", "x"), ("r", "lang"), ("c++", "lang"), ("machine learning ops", "x"), ("go", "lang")], "term string, category string")
+    texts = ["Data engineer, C++ and R.", "data  engineer machine learning ops", "xdata engineers", "é data engineer machine learning opsé go", None, "ür go-live data engineer data engineer"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    out = skills.extract_from(rows, "k", "t", terms)
+    assert sorted((r.k, r.skill) for r in out.collect()) == [
+        (0, "Engineer"), (0, "c++"), (0, "data engineer"), (0, "r"), (1, "Engineer"), (1, "machine learning ops"), (3, "Engineer"), (3, "data engineer"), (3, "go"), (3, "machine learning ops"), (5, "Engineer"), (5, "data engineer"), (5, "go"),
+    ]
+    assert skills.extract_from(rows, "k", "t", terms.where("false")).count() == 0
+    # No text is carried to the join where all terms are plain: what is exploded are runs of words.
+    plan = skills.extract_from(rows, "k", "t", terms.where("length(term) > 3"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_low#" not in plan

@@ -491,3 +491,24 @@ def test_large_dictionaries_are_met_by_equality(spark):
     # No text is carried to the join where all terms are plain: what is exploded are runs of words.
     plan = skills.extract_from(rows, "k", "t", terms.where("length(term) > 3"))._jdf.queryExecution().optimizedPlan().toString()
     assert "_low#" not in plan
+
+
+def test_dense_top_by_blocks_equals_all_pairs(spark, monkeypatch):
+    """With ties, copies, several passes and small blocks; a null vector and one of another length change nothing of the others."""
+    import random
+
+    from postlens.operators import retrieval
+
+    rnd = random.Random(3)
+    vecs = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)] + [1.0]) for i in range(300)] + [(300, None)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 5)
+    monkeypatch.setattr(retrieval, "CELLS", 60)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in retrieval.dense_top(df, df.where("vec_id % 30 = 0 and vec_id < 300"), 5).collect())
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    cosine = lambda a, b: round(dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5), 6)
+    expected = []
+    for q, a in vecs[:300:30]:
+        best = sorted((-cosine(a, b), v) for v, b in vecs[:300] if v != q)[:5]
+        expected += [(q, i + 1, v, -s) for i, (s, v) in enumerate(best)]
+    assert got == expected

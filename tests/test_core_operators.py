@@ -512,3 +512,22 @@ def test_dense_top_by_blocks_equals_all_pairs(spark, monkeypatch):
         best = sorted((-cosine(a, b), v) for v, b in vecs[:300] if v != q)[:5]
         expected += [(q, i + 1, v, -s) for i, (s, v) in enumerate(best)]
     assert got == expected
+
+
+def test_split_deals_a_class_to_many_tasks(spark):
+    """The same rows as by one window for each class, but no task holds a class."""
+    from pyspark.sql import Window
+
+    from postlens.operators import ml
+
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("label"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        split = ml.stratified_split(rows, "doc_id", "label", 0.25).select("*", F.spark_partition_id().alias("task")).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    w = Window.partitionBy("label")
+    place = F.row_number().over(w.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
+    want = {r.doc_id for r in rows.withColumn("n", F.count("*").over(w)).withColumn("r", place).where("r <= 0.25 * n").collect()}
+    assert set(split.doc_id[split.test]) == want and len(split) == 4000
+    assert split.groupby("label", dropna=False).task.nunique().min() > 1

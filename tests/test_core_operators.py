@@ -531,3 +531,33 @@ def test_split_deals_a_class_to_many_tasks(spark):
     want = {r.doc_id for r in rows.withColumn("n", F.count("*").over(w)).withColumn("r", place).where("r <= 0.25 * n").collect()}
     assert set(split.doc_id[split.test]) == want and len(split) == 4000
     assert split.groupby("label", dropna=False).task.nunique().min() > 1
+
+
+def test_unlocks_and_career_paths_by_blocks(spark, monkeypatch):
+    """Against plain counting, with several blocks of candidates; a list's places do not multiply what the candidates meet."""
+    skills, places, rnd = [f"s{i}" for i in range(7)], ["a", "b", "", None], random.Random(5)
+    some = lambda n: rnd.sample(skills, rnd.randint(0, n))
+    jobs = [(i, some(4), rnd.choice(places), rnd.choice(["remote", "onsite", None]), rnd.choice(["x é", "x z", "w"])) for i in range(150)]
+    who = [(i, sorted(some(5)), rnd.randint(0, 12), [rnd.choice(["a", "b", "c"])], ["remote"]) for i in range(40)]
+    j = spark.createDataFrame(jobs, "job_id long, required array<string>, country string, work_mode string, role string")
+    c = spark.createDataFrame(who, "candidate_id long, skills array<string>, years int, locations array<string>, modes array<string>")
+    want = {}
+    for i, have, years, (home,), _ in who:
+        for _, need, place, mode, _ in jobs:
+            total = lambda m, n=len(need): (50 * ((200 * m + n) // (2 * n)) + 25 * min(100, 60 + 6 * years) + 15 * 85 + 10 * (100 if place == home else 90 if mode == "remote" else 55) + 50) // 100  # noqa: B023, E731
+            m = len(set(need) & set(have))
+            if need and total(m) < 70 <= total(m + 1):
+                for s in set(need) - set(have):
+                    want[i, s] = want.get((i, s), 0) + 1
+    met = []
+    monkeypatch.setattr(recommend, "BLOCK", 16)
+    scan = recommend.scan
+    monkeypatch.setattr(recommend, "scan", lambda a, given, *rest: met.append(given) or scan(a, given, *rest))
+    assert {(r.candidate_id, r.skill): r.unlocked for r in recommend.unlocks(c, j).collect()} == want
+    assert met[0].count() == len({tuple(sorted(x[1])) for x in jobs if x[1]})
+    size = {r: {s for x in jobs if x[4] == r for s in x[1]} for r in ("x é", "x z", "w")}
+    ranked = []
+    for i, have, *_ in who:
+        found = [(-((200 * h + len(need)) // (2 * len(need))), -sum(x[4] == r for x in jobs), r, h) for r, need in size.items() if (h := len(need & set(have)))]
+        ranked += [(i, r, -n, len(size[r]) - h, h, -m, k + 1) for k, (m, n, r, h) in enumerate(sorted(found)[:2])]
+    assert sorted(tuple(x) for x in recommend.career_paths(c, j.select("role", "job_id", "required"), 2).collect()) == sorted(ranked)

@@ -50,8 +50,10 @@ ORDINARY = re.compile("author(?!i[sz])|tokeni[sz]|keyword|keyboard|monkey|donkey
 PLACEHOLDER = re.compile(r"(?i)example|changeme|placeholder|your[_-]|xxxx|\.\.\.|<|\$\{|%\(|dummy|redacted")
 THRESHOLD = 0.9
 LEAST_LITERAL = 8
-#: Literals of more characters or joined parts are no secrets, nor are constants that hold them; brackets of a type are at most so long.
-MOST_LITERAL, MOST_PARTS, MOST_TYPE = 4096, 64, 80
+#: Brackets of a type are at most so long.
+MOST_TYPE = 80
+#: Characters of a value's ends in which a stand-in may begin or end (one less than the longest), and a sum of counts beyond which they are scaled.
+_ENDS, _MANY = 10, 2.0**60
 
 _FRAGMENTS = tuple(f.encode() for f in ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "auth", "signing", "encryption"))
 _ASSIGN_FRAGMENTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -77,67 +79,128 @@ def _sensitivity(name: str) -> float:
     return max((v for k, v in SENSITIVE.items() if k in flat), default=0.0)
 
 
-def _entropy(value: str) -> float:
-    return -sum(c / len(value) * math.log2(c / len(value)) for c in Counter(value).values())
-
-
-def _random(value: str) -> bool:
+class _Value:
+    """What a literal or joined literals say, without the joined text: constants may double (``b = a + a``), so parts are shared.
+
+    ``parts`` are the values that it joins; a literal has none, but a span. ``counts`` tells how often each character occurs, divided by 2 to
+    the ``scale``: exact up to ``_MANY`` characters.
+    """
+
+    __slots__ = ("span", "parts", "score", "text", "counts", "scale", "head", "tail", "stand_in")
+
+    def __init__(self, text: str, span: tuple[int, int] | None = None, parts: tuple[_Value, ...] = ()) -> None:
+        self.span, self.parts, self.score, self.text, self.counts, self.scale = span, parts, 0.0, text, None, 0
+        self.head, self.tail = text[:_ENDS], text[-_ENDS:]
+        self.stand_in = False
+
+    def told(self) -> _Value:
+        """With the literal's characters counted."""
+        if self.counts is None:
+            self.counts, self.stand_in = Counter(self.text), bool(PLACEHOLDER.search(self.text))
+        return self
+
+    @property
+    def size(self) -> float:
+        return sum(self.counts.values())
+
+
+def _joined(parts: list[_Value]) -> _Value:
+    """One value of several: counts are added up, and a stand-in across a seam is looked for in the ends."""
+    if len(parts) == 1:
+        return parts[0]
+    out = _Value("", None, tuple(parts))
+    out.counts = Counter()
+    out.scale = max(p.told().scale for p in parts)
+    seam = ""
+    for p in parts:
+        factor = 2 ** (out.scale - p.scale) if out.scale - p.scale < 1000 else math.inf
+        for c, n in p.counts.items():
+            out.counts[c] += n if factor == 1 else n / factor
+        out.stand_in |= p.stand_in or bool(PLACEHOLDER.search(seam + p.head))
+        # A value of fewer characters than its ends may be has all of them in both.
+        seam = p.tail if len(p.tail) == _ENDS else (seam + p.tail)[-_ENDS:]
+        out.head = (out.head + p.head)[:_ENDS] if len(out.head) < _ENDS else out.head
+    out.tail = seam
+    if (size := out.size) > _MANY:
+        more = math.frexp(size)[1]
+        out.scale += more
+        out.counts = Counter({c: math.ldexp(n, -more) for c, n in out.counts.items()})
+    return out
+
+
+def _entropy(v: _Value) -> float:
+    size = v.size
+    return -sum(c / size * math.log2(c / size) for c in v.counts.values() if c)
+
+
+def _random(v: _Value) -> bool:
     """Whether a literal looks random enough for a name that says little."""
-    return len(value) >= 12 and _strength(value) == 1.0 and _entropy(value) >= 3.2 and bool(re.search("[0-9]", value)) and bool(re.search("[A-Za-z]", value))
+    return (v.told().scale > 0 or v.size >= 12) and _strength(v) == 1.0 and _entropy(v) >= 3.2 and bool(re.search("[0-9]", seen := "".join(v.counts))) and bool(re.search("[A-Za-z]", seen))
 
 
-def _score(name: str, value: str) -> float:
+def _score(name: str, v: _Value) -> float:
     weight = _sensitivity(name)
-    return max(weight * _strength(value), THRESHOLD if weight and _random(value) else 0.0)
+    return max(weight * _strength(v), THRESHOLD if _random(v) else 0.0) if weight else 0.0
 
 
-def _strength(value: str) -> float:
+def _strength(v: _Value) -> float:
     """0 to 1: entropy of the literal, less for words and stand-ins."""
-    if len(value) < LEAST_LITERAL or PLACEHOLDER.search(value) or " " in value:
+    if (v.told().scale == 0 and v.size < LEAST_LITERAL) or v.stand_in or " " in v.counts:
         return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, _entropy(value) / 3.0) * (1.0 if kinds >= 2 else 0.6)
+    seen = "".join(v.counts)
+    kinds = sum(bool(re.search(p, seen)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
+    return min(1.0, _entropy(v) / 3.0) * (1.0 if kinds >= 2 else 0.6)
 
 
 def lex(text: str) -> list[tuple[int, int, float]]:
     """Literals that reach a sensitive name: start, end, score."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    constants: dict[str, _Value | None] = {}
+    scored: list[_Value] = []  # literals and what joins them, parts first
 
-    def part(m: re.Match, n: int, own: list[str]) -> list[tuple[int, int, str]]:
+    def literal(span: tuple[int, int], value: str) -> _Value:
+        scored.append(_Value(value, span))
+        return scored[-1]
+
+    def part(m: re.Match, n: int, own: list[str]) -> list[_Value]:
         for kind in "tdsy":
             if m[f"{kind}{n}"] is not None:
-                return [(*m.span(f"{kind}{n}"), m[f"{kind}{n}"])]
+                return [literal(m.span(f"{kind}{n}"), m[f"{kind}{n}"])]
         bare = m[f"b{n}"]
         if text[m.end() : m.end() + 1] in ("[", "("):  # an index or a call
             return []
-        return (None if bare in own else constants.get(bare)) or [(*m.span(f"b{n}"), bare)]
+        known = None if bare in own else constants.get(bare)
+        return [known or literal(m.span(f"b{n}"), bare)]
 
     at = 0
     while m := _PAIR.search(text, at):
         names, at, unsure = [m["name"]], m.start("v0"), []
         if m["type"] is not None:
-            unsure.append((*m.span("type"), m["type"]))
+            unsure.append((m.span("type"), m["type"]))
         while j := _CHAIN.match(text, at):
-            unsure.append((*j.span("name"), j["name"]))
+            unsure.append((j.span("name"), j["name"]))
             names.append(j["name"])
             at = j.end()
         m = _VALUE.match(text, at)
-        parts, at = list(part(m, 0, names)), m.end()
+        parts, at = part(m, 0, names), m.end()
         while j := _JOIN.match(text, at):
-            if len(parts) <= MOST_PARTS:
-                parts += part(j, 1, names)
+            parts += part(j, 1, names)
             at = j.end()
-        if len(parts) > MOST_PARTS or sum(len(p[2]) for p in parts) > MOST_LITERAL:
-            parts = []
+        value = _joined(parts) if parts else None
+        if len(parts) > 1:
+            scored.append(value)
         for name in names:
-            constants[name] = parts
+            constants[name] = value
         # What stands as a type or a further name could be a literal itself.
-        for found in (parts, *([u] for u in unsure if _random(u[2]) and "." not in u[2])):
-            score = max(_score(name, "".join(p[2] for p in found)) for name in names)
-            if score > 0:
-                for a, z, _ in found:
-                    best[a, z] = max(score, best.get((a, z), 0.0))
+        sensitive = any(map(_sensitivity, names))
+        others = [v for span, u in unsure if sensitive and "." not in u and _random(v := literal(span, u))]
+        for found in ([value] if value and sensitive else []) + others:
+            found.score = max(found.score, *(_score(name, found) for name in names))
+    best: dict[tuple[int, int], float] = {}
+    for v in reversed(scored):  # what joins a value hands its score on before the value does
+        if v.score > 0 and v.span:
+            best[v.span] = max(v.score, best.get(v.span, 0.0))
+        for p in v.parts:
+            p.score = max(p.score, v.score)
     return sorted((a, z, v) for (a, z), v in best.items())
 
 

@@ -227,3 +227,19 @@ def test_main_text_without_unwanted_parts(spark, data):
     assert {r.text for r in html_extract.extract(rows, model).collect()} == {" ".join(said)}
     began = time.time()
     assert html_extract.Page("x > " + "<a " * 350_000).pieces and time.time() - began < 2
+
+
+def test_secrets_joined_of_many_parts_or_characters():
+    """Values of any number of parts and characters, also constants that double; a stand-in across a seam still counts."""
+    from postlens.llm import secrets
+
+    v = "Zx81kQ7pLm2RtVw9"
+    found = lambda t: [t[a:z] for a, z, s in secrets.lex(t) if s >= secrets.THRESHOLD]
+    doubled = f'a0 = "{v}"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(1500)) + "password = a1500\n"
+    assert found(doubled) == [v]
+    pieces = [f"{v}{i:03}" for i in range(200)]
+    assert found("token = " + " + ".join(f'"{p}"' for p in pieces)) == pieces
+    long = "".join(f"Zq{i}x" for i in range(2000))
+    assert len(long) > 4096 and found(f'secret = "{long}"') == [long]
+    assert found(f'a = "{v}exa"\nb = "mple{v}"\npassword = a + b\n') == []
+    assert found(f'a = "{v}ex"\nb = "am"\nc = "ple{v}"\npassword = a + b + c\n') == []

@@ -561,3 +561,44 @@ def test_unlocks_and_career_paths_by_blocks(spark, monkeypatch):
         found = [(-((200 * h + len(need)) // (2 * len(need))), -sum(x[4] == r for x in jobs), r, h) for r, need in size.items() if (h := len(need & set(have)))]
         ranked += [(i, r, -n, len(size[r]) - h, h, -m, k + 1) for k, (m, n, r, h) in enumerate(sorted(found)[:2])]
     assert sorted(tuple(x) for x in recommend.career_paths(c, j.select("role", "job_id", "required"), 2).collect()) == sorted(ranked)
+
+
+def test_index_counts_texts_in_place(spark):
+    """The index of texts, of which some share an id or are null or empty, as plain counting gives it; its counts need no shuffle of words."""
+    import math
+    import re
+    from collections import Counter
+
+    from postlens.operators import retrieval
+
+    rnd = random.Random(4)
+    words = ["spark", "flink", "kafka", "the", "ab", "Beam", "hive", "x1yyy"]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 12)))) for i in range(60)] + [(3, "spark spark beam"), (3, None), (70, None), (71, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    tf = {}
+    for i, t in rows:
+        if found := re.findall("[a-z]{3,}", (t or "").lower()):
+            tf.setdefault(i, Counter()).update(found)
+    df_, cf = Counter(t for c in tf.values() for t in c), sum(tf.values(), Counter())
+    names = sorted((t for t in df_ if 2 <= df_[t] <= 0.95 * len(rows)), key=lambda t: (-cf[t], t))[:4]
+    want = {}
+    for i, c in tf.items():
+        w = {t: (1 + math.log(c[t])) * (math.log((1 + len(rows)) / (1 + df_[t])) + 1) for t in names if t in c}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        want |= {(i, t): round(x / length, 9) for t, x in w.items()}
+    index, vocabulary = retrieval.index(df, "id", "text", features=4)
+    assert {(r.id, r.term): round(r.weight, 9) for r in index.collect()} == want and len(want) == index.count()
+    assert {r.term for r in vocabulary.collect()} == set(names)
+    assert "Exchange" not in retrieval.counts(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    packed, _ = retrieval.packed_index(df, "id", "text", features=4)
+    asked = retrieval.project(spark.createDataFrame([(1, "spark kafka beam")], "item_id long, text string"), "item_id", "text", vocabulary)
+    both = [[tuple(r) for r in retrieval.search(x, "id", asked, "item_id").orderBy("rank").collect()] for x in (index, packed)]
+    assert both[0] == both[1] and len(both[0]) == 5
+
+
+def test_coverage_reads_texts_once(spark, data):
+    """Coverage works out all its columns in one pass, without a join of the texts with themselves."""
+    from postlens.plans import registry
+
+    plan = registry.QUERIES["e9_coverage"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1

@@ -602,3 +602,13 @@ def test_coverage_reads_texts_once(spark, data):
 
     plan = registry.QUERIES["e9_coverage"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_reasons_read_what_the_search_read(spark, data):
+    """Postings and candidates are worked out once: the reasons read the saved tables, and a posting's rows are dealt once for its three groupings."""
+    from postlens.plans import q_matching
+
+    full = q_matching._full(spark, data, 1)
+    assert not [p for p in full.inputFiles() if p.rsplit("/", 1)[-1] in ("lineitem.parquet", "orders.parquet", "supplier.parquet")]
+    plan = q_matching._jobs(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(job_id") + plan.count("hashpartitioning(l_orderkey") <= 2  # and the postings that meet them

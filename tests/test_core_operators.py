@@ -612,3 +612,14 @@ def test_reasons_read_what_the_search_read(spark, data):
     assert not [p for p in full.inputFiles() if p.rsplit("/", 1)[-1] in ("lineitem.parquet", "orders.parquet", "supplier.parquet")]
     plan = q_matching._jobs(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(job_id") + plan.count("hashpartitioning(l_orderkey") <= 2  # and the postings that meet them
+
+
+def test_misses_read_texts_once(spark, tmp_path):
+    """Terms within longer words, by id: what one text of an id names elsewhere as a word is no miss, and two texts of an id are one miss."""
+    from postlens.plans import q_retrieval
+
+    rows = [(6, "kubernetesse"), (12, "pythonic pythonic"), (12, "pythonics"), (18, "pythonic"), (18, "python here"), (24, None), (30, "Pythons")]
+    spark.createDataFrame([(k, t, "src0", "en", 0) for k, t in rows], "doc_id long, text string, source string, lang string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    missed = q_retrieval._misses(spark, str(tmp_path))
+    assert missed._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert {r.skill: r.missed for r in missed.collect() if r.skill in ("python", "kubernetes")} == {"python": 2, "kubernetes": 1}

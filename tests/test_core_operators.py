@@ -623,3 +623,23 @@ def test_misses_read_texts_once(spark, tmp_path):
     missed = q_retrieval._misses(spark, str(tmp_path))
     assert missed._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
     assert {r.skill: r.missed for r in missed.collect() if r.skill in ("python", "kubernetes")} == {"python": 2, "kubernetes": 1}
+
+
+def test_quantiles_hold_no_group_in_one_task(spark):
+    """Quarters of groups over several parts equal plain ones, with repeated values, nulls and a null group; no task collects a group's values."""
+    import numpy as np
+
+    from postlens.operators import aggregates
+
+    rng = np.random.default_rng(3)
+    rows = [(g, None if x % 9 == 0 else x / 7) for g, n in (("a", 3000), ("b", 1), ("c", 2), (None, 500)) for x in map(int, rng.integers(1, 900, n))] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, usd_mid double")
+    told = {r.g: r for r in aggregates.salaries(df, ["g"]).collect()}
+    assert set(told) == {g for g, _ in rows}
+    for g, r in told.items():
+        own = [x for k, x in rows if k == g and x is not None]
+        assert (r.total, r.with_salary) == (sum(k == g for k, _ in rows), len(own))
+        for name, q in (("q25", 0.25), ("salary_median", 0.5), ("q75", 0.75)):
+            assert (getattr(r, name) is None) == (not own) and (not own or abs(getattr(r, name) - np.quantile(own, q)) <= 0.0501)
+    plan = aggregates.describe(df, ["usd_mid"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan

@@ -86,3 +86,25 @@ def test_import_without_llm(tmp_path, spark):
         if beside:
             shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+@pytest.mark.parametrize("name", ["k10_summary", "v7_question_filters", "q3_enrich"])
+def test_odd_letters_and_blanks_equal_the_sql(name, spark, data, tmp_path):
+    """Capitals that lower to two letters or by their place, other blanks and line ends, and letters of other alphabets beside the words that are looked for."""
+    odd = ["İ", "Σ", "\x0b", "\x85", " ", " ", "é", "ſ", "٣", "_", "́", "\n", "-", "²"]
+    words = [
+        "full-tIme", "Internship", "5 years", "c++", ".net", "10+ years", "at least 3 years", "ci/cd", "Kenya", "ke", "which skill in kenya", "roles", "what skill in egypt", "most popular skill",
+        "using r", "go program", "sql server", "hybrid", "on-site", "in office", "South Africa", "Kotlin", "$4000", "machine learning", "data engineer",
+    ]
+    said = [f"{a}{x}{b}{end}" for x in odd for a, b in zip(words, words[1:] + words[:1]) for end in ("", x)]
+    said += [w.replace("I", "İ").replace("i", "İ").replace(" ", x) for x in odd for w in words]
+    for t in TABLES:
+        if t not in ("documents", "conversations"):
+            os.symlink(f"{data}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.createDataFrame([(i, t, ["fr", "de", "en"][i % 3], f"src{i % 5}", len(t)) for i, t in enumerate(said)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet{'/*.parquet' if t in ('documents', 'conversations') else ''}')")
+    ours, theirs = tidy(registry.QUERIES[name](spark, str(tmp_path)).toPandas()), tidy(c.execute(registry.ORACLE_SQL[name]).fetchdf())
+    assert len(ours) and ours.equals(theirs)

@@ -643,3 +643,12 @@ def test_quantiles_hold_no_group_in_one_task(spark):
             assert (getattr(r, name) is None) == (not own) and (not own or abs(getattr(r, name) - np.quantile(own, q)) <= 0.0501)
     plan = aggregates.describe(df, ["usd_mid"])._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_signatures_sort_by_a_number_first(spark):
+    """Postings are sorted by a hash of their signature before its texts, and keep the ids that they stand for."""
+    df = spark.createDataFrame([(i, ["brand#11", f"brand#{i % 7}"], [], i % 3, "KE", "remote") for i in range(60)], "job_id long, required array<string>, preferred array<string>, years_experience int, country string, work_mode string")
+    out = recommend.signatures(df, k=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [_hash#" in plan and "hashpartitioning(required#" not in plan
+    assert "_hash" not in out.columns and sorted(len(r.ids) for r in out.collect()) == [2] * 21

@@ -373,6 +373,39 @@ def test_signatures_stand_for_postings(spark, monkeypatch):
         assert reached.get(j) == ((sum(x > 0 for x in n), max(n) / len(need)) if any(n) else None)
 
 
+def test_grid_search_passes(spark, monkeypatch):
+    """Combinations with one vocabulary are fitted once, few passes settle all models, and no task gets all texts of one file."""
+    from postlens.operators import ml
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green", "sun", "moon"] + (["rare", "odd"] if i % 3 == 0 else ["plain"])) for _ in range(rng.randrange(1, 9))), float(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label double").coalesce(1)
+    spaces, models, parts, counted = [], [], [], ml._counted
+
+    def listed(rows, *rest):
+        parts.append(rows.select(F.input_file_name().alias("f")).distinct().count())
+        spaces.extend(counted(rows, *rest))
+        return spaces
+
+    class Listed(ml.Descent):
+        def __init__(self, *a):
+            super().__init__(*a)
+            self.passes = 0
+            models.append(self)
+
+        def tell(self, *a):
+            self.passes += 1
+            super().tell(*a)
+
+    monkeypatch.setattr(ml, "_counted", listed)
+    monkeypatch.setattr(ml, "Descent", Listed)
+    told = ml.tuned(df, grid={"vocabSize": (50, 60), "inputCol": ("_one",), "minDF": (1.0, 2.0), "c": (0.1, 10.0)})
+    assert len(spaces) == len(models) == 5 and all(len(s.names) == 4 for s in spaces) and len(told) == 8
+    assert len({(k["c"], f1) for k, f1 in told}) == 2  # combinations with one vocabulary tell the same
+    assert all(m.settled.all() for m in models) and max(m.passes for m in models) <= 25
+    assert parts[0] > 1
+
+
 def test_grid_search_equals_plain_fits(spark, monkeypatch):
     """Every fold and combination fitted on its own by Newton's method, on a matrix of the whole text."""
     import re

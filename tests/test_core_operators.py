@@ -151,6 +151,28 @@ def test_edits_match_brute_force():
                 assert dedup.edits(bits, len(x), y, most) == min(right, most + 1)
 
 
+def test_segments_bound_edit_distances():
+    """The bound is never above the distance, whatever was moved, put in or left out, and leaves out long texts of the same syllables."""
+    import numpy as np
+
+    rng, syllables = random.Random(8), ["th", "er", "on", "ing", "and ", "of ", "é", "re", "st ", "ha", "in"]
+    for trial in range(120):
+        said = ["".join(rng.choice(syllables) for _ in range(rng.choice((1, 2, 30, 90, 300)))) for _ in range(3)]
+        base, share = said[0], rng.choice((0.01, 0.08, 0.15))
+        at, cut = rng.randrange(len(base)), max(1, int(len(base) * share))
+        y = [base[:at] + base[at + cut :], base[:at] + "zq" * cut + base[at:], "".join(rng.choice(["", "x", "ab" + c]) if rng.random() < share else c for c in base)][trial % 3]
+        texts = sorted([base, *said[1:]], key=len)
+        for x, d in zip(texts, [_levenshtein(x, y) for x in texts] if len(y) < 400 else [dedup.edits({c: sum(1 << i for i, e in enumerate(x) if e == c) for c in set(x)}, len(x), y, 10**5) for x in texts]):
+            for most in (d, d + 1, d + 9, 2 * d + 200):
+                told = dedup.Segments(texts).least(y, np.full(3, most))
+                assert told[texts.index(x)] <= d
+    syllables = [a + b for a in ("", "b", "ch", "d", "fr", "g", "l", "m", "n", "st") for b in ("a", "e ", "in", "o")]
+    for size in (400, 1500, 3000):  # of some two letters each
+        texts = sorted(("".join(rng.choice(syllables) for _ in range(size)) for _ in range(12)), key=len)
+        most = np.array([int(0.15 * len(t)) for t in texts])
+        assert (dedup.Segments(texts[1:]).least(texts[0], most[1:]) > most[1:]).mean() > 0.9
+
+
 def test_whole_clusters_match_brute_force(spark, tmp_path):
     """Copies, long texts, other first characters and edits spread over a text; parts of one tile and of several."""
     from postlens.plans import registry

@@ -533,6 +533,21 @@ def test_top_jobs_leaves_most_runs_out_and_loses_none(spark, monkeypatch):
     assert sum(len(b) for b in fold.rows()) == 10 and sum(scored) <= 2 * 2048
 
 
+def test_summary_reads_texts_once_and_lines_once(spark, data):
+    """The metrics read what one pass over the texts wrote, and a line of many mentions without what tells them is gone through once."""
+    import time
+
+    from postlens.plans import q_skills, registry
+
+    for name in ("k10_summary", "q3_summary"):
+        assert not any("documents" in f for f in registry.QUERIES[name](spark, data).inputFiles())
+    rows = [("r " * 60_000, False), ("r " * 30_000 + "\npackage " + "é" * 30_000, False), ("package\nr", False), ("package r", True), ("packager", False), ("r.package", True), ("für package", True), ("packagé\nmodel xr r_", False), ("xr model", False), ("r " * 9 + "\x85 model", True), ("rr r\nx", False)]
+    began, only = time.time(), {"r": q_skills.CONTEXT["r"]}
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", skills.per_text(F.col("t"), lambda words, low: skills.rescued(words, low, {"r": "x"}, only)).alias("s")).collect()
+    assert {r.i: r.s == ["r"] for r in got} == {i: told for i, (_, told) in enumerate(rows)}
+    assert time.time() - began < 30  # each mention went through its line: minutes
+
+
 def test_large_dictionaries_are_met_by_equality(spark):
     """Runs of words equal to a term, whatever stands around them; plain terms are not looked up in the text."""
     terms = spark.createDataFrame([("data engineer", "role"), ("Engineer", "x"), ("r", "lang"), ("c++", "lang"), ("machine learning ops", "x"), ("go", "lang")], "term string, category string")

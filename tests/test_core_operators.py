@@ -548,6 +548,23 @@ def test_summary_reads_texts_once_and_lines_once(spark, data):
     assert time.time() - began < 30  # each mention went through its line: minutes
 
 
+def test_unlocks_meet_like_candidates_once(spark, monkeypatch):
+    """Copies of candidates (in another order, with nulls) meet the postings once and tell the same; blocks are of near places and years."""
+    rnd, skills = random.Random(9), [f"s{i}" for i in range(6)]
+    j = spark.createDataFrame([(i, rnd.sample(skills, rnd.randint(1, 4)), rnd.choice("ab"), rnd.choice(["remote", "onsite"])) for i in range(80)], "job_id long, required array<string>, country string, work_mode string")
+    one = [(i, rnd.sample(skills, rnd.randint(0, 3)), rnd.randint(0, 12), [rnd.choice("ab")], None) for i in range(20)]
+    copies = [(i + 100 * k, have[::-1] + [None] * (k % 2), max(years, 7) + k if years >= 7 else years, home, None) for k in (1, 2, 3) for i, have, years, home, _ in one]
+    schema = "candidate_id long, skills array<string>, years int, locations array<string>, modes array<string>"
+    met, scan = [], recommend.scan
+    monkeypatch.setattr(recommend, "scan", lambda who, *rest: met.append(who) or scan(who, *rest))
+    monkeypatch.setattr(recommend, "BLOCK", 8)
+    got = {}
+    for r in recommend.unlocks(spark.createDataFrame([*one, *copies], schema), j).collect():
+        got.setdefault(r.candidate_id, {})[r.skill] = r.unlocked
+    assert got and all(got.get(i) == got.get(i % 100) for i, *_ in copies)
+    assert met[0].count() == len({(tuple(sorted(have)), min(years, 7), home[0]) for _, have, years, home, _ in one})
+
+
 def test_large_dictionaries_are_met_by_equality(spark):
     """Runs of words equal to a term, whatever stands around them; plain terms are not looked up in the text."""
     terms = spark.createDataFrame([("data engineer", "role"), ("Engineer", "x"), ("r", "lang"), ("c++", "lang"), ("machine learning ops", "x"), ("go", "lang")], "term string, category string")
